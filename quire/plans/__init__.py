@@ -1,0 +1,5 @@
+"""Registry of the library's own queries and of the SQL that says the same."""
+
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
