@@ -1,4 +1,4 @@
-"""Collects the queries of all areas."""
+"""Queries over the tables by name, each beside the SQL that says the same."""
 
 from __future__ import annotations
 
@@ -6,5 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query; without SQL it is tested on fixtures."""
+
+    def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(name)
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
