@@ -48,9 +48,9 @@ def strip_tags(spark, d):
 
 @query("text_f7_html_to_text", """
     SELECT unit_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace('<h1>A</h1><p>' || t || '<br/>&amp; more</p>', '(?i)<br\\s*/?>', chr(10), 'g'), '</h1>', chr(10) || chr(10)), '<[^>]+>', '', 'g'), ' *\\n *', chr(10), 'g'), '[ \\t]+', ' ', 'g').replace('&amp;', '&'), ' ') AS t
-    FROM units WHERE t IS NOT NULL AND NOT contains(t, chr(10))""")
+    FROM units WHERE t IS NOT NULL AND NOT contains(t, chr(10)) AND t <> ''""")
 def html_to_text(spark, d):
-    u = units(spark, d).where(~F.col("t").contains("\n"))
+    u = units(spark, d).where(~F.col("t").contains("\n") & (F.col("t") != ""))
     return u.select("unit_id", T.html_to_text(F.concat(F.lit("<script>if (a) b('</p>')</script><style>p{}</style><h1>A</h1><p>"), F.col("t"), F.lit("<br/>&amp; more</p>"))).alias("t"))
 
 
@@ -104,7 +104,7 @@ def emphasis(spark, d):
 
 
 @query("text_f21_unwrap", """
-    SELECT doc_id, coalesce(list_reduce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda a, b: CASE WHEN regexp_matches(a, '[-—]$') THEN a || b ELSE a || ' ' || b END), '') AS t
+    SELECT doc_id, coalesce(list_reduce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda a, b: CASE WHEN regexp_matches(a, '[-—]$') THEN a || b ELSE a || ' ' || b END), '') AS t
     FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[a-z]')""")
 def unwrap(spark, d):
     x = table(spark, d, "documents").where("text IS NOT NULL").where(F.col("text").rlike("[a-z]"))
