@@ -54,11 +54,15 @@ def language(text: str | None) -> str:
     return top if n[top] > 0 else ""
 
 
+HANGUL_RUN = re.compile(r"[가-힣ᄀ-ᇿㄱ-ㆎ]+")
+LETTER_RUN = re.compile(r"[^\W\d_]+")
+
+
 def korean_share(text: str) -> float:
     """Hangul among the letters, a Hangul letter counted twice."""
     t = TAG.sub("", text) if "<" in text else text
-    ko = len(HANGUL.findall(t))
-    rest = len(LETTER.findall(t)) - ko
+    ko = sum(map(len, HANGUL_RUN.findall(t)))
+    rest = sum(map(len, LETTER_RUN.findall(t))) - ko
     return 2 * ko / (2 * ko + rest) if ko or rest else 0.0
 
 

@@ -108,6 +108,14 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
     for m in TOKEN.finditer(p):
         kind = m.lastgroup
         s, e = m.span()
+        if kind == "term" and not stack and e == s + 1 and p[s] == "." and s > 3:
+            # the plain case: a full stop after a Korean word or a longer lower-case one, then white space and no small letter
+            b = p[s - 1]
+            c = p[e + 1 : e + 2]
+            if c and p[e] == " " and ("가" <= c <= "힣" or "A" <= c <= "Z" or c == "“") and ("가" <= b <= "힣" or (b.islower() and p[s - 4 : s].islower() and p[s - 4 : s].isalpha() and p[s - 4 : s] != "ssrs")):
+                out.append((base + start, base + e))
+                start = e
+                continue
         if kind == "open":
             c = p[s]
             shut = PAIR[c]
