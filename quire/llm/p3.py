@@ -67,13 +67,17 @@ def defect(unit: str | None, text: str | None, lang: str | None, cut: Callable[[
     return "truncated" if cut(text) else None
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, share: float = 1.0) -> DataFrame:
     """tr_id, unit, text, lang, heading of every translations row whose (work_id, k) is in units.
 
     One shuffled join; adaptive execution splits a key that holds very many rows. Rows with a null work or key match no unit.
+    With a share below 1, that share of the keys by their hash, taken before anything is shuffled.
     """
     u = table(spark, sf_dir, "units").select("work_id", "k", F.col("t").alias("unit"), "lang").where("work_id IS NOT NULL AND k IS NOT NULL")
     t = table(spark, sf_dir, "translations").select("tr_id", "work_id", "k", F.col("t").alias("text")).where("work_id IS NOT NULL AND k IS NOT NULL")
+    if share < 1:
+        few = F.pmod(F.xxhash64("work_id", "k"), F.lit(1 << 24)) < int(share * (1 << 24)) + 1
+        u, t = u.where(few), t.where(few)
     return t.join(u, ["work_id", "k"]).select("tr_id", "unit", "text", "lang", F.col("k").startswith("h:").alias("heading"))
 
 

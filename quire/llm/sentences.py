@@ -85,7 +85,7 @@ def _cut_dot(p: str, s: int, nxt: str, start: int, loud: bool) -> bool:
     low, c = w.lower(), nxt[:1]
     if not w:
         return True
-    if p[start:s].strip(" ([<emstrong>") == w and HEADING_NUMBER.match(w) and not (w == "I" and False):
+    if p[start:s].strip(" ([<emstrong>") == w and HEADING_NUMBER.match(w):
         return False
     if w[-1].isdigit():
         return not (c.isdigit() or c.islower() or HANGUL.match(c)) and not (loud and low in BEFORE)
@@ -121,7 +121,7 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
             shut = PAIR[c]
             head = p[start:s].strip()
             if p.find(shut, e) >= 0 or c in "“‘「『«":
-                stack.append((shut, not head or not ANY.search(TAG.sub("", head)), s))
+                stack.append((shut, not head or not (head[0].isalnum() or ANY.search(TAG.sub("", head))), s))
             continue
         if kind == "straight":
             if stack and any(x[0] == '"' for x in stack):
@@ -160,9 +160,9 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
                 if not nxt:
                     continue
         # an open bracket, or a quotation that began inside a sentence and holds but one sentence, keeps the unit open
-        if any(x[0] in "）)]】" and not x[1] for x in stack):
+        if stack and any(x[0] in "）)]】" and not x[1] for x in stack):
             continue
-        cjk = bool(IS_CJK.match(c)) and not spaced
+        cjk = not spaced and ("ぁ" <= c <= "ヿ" or "㐀" <= c <= "鿿")
         if popped:
             bracket = popped[0] in "）)]】"
             if bracket:
@@ -189,7 +189,7 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
                     continue
                 if kind == "dash" and not spaced:
                     continue
-                if HANGUL.match(c) or (c.isupper() and HANGUL.search(nxt)) or c == "S":
+                if "가" <= c <= "힣" or (c.isupper() and HANGUL.search(nxt)):
                     if GOES_ON_KO.match(nxt):
                         continue
                     r = SAID_KO.match(nxt) if popped[1] else None
@@ -269,9 +269,7 @@ def segment(text: str | None) -> list[tuple[int, int]]:
         t = piece.strip()
         if not t:
             continue
-        if not ANY.search(TAG.sub("", t) if tags else t):
-            if out and e > s and not piece[0].isspace():
-                pass
+        if (tags or not (t[0].isalnum() or t[1:2].isalnum())) and not ANY.search(TAG.sub("", t) if tags else t):
             continue
         s += len(piece) - len(piece.lstrip())
         out.append((s, s + len(t)))
