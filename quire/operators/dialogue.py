@@ -32,7 +32,7 @@ def quotations(units: DataFrame, text: str) -> DataFrame:
                 carry = None
             spans, carry = quote_spans(t, "「『" if lang == "ja" else "“", carry)
             out += [(w, q, a, b, c) for a, b, c in spans]
-        return pd.DataFrame(out, columns=["work_id", "seq", "s", "e", "continued"])
+        return pd.DataFrame(out, columns=["work_id", "seq", "s", "e", "continued"], dtype=object)
 
     return x.select("work_id", "chapter", "seq", "kind", text, "lang").groupBy("work_id", "chapter").applyInPandas(run, "work_id string, seq int, s int, e int, continued boolean")
 

@@ -102,6 +102,9 @@ def harvest_contents(bs: list[list[str]], within: int = 80, most: int = 160) ->
             j = i + 1
             while j < len(bs):
                 rows = [re.sub(r"[\s.]{2,}\d{1,4}\s*$", "", x).strip() for x in bs[j]]
+                heads = len(bs[j]) == 1 and HEAD.match(rows[0]) and keys and not re.search(r"\d\s*$", bs[j][0])
+                if heads and not (j + 1 < len(bs) and len(bs[j + 1]) == 1 and HEAD.match(bs[j + 1][0].strip())):
+                    break
                 if any(len(x) > 66 for x in rows) or any(key_of(x) in keys for x in rows) or len(keys) + len(rows) > most:
                     break
                 keys += [key_of(x) for x in rows]
@@ -183,6 +186,6 @@ def parse(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         for b in batches:
             out = [(i, n, *r) for i, t in zip(b[key], b[text], strict=True) for n, r in enumerate(parse_document(t))]
-            yield pd.DataFrame(out, columns=[key, "no", "kind", "level", "t", "n_source"])
+            yield pd.DataFrame(out, columns=[key, "no", "kind", "level", "t", "n_source"], dtype=object)
 
     return df.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {kind}, no int, kind string, level int, t string, n_source int")
