@@ -67,26 +67,34 @@ def korean_share(text: str) -> float:
 
 
 QUOTED = re.compile(r"“[^”]*”?|「[^」]*」?|『[^』]*』?|\"[^\"]*\"?|‘[^’]*’?(?!\w)|«[^»]*»?")
-#: What a refusal declines, and how, by language; both must stand in one sentence outside quotations.
+#: What a refusal declines, and how; both must stand in one sentence outside quotations. Korean, then other languages.
+TASK_KO = re.compile(r"번역|옮[기김겨]|문단|단락|원문|본문|대목|항목|내용|요청|작업|(?:이|본|해당|요청하신|보내신)\s*(?:글|텍스트|문장|부분)|답을|답변|응답")
+DECLINE_KO = re.compile(r"(?:없|않|못|어렵|불가|건너뛰|아닙|거절|거부|곤란|제한|삼가)[^.。!?]*(?:니다|요|오|세요)|번역\s*불가")
 TASK = re.compile(
-    r"번역|옮[기김겨]|문단|단락|원문|본문|대목|항목|내용|요청|작업|(?:이|본|해당|요청하신|보내신)\s*(?:글|텍스트|문장|부분)|답을|답변|응답|"
     r"\b(?:translat\w*|passage|paragraph|text|request\w*|render\w*|above|assistant|comply|content|task|excerpt|material|instruction\w*)\b|"
     r"段落|訳|文章|依頼|翻訳|原文|リクエスト|内容|"
-    r"\b(?:tradu\w*|texte|texto|passage|pasaje|demande|solicitud|párrafo|paragraphe|übersetz\w*|text|anfrage|absatz|abschnitt)\b|перев\w+|текст\w*|запрос\w*|абзац\w*|翻译|段落|请求|文本|内容",
+    r"\b(?:tradu\w*|texte|texto|pasaje|demande|solicitud|párrafo|paragraphe|übersetz\w*|anfrage|absatz|abschnitt)\b|перев\w+|текст\w*|запрос\w*|абзац\w*|翻译|请求|文本",
     re.IGNORECASE,
 )
 DECLINE = re.compile(
-    r"(?:없|않|못|어렵|불가|건너뛰|아닙|거절|거부|곤란|제한|삼가)[^.。!?]*(?:니다|요|오|세요)|번역\s*불가|"
     r"\b(?:unable|can[’']?t|cannot|can not|decline|won[’']?t|not able|refuse|sorry|not allowed|not permitted|against|must not|will not|do not|don[’']t)\b|"
     r"(?:ません|できない|かねます|お断り|控え|致しかね)|"
     r"(?:ne\s+(?:peux|puis|pouvons)\b|désolé|impossible|refus)|(?:no\s+(?:puedo|podemos|es posible)|lo siento|lamento)|(?:kann\s+\w*\s*\w*\s*nicht|leider|tut mir leid|nicht möglich)|(?:не\s+мо[гж]\w*|извин\w*|к сожалению|невозможно|отказ\w*)|无法|不能|抱歉|拒绝",
     re.IGNORECASE,
 )
+FOREIGN_WORDS = re.compile(r"[A-Za-zÀ-ɏЀ-ԯ]{4}|[ぁ-ん]{2}|[一-鿿]{3}")
+
+
+def declines(sentence: str) -> bool:
+    return bool(TASK_KO.search(sentence) and DECLINE_KO.search(sentence) or TASK.search(sentence) and DECLINE.search(sentence))
 
 
 def refuses(text: str) -> bool:
     """Does the text, as a whole and outside quotations, decline a task? Quoted refusals are a character's own words."""
-    if len(text) > 400 or not TASK.search(text) or not DECLINE.search(text):
+    if len(text) > 400:
+        return False
+    korean = ("니다" in text or "요" in text or "오" in text or "불가" in text) and TASK_KO.search(text) and DECLINE_KO.search(text)
+    if not korean and not (FOREIGN_WORDS.search(text) and TASK.search(text) and DECLINE.search(text)):
         return False
     spans = segment(text)
     if not spans or len(spans) > 4:
@@ -94,7 +102,7 @@ def refuses(text: str) -> bool:
     hits = 0
     for s, e in spans:
         u = QUOTED.sub(" ", text[s:e])
-        if TASK.search(u) and DECLINE.search(u):
+        if declines(u):
             hits += 1
         elif len(LETTER.findall(u)) < 4 and len(LETTER.findall(text[s:e])) >= 4:
             return False

@@ -33,6 +33,7 @@ ANY = re.compile(r"[^\W_]")
 #: Abbreviations that stand before a name or number, and those that may also end a sentence.
 BEFORE = set("mr mrs ms dr capt st messrs prof rev col gen lt sgt hon sr jr no nos vol vols p pp ch fig vs cf ca al esp i.e e.g s.s viz mme mlle".split())
 MAY_END = set("etc ltd co inc lb lbs oz ft in f ff a.m p.m b.c a.d u.s".split())
+TITLES = {" St", " Mr", " Dr", "Mrs"}
 OPENER = set(
     "the a an in on at he she it they we you i there this that these those when while after before as for from to with without but and then "
     "so if no not nobody every all what who where why how one two his her their my our its long half much toward once by of".split()
@@ -116,6 +117,12 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
                 out.append((base + start, base + e))
                 start = e
                 continue
+            if c and p[e] == " " and "A" <= b <= "Z" and b != "I" and p[s - 2] == " " and c.isupper() or p[s - 3 : s] in TITLES:
+                continue
+        elif kind == "term" and e == s + 2 and p[e - 1] == "”" and stack and stack[-1][0] == "”" and p[e : e + 1] == " " and p[e + 1 : e + 2].islower():
+            # a quotation followed by the clause that reports it
+            del stack[-1]
+            continue
         if kind == "open":
             c = p[s]
             shut = PAIR[c]
