@@ -101,7 +101,7 @@ def harvest_contents(bs: list[list[str]], within: int = 80, most: int = 160) ->
             keys: list[str] = []
             j = i + 1
             while j < len(bs):
-                rows = [re.sub(r"[\s.]{2,}\d{1,4}\s*$", "", x).strip() for x in bs[j]]
+                rows = [re.sub(r"[\s.]+\d{1,4}\s*$", "", x).strip() for x in bs[j]]
                 heads = len(bs[j]) == 1 and HEAD.match(rows[0]) and keys and not re.search(r"\d\s*$", bs[j][0])
                 if heads and not (j + 1 < len(bs) and len(bs[j + 1]) == 1 and HEAD.match(bs[j + 1][0].strip())):
                     break
@@ -113,6 +113,11 @@ def harvest_contents(bs: list[list[str]], within: int = 80, most: int = 160) ->
     return set(), -1, -1
 
 
+def bare_number(head: str) -> bool:
+    m, n = HEAD.match(head), NUMBERED.match(head)
+    return not m[3] if m else bool(n and not n[2])
+
+
 def unwrap(ls: list[str]) -> str:
     out = ""
     for x in (x.strip() for x in ls):
@@ -159,7 +164,7 @@ def parse_document(text: str) -> list[tuple[str, int, str, int]]:
         elif one and key_of(one) in listed and not END.search(one) and key_of(one) != last:
             body, last = True, key_of(one)
             # a title below its number is one heading with it
-            if rows and rows[-1][0] == "h" and not re.search(r"\s\S", rows[-1][2].split(".", 1)[-1].strip()):
+            if rows and rows[-1][0] == "h" and bare_number(rows[-1][2]):
                 k, level, head, n = rows[-1]
                 rows[-1] = (k, level, f"{head} {one}", n + size)
             else:
