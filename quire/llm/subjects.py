@@ -40,6 +40,9 @@ KO = re.compile(r"[가-힣]+")
 JOSA = re.compile(r"(?:으로부터|에게서|에서는|에게는|으로는|이라는|라는|에서|에게|께서|까지|부터|보다|처럼|마다|조차|으로|이나|이며|하고|와의|과의|에는|을|를|이|가|은|는|에|의|와|과|로|도|만|께)$")
 JA = re.compile(r"[ぁ-ん]{0,3}[一-鿿々]+|[ァ-ヺー]{2,}")
 JA_STRIP = re.compile(r"^[ぁ-ん]+")
+HANGUL, ASIAN = re.compile("[가-힣]"), re.compile("[ぁ-ヿ一-鿿]")
+#: Korean words whose stems are kept at hand.
+CACHED = 100_000
 CLAUSE_EN = re.compile(r"(?:,|;)\s+(?:and|while|but)\s+|;\s+")
 CLAUSE_KO = re.compile(r"(?<=[고데만며나니])\s*,\s*")
 CLAUSE_JA = re.compile(r"(?<=[てでがし])、")
@@ -71,8 +74,17 @@ def sentences(text: str, form: str | None) -> list[str]:
     return out
 
 
+#: Strings of which a passing comparison holds at least one.
+MARKS = (" as ", "kind of", "sort of", "species of", "like ", "보듯", "대하듯", "보는 듯", "일종의", "마치", "でも見る", "でも扱", "でも眺", "一種の", "まるで")
+
+
+def uncompared(sentence: str) -> str:
+    s = sentence.replace("\n", " ") if "\n" in sentence else sentence
+    return COMPARED.sub(" | ", s) if any([m in s for m in MARKS]) else s
+
+
 def stems(sentence: str) -> list[str]:
-    s = COMPARED.sub(" | ", sentence.replace("\n", " "))
+    s = uncompared(sentence)
     out: list[str] = []
     if "가" <= max(s) and re.search("[가-힣]", s):
         last = ""
@@ -123,20 +135,68 @@ ANCHOR, LATER, LEAST_WEIGHT, DEALS_FROM, MOST = 0.3, 0.6, 1.0, 1.8, 3.0
 
 
 class Model:
-    """weights: stem -> weight for each subject; slope and offset of the posterior."""
+    """weights: stem -> (subject, weight) pairs, two at most; slope and offset of the posterior."""
 
-    def __init__(self, names: list[str], weights: dict[str, np.ndarray], slope: float, offset: float) -> None:
+    def __init__(self, names: list[str], weights: dict[str, list[tuple[int, float]]], slope: float, offset: float) -> None:
         self.names, self.weights, self.slope, self.offset = names, weights, slope, offset
+        #: first words of pairs that weigh something
+        self.leads = {k.split(" ", 1)[0] for k in weights if " " in k}
+        self.bare: dict[str, str] = {}
+
+    def hits(self, sentence: str) -> set[str]:
+        """The stems of a sentence that weigh something: as in stems(), but without making the others."""
+        s = uncompared(sentence)
+        w, leads, out, last = self.weights, self.leads, set(), ""
+        korean = False
+        for c in s[:24]:
+            if "가" <= c <= "힣":
+                korean = True
+                break
+        if korean or HANGUL.search(s):
+            bare = self.bare
+            for x in KO.findall(s):
+                b = bare.get(x)
+                if b is None:
+                    b = "k" + ((JOSA.sub("", x) or x) if len(x) > 1 else x)
+                    if len(bare) < CACHED:
+                        bare[x] = b
+                if b in w:
+                    out.add(b)
+                if len(b) > 3 and b[:3] + "*" in w:
+                    out.add(b[:3] + "*")
+                if last in leads and f"{last} {b[1:]}" in w:
+                    out.add(f"{last} {b[1:]}")
+                last = b
+        elif ASIAN.search(s):
+            for x in JA.findall(s):
+                b = "j" + (JA_STRIP.sub("", x) or x)
+                if b in w:
+                    out.add(b)
+                if len(x) >= len(b) and "j" + x[-(len(b) + 1) :] in w:
+                    out.add("j" + x[-(len(b) + 1) :])
+                if last in leads and f"{last} {b[1:]}" in w:
+                    out.add(f"{last} {b[1:]}")
+                last = b
+        else:
+            for x in EN.findall(s.lower()):
+                b = "e" + x
+                if b in w:
+                    out.add(b)
+                if last in leads and f"{last} {x}" in w:
+                    out.add(f"{last} {x}")
+                last = b
+        return out
 
-    def scores(self, sentence: str) -> np.ndarray | None:
-        """Each subject's evidence, None where no stem speaks for any."""
-        w = self.weights
-        got = [w[x] for x in stems(sentence) if x in w]
-        return np.sum(got, axis=0) if got else None
+    def scores(self, sentence: str) -> dict[int, float]:
+        """Evidence for the subjects that some stem speaks for."""
+        z: dict[int, float] = {}
+        for x in self.hits(sentence):
+            for j, v in self.weights[x]:
+                z[j] = z.get(j, 0.0) + v
+        return z
 
-    def posteriors(self, sentence: str) -> np.ndarray | None:
-        z = self.scores(sentence)
-        return None if z is None else 1 / (1 + np.exp(-(self.slope * z + self.offset)))
+    def posteriors(self, sentence: str) -> dict[int, float]:
+        return {j: 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * z + self.offset)))) for j, z in self.scores(sentence).items()}
 
 
 def complement(held: np.ndarray, total: np.ndarray, docs: np.ndarray, all_docs: np.ndarray, alpha: float) -> np.ndarray:
@@ -216,7 +276,7 @@ def fit(labelled: list[tuple[str, str]], unlabelled: list[tuple[str, str | None]
         a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
     keep = np.flatnonzero(w.any(1))
     names_of = list(vocabulary)
-    return Model(names, {names_of[i]: w[i].astype(np.float32) for i in keep}, max(a, 0.2), b)
+    return Model(names, {names_of[i]: [(int(j), float(w[i, j])) for j in np.flatnonzero(w[i])] for i in keep}, max(a, 0.2), b)
 
 
 def dealt_with(model: Model, text: str | None, form: str | None, over: float = 0.5) -> tuple[int, np.ndarray, np.ndarray]:
@@ -225,18 +285,25 @@ def dealt_with(model: Model, text: str | None, form: str | None, over: float = 0
     A stem of two subjects is read in its document: a second look raises a subject by the share of sentences that dealt with it at the first.
     """
     n = len(model.names)
+    hits, mean = np.zeros(n, np.int64), np.zeros(n)
     if not text:
-        return 0, np.zeros(n, np.int64), np.zeros(n)
+        return 0, hits, mean
     units = sentences(text, form)
-    z = [x for x in map(model.scores, units) if x is not None]
+    z = [x for x in map(model.scores, units) if x]
     if not z:
-        return len(units), np.zeros(n, np.int64), np.zeros(n)
-    m = np.array(z)
-    logit = model.slope * m + model.offset
-    share = (logit > 0).sum(0) / len(units)
-    logit = np.where(m > 0, logit + np.clip(CONTEXT * (share - 0.12), -1.0, 2.5), logit)
-    p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return len(units), (p > over).sum(0), p.sum(0) / len(units)
+        return len(units), hits, mean
+    share = [0.0] * n
+    for x in z:
+        for j, v in x.items():
+            if model.slope * v + model.offset > 0:
+                share[j] += 1 / len(units)
+    lift = [min(2.5, max(-1.0, CONTEXT * (x - 0.12))) for x in share]
+    for x in z:
+        for j, v in x.items():
+            p = 1 / (1 + math.exp(-min(30.0, max(-30.0, model.slope * v + model.offset + lift[j]))))
+            mean[j] += p
+            hits[j] += p > over
+    return len(units), hits, mean / len(units)
 
 
 def least(total: int) -> int:
