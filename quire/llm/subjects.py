@@ -131,7 +131,7 @@ def stems(sentence: str) -> list[str]:
 CONTEXT = 8.0
 #: Weight of the labelled samples of a script against its unlabelled documents at first, the share of it that stays in each later round,
 #: the least weight that counts, the evidence that makes a sentence deal with a subject, the subjects that a document is taken to have at most while learning.
-ANCHOR, LATER, LEAST_WEIGHT, DEALS_FROM, MOST = 0.3, 0.6, 1.0, 1.8, 3.0
+ANCHOR, LATER, LEAST_WEIGHT, DEALS_FROM, MOST, NEEDED = 0.3, 0.6, 1.3, 2.0, 2.5, 1.8
 
 
 class Model:
@@ -258,7 +258,7 @@ def fit(labelled: list[tuple[str, str]], unlabelled: list[tuple[str, str | None]
         w[seen < 2] = 0
         z = np.stack([np.bincount(sent_of, w[:, j][flat], ns) for j in range(n)], 1)
         speak = np.stack([np.bincount(doc_of, z[:, j] >= DEALS_FROM, nd) for j in range(n)], 1)
-        gamma = np.where(sample[:, None], gamma, 1 / (1 + np.exp(-1.6 * (speak - np.maximum(1.5, 0.1 * size)[:, None]))))
+        gamma = np.where(sample[:, None], gamma, 1 / (1 + np.exp(-1.6 * (speak - np.maximum(NEEDED, 0.14 * size)[:, None]))))
         gamma /= np.maximum(1.0, gamma.sum(1, keepdims=True) / MOST)
     # posterior curve on the labelled sentences, each against every subject
     z = z[known]
