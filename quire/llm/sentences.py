@@ -287,5 +287,7 @@ def segment(text: str | None) -> list[tuple[int, int]]:
         a, b = at[s], at[e]
         while b > a and text[b - 1].isspace():
             b -= 1
+        while a < b and text[a].isspace():
+            a += 1
         fixed.append((a, b))
     return fixed
