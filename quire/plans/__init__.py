@@ -1,6 +1,6 @@
 """Registry of the library's own queries and of the SQL that says the same."""
 
-from . import catalog, overlay, reading, relations, speech, structure, textual  # noqa: F401
+from . import catalog, overlay, reading, relations, sources, speech, structure, textual  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
