@@ -53,8 +53,15 @@ GOES_ON_KO = re.compile(r"(?:하고|라고|이라고|라며|하며|하는|라는
 FINAL_KO = set("다요까네지라게군소오자세데냐니나야어아해여걸죠든만")
 LINK = set("and or but nor yet")
 WORD_BEFORE = re.compile(r"([^\s“”‘’«»「」『』（）()\[\]<>\"—―–,;:]+)$")
-HEADING_NUMBER = re.compile(r"(?:(?:CHAPTER|Chapter|BOOK|Book|PART|Part|VOLUME|Volume)\s+)?(?:[IVXLCDM]+|\d{1,4}|[A-Z])$")
+_NUMBER_WORD = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty first second third fourth fifth sixth seventh eighth ninth tenth last".replace(" ", "|")
+HEADING_NUMBER = re.compile(
+    rf"(?:(?:chapter|book|part|volume|section|scene|act|letter|canto)\s+(?:the\s+)?(?:[ivxlcdm]+|\d{{1,4}}|{_NUMBER_WORD})|제\s?\d+\s?[장화부권]|第[0-9一二三四五六七八九十百]+[章話回部]|(?-i:[IVXLCDM]+|[A-Z])|\d{{1,4}})",
+    re.IGNORECASE,
+)
+HEADING_START = {"chap", "book", "part", "volu", "sect", "scen", "act ", "lett", "cant"}
 ODD = re.compile("[ᄀ-ᇿ̀-゙゚ͯﬀ-ﬆ​-‏⁠-⁤﻿­︎️᠎０-９Ａ-Ｚａ-ｚ．]")
+#: An added label before a text.
+LABEL = re.compile(r"[^\s:.]{1,12}(?: [^\s:.]{1,12})?:")
 HANGUL = re.compile(r"[가-힣]")
 IS_CJK = re.compile(r"[ぁ-ヿ㐀-鿿]")
 
@@ -86,12 +93,12 @@ def _cut_dot(p: str, s: int, nxt: str, start: int, loud: bool) -> bool:
     low, c = w.lower(), nxt[:1]
     if not w:
         return True
-    if p[start:s].strip(" ([<emstrong>") == w and HEADING_NUMBER.match(w):
+    if s - start < 28 and HEADING_NUMBER.fullmatch(p[start:s].strip(" \n([")):
         return False
     if w[-1].isdigit():
         return not (c.isdigit() or c.islower() or HANGUL.match(c)) and not (loud and low in BEFORE)
     if (len(w) == 1 and w.isalpha() and w.isascii()) or low in BEFORE:
-        return low in ("i",) and nxt.split(" ", 1)[0].lower() in OPENER and not HEADING_NUMBER.match(p[start:s].strip())
+        return low in ("i",) and nxt.split(" ", 1)[0].lower() in OPENER and not HEADING_NUMBER.fullmatch(p[start:s].strip())
     if low in MAY_END:
         first = re.match(r"[“‘(]*([^\W\d_]+)", nxt)
         if c.islower() or not first:
@@ -113,7 +120,7 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
             # the plain case: a full stop after a Korean word or a longer lower-case one, then white space and no small letter
             b = p[s - 1]
             c = p[e + 1 : e + 2]
-            if c and p[e] == " " and ("가" <= c <= "힣" or "A" <= c <= "Z" or c == "“") and ("가" <= b <= "힣" or (b.islower() and p[s - 4 : s].islower() and p[s - 4 : s].isalpha() and p[s - 4 : s] != "ssrs")):
+            if c and p[e] == " " and (start or p[:4].lower() not in HEADING_START) and ("가" <= c <= "힣" or "A" <= c <= "Z" or c == "“") and ("가" <= b <= "힣" or (b.islower() and p[s - 4 : s].islower() and p[s - 4 : s].isalpha() and p[s - 4 : s] != "ssrs")):
                 out.append((base + start, base + e))
                 start = e
                 continue
@@ -128,7 +135,7 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
             shut = PAIR[c]
             head = p[start:s].strip()
             if p.find(shut, e) >= 0 or c in "“‘「『«":
-                stack.append((shut, not head or not (head[0].isalnum() or ANY.search(TAG.sub("", head))), s))
+                stack.append((shut, not head or not (head[0].isalnum() or ANY.search(TAG.sub("", head))) or bool(LABEL.fullmatch(head)), s))
             continue
         if kind == "straight":
             if stack and any(x[0] == '"' for x in stack):
