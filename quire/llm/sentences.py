@@ -263,11 +263,14 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
     out.append((base + start, base + n))
 
 
-def segment(text: str | None) -> list[tuple[int, int]]:
-    """The sentence units of a text as (start, end) offsets of its code points, end exclusive, without surrounding white space."""
+def segment(text: str | None, composed: bool = False) -> list[tuple[int, int]]:
+    """The sentence units of a text as (start, end) offsets of its code points, end exclusive, without surrounding white space.
+
+    composed: the text has gone through plain() already.
+    """
     if not text:
         return []
-    p, at = plain(text)
+    p, at = (text, None) if composed else plain(text)
     raw: list[tuple[int, int]] = []
     last = 0
     if "\n" in p:

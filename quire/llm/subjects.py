@@ -41,7 +41,7 @@ JOSA = re.compile(r"(?:으로부터|에게서|에서는|에게는|으로는|이
 JA = re.compile(r"[ぁ-ん]{0,3}[一-鿿々]+|[ァ-ヺー]{2,}")
 JA_STRIP = re.compile(r"^[ぁ-ん]+")
 HANGUL, ASIAN = re.compile("[가-힣]"), re.compile("[ぁ-ヿ一-鿿]")
-#: Korean words whose stems are kept at hand.
+#: Words whose stems are kept at hand.
 CACHED = 100_000
 CLAUSE_EN = re.compile(r"(?:,|;)\s+(?:and|while|but)\s+|;\s+")
 CLAUSE_KO = re.compile(r"(?<=[고데만며나니])\s*,\s*")
@@ -55,7 +55,7 @@ def sentences(text: str, form: str | None) -> list[str]:
     if form == "verse":
         return [x for x in t.split("\n") if ANY.search(x)]
     out = []
-    for s, e in segment(t):
+    for s, e in segment(t, True):
         u = t[s:e]
         if form == "monologue":
             if re.search("[ぁ-ヿ]", u):
@@ -141,50 +141,44 @@ class Model:
         self.names, self.weights, self.slope, self.offset = names, weights, slope, offset
         #: first words of pairs that weigh something
         self.leads = {k.split(" ", 1)[0] for k in weights if " " in k}
-        self.bare: dict[str, str] = {}
+        self.bare: dict[str, tuple[str, tuple[str, ...], bool]] = {}
+
+    def known(self, key: str, word: str) -> tuple[str, tuple[str, ...], bool]:
+        """Stem of a word, those of its stems that weigh something, and whether it leads a pair that does; kept at hand."""
+        w = self.weights
+        if key == "k":
+            b = "k" + ((JOSA.sub("", word) or word) if len(word) > 1 else word)
+            own = (b, b[:3] + "*") if len(b) > 3 else (b,)
+        elif key == "j":
+            b = "j" + (JA_STRIP.sub("", word) or word)
+            own = (b, "j" + word[-(len(b) + 1) :])
+        else:
+            b = "e" + word
+            own = (b,)
+        e = (b, tuple(x for x in own if x in w), b in self.leads)
+        if len(self.bare) < CACHED:
+            self.bare[key + word] = e
+        return e
 
     def hits(self, sentence: str) -> set[str]:
         """The stems of a sentence that weigh something: as in stems(), but without making the others."""
         s = uncompared(sentence)
-        w, leads, out, last = self.weights, self.leads, set(), ""
-        korean = False
-        for c in s[:24]:
-            if "가" <= c <= "힣":
-                korean = True
-                break
-        if korean or HANGUL.search(s):
-            bare = self.bare
-            for x in KO.findall(s):
-                b = bare.get(x)
-                if b is None:
-                    b = "k" + ((JOSA.sub("", x) or x) if len(x) > 1 else x)
-                    if len(bare) < CACHED:
-                        bare[x] = b
-                if b in w:
-                    out.add(b)
-                if len(b) > 3 and b[:3] + "*" in w:
-                    out.add(b[:3] + "*")
-                if last in leads and f"{last} {b[1:]}" in w:
-                    out.add(f"{last} {b[1:]}")
-                last = b
+        if HANGUL.search(s):
+            key, found = "k", KO.findall(s)
         elif ASIAN.search(s):
-            for x in JA.findall(s):
-                b = "j" + (JA_STRIP.sub("", x) or x)
-                if b in w:
-                    out.add(b)
-                if len(x) >= len(b) and "j" + x[-(len(b) + 1) :] in w:
-                    out.add("j" + x[-(len(b) + 1) :])
-                if last in leads and f"{last} {b[1:]}" in w:
-                    out.add(f"{last} {b[1:]}")
-                last = b
+            key, found = "j", JA.findall(s)
         else:
-            for x in EN.findall(s.lower()):
-                b = "e" + x
-                if b in w:
-                    out.add(b)
-                if last in leads and f"{last} {x}" in w:
-                    out.add(f"{last} {x}")
-                last = b
+            key, found = "e", EN.findall(s.lower())
+        bare, w, out, lead = self.bare, self.weights, set(), None
+        for x in found:
+            e = bare.get(key + x) or self.known(key, x)
+            if e[1]:
+                out.update(e[1])
+            if lead is not None:
+                pair = f"{lead} {e[0][1:]}"
+                if pair in w:
+                    out.add(pair)
+            lead = e[0] if e[2] else None
         return out
 
     def scores(self, sentence: str) -> dict[int, float]:
