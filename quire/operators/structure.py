@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -194,3 +194,40 @@ def parse(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "no", "kind", "level", "t", "n_source"], dtype=object)
 
     return df.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {kind}, no int, kind string, level int, t string, n_source int")
+
+
+def byline(bs: DataFrame, key: str, within: int = 40) -> DataFrame:
+    """key, author named in a line "by ..." of the first blocks of df(key, block, lines); the first such line counts."""
+    one = F.filter(F.transform("lines", lambda x: F.regexp_extract(x, r"(?i)^\s*by\s+([A-Z][\w.'’ -]{2,60})\s*$", 1)), lambda x: x != "")
+    x = bs.where(F.col("block") < within).withColumn("a", F.element_at(F.concat(one, F.array(F.lit(None).cast("string"))), 1)).where("a IS NOT NULL")
+    return x.groupBy(key).agg(F.min_by("a", "block").alias("author"))
+
+
+def infer_levels(heads: DataFrame, key: str) -> DataFrame:
+    """Adds level to df(key, seq, type): by which kinds of headings a document has. Books, parts and acts are 1; chapters are 2, or 1 where nothing stands above them;
+    numerals are 2 where there are no chapters and 3 below them; named divisions go with the chapters."""
+    n = lambda *ts: F.count_if(F.col("type").isin(*ts)).over(Window.partitionBy(key))
+    above, chapters = n("book", "part", "act") > 0, n("chapter") > 0
+    chapter = F.when(above, 2).otherwise(1)
+    level = F.when(F.col("type").isin("book", "part", "act"), 1).when(F.col("type").isin("chapter", "named"), chapter).when(F.col("type") == "scene", 3)
+    return heads.withColumn("level", level.when(chapters, chapter + 1).otherwise(chapter).cast("int"))
+
+
+def sentence_case(heads: DataFrame, texts: DataFrame, head: str, text: str, least: int = 2) -> DataFrame:
+    """heads with restored: an all-capital heading in sentence case, where words that the texts write with a capital keep it.
+
+    A word keeps its capital if the texts hold it inside sentences more often capitalised than small, at least least times; the first word has one anyway.
+    Only words of the headings are counted.
+    """
+    words = F.expr(f"regexp_extract_all({head}, '[A-Za-z]+', 0)")
+    need = heads.select(F.explode(F.transform(words, F.lower)).alias("w")).distinct()
+    inner = F.regexp_extract_all(F.col(text), F.lit(r"(?<=[a-z,;] )([A-Za-z]+)"), 1)
+    seen = texts.select(F.explode(inner).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    seen = seen.groupBy(F.lower("x").alias("w")).agg(F.sum(F.when(F.col("x").rlike("^[A-Z]"), F.col("n")).otherwise(0)).alias("up"), F.sum(F.when(F.col("x").rlike("^[a-z]"), F.col("n")).otherwise(0)).alias("low"))
+    names = need.join(seen, "w").where((F.col("up") > F.col("low")) & (F.col("up") >= least)).select("w", F.lit(True).alias("cap"))
+    x = heads.withColumn("__id", F.monotonically_increasing_id())
+    parts = x.select("__id", F.posexplode(F.regexp_extract_all(F.col(head), F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), 1)).alias("i", "p")).withColumn("w", F.lower("p"))
+    first = F.min(F.when(F.col("p").rlike("^[A-Za-z]"), F.col("i"))).over(Window.partitionBy("__id"))
+    word = F.when(F.coalesce("cap", F.lit(False)) | (F.col("i") == first), F.initcap("w")).when(F.col("p").rlike("^[IVXLC]+$") & (F.length("p") > 1), F.col("p")).otherwise(F.col("w"))
+    done = parts.join(names, "w", "left").withColumn("q", word).groupBy("__id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda z: z.q), "").alias("restored"))
+    return x.join(done, "__id", "left").drop("__id")

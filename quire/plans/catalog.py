@@ -297,3 +297,12 @@ def preference(spark, d):
 def neighbours(spark, d):
     w = Window.partitionBy("author").orderBy("pub_year", "title", "work_id")
     return table(spark, d, "works").select("work_id", F.lag("work_id").over(w).alias("prev"), F.lead("work_id").over(w).alias("next"))
+
+
+@query("catalog_o1_sort_recent", f"""
+    WITH {LATEST_SQL}, u AS (SELECT work_id, max(updated) AS updated FROM progress WHERE reader_id IS NOT NULL AND work_id IS NOT NULL AND updated IS NOT NULL AND frac IS NOT NULL GROUP BY work_id)
+    SELECT CAST(row_number() OVER (ORDER BY updated DESC NULLS LAST, pub_year NULLS LAST, author, pub_year, title, w.work_id) AS INTEGER) AS place, w.work_id FROM works w LEFT JOIN u ON w.work_id = u.work_id ORDER BY place LIMIT 20""")
+def sort_recent(spark, d):
+    p = O.latest_progress(table(spark, d, "progress")).groupBy("work_id").agg(F.max("updated").alias("updated"))
+    w = K.sort_works(table(spark, d, "works").join(p, "work_id", "left"), "recent").limit(20)
+    return w.select(F.row_number().over(Window.orderBy(*K.SORTS["recent"](), "author", "pub_year", "title", "work_id")).alias("place"), "work_id")

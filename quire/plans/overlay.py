@@ -214,3 +214,48 @@ def chunked(spark, d):
     SELECT work_id, seq, right(regexp_replace(lag(t) OVER (PARTITION BY work_id ORDER BY seq), '<[^>]+>', '', 'g'), 320) AS prev_tail FROM units""")
 def previous_tail(spark, d):
     return O.previous_tail(table(spark, d, "units")).select("work_id", "seq", "prev_tail")
+
+
+@query("overlay_j2_compose_en", "SELECT work_id, seq, 0 AS part, t FROM units")
+def compose_en(spark, d):
+    return O.compose(table(spark, d, "units"), table(spark, d, "translations"), "en")
+
+
+@query("overlay_a10_merge_states", """
+    WITH a AS (SELECT reader_id, work_id, max(max_frac) AS a FROM progress WHERE updated % 2 = 0 AND reader_id IS NOT NULL AND work_id IS NOT NULL GROUP BY ALL),
+      b AS (SELECT reader_id, work_id, max(max_frac) AS b FROM progress WHERE updated % 2 = 1 AND reader_id IS NOT NULL AND work_id IS NOT NULL GROUP BY ALL)
+    SELECT coalesce(a.reader_id, b.reader_id) AS reader_id, coalesce(a.work_id, b.work_id) AS work_id, CASE WHEN a.reader_id IS NULL OR coalesce(b > coalesce(a, -1), false) THEN b ELSE a END AS max_frac,
+      CASE WHEN a.reader_id IS NULL OR coalesce(b > coalesce(a, -1), false) THEN 'imported' ELSE 'current' END AS origin FROM a FULL JOIN b ON a.reader_id = b.reader_id AND a.work_id = b.work_id""")
+def merge_states(spark, d):
+    p = table(spark, d, "progress").where("reader_id IS NOT NULL AND work_id IS NOT NULL")
+    return O.merge_states(p.where("updated % 2 = 0"), p.where("updated % 2 = 1"))
+
+
+@query("overlay_u1_unit_stream", "SELECT work_id, seq, kind || ':' || ref AS key, t AS inner_text FROM units WHERE kind IN ('h', 'p')")
+def unit_stream(spark, d):
+    u = table(spark, d, "units")
+    return O.unit_stream(u.where("kind = 'h'"), u.where("kind = 'p'")).withColumnRenamed("inner", "inner_text")
+
+
+@query("overlay_s11_first_version", """
+    SELECT work_id, k FROM units WHERE work_id < 'm' UNION ALL SELECT work_id, k FROM units WHERE work_id >= 'm' AND kind = 'p'""")
+def first_version(spark, d):
+    u = table(spark, d, "units").select("work_id", "k", "kind")
+    return O.first_version(u.where("work_id < 'm'"), u.where("kind = 'p'")).select("work_id", "k")
+
+
+@query("overlay_s14_one_work", "SELECT seq, t FROM units WHERE work_id = (SELECT min(work_id) FROM units)")
+def one_work(spark, d):
+    u = table(spark, d, "units")
+    first = u.agg(F.min("work_id").alias("work_id"))
+    return u.join(first, "work_id", "left_semi").select("seq", "t")
+
+
+@query("overlay_r2_maps", """
+    SELECT work_id, cardinality(map_from_entries(list((k, t)))) AS n, map_from_entries(list((k, t)))['p:0'] AS first_text FROM (
+      SELECT work_id, k, arg_max(t, struct_pack(r := coalesce(rev, 0), i := tr_id)) AS t FROM translations WHERE work_id IS NOT NULL AND k IS NOT NULL AND t IS NOT NULL GROUP BY work_id, k) GROUP BY work_id""")
+def maps(spark, d):
+    t = table(spark, d, "translations").where("work_id IS NOT NULL AND k IS NOT NULL AND t IS NOT NULL")
+    one = t.groupBy("work_id", "k").agg(F.max_by("t", F.struct(F.coalesce("rev", F.lit(0)).alias("r"), "tr_id")).alias("t"))
+    m = one.groupBy("work_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "t"))).alias("m"))
+    return m.select("work_id", F.size("m").cast("bigint").alias("n"), F.element_at("m", "p:0").alias("first_text"))

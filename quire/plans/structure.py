@@ -245,3 +245,53 @@ def signatures(spark, d):
     g = u.groupBy("work_id").agg(F.count_if(F.expr("kind = 'h'")).alias("n"), edge("a").alias("head"), edge("b").alias("tail"))
     s = F.concat(F.col("n").cast("string"), F.substring("head", 1, 200), F.right("tail", F.lit(200)))
     return g.select("work_id", F.lpad(F.lower(F.hex(T.fnv1a(s))), 8, "0").alias("sig"))
+
+
+@query("window_w18_read_dots", f"""
+    WITH {SECTION}, c AS (SELECT work_id, section, sum(coalesce(length(t), 0)) AS n FROM sec GROUP BY work_id, section),
+      b AS (SELECT work_id, section, coalesce(sum(n) OVER (PARTITION BY work_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / greatest(sum(n) OVER (PARTITION BY work_id), 1)::DOUBLE AS s,
+        sum(n) OVER (PARTITION BY work_id ORDER BY section) / greatest(sum(n) OVER (PARTITION BY work_id), 1)::DOUBLE AS e FROM c),
+      m AS (SELECT work_id, max(max_frac) AS f FROM progress WHERE work_id IS NOT NULL GROUP BY work_id)
+    SELECT b.work_id, section, CASE WHEN coalesce(f, 0) >= e THEN 'full' WHEN coalesce(f, 0) > s THEN 'partial' ELSE 'none' END AS dot FROM b LEFT JOIN m ON b.work_id = m.work_id""")
+def read_dots(spark, d):
+    s = W.sections(table(spark, d, "units"), "work_id", "seq", F.col("kind") == "h").groupBy("work_id", "section").agg(F.sum(F.coalesce(F.length("t"), F.lit(0))).alias("n"))
+    c = R.cumulative(s, "work_id", "section", "n")
+    m = table(spark, d, "progress").where("work_id IS NOT NULL").groupBy("work_id").agg(F.max("max_frac").alias("f"))
+    all_ = F.greatest("total", F.lit(1))
+    f = F.coalesce("f", F.lit(0.0))
+    dot = F.when(f >= (F.col("cum") + F.col("n")) / all_, "full").when(f > F.col("cum") / all_, "partial").otherwise("none")
+    return c.join(m, "work_id", "left").select("work_id", "section", dot.alias("dot"))
+
+
+@query("structure_b2_bylines")
+def bylines(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("A Title\n\nby "), F.coalesce("source", F.lit("X")), F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    docs = docs.withColumn("text", F.regexp_replace("text", "by ([a-z])", "by A. $1"))
+    return S.byline(S.blocks(docs, "doc_id", "text"), "doc_id")
+
+
+@query("structure_b7_levels", """
+    WITH h AS (SELECT work_id, seq, CASE WHEN regexp_matches(t, '^CHAPTER [IVXLC]+$') THEN 'chapter' WHEN regexp_matches(t, '^[IVXLC]+\\. ') THEN 'numeric' END AS type FROM units WHERE kind = 'h' AND t IS NOT NULL)
+    SELECT work_id, seq, CAST(CASE WHEN type = 'chapter' THEN 1 WHEN count_if(type = 'chapter') OVER (PARTITION BY work_id) > 0 THEN 2 ELSE 1 END AS INTEGER) AS level FROM h""")
+def inferred_levels(spark, d):
+    h = table(spark, d, "units").where("kind = 'h' AND t IS NOT NULL").select("work_id", "seq", T.heading("t")["type"].alias("type"))
+    return S.infer_levels(h, "work_id").select("work_id", "seq", "level")
+
+
+@query("structure_f31_sentence_case")
+def sentence_case(spark, d):
+    u = table(spark, d, "units")
+    heads = u.where("kind = 'h' AND lang = 'en' AND t IS NOT NULL").select("unit_id", F.upper("t").alias("head"))
+    return S.sentence_case(heads, u.where("kind = 'p' AND lang = 'en' AND t IS NOT NULL"), "head", "t").select("unit_id", "restored")
+
+
+@query("structure_p10_junk_lines", "SELECT doc_id, count_if(regexp_matches(l, '(?i)^\\s*produced by\\b')) AS n FROM (SELECT doc_id, unnest(list_prepend('Produced by ' || doc_id, string_split(text, chr(10)))) AS l FROM documents WHERE text IS NOT NULL) GROUP BY doc_id")
+def junk_lines(spark, d):
+    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("Produced by "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")).alias("text"))
+    return S.lines(t, "doc_id", "text").groupBy("doc_id").agg(F.count_if(S.junk_line("line")).alias("n"))
+
+
+@query("structure_p12_prose_like")
+def prose_like(spark, d):
+    b = S.blocks(table(spark, d, "documents"), "doc_id", "text")
+    return b.select("doc_id", "block", S.front_worth_keeping("lines").alias("keep"))

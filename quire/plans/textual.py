@@ -180,6 +180,6 @@ def hashes(spark, d):
     return table(spark, d, "works").select("work_id", F.md5("work_id").alias("m"), bucket.alias("bucket"), T.fnv1a("title").alias("fnv"))
 
 
-@query("text_o5_natural_key")
+@query("text_o5_natural_key", "SELECT unit_id, coalesce(array_to_string(list_transform(regexp_extract_all(ref, '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 12, '0') ELSE x END), ''), '') AS key FROM units")
 def natural_key(spark, d):
     return table(spark, d, "units").select("unit_id", T.natural_key("ref").alias("key"))

@@ -88,6 +88,25 @@ def speeds(positions: DataFrame) -> DataFrame:
     return positions.groupBy("reader_id").applyInPandasWithState(speed_state, "reader_id bigint, wpm int, samples int", "start double, chars double, wpm double, n int", "update", GroupStateTimeout.NoTimeout)
 
 
+def quote_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keyed state of a work: the quotation mark that the last paragraph left open. A heading closes it."""
+    from ..functions.arrow import quote_spans
+
+    carry = state.get[0] if state.exists else None
+    out = []
+    for b in batches:
+        for seq, kind, t in b.sort_values("seq")[["seq", "kind", "t"]].itertuples(index=False):
+            spans, carry = quote_spans(t or "", "“", None if kind == "h" else carry)
+            out += [(key[0], seq, s, e, c) for s, e, c in spans]
+    state.update((carry,))
+    yield pd.DataFrame(out, columns=["work_id", "seq", "s", "e", "continued"], dtype=object)
+
+
+def quotations(units: DataFrame) -> DataFrame:
+    """Quotations of a stream (work_id, seq, kind, t) whose batches hold later paragraphs of a work after earlier ones."""
+    return units.groupBy("work_id").applyInPandasWithState(quote_state, "work_id string, seq int, s int, e int, continued boolean", "carry string", "append", GroupStateTimeout.NoTimeout)
+
+
 def undo_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keyed undo stack: the last five positions of the last thirty seconds; an undo (null position) takes the newest off."""
     stack = [tuple(x) for x in zip(*state.get, strict=True)] if state.exists else []

@@ -197,3 +197,45 @@ def test_adapt():
     assert stream.adapt([0.8] * 4, 1, 8) == ("worker", 2, 8)
     assert stream.adapt([4.0] * 4, 4, 8) == ("down", 4, 7)
     assert stream.adapt([0.2] * 4, 1, 6) == ("up", 1, 7)
+
+
+def test_sentence_case(spark):
+    heads = spark.createDataFrame([(1, "THE ROAD TO LONDON, II"), (2, ""), (3, None)], "id int, head string")
+    texts = spark.createDataFrame([("He saw London by day. The road to London was long, said the man.",), ("We left London, the road.",)], "t string")
+    got = {r.id: r.restored for r in B.sentence_case(heads, texts, "head", "t").collect()}
+    assert got == {1: "The road to London, II", 2: None, 3: None}
+
+
+def test_levels_and_bylines(spark):
+    h = spark.createDataFrame([("a", 0, "book"), ("a", 1, "chapter"), ("a", 2, "numeric"), ("b", 0, "chapter"), ("b", 1, "numeric"), ("c", 0, "numeric"), ("c", 1, None)], "d string, seq int, type string")
+    got = {(r.d, r.seq): r.level for r in B.infer_levels(h, "d").collect()}
+    assert got == {("a", 0): 1, ("a", 1): 2, ("a", 2): 3, ("b", 0): 1, ("b", 1): 2, ("c", 0): 1, ("c", 1): 1}
+    df = spark.createDataFrame([(1, "Title\n\nBy A. Wren\n\nby B. Oskin"), (2, "no")], "doc_id int, text string")
+    assert [tuple(r) for r in B.byline(B.blocks(df, "doc_id", "text"), "doc_id").collect()] == [(1, "A. Wren")]
+
+
+def test_quote_state_spans_batches():
+    s = Kept()
+    feed = [[(0, "p", "“one")], [(1, "p", "“two” x"), (2, "p", "“three")], [(3, "h", "II"), (4, "p", "four” “five”")]]
+    got = []
+    for rows in feed:
+        got += next(stream.quote_state(("w",), iter([pd.DataFrame(rows, columns=["seq", "kind", "t"])]), s)).values.tolist()
+    assert got == [["w", 0, 0, 4, False], ["w", 1, 0, 5, True], ["w", 2, 0, 6, False], ["w", 4, 6, 12, False]]
+
+
+def test_merge_states(spark):
+    rows = lambda *xs: spark.createDataFrame(list(xs), "reader_id int, work_id string, max_frac double")
+    got = {r.work_id: (r.max_frac, r.origin) for r in O.merge_states(rows((1, "a", 0.5), (1, "b", 0.5), (1, "c", None)), rows((1, "a", 0.5), (1, "b", 0.6), (1, "d", 0.1))).collect()}
+    assert got == {"a": (0.5, "current"), "b": (0.6, "imported"), "c": (None, "current"), "d": (0.1, "imported")}
+
+
+def test_streams_run(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(1, 0, 0), (1, 300_000, 5500), (2, 0, 0)], "reader_id bigint, at_ms bigint, chars bigint").write.parquet(src)
+    out = stream.run_to_table(stream.speeds(spark.readStream.schema("reader_id bigint, at_ms bigint, chars bigint").parquet(src)), ["reader_id"])
+    assert {r.reader_id: (r.wpm, r.samples) for r in out.collect()} == {1: (200, 1), 2: (200, 0)}
+    spark.createDataFrame([("w", 0, "p", "“a"), ("w", 1, "p", "“b”")], "work_id string, seq int, kind string, t string").write.parquet(src + "q")
+    q = stream.quotations(spark.readStream.schema("work_id string, seq int, kind string, t string").parquet(src + "q"))
+    out = q.writeStream.outputMode("append").format("memory").queryName("quotes").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert sorted((r.seq, r.s, r.e, r.continued) for r in spark.table("quotes").collect()) == [(0, 0, 2, False), (1, 0, 3, True)]
