@@ -26,6 +26,8 @@ from .truncation import WORDS
 #: Labelled documents on which the classifier is fitted, and the characters of a long one used for that.
 SAMPLE, SAMPLE_CHARS, BITS = 6000, 8000, 15
 STEPS, BINS, MOST_SOURCES = 60, 2048, 1000
+#: A miss of this share of the total ends the steps, and so does a square miss that stays above this share of the one before.
+NEAR, STALL = 1e-5, 0.98
 
 
 def bag(text: str) -> list[int]:
@@ -109,12 +111,15 @@ def rates(table_of: DataFrame, shares: np.ndarray, caps: np.ndarray, total: floa
     base.write.parquet(at)
     base = table_of.sparkSession.read.parquet(at)
     moves: list[np.ndarray] = []
+    before = float("inf")
     for _ in range(steps):
         r = base.withColumn("r", rate(moves)) if moves else base.withColumn("r", F.least(F.lit(1.0), F.col("__cap")))
         got = np.array(r.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("r") * F.col("q")[i]), F.lit(0.0)) for i in range(k)]).first(), float)
         miss = goal - got
-        if np.abs(miss).max() <= 1e-6 * max(total, 1.0):
+        # near enough, or at a bound that the caps set
+        if np.abs(miss).max() <= NEAR * max(total, 1.0) or np.square(miss).sum() > STALL * before:
             break
+        before = float(np.square(miss).sum())
         moves.append(0.9 * miss / scale)
     return (lambda df: df.withColumn("__cap", cap).withColumn("rate", rate(moves) if moves else F.least(F.lit(1.0), F.col("__cap"))).drop("__cap")), total
 
