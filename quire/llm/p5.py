@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .common import map_rows, spread, table
 from .truncation import fit, score
 
-#: Rows on which the classifier is fitted, and the characters of a long one that it is fitted on; every row is scored whole.
-SAMPLE, SAMPLE_CHARS, CUT_OVER = 12000, 20000, 0.0
+#: Rows on which the classifier is fitted, the characters of a long one that it is fitted on, and the log odds over which a value counts as cut
+#: (cut values are few, so more than even odds are asked for); every row is scored whole.
+SAMPLE, SAMPLE_CHARS, CUT_OVER = 15000, 20000, 1.0
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 
-from .sentences import ANY, segment
+from .sentences import ANY, BEFORE, MAY_END, segment
 
 BITS = 18
 MASK = (1 << BITS) - 1
@@ -61,7 +61,7 @@ def features(text: str, heading: bool = False) -> list[int]:
     ended = ENDED.search(p)
     kind = ("…" if "…" in mark or "..." in mark else mark[-1:]) if mark else ""
     lines = core.split("\n")
-    verse = len(lines) > 1 and sum(not ENDED.search(x) for x in lines[:-1]) * 2 > len(lines) - 1 and all(not x[:1].islower() for x in lines)
+    verse = not ended and len(lines) > 1 and sum(not ENDED.search(x) for x in lines[:-1]) * 2 > len(lines) - 1 and all(not x[:1].islower() for x in lines)
     unit = lines[-1] if verse else last_unit(core).replace("\n", " ")
     s = "k" if "가" <= max(unit[-12:] or " ") <= "힣" or re.search("[가-힣]", unit[-30:]) else "j" if re.search("[ぁ-ヿ]", unit[-30:]) else "e" if re.search("[A-Za-z]", unit[-30:]) else "o"
     end = "E" if ended else kind if kind else "," if core.endswith(",") else "n"
@@ -75,6 +75,9 @@ def features(text: str, heading: bool = False) -> list[int]:
     if ended and m is None:
         out.append("whole" + p[-1])
         inner = p[: ended.start()][-3:]
+        last = re.search(r"[^\s“‘(]*$", p[: ended.start()]).group().lower()
+        short_form = last in BEFORE or last in MAY_END or len(last) == 1 and last.isascii() or last[-1:].isdigit()
+        out.append(s + ("endShort" if short_form else "endWord") + p[ended.start()])
         out.append("whole3" + s + inner)
         core = p[: ended.start()]
         unit = unit[: max(0, len(unit) - (len(p) - ended.start()))]
@@ -125,7 +128,7 @@ def cut(text: str, rng: random.Random) -> str | None:
         return None
     s, e = rng.choice(units)
     closing = len(text[s:e]) - len(text[s:e].rstrip(".!?…。！？”’」』)）—―,"))
-    last = e - closing - 2
+    last = e - closing - 1
     if last <= s + 1:
         return None
     i = rng.randint(s + 2, last)
@@ -172,6 +175,19 @@ def examples(texts: list[str], rng: random.Random) -> tuple[list[str], list[int]
             if c:
                 xs.append(c)
                 ys.append(1)
+        if rng.random() < 0.15:
+            # lines of verse: whole sentences without their full stops, one under the other
+            lines = [whole[a:b].rstrip(".。") for a, b in segment(whole) if 12 < b - a < 90 and not re.search(r"[\n“”「」!?！？…()（）]", whole[a:b])]
+            if len(lines) >= 2:
+                k = rng.randint(2, min(5, len(lines)))
+                lines = rng.sample(lines, k)
+                end = rng.choice(("", "", ","))
+                verse = (end + "\n").join(lines)
+                xs.append(verse + end)
+                ys.append(0)
+                at = rng.randint(max(3, len(lines[-1]) // 5), len(lines[-1]) - 1)
+                xs.append((verse[: len(verse) - at]).rstrip() + rng.choice(MARKS))
+                ys.append(1)
         if ended and rng.random() < 0.1 and re.search("[가-힣]", whole):
             dense = re.sub(r"[\W_]+", "", whole)
             xs.append(dense)
