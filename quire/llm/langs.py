@@ -58,6 +58,11 @@ HANGUL_RUN = re.compile(r"[가-힣ᄀ-ᇿㄱ-ㆎ]+")
 LETTER_RUN = re.compile(r"[^\W\d_]+")
 
 
+def mostly_korean(text: str) -> bool:
+    """Whether the Hangul alone shows that korean_share() is over 0.6."""
+    return len(text) < 2.3 * sum(map(len, HANGUL_RUN.findall(text)))
+
+
 def korean_share(text: str) -> float:
     """Hangul among the letters, a Hangul letter counted twice."""
     t = TAG.sub("", text) if "<" in text else text

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, spread, table
-from .langs import TAG, korean_share, language, refuses
+from .langs import TAG, korean_share, language, mostly_korean, refuses
 from .p5 import CUT_OVER, fit_on_sample, values
 from .sentences import ANY, plain, segment
 from .truncation import score
@@ -53,7 +53,7 @@ def defect(unit: str | None, text: str | None, lang: str | None, cut: Callable[[
         return "empty"
     if refuses(text) and not copied(unit, text):
         return "refusal"
-    share = korean_share(text)
+    share = 1.0 if mostly_korean(text) else korean_share(text)
     if share < 0.6:
         own = language(unit)
         foreign = own not in ("en", "ja", "") or (own == "" and lang not in ("en", "ja", None))
