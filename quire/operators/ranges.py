@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .windows import running
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, value: str, name: str) -> DataFrame:
     """left with name: the value of the right row of the same keys whose right_on is the last at or before left_on; null if there is none.
 
-    One union and one running window by key; rows of the right side come first at equal positions. Null keys match none.
+    One union and one running value by key, in blocks of the position where it is a number; rows of the right side come first
+    at equal positions. Null keys and null positions match none.
     """
     cols = left.columns
-    l = left.select(F.struct(*cols).alias("__l"), *keys, F.col(left_on).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(dict(right.dtypes)[value]).alias("__v"))  # noqa: E741
-    r = right.where(F.col(right_on).isNotNull()).select(F.lit(None).cast(dict(l.dtypes)["__l"]).alias("__l"), *keys, F.col(right_on).alias("__at"), F.lit(0).alias("__side"), F.struct(F.col(value)).getField(value).alias("__v"))
-    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__at"), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return l.unionByName(r).withColumn("__hit", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select("__l.*", F.col("__hit").alias(name))
+    kind = dict(right.dtypes)[value]
+    one = F.struct(F.col(value).alias("v"))
+    l = left.select(F.struct(*cols).alias("__l"), *keys, F.col(left_on).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(f"struct<v:{kind}>").alias("__v"))  # noqa: E741
+    r = right.where(F.col(right_on).isNotNull()).select(F.lit(None).cast(dict(l.dtypes)["__l"]).alias("__l"), *keys, F.col(right_on).alias("__at"), F.lit(0).alias("__side"), one.alias("__v"))
+    x = running(l.unionByName(r), keys, "__at", "__hit", F.col("__v"), "last", tie="__side").where("__side = 1")
+    known = F.col("__at").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return x.select("__l.*", F.when(known, F.col("__hit.v")).alias(name))
 
 
 def cumulative(units: DataFrame, key: str, order: str, size: str) -> DataFrame:
-    """Adds cum, the characters before each unit, and total, those of all its key."""
-    w = Window.partitionBy(key).orderBy(order)
-    n = F.coalesce(F.col(size), F.lit(0))
-    return units.withColumn("cum", F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum(n).over(Window.partitionBy(key)))
+    """Adds cum, the characters before each unit, and total, those of all its key. Rows without a key are left out."""
+    n = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
+    x = running(units.where(F.col(key).isNotNull()), key, order, "cum", n, before=True)
+    total = units.groupBy(key).agg(F.sum(n).alias("total"))
+    return x.withColumn("cum", F.coalesce("cum", F.lit(0)).cast("bigint")).join(total, key)
 
 
 def locate(points: DataFrame, units: DataFrame, key: str, order: str, size: str, frac: str) -> DataFrame:
     """points with __at: the order of the unit in which the fraction of the key's characters falls.
 
-    A fraction exactly at a border belongs to the earlier unit; beyond the ends it is clamped. One running window over the
+    A fraction exactly at a border belongs to the earlier unit; beyond the ends it is clamped. One running value over the
     units' starts and the points, so no point meets all units of its key.
     """
     c = cumulative(units, key, order, size)
@@ -36,8 +45,7 @@ def locate(points: DataFrame, units: DataFrame, key: str, order: str, size: str,
     # from the first character after a unit's end on, the next unit holds the point
     ends = c.select(key, F.col("cum").cast("double").alias("__from"), F.col(order).cast("int").alias("__unit"))
     p = points.join(total, key).withColumn("__goal", F.col(frac) * F.col("__total"))
-    w = Window.partitionBy(key).orderBy("__p", "__side").rowsBetween(Window.unboundedPreceding, 0)
     a = p.select(key, F.col("__goal").alias("__p"), F.lit(0).alias("__side"), F.struct(*points.columns).alias("__row"), F.lit(None).cast("int").alias("__unit"), "__first")
     b = ends.select(key, F.col("__from").alias("__p"), F.lit(1).alias("__side"), F.lit(None).cast(dict(a.dtypes)["__row"]).alias("__row"), "__unit", F.lit(None).cast("int").alias("__first"))
-    hit = a.unionByName(b).withColumn("__at", F.last("__unit", ignorenulls=True).over(w)).where("__row IS NOT NULL")
+    hit = running(a.unionByName(b), key, "__p", "__at", F.col("__unit"), "last", tie="__side").where("__row IS NOT NULL")
     return hit.select("__row.*", F.coalesce("__at", "__first").alias("__at"))

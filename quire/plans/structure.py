@@ -71,7 +71,7 @@ def repeats(spark, d):
 @query("window_w8_promoted", """
     SELECT work_id, seq FROM (SELECT *, lead(kind) OVER (PARTITION BY work_id ORDER BY seq) AS nxt FROM units) WHERE nxt = 'h'""")
 def promoted(spark, d):
-    return table(spark, d, "units").withColumn("nxt", F.lead("kind").over(W.over("work_id", "seq"))).where("nxt = 'h'").select("work_id", "seq")
+    return W.beside(table(spark, d, "units"), "work_id", "seq", "kind", "nxt", after=True).where("nxt = 'h'").select("work_id", "seq")
 
 
 @query("window_w9_merged_pairs", """

@@ -239,3 +239,37 @@ def test_streams_run(spark, tmp_path):
     out = q.writeStream.outputMode("append").format("memory").queryName("quotes").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     out.awaitTermination()
     assert sorted((r.seq, r.s, r.e, r.continued) for r in spark.table("quotes").collect()) == [(0, 0, 2, False), (1, 0, 3, True)]
+
+
+def test_running_in_blocks_matches_a_plain_loop(spark):
+    rng = random.Random(8)
+    rows = [(k, i, rng.choice([None, -2, -1, 0, 1, 2])) for k in ("a", "b", None) for i in range(23)]
+    df = spark.createDataFrame(rows, "k string, seq int, v int")
+    plain = {"sum": lambda xs: sum(xs), "max": lambda xs: max(xs, default=None), "min": lambda xs: min(xs, default=None), "last": lambda xs: xs[-1] if xs else None}
+    for how, f in plain.items():
+        for before in (False, True):
+            for backward in (False, True):
+                got = {(r.k, r.seq): r.x for r in W.running(df, "k", "seq", "x", F.col("v"), how, before, backward, block=4).collect()}
+                for k in ("a", "b", None):
+                    mine = sorted((r for r in rows if r[0] == k), key=lambda r: -r[1] if backward else r[1])
+                    for n, r in enumerate(mine):
+                        xs = [x[2] for x in mine[: n + (not before)] if x[2] is not None]
+                        want = f(xs)
+                        assert got[k, r[1]] == want or (how == "sum" and not xs and got[k, r[1]] in (0, None)), (how, before, backward, k, r)
+
+
+def test_blocks_leave_results_alike(spark):
+    rows = [("p", "x" * (i % 5)) if i % 6 else ("h", "h") for i in range(40)]
+    df = units(spark, *rows)
+    flag = F.length("t") < 3
+
+    def every():
+        out = [W.islands(df, "work_id", "seq", F.col("t") == ""), W.long_runs(df, "work_id", "seq", flag), W.merged_pairs(df, "work_id", "seq", flag, flag), W.without_repeats(df, "work_id", "seq", "kind"), W.sections(df, "work_id", "seq", F.col("kind") == "h"), W.renumber(df, "work_id", "seq"), W.beside(df, "work_id", "seq", "t", "n", after=True)]
+        return [sorted(map(tuple, x.collect()), key=repr) for x in out]
+
+    whole = every()
+    was, W.BLOCK = W.BLOCK, 7
+    try:
+        assert every() == whole
+    finally:
+        W.BLOCK = was
