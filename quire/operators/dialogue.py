@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import quote_spans
 from .overlay import newest
+from .windows import sections
 
 
 def openers(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -21,9 +22,7 @@ def quotations(units: DataFrame, text: str) -> DataFrame:
 
     One group is one chapter of one work, so that even a long work spreads over tasks; headings reset the carry.
     """
-    order = Window.partitionBy("work_id").orderBy("seq")
-    head = F.when(F.col("kind") == "h", 1).otherwise(0)
-    x = units.where(F.col(text).isNotNull()).withColumn("chapter", F.sum(head).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    x = sections(units.where(F.col(text).isNotNull()), "work_id", "seq", F.col("kind") == "h", "chapter")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         out, carry = [], None

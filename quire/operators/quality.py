@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 from .overlay import stray_markup, unbalanced_markup
+from .windows import running
 
 
 def flags(**checks: Column) -> Column:
@@ -29,9 +30,8 @@ def overlay_report(units: DataFrame, translations: DataFrame) -> DataFrame:
 
 def order_report(units: DataFrame) -> DataFrame:
     """Per work: is seq dense from 0, are keys unique, does no paragraph number go back, does it begin with a heading."""
-    w = Window.partitionBy("work_id").orderBy("seq")
     p = F.when(F.col("kind") == "p", F.col("ref").try_cast("int"))
-    x = units.withColumn("p", p).withColumn("before", F.max("p").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    x = running(units.withColumn("p", p), "work_id", "seq", "before", F.col("p"), "max", before=True)
     return x.groupBy("work_id").agg(
         (F.max("seq") == F.count("*") - 1).alias("dense"),
         (F.count_distinct("k") == F.count("*")).alias("unique_keys"),

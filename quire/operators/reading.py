@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import windows as W
+
+
+#: Microseconds that one block of a running value over times spans.
+DAY = 86_400_000_000
+
+
+def micros(x: Column | str) -> Column:
+    """Microseconds of a time, with or without a zone (the session's)."""
+    return F.unix_micros((F.col(x) if isinstance(x, str) else x).cast("timestamp"))
+
 
 def with_gaps(events: DataFrame, key: str, at: str, tie: str, idle: float, name: str = "session") -> DataFrame:
     """Adds gap (seconds since the event before) and the session number, new after more than idle seconds."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    gap = (F.col(at).cast("timestamp").cast("double") - F.lag(F.col(at).cast("timestamp").cast("double")).over(w)).alias("gap")
-    x = events.withColumn("gap", gap)
-    return x.withColumn(name, F.sum(F.when(F.col("gap").isNull() | (F.col("gap") > idle), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    x = W.beside(events.withColumn("__o", micros(at)), key, "__o", "__o", "__was", tie=tie, block=DAY)
+    x = x.withColumn("gap", (F.col("__o") - F.col("__was")) / 1e6)
+    x = W.running(x, key, "__o", "__s", F.when(F.col("gap").isNull() | (F.col("gap") > idle), 1).otherwise(0), block=DAY, tie=tie)
+    return x.withColumn(name, F.col("__s").cast("int")).drop("__o", "__was", "__s")
 
 
 def reading_seconds(events: DataFrame, key: str, at: str, tie: str, idle: float = 90.0, tick: float = 15.0) -> DataFrame:
@@ -55,21 +66,32 @@ def last_of_window(events: DataFrame, key: str, at: str, tie: str, seconds: int)
 
 def contiguous(df: DataFrame, key: str, seq: str) -> DataFrame:
     """Rows of each key up to its first missing number, from 0: what can be consumed in order."""
-    w = Window.partitionBy(key).orderBy(seq)
-    return df.withColumn("__n", F.row_number().over(w) - 1).where(F.col(seq) == F.col("__n")).drop("__n")
+    return W.renumber(df, key, seq, "__no").where(F.col(seq) == F.col("__no")).drop("__no")
 
 
-def current_only(df: DataFrame, key: str, generation: str) -> DataFrame:
-    """Rows of the newest generation of each key; results of older ones are stale."""
-    return df.withColumn("__g", F.max(generation).over(Window.partitionBy(key))).where(F.col(generation) == F.col("__g")).drop("__g")
+def current_only(df: DataFrame, keys: list[str], generation: str) -> DataFrame:
+    """Rows of the newest generation of each key; results of older ones are stale. Keys are reduced on the map side before they meet."""
+    newest = df.groupBy(*keys).agg(F.max(generation).alias("__g"))
+    return df.join(newest, keys).where(F.col(generation) == F.col("__g")).drop("__g")
 
 
-def breaker(df: DataFrame, key: str, order: list[str], failed: Column, most: int = 3) -> DataFrame:
+def breaker(df: DataFrame, key: str, at: str, tie: str, failed: Column, most: int = 3) -> DataFrame:
     """Adds streak, the failures in a row up to the row, and broken from most on; a success starts anew."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = df.withColumn("__f", F.coalesce(failed, F.lit(False))).withColumn("__r", F.sum(F.when(F.col("__f"), 0).otherwise(1)).over(w))
-    inner = Window.partitionBy(key, "__r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("streak", F.sum(F.col("__f").cast("int")).over(inner).cast("int")).withColumn("broken", F.col("streak") >= most).drop("__f", "__r")
+    x = df.withColumn("__o", micros(at)).withColumn("__f", F.coalesce(failed, F.lit(False)).cast("int"))
+    x = W.running(x, key, "__o", "__n", F.col("__f"), block=DAY, tie=tie)
+    # failures up to the last success
+    x = W.running(x, key, "__o", "__then", F.when(F.col("__f") == 0, F.col("__n")), "last", block=DAY, tie=tie)
+    x = x.withColumn("streak", (F.col("__n") - F.coalesce("__then", F.lit(0))).cast("int")).withColumn("broken", F.col("streak") >= most)
+    return x.drop("__o", "__f", "__n", "__then")
+
+
+def remembered(df: DataFrame, key: str, at: str, failed: Column, hours: int = 12) -> DataFrame:
+    """Adds remembered: did the key fail less than so many hours before, at an earlier time?"""
+    x = df.withColumn("__o", micros(at)).withColumn("__f", F.coalesce(failed, F.lit(False)))
+    g = x.groupBy(key, "__o").agg(F.bool_or("__f").alias("__f"))
+    g = W.running(g, key, "__o", "__last", F.when(F.col("__f"), F.col("__o")), "last", before=True, block=DAY).drop("__f")
+    j = x.drop("__f").join(g, [key, "__o"], "left")
+    return j.withColumn("remembered", F.coalesce(F.col("__last") > F.col("__o") - hours * 3_600_000_000, F.lit(False))).drop("__o", "__last")
 
 
 def resynced(progress: DataFrame, units: DataFrame, signatures: DataFrame) -> DataFrame:

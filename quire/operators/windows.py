@@ -52,9 +52,9 @@ def running(df: DataFrame, key: str | list[str], order: str, name: str, value: C
     return inner.join(right, on, "left").withColumn(name, join(F.col("__in"), F.col("__pre"))).select(*dict.fromkeys([*df.columns, name]))
 
 
-def beside(df: DataFrame, key: str | list[str], order: str, column: str, name: str, after: bool = False) -> DataFrame:
+def beside(df: DataFrame, key: str | list[str], order: str, column: str, name: str, after: bool = False, tie: str | None = None, block: int | None = None) -> DataFrame:
     """Adds the column's value in the row before (or after), null values included; null at the end."""
-    x = running(df, key, order, "__beside", F.struct(F.col(column).alias("v")), "last", before=True, backward=after)
+    x = running(df, key, order, "__beside", F.struct(F.col(column).alias("v")), "last", before=True, backward=after, tie=tie, block=block)
     return x.withColumn(name, F.col("__beside.v")).drop("__beside")
 
 

@@ -249,9 +249,9 @@ for _mode, _sql in {
     "length": "read_minutes NULLS LAST",
 }.items():
 
-    @query(f"catalog_o1_sort_{_mode}", f"SELECT CAST(row_number() OVER (ORDER BY {_sql}, author, pub_year, title, work_id) AS INTEGER) AS place, work_id FROM works ORDER BY place LIMIT 20")
+    @query(f"catalog_o1_sort_{_mode}", f"SELECT CAST(row_number() OVER (ORDER BY {_sql}, author, pub_year, title, work_id) AS INTEGER) AS place, work_id FROM works")
     def sorted_works(spark, d, mode=_mode):
-        w = K.sort_works(table(spark, d, "works"), mode).limit(20)
+        w = K.sort_works(table(spark, d, "works"), mode)
         return w.select(F.row_number().over(Window.orderBy(*K.SORTS[mode](), "author", "pub_year", "title", "work_id")).alias("place"), "work_id")
 
 
@@ -301,8 +301,8 @@ def neighbours(spark, d):
 
 @query("catalog_o1_sort_recent", f"""
     WITH {LATEST_SQL}, u AS (SELECT work_id, max(updated) AS updated FROM progress WHERE reader_id IS NOT NULL AND work_id IS NOT NULL AND updated IS NOT NULL AND frac IS NOT NULL GROUP BY work_id)
-    SELECT CAST(row_number() OVER (ORDER BY updated DESC NULLS LAST, pub_year NULLS LAST, author, pub_year, title, w.work_id) AS INTEGER) AS place, w.work_id FROM works w LEFT JOIN u ON w.work_id = u.work_id ORDER BY place LIMIT 20""")
+    SELECT CAST(row_number() OVER (ORDER BY updated DESC NULLS LAST, pub_year NULLS LAST, author, pub_year, title, w.work_id) AS INTEGER) AS place, w.work_id FROM works w LEFT JOIN u ON w.work_id = u.work_id""")
 def sort_recent(spark, d):
     p = O.latest_progress(table(spark, d, "progress")).groupBy("work_id").agg(F.max("updated").alias("updated"))
-    w = K.sort_works(table(spark, d, "works").join(p, "work_id", "left"), "recent").limit(20)
+    w = K.sort_works(table(spark, d, "works").join(p, "work_id", "left"), "recent")
     return w.select(F.row_number().over(Window.orderBy(*K.SORTS["recent"](), "author", "pub_year", "title", "work_id")).alias("place"), "work_id")

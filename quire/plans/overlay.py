@@ -77,9 +77,9 @@ def interval_overlap(spark, d):
 
 @query("overlay_j10_carry_over")
 def carry_over(spark, d):
-    """The units of each work against a version of them without every seventh paragraph."""
+    """The units of each work against a version of them in which those without a letter are dropped and the rest renumbered."""
     u = table(spark, d, "units").select("work_id", "seq", "k", "t")
-    new = table(spark, d, "units").select("work_id", "seq", "k", "t").where("seq % 7 <> 3").withColumn("k", F.concat(F.lit("n:"), F.row_number().over(Window.partitionBy("work_id").orderBy("seq")) - 1))
+    new = table(spark, d, "units").select("work_id", "seq", "k", "t").where(F.col("t").rlike(r"\p{L}")).withColumn("k", F.concat(F.lit("n:"), F.row_number().over(Window.partitionBy("work_id").orderBy("seq")) - 1))
     kept = O.newest(table(spark, d, "translations")).select("work_id", "k", F.col("ko").alias("t"))
     return O.carry_over(u, new, kept)
 
@@ -163,11 +163,12 @@ def style_warnings(spark, d):
 
 
 @query("overlay_u2_import_marks", """
-    WITH a AS (SELECT * FROM bookmarks WHERE mark_id % 3 <> 0), b AS (SELECT mark_id, work_id, p + 1000 AS p FROM bookmarks WHERE mark_id % 2 = 0)
+    WITH a AS (SELECT * FROM bookmarks WHERE t = 'mark'), b AS (SELECT mark_id, work_id, p + 1000 AS p FROM bookmarks)
     SELECT mark_id, work_id, p FROM a UNION ALL SELECT mark_id, work_id, p FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.mark_id = b.mark_id)""")
 def import_marks(spark, d):
-    m = table(spark, d, "bookmarks").select("mark_id", "work_id", "p")
-    return S.union_first(m.where("mark_id % 3 <> 0"), m.where("mark_id % 2 = 0").withColumn("p", (F.col("p") + 1000).cast("int")), ["mark_id"])
+    m = table(spark, d, "bookmarks")
+    backup = m.select("mark_id", "work_id", (F.col("p") + 1000).cast("int").alias("p"))
+    return S.union_first(m.where("t = 'mark'").select("mark_id", "work_id", "p"), backup, ["mark_id"])
 
 
 @query("overlay_u3_difference", """
@@ -222,13 +223,13 @@ def compose_en(spark, d):
 
 
 @query("overlay_a10_merge_states", """
-    WITH a AS (SELECT reader_id, work_id, max(max_frac) AS a FROM progress WHERE updated % 2 = 0 AND reader_id IS NOT NULL AND work_id IS NOT NULL GROUP BY ALL),
-      b AS (SELECT reader_id, work_id, max(max_frac) AS b FROM progress WHERE updated % 2 = 1 AND reader_id IS NOT NULL AND work_id IS NOT NULL GROUP BY ALL)
+    WITH a AS (SELECT reader_id, work_id, max(max_frac) AS a FROM progress WHERE lang = 'en' AND reader_id IS NOT NULL AND work_id IS NOT NULL GROUP BY ALL),
+      b AS (SELECT reader_id, work_id, max(max_frac) AS b FROM progress WHERE reader_id IS NOT NULL AND work_id IS NOT NULL GROUP BY ALL)
     SELECT coalesce(a.reader_id, b.reader_id) AS reader_id, coalesce(a.work_id, b.work_id) AS work_id, CASE WHEN a.reader_id IS NULL OR coalesce(b > coalesce(a, -1), false) THEN b ELSE a END AS max_frac,
       CASE WHEN a.reader_id IS NULL OR coalesce(b > coalesce(a, -1), false) THEN 'imported' ELSE 'current' END AS origin FROM a FULL JOIN b ON a.reader_id = b.reader_id AND a.work_id = b.work_id""")
 def merge_states(spark, d):
     p = table(spark, d, "progress").where("reader_id IS NOT NULL AND work_id IS NOT NULL")
-    return O.merge_states(p.where("updated % 2 = 0"), p.where("updated % 2 = 1"))
+    return O.merge_states(p.where("lang = 'en'"), p)
 
 
 @query("overlay_u1_unit_stream", "SELECT work_id, seq, kind || ':' || ref AS key, t AS inner_text FROM units WHERE kind IN ('h', 'p')")

@@ -30,9 +30,13 @@ def speeds(spark, d):
     return x.select("reader_id", "updated", F.round("wpm", 4).alias("wpm"))
 
 
-@query("stream_st3_smoothed")
+@query("stream_st3_smoothed", """
+    WITH RECURSIVE s AS (SELECT user_id, value * 10 AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, 200.0::DOUBLE AS v FROM (SELECT DISTINCT user_id FROM events)
+        UNION ALL SELECT f.user_id, s.n, floor(f.v + (s.x - f.v) * CASE WHEN f.n < 5 THEN 0.35 ELSE 0.15 END::DOUBLE + 0.5)::DOUBLE FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1)
+    SELECT user_id, CAST(arg_max(v, n) AS INTEGER) AS wpm FROM f GROUP BY user_id""")
 def smoothed(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), 1, 40), lambda x: x.value * 10).alias("xs"))
+    e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x.value * 10).alias("xs"))
     return e.select("user_id", S.smoothed(F.col("xs")).alias("wpm"))
 
 
@@ -41,8 +45,8 @@ def smoothed(spark, d):
     SELECT reader_id, work_id, arg_max(frac, struct_pack(u := updated, f := frac)) AS frac, max(greatest(max_frac, frac)) AS max_frac, bool_or(coalesce(finished, false)) OR max(greatest(max_frac, frac)) >= 0.985 AS finished FROM p GROUP BY reader_id, work_id""")
 def upsert(spark, d):
     p = table(spark, d, "progress")
-    half = F.col("updated") % 2 == 0
-    return S.upsert(p.where(half), p.where(~half))
+    done = F.coalesce("finished", F.lit(False))
+    return S.upsert(p.where(done), p.where(~done))
 
 
 @query("stream_st6_throttle", """
@@ -54,11 +58,7 @@ def throttle(spark, d):
 @query("stream_st8_failure_memory", """
     SELECT event_id, EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_type = 'error' AND f.ts < e.ts AND f.ts > e.ts - INTERVAL 12 HOUR) AS remembered FROM events e""")
 def failure_memory(spark, d):
-    from pyspark.sql import Window
-
-    s = F.col("ts").cast("timestamp")
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(s)).rangeBetween(-12 * 3600 * 1_000_000 + 1, -1)
-    return table(spark, d, "events").select("event_id", F.coalesce(F.bool_or(F.col("event_type") == "error").over(w), F.lit(False)).alias("remembered"))
+    return S.remembered(table(spark, d, "events"), "user_id", "ts", F.col("event_type") == "error").select("event_id", "remembered")
 
 
 @query("stream_st10_contiguous", """
@@ -70,15 +70,15 @@ def contiguous(spark, d):
 @query("stream_st11_current", """
     SELECT tr_id FROM (SELECT *, max(rev) OVER (PARTITION BY work_id, k) AS g FROM translations WHERE work_id IS NOT NULL AND k IS NOT NULL) WHERE rev = g""")
 def current(spark, d):
-    t = table(spark, d, "translations").where("work_id IS NOT NULL AND k IS NOT NULL").withColumn("key", F.struct("work_id", "k"))
-    return S.current_only(t, "key", "rev").select("tr_id")
+    t = table(spark, d, "translations").where("work_id IS NOT NULL AND k IS NOT NULL")
+    return S.current_only(t, ["work_id", "k"], "rev").select("tr_id")
 
 
 @query("stream_st13_breaker", """
     WITH r AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
     SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS INTEGER) AS streak, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w >= 3 AS broken FROM r WINDOW w AS (PARTITION BY user_id, r ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def breaker(spark, d):
-    return S.breaker(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "streak", "broken")
+    return S.breaker(table(spark, d, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error").select("event_id", "streak", "broken")
 
 
 @query("stream_st15_resync", """

@@ -32,9 +32,9 @@ def payloads(spark, d):
 
 
 @query("source_s12_quarantine", """
-    SELECT 'parsed' AS side, count(*) AS n FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT 'quarantined', count(*) FROM events WHERE event_id % 7 = 0""")
+    SELECT 'parsed' AS side, count(*) AS n FROM events WHERE event_type <> 'error' UNION ALL SELECT 'quarantined', count(*) FROM events WHERE event_type = 'error'""")
 def quarantine(spark, d):
-    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), F.col("props"))).otherwise(F.col("props")).alias("props"))
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", F.concat(F.lit("{broken "), F.col("props"))).otherwise(F.col("props")).alias("props"))
     good, bad = X.kv_quarantine(e, "event_id", "props", "k int")
     n = lambda df, side: df.agg(F.lit(side).alias("side"), F.count("*").alias("n"))
     return n(good, "parsed").unionByName(n(bad, "quarantined"))

@@ -240,9 +240,16 @@ def parsed(spark, d):
 def signatures(spark, d):
     u = table(spark, d, "units").where("t IS NOT NULL")
     # only the first and last 200 characters matter: the first and last 200 units that aren't empty hold them
-    u = u.where("t <> ''").withColumn("a", F.row_number().over(Window.partitionBy("work_id").orderBy("seq"))).withColumn("b", F.row_number().over(Window.partitionBy("work_id").orderBy(F.desc("seq"))))
-    edge = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= 200, F.struct("seq", "t")))), lambda x: x.t), "")
-    g = u.groupBy("work_id").agg(F.count_if(F.expr("kind = 'h'")).alias("n"), edge("a").alias("head"), edge("b").alias("tail"))
+    u = u.where("t <> ''").withColumn("b", F.floor(F.col("seq") / W.BLOCK))
+    n = u.groupBy("work_id").agg(F.count_if(F.expr("kind = 'h'")).alias("n"))
+
+    def edge(at, name):
+        few = u
+        for keys in (["work_id", "b"], ["work_id"]):  # within blocks first, so that no window holds a whole work
+            few = few.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(at("seq")))).where("r <= 200")
+        return few.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "t"))), lambda x: x.t), "").alias(name))
+
+    g = n.join(edge(F.asc, "head"), "work_id").join(edge(F.desc, "tail"), "work_id")
     s = F.concat(F.col("n").cast("string"), F.substring("head", 1, 200), F.right("tail", F.lit(200)))
     return g.select("work_id", F.lpad(F.lower(F.hex(T.fnv1a(s))), 8, "0").alias("sig"))
 

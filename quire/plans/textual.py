@@ -95,7 +95,7 @@ def curly(spark, d):
 
 @query("text_f19_small_caps")
 def small_caps(spark, d):
-    return units(spark, d).select("unit_id", A.small_caps(F.concat(F.upper(F.substring("t", 1, 24)), F.substring("t", 25, 1000000))).alias("t"))
+    return units(spark, d).select("unit_id", A.small_caps(F.concat(F.upper(F.substring("t", 1, 24)), F.expr("substring(t, 25)"))).alias("t"))
 
 
 @query("text_f20_emphasis")
@@ -152,10 +152,13 @@ def fuzzy(spark, d):
 
 
 @query("text_f29_levenshtein", """
-    SELECT t.tr_id, CAST(levenshtein(substr(strip_accents(u.t), 1, 60), substr(strip_accents(u.t), 3, 60)) AS INTEGER) AS d FROM translations t JOIN units u ON t.work_id = u.work_id AND t.k = u.k WHERE u.lang = 'en' AND regexp_full_match(u.t, '[ -~]*')""")
+    SELECT a.unit_id, CAST(levenshtein(a.t, b.t) AS INTEGER) AS d FROM units a JOIN units b ON a.work_id = b.work_id AND a.seq = b.seq + 1
+    WHERE regexp_full_match(a.t, '[ -~]*') AND regexp_full_match(b.t, '[ -~]*')""")
 def levenshtein(spark, d):
-    u = table(spark, d, "units").where("lang = 'en'").where(F.col("t").rlike("^[ -~]*$")).select("work_id", "k", F.col("t").alias("u"))
-    return table(spark, d, "translations").join(u, ["work_id", "k"]).select("tr_id", F.levenshtein(F.substring("u", 1, 60), F.substring("u", 3, 60)).alias("d"))
+    """Edits from each unit of plain ASCII to the one before, whole texts (DuckDB counts bytes, so others can't be held against it)."""
+    u = table(spark, d, "units").where(F.col("t").rlike("^[ -~]*$")).select("unit_id", "work_id", "seq", "t")
+    b = table(spark, d, "units").where(F.col("t").rlike("^[ -~]*$")).select("work_id", (F.col("seq") + 1).alias("seq"), F.col("t").alias("b"))
+    return u.join(b, ["work_id", "seq"]).select("unit_id", F.levenshtein("t", "b").alias("d"))
 
 
 @query("text_f37_formats", """
