@@ -9,20 +9,17 @@ from ..sources import text as X
 from .registry import query
 
 
-@query("source_s4_between_marks", """
-    SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL AND NOT contains(text, '***') AND trim(text, chr(10)) = text""")
+@query("source_s4_between_marks", "SELECT doc_id, trim(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL")
 def between_marks(spark, d):
-    x = table(spark, d, "documents").where("text IS NOT NULL").where(~F.col("text").contains("***") & (F.trim("text", F.lit("\n")) == F.col("text")))
+    x = table(spark, d, "documents").where("text IS NOT NULL")
     framed = F.concat(F.lit("header\n*** START OF THIS TEXT ***\n"), F.col("text"), F.lit("\n*** END OF THIS TEXT ***\nfooter"))
     return x.select("doc_id", X.between_marks(framed, r"\*\*\* START OF", r"\*\*\* END OF").alias("t"))
 
 
-@query("source_s5_last_section", """
-    SELECT work_id, 'II x ' || title || ' ' AS t FROM works WHERE NOT contains(title, 'II') AND NOT contains(title, 'END')""")
+@query("source_s5_last_section", "SELECT work_id, '@2 x ' || title || ' ' AS t FROM works WHERE title IS NOT NULL")
 def last_section(spark, d):
-    w = table(spark, d, "works").where(~F.col("title").contains("II") & ~F.col("title").contains("END"))
-    s = F.concat(F.lit("contents II END I y II x "), F.col("title"), F.lit(" END"))
-    return w.select("work_id", X.last_section(s, "II", "END").alias("t"))
+    s = F.concat(F.lit("contents @2 @end @1 y @2 x "), F.col("title"), F.lit(" @end"))
+    return table(spark, d, "works").where("title IS NOT NULL").select("work_id", X.last_section(s, "@2", "@end").alias("t"))
 
 
 @query("source_s9_payloads", "SELECT work_id, CAST(pub_year AS INTEGER) AS y, title AS t FROM works")

@@ -14,12 +14,12 @@ from .registry import query
 
 @query("speech_f11_english_numbers")
 def english_numbers(spark, d):
-    return table(spark, d, "units").where("lang = 'en' AND t RLIKE '[0-9]'").select("unit_id", A.spoken_en("t").alias("t"))
+    return table(spark, d, "units").where("lang = 'en' AND t IS NOT NULL").select("unit_id", A.spoken_en("t").alias("t"))
 
 
 @query("speech_f12_korean_numbers")
 def korean_numbers(spark, d):
-    return table(spark, d, "translations").where("t RLIKE '[0-9]'").select("tr_id", A.spoken_ko("t").alias("t"))
+    return table(spark, d, "translations").where("t IS NOT NULL").select("tr_id", A.spoken_ko("t").alias("t"))
 
 
 @query("speech_f14_japanese")

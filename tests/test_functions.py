@@ -129,3 +129,17 @@ def test_nulls_and_empty(spark):
     for f in (T.initials, T.slug, T.heading_key, T.visible, T.strip_tags, T.escape, T.tidy, T.punctuation, T.middle_out, T.display_width, T.hiragana, T.natural_key, A.alnum, A.nfc, A.curly, A.wrap):
         rows = df.select(f("x").alias("v")).collect()
         assert rows[0] == Row(v=None) and rows[1].v is not None
+
+
+def test_levenshtein_counts_characters(spark):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    pairs = [("", "abc"), ("가나다", "가라다마"), ("é€𝒳", "e€𝒳"), ("kitten sitting", "sitting kitten"), ("같다", "같다")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(F.levenshtein("a", "b")).collect()] == [plain(a, b) for a, b in pairs]
