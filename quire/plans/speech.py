@@ -108,9 +108,9 @@ def transcripts(spark, d):
 
 
 @query("speech_m7_blend", """
-    SELECT label, list_aggregate(list_transform(list_zip(a, b), lambda x: round(x[1] * 0.75 + x[2] * 0.25, 4)), 'sum') AS s FROM (
+    SELECT label, round(list_aggregate(list_transform(list_zip(a, b), lambda x: round(x[1] * 0.75 + x[2] * 0.25, 4)), 'sum'), 4)::DOUBLE AS s FROM (
       SELECT label, arg_min(embedding, vec_id) AS a, arg_max(embedding, vec_id) AS b FROM embeddings GROUP BY label)""")
 def blend(spark, d):
     e = table(spark, d, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("a"), F.max_by("embedding", "vec_id").alias("b"))
     mixed = F.zip_with("a", "b", lambda x, y: F.round(x.cast("double") * 0.75 + y.cast("double") * 0.25, 4))
-    return e.select("label", F.aggregate(mixed, F.lit(0.0), lambda a, x: a + x).alias("s"))
+    return e.select("label", F.round(F.aggregate(mixed, F.lit(0.0), lambda a, x: a + x), 4).alias("s"))

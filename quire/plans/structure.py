@@ -186,7 +186,7 @@ def chapter_sizes(spark, d):
 
 
 @query("structure_q1_conservation", """
-    SELECT doc_id, length(text) AS n_source, CAST(coalesce(list_aggregate(list_transform(string_split(text, chr(10)), lambda x: length(x)), 'sum'), 0) + len(string_split(text, chr(10))) - 1 AS INTEGER) AS n_kept FROM documents WHERE text IS NOT NULL""")
+    SELECT doc_id, CAST(length(text) AS INTEGER) AS n_source, CAST(coalesce(list_aggregate(list_transform(string_split(text, chr(10)), lambda x: length(x)), 'sum'), 0) + len(string_split(text, chr(10))) - 1 AS INTEGER) AS n_kept FROM documents WHERE text IS NOT NULL""")
 def conservation(spark, d):
     lines = F.split("text", "\n", -1)
     kept = F.aggregate(F.transform(lines, F.length), F.lit(0), lambda a, n: a + n) + F.size(lines) - 1
