@@ -244,18 +244,32 @@ def _asian(text: str, s: int, e: int) -> bool:
     return False
 
 
-def counted(texts: Iterable[str]) -> dict[str, int]:
-    """Counts of the code points of texts, and of their base letters with combining marks or joined jamo."""
+def counted(texts: Iterable[str], at_once: int = 1_000_000) -> dict[str, int]:
+    """Counts of the code points of texts, and of their base letters with combining marks or joined jamo; about at_once characters are held at a time."""
+    out: dict[str, int] = {}
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t) + 1
+        if size >= at_once:
+            _count_into(out, "\n".join(held))
+            held, size = [], 0
+    _count_into(out, "\n".join(held))
+    return out
+
+
+def _count_into(out: dict[str, int], joined: str) -> None:
     import numpy as np
 
-    joined = "\n".join(texts)
     if not joined:
-        return {}
+        return
     codes, n = np.unique(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-    out = {chr(c): int(k) for c, k in zip(codes, n, strict=True) if not 0xD800 <= c <= 0xDFFF}
+    for c, k in zip(codes, n, strict=True):
+        if not 0xD800 <= c <= 0xDFFF:
+            out[chr(c)] = out.get(chr(c), 0) + int(k)
     for m in SEQUENCE.finditer(joined):
         out[m.group()] = out.get(m.group(), 0) + 1
-    return out
 
 
 SEQUENCE = re.compile("[ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?|[^\\W\\d_][̀-゙゚ͯ]+")
