@@ -22,12 +22,12 @@ QUOTES = set("”’»」』》〉\"")
 C = r"[”’»」』）)\]】》〉\"']|</\w+>"
 TOKEN = re.compile(
     rf"(?P<term>(?:[!?…。！？｡‥]|\.(?![0-9A-Za-z]))[.!?…。！？｡‥]*(?P<close>(?:(?:{C})[!?…。！？]*)*))"
-    r"|(?P<dash>[—―–-]+(?P<dclose>[”’」』]))"
+    r"|(?P<dash>(?<![—―–-])[—―–-]+(?P<dclose>[”’」』]))"
     r"|(?P<open>[“‘«「『（(\[【《〈„])"
     r"|(?P<shut>[”»」』）)\]】》〉]|’(?!\w))"
     r"|(?P<straight>\")|(?P<gap>[ぁ-ヿ][　 ]+(?=[ぁ-ヿ一-鿿]))"
 )
-PARAGRAPH = re.compile(r"\s*\n[^\S\n]*\n\s*")
+PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 ANY = re.compile(r"[^\W_]")
 #: Abbreviations that stand before a name or number, and those that may also end a sentence.
@@ -113,6 +113,7 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
     """Units of one paragraph, appended with base added. Positions are of p."""
     n, start, stack = len(p), 0, []
     loud = None
+    unclosed: set[str] = set()
     for m in TOKEN.finditer(p):
         kind = m.lastgroup
         s, e = m.span()
@@ -133,15 +134,17 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
         if kind == "open":
             c = p[s]
             shut = PAIR[c]
-            head = p[start:s].strip()
-            if p.find(shut, e) >= 0 or c in "“‘「『«":
+            head = p[start:s].strip() if s - start < 400 else "far"
+            if c not in "“‘「『«" and shut not in unclosed and p.find(shut, e) < 0:
+                unclosed.add(shut)
+            if shut not in unclosed and len(stack) < 64:
                 stack.append((shut, not head or not (head[0].isalnum() or ANY.search(TAG.sub("", head))) or bool(LABEL.fullmatch(head)), s))
             continue
         if kind == "straight":
             if stack and any(x[0] == '"' for x in stack):
                 kind = "shut"
             else:
-                head = p[start:s].strip()
+                head = p[start:s].strip() if s - start < 400 else "far"
                 stack.append(('"', not head, s))
                 continue
         if kind == "gap":
@@ -239,7 +242,9 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
                 else:
                     if c.islower() or not spaced or (HANGUL.match(p[s - 1 : s]) and p[s - 1] not in FINAL_KO):
                         continue
-                    if p.isupper() and nxt.split(" ", 1)[0].lower() in LINK:
+                    if loud is None:
+                        loud = p.isupper()
+                    if loud and nxt.split(" ", 1)[0].lower() in LINK:
                         continue
             elif last in "…‥":
                 if c.islower():

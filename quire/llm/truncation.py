@@ -30,11 +30,15 @@ RUNS = re.compile(r"[ァ-ヺー・]+|[一-鿿々]+|[ぁ-ん]|[A-Za-z]+|\d+|[^\w\
 TAGS = re.compile(r"</?[A-Za-z][^<>]*>")
 
 
+#: Characters from the end within which a value's closing is looked at; its last unit is far shorter.
+REACH = 5000
+
+
 def tail(text: str) -> str:
     """The last paragraph, without white space behind it."""
     t = text.rstrip()
     i = t.rfind("\n\n")
-    return t[i + 2 :] if i >= 0 else t
+    return t[max(i + 2, len(t) - REACH) :] if i >= 0 else t[-REACH:]
 
 
 def last_unit(paragraph: str) -> str:

@@ -75,3 +75,16 @@ def test_operator(spark):
     rows = sentence_units(df).collect()
     assert sorted((r.row_id, r.start_pos, r.end_pos) for r in rows) == [(1, 0, 8), (1, 0, 8), (1, 9, 16), (1, 9, 16), (1, 17, 18), (1, 17, 18)]
     assert sentence_units(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("t", ["(", "()", " ", "\n", "“", ". ", "a", "가.", "。", "-", "<em>", "́", "ᄀ", "A. ", "Mr. X ", "「あ」", "... ", '"a" ', "그는 말했다, “가.” "])
+def test_very_long_texts_take_linear_time(t):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        segment(t * (n // len(t)))
+        return time.process_time() - began
+
+    took(1000)
+    assert took(120_000) < 2.0
