@@ -74,19 +74,27 @@ def sentences(text: str, form: str | None) -> list[str]:
     return out
 
 
-#: Strings of which a passing comparison holds at least one.
-MARKS = (" as ", "kind of", "sort of", "species of", "like ", "보듯", "대하듯", "보는 듯", "일종의", "마치", "でも見る", "でも扱", "でも眺", "一種の", "まるで")
+#: Strings of which a passing comparison holds at least one, by script.
+MARKS = {"e": (" as ", "kind of", "sort of", "species of", "like "), "k": ("듯", "일종의", "마치"), "j": ("でも", "一種の", "まるで")}
 
 
-def uncompared(sentence: str) -> str:
+def script(sentence: str) -> str:
+    return "k" if HANGUL.search(sentence) else "j" if ASIAN.search(sentence) else "e"
+
+
+def uncompared(sentence: str, key: str) -> str:
     s = sentence.replace("\n", " ") if "\n" in sentence else sentence
-    return COMPARED.sub(" | ", s) if any([m in s for m in MARKS]) else s
+    for m in MARKS[key]:
+        if m in s:
+            return COMPARED.sub(" | ", s)
+    return s
 
 
 def stems(sentence: str) -> list[str]:
-    s = uncompared(sentence)
+    key = script(sentence)
+    s = uncompared(sentence, key)
     out: list[str] = []
-    if "가" <= max(s) and re.search("[가-힣]", s):
+    if key == "k":
         last = ""
         for w in KO.findall(s):
             b = JOSA.sub("", w) if len(w) > 1 else w
@@ -97,7 +105,7 @@ def stems(sentence: str) -> list[str]:
             if last:
                 out.append("k" + last + " " + b)
             last = b
-    elif re.search("[ぁ-ヿ一-鿿]", s):
+    elif key == "j":
         last = ""
         for w in JA.findall(s):
             b = JA_STRIP.sub("", w) or w
@@ -141,10 +149,10 @@ class Model:
         self.names, self.weights, self.slope, self.offset = names, weights, slope, offset
         #: first words of pairs that weigh something
         self.leads = {k.split(" ", 1)[0] for k in weights if " " in k}
-        self.bare: dict[str, tuple[str, tuple[str, ...], bool]] = {}
+        self.bare: dict[str, dict[str, tuple]] = {"e": {}, "k": {}, "j": {}}
 
-    def known(self, key: str, word: str) -> tuple[str, tuple[str, ...], bool]:
-        """Stem of a word, those of its stems that weigh something, and whether it leads a pair that does; kept at hand."""
+    def known(self, key: str, word: str) -> tuple[str, tuple[str, ...], bool, bool]:
+        """Stem of a word, those of its stems that weigh something, whether it leads a pair that does, and whether it is of no use by itself; kept at hand."""
         w = self.weights
         if key == "k":
             b = "k" + ((JOSA.sub("", word) or word) if len(word) > 1 else word)
@@ -155,23 +163,22 @@ class Model:
         else:
             b = "e" + word
             own = (b,)
-        e = (b, tuple(x for x in own if x in w), b in self.leads)
-        if len(self.bare) < CACHED:
-            self.bare[key + word] = e
+        use = tuple(x for x in own if x in w)
+        e = (b, use, b in self.leads, not use and b not in self.leads)
+        if len(self.bare[key]) < CACHED:
+            self.bare[key][word] = e
         return e
 
     def hits(self, sentence: str) -> set[str]:
         """The stems of a sentence that weigh something: as in stems(), but without making the others."""
-        s = uncompared(sentence)
-        if HANGUL.search(s):
-            key, found = "k", KO.findall(s)
-        elif ASIAN.search(s):
-            key, found = "j", JA.findall(s)
-        else:
-            key, found = "e", EN.findall(s.lower())
-        bare, w, out, lead = self.bare, self.weights, set(), None
+        key = script(sentence)
+        s = uncompared(sentence, key)
+        found = KO.findall(s) if key == "k" else JA.findall(s) if key == "j" else EN.findall(s.lower())
+        get, w, out, lead = self.bare[key].get, self.weights, set(), None
         for x in found:
-            e = bare.get(key + x) or self.known(key, x)
+            e = get(x) or self.known(key, x)
+            if lead is None and e[3]:
+                continue
             if e[1]:
                 out.update(e[1])
             if lead is not None:
