@@ -20,12 +20,14 @@ OPEN, CLOSE = "“‘«「『（([【《〈„‚", "”’»」』）)]】》
 PAIR = dict(zip(OPEN, CLOSE, strict=True))
 QUOTES = set("”’»」』》〉\"")
 C = r"[”’»」』）)\]】》〉\"']|</\w+>"
+#: All characters that a token can begin with are tried at once before the kinds of tokens are.
 TOKEN = re.compile(
+    r"(?=[.!?…。！？｡‥—―–\-“‘«「『（(\[【《〈„”»」』）)\]】》〉’\"ぁ-ヿ])(?:"
     rf"(?P<term>(?:[!?…。！？｡‥]|\.(?![0-9A-Za-z]))[.!?…。！？｡‥]*(?P<close>(?:(?:{C})[!?…。！？]*)*))"
     r"|(?P<dash>(?<![—―–-])[—―–-]+(?P<dclose>[”’」』]))"
     r"|(?P<open>[“‘«「『（(\[【《〈„])"
     r"|(?P<shut>[”»」』）)\]】》〉]|’(?!\w))"
-    r"|(?P<straight>\")|(?P<gap>[ぁ-ヿ][　 ]+(?=[ぁ-ヿ一-鿿]))"
+    r"|(?P<straight>\")|(?P<gap>[ぁ-ヿ][　 ]+(?=[ぁ-ヿ一-鿿])))"
 )
 PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")

@@ -30,6 +30,11 @@ RUNS = re.compile(r"[ァ-ヺー・]+|[一-鿿々]+|[ぁ-ん]|[A-Za-z]+|\d+|[^\w\
 TAGS = re.compile(r"</?[A-Za-z][^<>]*>")
 
 
+def at_end(pattern: re.Pattern, text: str) -> re.Match | None:
+    """Match of a pattern that is anchored at the end; only the last stretch of the text is searched."""
+    return pattern.search(text, max(0, len(text) - 160))
+
+
 #: Characters from the end within which a value's closing is looked at; its last unit is far shorter.
 REACH = 5000
 
@@ -54,18 +59,18 @@ def features(text: str, heading: bool = False) -> list[int]:
         out.append("space")
     p = tail(t)
     if heading:
-        return hashed(["heading", *out, "heading" + ("left" if LEFT.search(p) else "")])
+        return hashed(["heading", *out, "heading" + ("left" if at_end(LEFT, p) else "")])
     short = len(p) < min(60, len(t))
     if "<" in p:
         p = TAGS.sub("", p)
     p = unicodedata.normalize("NFC", p)
-    m = LEFT.search(p)
+    m = at_end(LEFT, p)
     core = p[: m.start()] if m else p
     mark = m.group().strip() if m else ""
-    ended = ENDED.search(p)
+    ended = at_end(ENDED, p)
     kind = ("…" if "…" in mark or "..." in mark else mark[-1:]) if mark else ""
     lines = core.split("\n")
-    verse = not ended and len(lines) > 1 and sum(not ENDED.search(x) for x in lines[:-1]) * 2 > len(lines) - 1 and all(not x[:1].islower() for x in lines)
+    verse = not ended and len(lines) > 1 and sum(not at_end(ENDED, x) for x in lines[:-1]) * 2 > len(lines) - 1 and all(not x[:1].islower() for x in lines)
     unit = lines[-1] if verse else last_unit(core).replace("\n", " ")
     s = "k" if "가" <= max(unit[-12:] or " ") <= "힣" or re.search("[가-힣]", unit[-30:]) else "j" if re.search("[ぁ-ヿ]", unit[-30:]) else "e" if re.search("[A-Za-z]", unit[-30:]) else "o"
     end = "E" if ended else kind if kind else "," if core.endswith(",") else "n"
@@ -120,7 +125,7 @@ def closings(text: str) -> list[str]:
     """How a short last paragraph without a final mark opens and closes; [] for other values."""
     t = text.rstrip()
     p = tail(t)
-    if not 0 < len(p) < min(60, len(t)) or ENDED.search(p) or LEFT.search(p) or "\n" in p:
+    if not 0 < len(p) < min(60, len(t)) or at_end(ENDED, p) or at_end(LEFT, p) or "\n" in p:
         return []
     return ["first " + " ".join(WORDS.findall(p)[:2]).lower(), "last " + p[-2:]]
 
@@ -142,7 +147,7 @@ def cut(text: str, rng: random.Random) -> str | None:
     piece = text[:i]
     if rng.random() < 0.9:
         piece = piece.rstrip()
-    if ENDED.search(piece):
+    if at_end(ENDED, piece):
         return None
     mark = rng.choice(MARKS)
     return piece + mark if ANY.search(piece) else None
@@ -152,9 +157,9 @@ def examples(texts: list[str], rng: random.Random) -> tuple[list[str], list[int]
     xs, ys = [], []
     for t in texts:
         whole = t.rstrip()
-        if not ANY.search(whole) or LEFT.search(whole):
+        if not ANY.search(whole) or at_end(LEFT, whole):
             continue
-        ended = ENDED.search(whole)
+        ended = at_end(ENDED, whole)
         if ended:
             xs.append(whole)
             ys.append(0)
@@ -170,7 +175,7 @@ def examples(texts: list[str], rng: random.Random) -> tuple[list[str], list[int]
                 xs.append(piece)
                 ys.append(0)
         last = parts[-1].split("\n")
-        if len(last) > 1 and all(not ENDED.search(x) for x in last[:-1]) and all(not x[:1].islower() for x in last):
+        if len(last) > 1 and all(not at_end(ENDED, x) for x in last[:-1]) and all(not x[:1].islower() for x in last):
             i = rng.randint(1, len(last) - 1)
             xs.append("\n\n".join([*parts[:-1], "\n".join(last[:i])]))
             ys.append(0)
@@ -234,7 +239,7 @@ def fit(texts: list[str], headings: list[bool] | None = None, seed: int = 7) ->
         ys.append(0)
     w = solve(rows, ys)
     # stored values without a final mark: those that the first model takes for whole, and those that close as many others do
-    unmarked = [t for t in body if ANY.search(tail(t)) and not ENDED.search(t.rstrip()) and not LEFT.search(t)]
+    unmarked = [t for t in body if ANY.search(tail(t)) and not at_end(ENDED, t.rstrip()) and not at_end(LEFT, t)]
     usual: dict[str, int] = {}
     for t in unmarked:
         for c in closings(t):
