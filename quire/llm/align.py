@@ -3,7 +3,7 @@
 Dynamic programming over beads: one to one, omissions on either side, merges and splits of two or three,
 and two neighbours that change places. A bead costs what its kind is rare and what the lengths of its
 sides depart from the ratio of the languages (a normal deviate, after Gale and Church); shared numbers
-and words that a lexicon pairs lower it. The lexicon and the length ratios are learned from sampled
+and words that a lexicon pairs lower it. The lexicon and the length ratios are learned from all
 pairs whose sides have equally many sentences. Sentences that the path leaves over, as when many were
 merged or one moved far, are paired with the sentence that holds most of their words.
 """
@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable
+from itertools import product
 
 from .langs import HANGUL, LETTER, refuses
 from .sentences import ODD, plain, segment
@@ -35,6 +37,8 @@ LEXICAL, EVEN = 7.0, 0.25
 LEAST, LEAST_MERGED, FAR = 0.10, 0.3, 0.5
 #: Likeness at which sentences that follow a pair are paired without search.
 SURE = 0.5
+#: Begins the keys of length sums; no word holds it.
+LENGTHS = "="
 #: Sentences that may lie between one run of sure pairs and the next for the gap to be searched by itself.
 RESUME = 6
 
@@ -83,39 +87,63 @@ def kind(sentence: str) -> str:
     return "j" if re.search("[ぁ-ヿ一-鿿]", sentence) else "e"
 
 
-def learn(pairs: list[tuple[str, str]], most: int = 4, least_count: int = 2) -> Lexicon:
-    """From (source sentence, Korean sentence) pairs."""
-    both: Counter = Counter()
-    left: Counter = Counter()
-    right: Counter = Counter()
-    lengths = defaultdict(list)
+def sums(pairs: Iterable[tuple[str, str]], counts: Counter) -> None:
+    """Adds to counts what learn() needs of (source sentence, Korean sentence) pairs: (v, w) pairs of words, (v, "") and ("", w) words of a side,
+    (LENGTHS + kind, n, a, b or q) pairs, letters of either side and thousandths of the squares of b over a."""
     for a, b in pairs:
         x, y = tokens(a), tokens(b)
-        left.update(x)
-        right.update(y)
-        both.update((v, w) for v in x for w in y)
-        lengths[kind(a)].append((letters(a), letters(b)))
-    n = max(1, len(pairs))
+        counts.update((v, "") for v in x)
+        counts.update(("", w) for w in y)
+        counts.update(product([v for v in x if not v[0].isdigit()], y))
+        k, la, lb = LENGTHS + kind(a), letters(a), letters(b)
+        counts[k, "n"] += 1
+        counts[k, "a"] += la
+        counts[k, "b"] += lb
+        counts[k, "q"] += lb * lb * 1000 // la
+
+
+def lengths_of(counts: Iterable[tuple[str, str, int]]) -> tuple[int, dict[str, tuple[float, float]]]:
+    """Pairs in all, and ratio and spread by kind, from the (LENGTHS + kind, name, sum) of sums()."""
+    by: dict[str, dict[str, int]] = defaultdict(dict)
+    for k, name, c in counts:
+        by[k[len(LENGTHS) :]][name] = c
+    ratio = {}
+    for k, t in by.items():
+        c = t["b"] / t["a"]
+        ratio[k] = (c, max(0.5, (t["q"] / 1000 - 2 * c * t["b"] + c * c * t["a"]) / t["n"]))
+    return sum(t["n"] for t in by.values()), ratio
+
+
+def lexicon(both: Iterable[tuple[str, str, int, int, int]], n: int, ratio: dict[str, tuple[float, float]], most: int = 4) -> Lexicon:
+    """From (word, Korean word, times together, times of the one, of the other) that pass related(), of n sentence pairs."""
     by: dict[str, list[tuple[float, str]]] = defaultdict(list)
-    for (v, w), c in both.items():
-        if c >= least_count and not v[0].isdigit():
-            s = c * c / (left[v] * right[w])
-            seen = c / left[v]
-            if (s > 0.03 and seen > 0.08) and c * n > 3.0 * left[v] * right[w]:
-                by[v].append((s, w))
+    left = {}
+    for v, w, c, x, y in both:
+        by[v].append((c * c / (x * y), w))
+        left[v] = x
     partners, weight = {}, {}
     for v, c in by.items():
         c.sort(reverse=True)
         top = c[0][0]
         partners[v] = [(w, min(1.0, 0.4 + 0.6 * s / top)) for s, w in c[:most] if s > 0.2 * top]
         weight[v] = min(1.0, 0.3 + top) * min(2.0, math.log1p(n / left[v]) / 3)
-    ratio = {}
-    for k, xy in lengths.items():
-        c = sum(b for _, b in xy) / sum(a for a, _ in xy)
-        ratio[k] = (c, max(0.5, sum((b - a * c) ** 2 / a for a, b in xy) / len(xy)))
     return Lexicon(partners, weight, ratio)
 
 
+def related(c, x, y, n):
+    """Whether words seen x and y times, c of them together, may be partners among n sentence pairs; of numbers or of columns."""
+    return (c >= 2) & (c * 1.0 * c / (x * 1.0 * y) > 0.03) & (c * 1.0 / x > 0.08) & (c * 1.0 * n > x * 3.0 * y)
+
+
+def learn(pairs: Iterable[tuple[str, str]]) -> Lexicon:
+    """From (source sentence, Korean sentence) pairs."""
+    counts: Counter = Counter()
+    sums(pairs, counts)
+    n, ratio = lengths_of((v, w, c) for (v, w), c in counts.items() if v.startswith(LENGTHS))
+    full = ((v, w, c, counts[v, ""], counts["", w]) for (v, w), c in counts.items() if v and w and not v.startswith(LENGTHS))
+    return lexicon((r for r in full if related(*r[2:], n)), n, ratio)
+
+
 def likeness(source: list[tuple[float, list[tuple[str, float]]]], korean: str) -> float:
     """Share of the source words' weight that the Korean text (without spaces) holds."""
     total = hit = 0.0
@@ -195,12 +223,20 @@ def _path(i0: int, n: int, j0: int, m: int, la: list[int], lb: list[int], like,
     return pairs
 
 
-def align(unit: str, text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
-    """(start of the unit's sentence, start of the Korean sentence) of the pairs."""
+def spans(unit: str, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Start and end of the sentences of either side."""
+    if SINGLE.fullmatch(unit) and SINGLE.fullmatch(text) and not HANGUL.search(unit):
+        return [(0, len(unit))], [(0, len(text))]
+    return segment(unit), segment(text)
+
+
+def align(unit: str, text: str, lexicon: Lexicon, at: tuple[list[tuple[int, int]], list[tuple[int, int]]] | None = None) -> list[tuple[int, int]]:
+    """(start of the unit's sentence, start of the Korean sentence) of the pairs; at: the spans, where they are known."""
     if SINGLE.fullmatch(unit) and SINGLE.fullmatch(text) and not HANGUL.search(unit):
         return [(0, 0)]
-    src = [(s, TAGS.sub("", unit[s:e]) if "<" in unit else unit[s:e]) for s, e in segment(unit)]
-    tgt = [(s, TAGS.sub("", text[s:e]) if "<" in text else text[s:e]) for s, e in segment(text)]
+    left, right = at or spans(unit, text)
+    src = [(s, TAGS.sub("", unit[s:e]) if "<" in unit else unit[s:e]) for s, e in left]
+    tgt = [(s, TAGS.sub("", text[s:e]) if "<" in text else text[s:e]) for s, e in right]
     same = {x for _, x in src} & {y for _, y in tgt}
     if same:
         src = [x for x in src if x[1] not in same]
@@ -273,24 +309,13 @@ def align(unit: str, text: str, lexicon: Lexicon) -> list[tuple[int, int]]:
     return sorted((src[x][0], tgt[y][0]) for x, y in kept)
 
 
-def sentence_pairs(unit: str | None, text: str | None, lexicon: Lexicon, copied) -> list[tuple[int, int]]:
-    """As align(), nothing for blank sides, texts that aren't Korean, refusals and copies."""
-    if not unit or not text or not HANGUL.search(text) or refuses(text) or copied(unit, text):
-        return []
-    return align(unit, text, lexicon)
+def alignable(unit: str | None, text: str | None, copied) -> bool:
+    """Not so blank sides, texts that aren't Korean, refusals and copies."""
+    return bool(unit and text and HANGUL.search(text) and not refuses(text) and not copied(unit, text))
 
 
-def training_pairs(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Sentence pairs of the rows whose sides have equally many sentences, three at most."""
-    out = []
-    for u, t in rows:
-        if not u or not t or not HANGUL.search(t) or refuses(t):
-            continue
-        a, b = segment(u), segment(t)
-        if len(a) == len(b) <= 3:
-            out.extend((plain(TAGS.sub("", u[s:e]))[0], plain(TAGS.sub("", t[x:y]))[0]) for (s, e), (x, y) in zip(a, b, strict=True))
-    return out
-
-
-def fit(rows: list[tuple[str, str]]) -> Lexicon:
-    return learn(training_pairs(rows))
+def training_pairs(unit: str, text: str, left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple[str, str]]:
+    """Sentence pairs of a row whose sides have equally many sentences, of others none."""
+    if len(left) != len(right):
+        return []
+    return [(plain(TAGS.sub("", unit[s:e]))[0], plain(TAGS.sub("", text[x:y]))[0]) for (s, e), (x, y) in zip(left, right, strict=True)]

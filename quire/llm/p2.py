@@ -2,43 +2,99 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .align import Lexicon, fit, sentence_pairs
-from .common import map_rows, table
+from .align import LENGTHS, Lexicon, align, alignable, lengths_of, lexicon, related, spans, sums, training_pairs
+from .common import map_rows, shared_dir
 from .langs import korean_share, mostly_korean
 from .p3 import copied, pairs
 
-#: Rows on which the lexicon and the length ratios are fitted, and the characters of a long one used for that.
-SAMPLE, SAMPLE_CHARS = 16000, 4000
+#: Entries that a task counts before it hands them on.
+HELD = 300_000
 
 
-def fit_lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
-    """From about SAMPLE pairs whose keys are picked by their hash, 2 x SAMPLE at most."""
-    n = max(table(spark, sf_dir, "translations").count(), 1)
-    short = (F.length("unit") <= SAMPLE_CHARS) & (F.length("text") <= SAMPLE_CHARS)
-    got = pairs(spark, sf_dir, min(1.0, SAMPLE / n)).where(short & ~F.col("heading")).select("unit", "text").limit(2 * SAMPLE).collect()
-    return fit(sorted((r.unit, r.text) for r in got))
+def segmented(rows: DataFrame) -> DataFrame:
+    """tr_id, unit, text of the rows of df(tr_id, unit, text) that can be aligned, and the starts and ends of the sentences of both by turns (src, tr). A narrow map."""
+
+    def same(u: str, t: str) -> bool:
+        return not mostly_korean(t) and korean_share(t) < 0.6 and copied(u, t)
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            kept, left, right = [], [], []
+            for n, (u, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if alignable(u, t, same):
+                    x, y = spans(u, t)
+                    kept.append(n)
+                    left.append([i for s in x for i in s])
+                    right.append([i for s in y for i in s])
+            whole = pa.list_(pa.int32())
+            few = b.take(pa.array(kept, pa.int32()))
+            return pa.RecordBatch.from_arrays([*few.columns, pa.array(left, whole), pa.array(right, whole)], ["tr_id", "unit", "text", "src", "tr"])
+
+        return run
+
+    return map_rows(rows.select("tr_id", "unit", "text"), make, "tr_id bigint, unit string, text string, src array<int>, tr array<int>")
+
+
+def by_twos(x: list[int]) -> list[tuple[int, int]]:
+    return list(zip(x[::2], x[1::2], strict=True))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """v, w, c: the sums of align.sums() over the rows of segmented() with equally many sentences on both sides, each distinct unit and text once.
+
+    A task counts until it holds HELD entries, then hands them on to be summed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v for v, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["v", "w", "c"])
+
+        for b in batches:
+            for u, t, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sums(training_pairs(u, t, by_twos(x), by_twos(y)), counts)
+                if len(counts) >= HELD:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    even = rows.where("size(src) = size(tr)").select("unit", "text", "src", "tr").dropDuplicates(["unit", "text"])
+    return even.mapInArrow(run, "v string, w string, c bigint").groupBy("v", "w").agg(F.sum("c").alias("c"))
+
+
+def fit_lexicon(rows: DataFrame) -> Lexicon:
+    """From all rows of segmented(). Only the words that may be partners, and the length sums, reach the driver."""
+    spark = rows.sparkSession
+    at = shared_dir(spark, "p2-counts")
+    counted(rows).write.parquet(at)
+    counts = spark.read.parquet(at)
+    lengths = F.col("v").startswith(LENGTHS)
+    n, ratio = lengths_of([tuple(r) for r in counts.where(lengths).select("v", "w", "c").collect()])
+    left = counts.where("w = ''").select("v", F.col("c").alias("x"))
+    right = counts.where("v = ''").select("w", F.col("c").alias("y"))
+    both = counts.where((F.col("v") != "") & (F.col("w") != "") & ~lengths & (F.col("c") >= 2)).join(left, "v").join(right, "w")
+    return lexicon((tuple(r) for r in both.where(related(F.col("c"), F.col("x"), F.col("y"), n)).select("v", "w", "c", "x", "y").collect()), n, ratio)
 
 
 def aligned(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """tr_id, src_start, tr_start of every pair in df(tr_id, unit, text). A narrow map; the lexicon is bounded by the sample it is fitted on."""
+    """tr_id, src_start, tr_start of every pair in df(tr_id, unit, text), or in what segmented() makes of it. A narrow map."""
     shared = rows.sparkSession.sparkContext.broadcast((lexicon.partners, lexicon.weight, lexicon.ratio))
 
-    def same(u: str, t: str) -> bool:
-        return not mostly_korean(t) and korean_share(t) < 0.6 and copied(u, t)
-
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         lex = Lexicon(*shared.value)
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             ids, left, right = [], [], []
-            for i, u, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for x, y in sentence_pairs(u, t, lex, same):
+            for i, u, t, p, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for x, y in align(u, t, lex, (by_twos(p), by_twos(q))):
                     ids.append(i)
                     left.append(x)
                     right.append(y)
@@ -46,9 +102,13 @@ def aligned(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 
         return run
 
-    return map_rows(rows.select("tr_id", "unit", "text"), make, "tr_id bigint, src_start int, tr_start int")
+    rows = rows if "src" in rows.columns else segmented(rows)
+    return map_rows(rows.select("tr_id", "unit", "text", "src", "tr"), make, "tr_id bigint, src_start int, tr_start int")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraph rows only: headings have no sentences to pair."""
-    return aligned(pairs(spark, sf_dir).where("NOT heading"), fit_lexicon(spark, sf_dir))
+    """Paragraph rows only: headings have no sentences to pair. Both sides are segmented once and stored, then counted, then aligned."""
+    at = shared_dir(spark, "p2-segmented")
+    segmented(pairs(spark, sf_dir).where("NOT heading")).write.parquet(at)
+    rows = spark.read.parquet(at)
+    return aligned(rows, fit_lexicon(rows))

@@ -1,7 +1,8 @@
 from __future__ import annotations
 
-from quire.llm import p3
-from quire.llm.align import Lexicon, align, learn
+from quire.llm import p2, p3
+from quire.llm.align import Lexicon, align, learn, training_pairs
+from quire.llm.align import spans as align_spans
 from quire.llm.langs import korean_share, language, refuses
 from quire.llm.p2 import aligned
 
@@ -69,3 +70,17 @@ def test_copies_of_each_size_against_plain_comparison():
                 assert p3.copied(a, b.lower())
     assert not p3.copied(texts[0], "Der alte Mann ging langsam nach Hause und sagte nichts mehr zu den Kindern im Hof.")
     assert p3.copied("XXV. Photograph", "XXV. Photograph") and not p3.copied("XXV. Photograph", "XXVI. Umbrella")
+
+
+def test_lexicon_counts_every_row_once(spark, monkeypatch):
+    """A word of two units among thousands of others has its partner, wherever they stand and however many sentences they have; copies add nothing."""
+    monkeypatch.setattr(p2, "SAMPLE", 100, raising=False)
+    filler = [(i, f"The dog {a} at {i}.", f"개가 {i}에서 {b}.") for i in range(2000) for a, b in [("barked", "짖었다") if i % 2 else ("laughed", "웃었다")]]
+    rare = [(5000, "The wren fell. Snow covered it. The lamp fell. The zither fell.", "렌무어가 떨어졌다. 눈이 뒤덮었다. 등잔이 떨어졌다. 치터가 떨어졌다."), (5001, "The zither rolled.", "치터가 굴러갔다.")]
+    df = spark.createDataFrame(filler + rare, "tr_id bigint, unit string, text string")
+    lex = p2.fit_lexicon(p2.segmented(df))
+    assert lex.partners["zither"][0][0] == "치터"
+    assert p2.fit_lexicon(p2.segmented(df.union(df))).partners == lex.partners
+    long = [(u, t, *align_spans(u, t)) for _, u, t in filler + rare]
+    local = learn([x for r in long for x in training_pairs(*r)])
+    assert (local.partners, local.weight, local.ratio) == (lex.partners, lex.weight, lex.ratio)
