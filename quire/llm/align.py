@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable
+from functools import lru_cache
 from itertools import product
 
 from .langs import HANGUL, LETTER, refuses
@@ -41,6 +42,14 @@ SURE = 0.5
 LENGTHS = "="
 #: Sentences that may lie between one run of sure pairs and the next for the gap to be searched by itself.
 RESUME = 6
+#: Cells of a gap up to which all of its paths are searched, and the band beside the difference in sentences from which the search of a larger one starts.
+FULL, BAND = 40_000, 16
+
+
+@lru_cache(100_000)
+def bare(word: str) -> str:
+    """A Korean word without its particle."""
+    return JOSA.sub("", word) or word if len(word) > 1 else word
 
 
 def tokens(sentence: str) -> list[str]:
@@ -48,8 +57,7 @@ def tokens(sentence: str) -> list[str]:
     for w in WORD.findall(sentence):
         c = w[0]
         if "가" <= c <= "힣":
-            b = JOSA.sub("", w) if len(w) > 1 else w
-            out.append(b or w)
+            out.append(bare(w))
         elif c.isdigit():
             out.append(w)
         else:
@@ -157,10 +165,23 @@ def likeness(source: list[tuple[float, list[tuple[str, float]]]], korean: str) -
 
 
 def _path(i0: int, n: int, j0: int, m: int, la: list[int], lb: list[int], like, length) -> set[tuple[int, int]]:
-    """Pairs on the cheapest path of beads through source sentences i0..n and Korean sentences j0..m."""
+    """Pairs on the cheapest path of beads through source sentences i0..n and Korean sentences j0..m.
+
+    Up to FULL cells the whole matrix is searched; of a larger one a band, doubled until the path keeps a bead's length clear of its edge or the band holds all.
+    """
+    rows, cols = n - i0, m - j0
+    wide = cols if rows * cols <= FULL else abs(rows - cols) + BAND
+    while True:
+        pairs, drift = _banded(i0, n, j0, m, la, lb, like, length, wide)
+        if wide >= cols or drift + 4 <= wide:
+            return pairs
+        wide = min(2 * wide, cols)
+
+
+def _banded(i0: int, n: int, j0: int, m: int, la: list[int], lb: list[int], like, length, wide: int) -> tuple[set[tuple[int, int]], float]:
+    """Pairs on the cheapest path no more than wide columns off the straight diagonal, and how far it goes off."""
     rows, cols = n - i0, m - j0
     inf = float("inf")
-    wide = abs(rows - cols) + 4
     at = [[like(i0 + x, j0 + y) if abs(y - x * cols / rows) <= wide + 3 else 0.0 for y in range(cols)] for x in range(rows)]
     best = [[inf] * (cols + 1) for _ in range(rows + 1)]
     back: list[list[tuple | None]] = [[None] * (cols + 1) for _ in range(rows + 1)]
@@ -203,8 +224,9 @@ def _path(i0: int, n: int, j0: int, m: int, la: list[int], lb: list[int], like,
                         best[r + 2][k + 2] = cost
                         back[r + 2][k + 2] = (2, 2, True)
     pairs: set[tuple[int, int]] = set()
-    r, k = rows, cols
+    r, k, drift = rows, cols, 0.0
     while r or k:
+        drift = max(drift, abs(k - (r * cols / rows if rows else 0)))
         step = back[r][k]
         if step is None:
             break
@@ -220,7 +242,7 @@ def _path(i0: int, n: int, j0: int, m: int, la: list[int], lb: list[int], like,
                 pairs.add((i, j))
         else:
             pairs |= {(x, y) for x in range(i, i + a) for y in range(j, j + b) if like(x, y) >= LEAST_MERGED}
-    return pairs
+    return pairs, drift
 
 
 def spans(unit: str, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:

@@ -84,3 +84,17 @@ def test_lexicon_counts_every_row_once(spark, monkeypatch):
     long = [(u, t, *align_spans(u, t)) for _, u, t in filler + rare]
     local = learn([x for r in long for x in training_pairs(*r)])
     assert (local.partners, local.weight, local.ratio) == (lex.partners, lex.weight, lex.ratio)
+
+
+def test_drift_that_evens_out(monkeypatch):
+    """The first sentences are left out and as many are added at the end: the pairs between lie far off the diagonal."""
+    n, off = 60, 9
+    words = [chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(n)]
+    korean = [chr(0xAC00 + 28 * 5 * i) + "룡" for i in range(n)]
+    lex = Lexicon({w: [(k, 1.0)] for w, k in zip(words, korean, strict=True)} | {"zzz": [("없는말", 1.0)]}, {w: 0.45 for w in words} | {"zzz": 0.55}, {"e": (0.6, 3.0)})
+    u = " ".join(f"{w.title()} zzz went." for w in words)
+    t = " ".join([f"{k} 갔다." for k in korean[off:]] + ["새가 울었다."] * off)
+    for full in (40_000, 0):
+        monkeypatch.setattr("quire.llm.align.FULL", full, raising=False)
+        found = {(u[a : a + 3].lower(), t[b : b + 2]) for a, b in align(u, t, lex)}
+        assert found >= set(zip(words[off:], korean[off:], strict=True))
