@@ -10,28 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, spread, table
-from .subjects import Model, dealt_with, fit, least
+from .maximized import maximize
+from .subjects import Model, dealt_with, least
 
-#: Labelled rows and unlabelled documents on which the classifier is fitted, and the characters of a long one used for that; every document is classified whole.
-LABELLED, UNLABELLED, FIT_CHARS = 20000, 7000, 20000
+#: Labelled rows on which the classifier is fitted, at most; it is refined over all documents.
+LABELLED = 20000
 
 
 def fit_model(docs: DataFrame, samples: DataFrame, subjects: DataFrame) -> Model:
-    """The classifier from at most LABELLED samples and about UNLABELLED documents picked by a hash of their ids; the subjects are a fixed small table."""
+    """The classifier from at most LABELLED samples and all documents; the subjects are a fixed small table."""
     names = sorted(r.subject for r in subjects.where("subject IS NOT NULL AND subject <> 'none'").select("subject").distinct().limit(1000).collect())
-    labelled = samples.where("subject IS NOT NULL AND text IS NOT NULL").select("subject", F.expr(f"left(text, {FIT_CHARS})").alias("t")).limit(LABELLED).collect()
-    n = docs.count()
-    grid = 1 << 24
-    picked = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < int(min(1.0, UNLABELLED / max(n, 1)) * grid) + 1))
-    got = picked.select(F.expr(f"left(text, {FIT_CHARS})").alias("t"), "form").limit(2 * UNLABELLED).collect()
-    got.sort(key=lambda r: (r.t, r.form or ""))
-    return fit(sorted((r.subject, r.t) for r in labelled), [(r.t, r.form) for r in got], names)
+    labelled = samples.where("subject IS NOT NULL AND text IS NOT NULL").select("subject", "text").limit(LABELLED).collect()
+    return maximize(spread(docs.select("text", "form")), sorted((r.subject, r.text) for r in labelled), names)
 
 
 def subject_rows(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, subject, n_sentences, n_hits, posterior for every subject that some sentence of df(doc_id, text, form) deals with, and deals for those with enough (first: the first such of its document).
 
-    The model is bounded by the samples it is fitted on. A narrow map; null and blank texts have no subject.
+    The model holds the stems that weigh something. A narrow map; null and blank texts have no subject.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.slope, model.offset))
 

@@ -207,6 +207,26 @@ def complement(held: np.ndarray, total: np.ndarray, docs: np.ndarray, all_docs:
     return np.where((w > 0).sum(1, keepdims=True) > 2, 0.0, w)
 
 
+def curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the posterior on the labelled sentences' evidence (columns: subjects), each against every subject."""
+    x, t = z.ravel(), y.ravel()
+    a, b = 1.0, -1.5
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        d = p * (1 - p) + 1e-6
+        grad = np.array([np.sum((p - t) * x) + 0.01 * a, np.sum(p - t)])
+        hess = np.array([[np.sum(d * x * x) + 0.01, np.sum(d * x)], [np.sum(d * x), np.sum(d) + 1e-9]])
+        step = np.linalg.solve(hess, grad)
+        a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
+    return max(a, 0.2), b
+
+
+def expected(speak: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How far documents (rows) of size sentences, speak of which speak for a subject (column), count for it."""
+    gamma = 1 / (1 + np.exp(-1.6 * (speak - np.maximum(NEEDED, 0.14 * size)[:, None])))
+    return gamma / np.maximum(1.0, gamma.sum(1, keepdims=True) / MOST)
+
+
 def fit(labelled: list[tuple[str, str]], unlabelled: list[tuple[str, str | None]], names: list[str], rounds: int = 8, alpha: float = 0.6) -> Model:
     """From (subject, text) rows, subject 'none' for no subject, and (text, form) documents. Without rows the model finds nothing."""
     k = {s: i for i, s in enumerate(names)}
@@ -259,25 +279,15 @@ def fit(labelled: list[tuple[str, str]], unlabelled: list[tuple[str, str | None]
         w[seen < 2] = 0
         z = np.stack([np.bincount(sent_of, w[:, j][flat], ns) for j in range(n)], 1)
         speak = np.stack([np.bincount(doc_of, z[:, j] >= DEALS_FROM, nd) for j in range(n)], 1)
-        gamma = np.where(sample[:, None], gamma, 1 / (1 + np.exp(-1.6 * (speak - np.maximum(NEEDED, 0.14 * size)[:, None]))))
-        gamma /= np.maximum(1.0, gamma.sum(1, keepdims=True) / MOST)
-    # posterior curve on the labelled sentences, each against every subject
+        gamma = np.where(sample[:, None], gamma, expected(speak, size))
     z = z[known]
     y = np.zeros_like(z)
     rows = np.flatnonzero(label_of[known] < n)
     y[rows, label_of[known][rows]] = z[rows, label_of[known][rows]] > 0
-    x, t = z.ravel(), y.ravel()
-    a, b = 1.0, -1.5
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        d = p * (1 - p) + 1e-6
-        grad = np.array([np.sum((p - t) * x) + 0.01 * a, np.sum(p - t)])
-        hess = np.array([[np.sum(d * x * x) + 0.01, np.sum(d * x)], [np.sum(d * x), np.sum(d) + 1e-9]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
+    a, b = curve(z, y)
     keep = np.flatnonzero(w.any(1))
     names_of = list(vocabulary)
-    return Model(names, {names_of[i]: [(int(j), float(w[i, j])) for j in np.flatnonzero(w[i])] for i in keep}, max(a, 0.2), b)
+    return Model(names, {names_of[i]: [(int(j), float(w[i, j])) for j in np.flatnonzero(w[i])] for i in keep}, a, b)
 
 
 def dealt_with(model: Model, text: str | None, form: str | None, over: float = 0.5) -> tuple[int, np.ndarray, np.ndarray]:

@@ -124,3 +124,17 @@ def test_queries_run_on_the_smallest_tables(spark):
     assert set(SQL) <= set(QUERIES)
     for name, f in QUERIES.items():
         assert f(spark, DIR).count() >= 0, name
+
+
+def test_subjects_are_refined_over_every_document(spark, monkeypatch):
+    """As subjects.fit() over all documents, so that no document is left out."""
+    for name in ("UNLABELLED", "FIT_CHARS"):
+        monkeypatch.setattr(p9, name, 100, raising=False)
+    docs, samples, names = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "subject_samples", "subjects"))
+    docs = docs.union(docs.withColumn("doc_id", docs.doc_id + 1000000))
+    m = p9.fit_model(docs, samples, names)
+    got = docs.where("text <> ''").select("text", "form").collect()
+    whole = subjects.fit(sorted((r.subject, r.text) for r in samples.collect()), [(r.text, r.form) for r in got], m.names)
+    same = [k for k in whole.weights if k in m.weights and [j for j, _ in whole.weights[k]] == [j for j, _ in m.weights[k]]]
+    assert len(same) > 0.99 * max(len(whole.weights), len(m.weights)) > 0
+    assert abs(m.slope - whole.slope) < 0.01 and abs(m.offset - whole.offset) < 0.01
