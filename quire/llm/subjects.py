@@ -173,9 +173,14 @@ class Model:
         """The stems of a sentence that weigh something: as in stems(), but without making the others."""
         key = script(sentence)
         s = uncompared(sentence, key)
-        found = KO.findall(s) if key == "k" else JA.findall(s) if key == "j" else EN.findall(s.lower())
+        found = KO.findall(s) if key == "k" else JA.findall(s) if key == "j" else EN.findall(s)
+        if key == "e":  # names are passed over and part their neighbours
+            found = [unicodedata.normalize("NFC", x.lower()) if not i or not x[0].isupper() else "" for i, x in enumerate(found)]
         get, w, out, lead = self.bare[key].get, self.weights, set(), None
         for x in found:
+            if not x:
+                lead = None
+                continue
             e = get(x) or self.known(key, x)
             if lead is None and e[3]:
                 continue

@@ -138,3 +138,10 @@ def test_subjects_are_refined_over_every_document(spark, monkeypatch):
     same = [k for k in whole.weights if k in m.weights and [j for j, _ in whole.weights[k]] == [j for j, _ in m.weights[k]]]
     assert len(same) > 0.99 * max(len(whole.weights), len(m.weights)) > 0
     assert abs(m.slope - whole.slope) < 0.01 and abs(m.offset - whole.offset) < 0.01
+
+
+def test_scoring_sees_the_stems_that_learning_sees():
+    for t in ("The judge met Bishop Law at court, where law and Court law were read.", "Umberly looked at a Boiler as one looks at a boiler.", "홀데인은 보일러를 고쳤다.", "エロワーズは旋盤を直した。"):
+        known = set(subjects.stems(t)) | set(subjects.stems(t.lower()))
+        m = subjects.Model(["x"], {k: [(0, 1.0)] for k in known}, 1.0, 0.0)
+        assert m.hits(t) == set(subjects.stems(t)), t
