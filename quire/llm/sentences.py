@@ -151,7 +151,7 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
                 continue
         if kind == "gap":
             if not stack and ends(p[max(start, s - 11) : s + 1]) and not continues(p[e : e + 12]):
-                out.append((start, s + 1))
+                out.append((base + start, base + s + 1))
                 start = e
             continue
         popped = None

@@ -88,3 +88,10 @@ def test_very_long_texts_take_linear_time(t):
 
     took(1000)
     assert took(120_000) < 2.0
+
+
+def test_gap_in_a_later_paragraph():
+    from quire.llm.sentences import segment
+
+    t = "前の段落。\n\n猫が来た　犬が行った。"
+    assert [t[a:b] for a, b in segment(t)] == ["前の段落。", "猫が来た", "犬が行った。"]
