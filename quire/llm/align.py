@@ -1,21 +1,25 @@
 """Sentence alignment of a unit with its Korean text (problem 2).
 
-Dynamic programming over beads: one to one, omissions on either side, merges and splits of two or three,
-and two neighbours that change places. A bead costs what its kind is rare and what the lengths of its
-sides depart from the ratio of the languages (a normal deviate, after Gale and Church); shared numbers
-and words that a lexicon pairs lower it. The lexicon and the length ratios are learned from all
-pairs whose sides have equally many sentences. Sentences that the path leaves over, as when many were
-merged or one moved far, are paired with the sentence that holds most of their words.
+Length-based dynamic programming: the cheapest path over beads, namely one to one, omissions on either side,
+merges and splits, and two neighbours that change places. A bead costs the negative log of how likely the
+lengths of its sides are (a normal deviate of the languages' ratio, after Gale and Church, mixed with a few
+strays) and of how rare its kind is; shared numbers and words that a lexicon pairs lower it. All paths are
+searched, of every row and whatever its length: rows of like size go through the table together, a row of it
+at a time in numpy; of a table larger than CELLS only every so many rows are kept and the others are made
+again on the way back. The lexicon and the length ratios are learned from all pairs whose sides have equally
+many sentences. What no path of neighbours can express, sentences moved far or merged by the dozen, is looked
+up afterwards: a sentence left over joins the one that holds most of its words.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable
-from functools import lru_cache
-from itertools import product
+
+import ahocorasick
+import numpy as np
 
 from .langs import HANGUL, LETTER, refuses
 from .sentences import ODD, plain, segment
@@ -23,52 +27,115 @@ from .subjects import JOSA, TAGS
 
 WORD = re.compile(r"[A-Za-zÀ-ɏ]+|[가-힣]+|[一-鿿々]+|[ァ-ヺー]+|[ぁ-ん]{2,}|\d+(?:[.,]\d+)*")
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-SPACE = re.compile(r"\s+")
 DIGIT = re.compile(r"\d")
-#: Text of one sentence at sight: no mark before its last.
-SINGLE = re.compile(r"[^\s.!?…。！？“”‘’\"「」『』()（）<>\[\]—―–\-:][^.!?…。！？“”‘’\"「」『』()（）<>\[\]—―–:\n\u2000-\u200f]*[.!?。！？]")
+#: Text of one sentence at sight, whatever the rules: no mark before its last.
+SINGLE = re.compile(r"[^\s.!?…。！？“”‘’\"「」『』()（）<>\[\]—―–\-:][^.!?…。！？“”‘’\"「」『』()（）<>\[\]—―–:\n -‏]*[.!?。！？]")
 PLAIN = frozenset("the a an and of to in on at by for from with was were is had has have that this it he she they as i you his her no not be been there".split())
-#: Beads (source sentences, Korean sentences) and the cost of their kind.
-BEADS = {(1, 1): 0.0, (1, 0): 3.2, (0, 1): 3.6, (2, 1): 1.6, (1, 2): 1.8, (3, 1): 2.6, (1, 3): 3.4, (2, 2): 4.5, (4, 1): 3.2}
-KINDS = [(a, b, c) for (a, b), c in BEADS.items()]
-SWAP = 2.0
+#: Beads (source sentences, Korean sentences) and the cost of their kind; SWAP is that of two neighbours that change places.
+BEADS = ((0, 1, 3.6), (1, 0, 3.2), (1, 1, 0.0), (1, 2, 1.8), (1, 3, 3.4), (2, 1, 1.6), (2, 2, 4.5), (3, 1, 2.6), (4, 1, 3.2))
+SWAP, SWAP_FROM = 2.0, 0.6
+#: Weight of the length term, and the share of strays that its normal distribution is mixed with.
+LENGTH, STRAYS = 1.0, math.exp(-5.0)
 #: Weight of the lexical likeness in a bead, and the likeness at which it counts neither for nor against.
 LEXICAL, EVEN = 7.0, 0.25
-#: Likeness that a pair needs at least, and that a pair off the path needs.
+#: Likeness that a pair of one, and of a larger bead, needs at least, and that a pair off the path needs.
 LEAST, LEAST_MERGED, FAR = 0.10, 0.3, 0.5
-#: Likeness at which sentences that follow a pair are paired without search.
-SURE = 0.5
 #: Begins the keys of length sums; no word holds it.
 LENGTHS = "="
-#: Sentences that may lie between one run of sure pairs and the next for the gap to be searched by itself.
-RESUME = 6
-#: Cells of a gap up to which all of its paths are searched, and the band beside the difference in sentences from which the search of a larger one starts.
-FULL, BAND = 40_000, 16
+#: Cells of a table that are held at once, and pairs of words.
+CELLS, PRODUCTS = 2_000_000, 3_000_000
 
 
-@lru_cache(100_000)
-def bare(word: str) -> str:
-    """A Korean word without its particle."""
-    return JOSA.sub("", word) or word if len(word) > 1 else word
+def letters(s: str) -> int:
+    return max(1, len(s))
 
 
-def tokens(sentence: str) -> list[str]:
-    out = []
-    for w in WORD.findall(sentence):
-        c = w[0]
-        if "가" <= c <= "힣":
-            out.append(bare(w))
-        elif c.isdigit():
-            out.append(w)
-        else:
-            w = w.lower()
-            if w not in PLAIN:
-                out.append(w)
-    return list(dict.fromkeys(out))
+def kind(sentence: str) -> str:
+    return "j" if re.search("[ぁ-ヿ一-鿿]", sentence) else "e"
 
 
-def letters(s: str) -> int:
-    return max(1, len(s))
+# ---- lexicon
+
+
+class Tally:
+    """Counts what the lexicon needs of (source sentence, Korean sentence) pairs; out() gives (v, w, n) and empties it.
+
+    (v, w) are pairs of words, (v, "") and ("", w) words of a side, (LENGTHS + kind, n, a, b or q) pairs, letters of either side and thousandths of the squares of b over a.
+    """
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.id: dict[str, int] = {}
+        self.names: list[str] = []
+        self.raw: dict[str, int] = {}
+        self.xs: list[int] = []
+        self.ys: list[int] = []
+        self.nx: list[int] = []
+        self.ny: list[int] = []
+        self.lengths: dict[tuple[str, str], int] = defaultdict(int)
+        self.size = 0
+
+    def number(self, word: str) -> int:
+        c = word[0]
+        if "가" <= c <= "힣":
+            w = JOSA.sub("", word) or word if len(word) > 1 else word
+        else:
+            w = word if c.isdigit() else word.lower()
+        i = -1
+        if w not in PLAIN:
+            i = self.id.get(w, len(self.names))
+            if i == len(self.names):
+                self.id[w] = i
+                self.names.append(w)
+        self.raw[word] = i
+        return i
+
+    def add(self, a: str, b: str) -> None:
+        raw, number = self.raw, self.number
+        x = {raw[w] if w in raw else number(w) for w in WORD.findall(a)}
+        y = {raw[w] if w in raw else number(w) for w in WORD.findall(b)}
+        x.discard(-1)
+        y.discard(-1)
+        self.xs += x
+        self.ys += y
+        self.nx.append(len(x))
+        self.ny.append(len(y))
+        self.size += len(x) * len(y)
+        k, la, lb, t = LENGTHS + kind(a), letters(a), letters(b), self.lengths
+        t[k, "n"] += 1
+        t[k, "a"] += la
+        t[k, "b"] += lb
+        t[k, "q"] += lb * lb * 1000 // la
+
+    def full(self) -> bool:
+        return self.size > PRODUCTS or len(self.raw) > PRODUCTS // 4
+
+    def out(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[tuple[str, str, int]]]:
+        """Names, then places in them of v and w (the last name is empty) with their counts, and the length sums as they are."""
+        none = len(self.names)
+        x, y = np.array(self.xs, np.int64), np.array(self.ys, np.int64)
+        nx, ny = np.array(self.nx, np.int64), np.array(self.ny, np.int64)
+        digit = np.array([w[0].isdigit() for w in self.names] or [False], bool)
+        sent = np.repeat(np.arange(len(nx)), nx)
+        own = ~digit[x] if len(x) else np.zeros(0, bool)
+        px, ps = x[own], sent[own]
+        each = ny[ps]
+        total = int(each.sum())
+        first = np.cumsum(ny) - ny
+        inner = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
+        codes = np.repeat(px, each) << 32 | y[np.repeat(first[ps], each) + inner] if total else np.zeros(0, np.int64)
+        pair, c = np.unique(codes, return_counts=True)
+        one = np.bincount(x, minlength=none) if none else np.zeros(0, np.int64)
+        two = np.bincount(y, minlength=none) if none else np.zeros(0, np.int64)
+        i, j = np.flatnonzero(one), np.flatnonzero(two)
+        v = np.concatenate([pair >> 32, i, np.full(len(j), none)])
+        w = np.concatenate([pair & 0xFFFFFFFF, np.full(len(i), none), j])
+        n = np.concatenate([c, one[i], two[j]])
+        got = ([*self.names, ""], v, w, n, [(k, s, t) for (k, s), t in sorted(self.lengths.items())])
+        self.clear()
+        return got
 
 
 class Lexicon:
@@ -76,42 +143,29 @@ class Lexicon:
 
     def __init__(self, partners: dict[str, list[tuple[str, float]]], weight: dict[str, float], ratio: dict[str, tuple[float, float]]) -> None:
         self.partners, self.weight, self.ratio = partners, weight, ratio
-
-        self.entries = {w: (weight.get(w, 1.0), p) for w, p in partners.items()}
-
-    def source(self, sentence: str) -> list[tuple[float, list[tuple[str, float]]]]:
-        """Weight and partners of the sentence's words; a number is its own partner."""
-        out, entries = [], self.entries
-        for w in set(WORD.findall(sentence.lower())):
-            e = entries.get(w)
-            if e:
-                out.append(e)
-            elif w[0].isdigit():
-                out.append((1.5, [("<" + w + ">", 1.0)]))
+        #: source word -> its weight and its partners with their share of it, the strongest first
+        self.entries = {w: (weight.get(w, 1.0), [(k, weight.get(w, 1.0) * s) for k, s in p]) for w, p in partners.items()}
+        self.korean = ahocorasick.Automaton()
+        for w in {w for p in partners.values() for w, _ in p}:
+            self.korean.add_word(w, w)
+        if len(self.korean):
+            self.korean.make_automaton()
+
+    def found(self, sentence: str) -> set[str]:
+        """The partners, and the numbers between < and >, that a Korean sentence holds, its spaces left out."""
+        dense = "".join(sentence.split())
+        if DIGIT.search(dense):
+            dense = NUMBER.sub(r"<\g<0>>", dense)
+            out = {f"<{x}>" for x in NUMBER.findall(dense)}
+        else:
+            out = set()
+        if len(self.korean):
+            out.update([w for _, w in self.korean.iter(dense)])
         return out
 
 
-def kind(sentence: str) -> str:
-    return "j" if re.search("[ぁ-ヿ一-鿿]", sentence) else "e"
-
-
-def sums(pairs: Iterable[tuple[str, str]], counts: Counter) -> None:
-    """Adds to counts what learn() needs of (source sentence, Korean sentence) pairs: (v, w) pairs of words, (v, "") and ("", w) words of a side,
-    (LENGTHS + kind, n, a, b or q) pairs, letters of either side and thousandths of the squares of b over a."""
-    for a, b in pairs:
-        x, y = tokens(a), tokens(b)
-        counts.update((v, "") for v in x)
-        counts.update(("", w) for w in y)
-        counts.update(product([v for v in x if not v[0].isdigit()], y))
-        k, la, lb = LENGTHS + kind(a), letters(a), letters(b)
-        counts[k, "n"] += 1
-        counts[k, "a"] += la
-        counts[k, "b"] += lb
-        counts[k, "q"] += lb * lb * 1000 // la
-
-
 def lengths_of(counts: Iterable[tuple[str, str, int]]) -> tuple[int, dict[str, tuple[float, float]]]:
-    """Pairs in all, and ratio and spread by kind, from the (LENGTHS + kind, name, sum) of sums()."""
+    """Pairs in all, and ratio and spread by kind, from the (LENGTHS + kind, name, sum) of a tally."""
     by: dict[str, dict[str, int]] = defaultdict(dict)
     for k, name, c in counts:
         by[k[len(LENGTHS) :]][name] = c
@@ -145,104 +199,252 @@ def related(c, x, y, n):
 
 def learn(pairs: Iterable[tuple[str, str]]) -> Lexicon:
     """From (source sentence, Korean sentence) pairs."""
-    counts: Counter = Counter()
-    sums(pairs, counts)
-    n, ratio = lengths_of((v, w, c) for (v, w), c in counts.items() if v.startswith(LENGTHS))
-    full = ((v, w, c, counts[v, ""], counts["", w]) for (v, w), c in counts.items() if v and w and not v.startswith(LENGTHS))
+    tally = Tally()
+    for a, b in pairs:
+        tally.add(a, b)
+    names, v, w, c, lengths = tally.out()
+    counts = {(names[i], names[j]): int(k) for i, j, k in zip(v, w, c, strict=True)}
+    n, ratio = lengths_of(lengths)
+    full = ((v, w, c, counts[v, ""], counts["", w]) for (v, w), c in counts.items() if v and w)
     return lexicon((r for r in full if related(*r[2:], n)), n, ratio)
 
 
-def likeness(source: list[tuple[float, list[tuple[str, float]]]], korean: str) -> float:
-    """Share of the source words' weight that the Korean text (without spaces) holds."""
-    total = hit = 0.0
-    for w, partners in source:
-        total += w
-        for p, s in partners:  # the strongest first
-            if p in korean:
-                hit += w * s
-                break
-    return hit / total if total else 0.0
-
+# ---- one row
+
+
+class Row:
+    """The sentences of a row that can have partners: starts and lengths of either side, and how alike which of them are."""
+
+    __slots__ = ("at", "c", "known", "la", "lb", "like", "src", "tgt", "var")
+
+    def __init__(self, unit: str, text: str, left: list[tuple[int, int]], right: list[tuple[int, int]], lex: Lexicon) -> None:
+        tags = "<" in unit or "<" in text
+        src = [(s, TAGS.sub("", unit[s:e]) if tags else unit[s:e]) for s, e in left]
+        tgt = [(s, TAGS.sub("", text[s:e]) if tags else text[s:e]) for s, e in right]
+        if len(src) > 1 or len(tgt) > 1 or not HANGUL.search(unit):
+            same = {x for _, x in src} & {y for _, y in tgt}
+            if same:
+                src = [x for x in src if x[1] not in same]
+                tgt = [y for y in tgt if y[1] not in same]
+        odd = bool(ODD.search(text)) or bool(ODD.search(unit))
+        if odd:
+            tgt = [(s, plain(y)[0]) for s, y in tgt]
+        tgt = [(s, y) for s, y in tgt if HANGUL.search(y)]
+        src = [(s, plain(x)[0] if odd else x) for s, x in src if LETTER.search(x) or DIGIT.search(x)]
+        self.src, self.tgt = [s for s, _ in src], [s for s, _ in tgt]
+        self.la, self.lb = [letters(x) for _, x in src], [letters(y) for _, y in tgt]
+        self.c, self.var = lex.ratio.get(kind(unit), (0.5, 3.0))
+        where: dict[str, list[int]] = {}
+        for j, (_, y) in enumerate(tgt):
+            for w in lex.found(y):
+                where.setdefault(w, []).append(j)
+        #: share of the source words' weight that the Korean sentence holds, by (source, Korean) sentence, where it isn't nought
+        self.like: dict[tuple[int, int], float] = {}
+        self.known: list[bool] = []
+        entries, get, m = lex.entries.get, where.get, len(tgt)
+        for i, (_, x) in enumerate(src):
+            total, row = 0.0, {}
+            for w in set(WORD.findall(x.lower())):
+                e = entries(w)
+                if e:
+                    total += e[0]
+                    hit = None
+                    for p, v in e[1]:
+                        js = get(p)
+                        if js is None:
+                            continue
+                        if hit is not None:
+                            js = [j for j in js if j not in hit]
+                        for j in js:
+                            row[j] = row.get(j, 0.0) + v
+                        hit = js if hit is None else hit + js
+                        if len(hit) == m:
+                            break
+                elif w[0].isdigit():
+                    total += 1.5
+                    for j in get(f"<{w}>", ()):
+                        row[j] = row.get(j, 0.0) + 1.5
+            self.known.append(total > 0)
+            for j, v in row.items():
+                self.like[i, j] = v / total
+
+
+def likeness(r: Row, i: int, j: int) -> float:
+    return r.like.get((i, j), 0.0) if r.known[i] else EVEN
+
+
+# ---- the table
+
+
+def _dense(rows: list[Row], r0: int, r1: int, cols: int) -> np.ndarray:
+    """Likeness of the source sentences r0..r1 (nought beyond the last) with all Korean ones: rows x sentences x sentences."""
+    at = np.zeros((len(rows), r1 - r0, cols), np.float32)
+    for d, r in enumerate(rows):
+        for (i, j), v in r.like.items():
+            if r0 <= i < r1:
+                at[d, i - r0, j] = v
+        for i in range(r0, min(r1, len(r.known))):
+            if not r.known[i]:
+                at[d, i - r0, : len(r.tgt)] = EVEN
+    return at
+
+
+def _sums(sizes: list[list[int]], n: int) -> np.ndarray:
+    out = np.zeros((len(sizes), n + 1), np.float32)
+    for d, x in enumerate(sizes):
+        out[d, 1 : len(x) + 1] = x
+    return out.cumsum(1)
+
+
+class Table:
+    """Costs of the cheapest paths through the sentences of rows of about one size."""
+
+    def __init__(self, rows: list[Row]) -> None:
+        self.rows = rows
+        self.n, self.m = max(len(r.src) for r in rows), max(len(r.tgt) for r in rows)
+        self.ca, self.cb = _sums([r.la for r in rows], self.n), _sums([r.lb for r in rows], self.m)
+        self.c = np.array([[r.c] for r in rows], np.float32)
+        self.var = np.array([[r.var] for r in rows], np.float32)
+        self.wide = {b: self.cb[:, b:] - self.cb[:, :-b] for b in (1, 2, 3) if b <= self.m}
+
+    def _length(self, x: int, a: int, b: int) -> np.ndarray:
+        """Cost of the lengths of a source sentences from x with b Korean ones, by the first of those."""
+        la = np.maximum(self.ca[:, x + a] - self.ca[:, x], 1.0)[:, None]
+        d = self.wide[b] - la * self.c
+        return -LENGTH * np.log((1 - STRAYS) * np.exp(-0.5 * d * d / (la * self.var)) + STRAYS)
+
+    def rows_from(self, r0: int, r1: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Costs of table rows r0-3..r1, given those of r0-3..r0, and the beads by which rows r0+1..r1 are reached (places in BEADS, len(BEADS) a swap)."""
+        m = self.m
+        x0 = max(0, r0 - 4)
+        at = _dense(self.rows, x0, r1, m)
+        best = np.full((len(self.rows), r1 - r0 + 4, m + 1), np.inf, np.float32)
+        best[:, :4] = before
+        back = np.zeros((len(self.rows), r1 - r0, m + 1), np.int8)
+        step = np.arange(m + 1, dtype=np.float32) * np.float32(BEADS[0][2])
+        for r in range(r0 + 1, r1 + 1):
+            here = np.full((len(self.rows), m + 1), np.inf, np.float32)
+            how = np.zeros((len(self.rows), m + 1), np.int8)
+
+            def offer(cost: np.ndarray, b: int, code: int, here=here, how=how) -> None:
+                part = here[:, b:]
+                less = cost < part
+                np.copyto(part, cost, where=less)
+                np.copyto(how[:, b:], np.int8(code), where=less)
+
+            for code, (a, b, price) in enumerate(BEADS):
+                if not a or a > r or b > m:
+                    continue
+                x = r - a
+                old = best[:, r - a - r0 + 3, : m + 1 - b]
+                if not b:
+                    offer(old + np.float32(price), 0, code)
+                    continue
+                some = at[:, x - x0 : r - x0]
+                if b == 1:
+                    likes = some.mean(1) if a > 1 else some[:, 0]
+                elif a == 1:
+                    shifted = [some[:, 0, q : m + 1 - b + q] for q in range(b)]
+                    likes = np.minimum(np.maximum.reduce(shifted), sum(shifted) * np.float32(1.6 / b))
+                else:
+                    likes = np.maximum(some[:, :, :-1], some[:, :, 1:]).mean(1)
+                    top = some.max(1)
+                    likes = np.minimum(likes, (top[:, :-1] + top[:, 1:]) * np.float32(0.8))
+                offer(old + self._length(x, a, b) + np.float32(price) - np.float32(LEXICAL * max(a, b)) * (likes - np.float32(EVEN)), b, code)
+            if r >= 2 and m >= 2:
+                x = r - 2
+                crossed = at[:, x - x0, 1:] + at[:, x + 1 - x0, :-1]
+                sides = self._length(x, 1, 1)[:, 1:] + self._length(x + 1, 1, 1)[:, :-1]
+                cost = best[:, r - 2 - r0 + 3, : m - 1] + np.float32(SWAP) + sides - np.float32(LEXICAL) * (crossed - np.float32(2 * EVEN))
+                offer(np.where(crossed > SWAP_FROM, cost, np.inf).astype(np.float32), 2, len(BEADS))
+            # additions run along the row
+            run = np.minimum.accumulate(here - step, 1) + step
+            np.copyto(how, np.int8(0), where=run < here - 1e-4)
+            best[:, r - r0 + 3] = np.where(run < here - 1e-4, run, here)
+            back[:, r - r0 - 1] = how
+        return best, back
+
+    def paths(self) -> list[list[tuple[int, int, int]]]:
+        """Beads (code, first source sentence, first Korean sentence) of each row's cheapest path, the last first."""
+        n, m = self.n, self.m
+        start = np.full((len(self.rows), 4, m + 1), np.inf, np.float32)
+        start[:, 3] = np.arange(m + 1) * BEADS[0][2]
+        block = n if len(self.rows) * n * m <= CELLS else max(4, min(n, CELLS // max(1, len(self.rows) * m)))
+        edges = list(range(0, n, block))
+        kept = [start]
+        if len(edges) > 1:
+            for r in edges[:-1]:
+                kept.append(self.rows_from(r, r + block, kept[-1])[0][:, -4:].copy())
+        at = [(len(r.src), len(r.tgt)) for r in self.rows]
+        out: list[list[tuple[int, int, int]]] = [[] for _ in self.rows]
+        for r0, before in zip(reversed(edges), reversed(kept), strict=True):
+            _, back = self.rows_from(r0, min(n, r0 + block), before)
+            for d, path in enumerate(out):
+                r, k = at[d]
+                while r > r0:
+                    code = int(back[d, r - r0 - 1, k])
+                    a, b = (2, 2) if code == len(BEADS) else BEADS[code][:2]
+                    r, k = r - a, k - b
+                    path.append((code, r, k))
+                at[d] = (r, k)
+        return out
 
-def _path(i0: int, n: int, j0: int, m: int, la: list[int], lb: list[int], like, length) -> set[tuple[int, int]]:
-    """Pairs on the cheapest path of beads through source sentences i0..n and Korean sentences j0..m.
 
-    Up to FULL cells the whole matrix is searched; of a larger one a band, doubled until the path keeps a bead's length clear of its edge or the band holds all.
-    """
-    rows, cols = n - i0, m - j0
-    wide = cols if rows * cols <= FULL else abs(rows - cols) + BAND
-    while True:
-        pairs, drift = _banded(i0, n, j0, m, la, lb, like, length, wide)
-        if wide >= cols or drift + 4 <= wide:
-            return pairs
-        wide = min(2 * wide, cols)
-
-
-def _banded(i0: int, n: int, j0: int, m: int, la: list[int], lb: list[int], like, length, wide: int) -> tuple[set[tuple[int, int]], float]:
-    """Pairs on the cheapest path no more than wide columns off the straight diagonal, and how far it goes off."""
-    rows, cols = n - i0, m - j0
-    inf = float("inf")
-    at = [[like(i0 + x, j0 + y) if abs(y - x * cols / rows) <= wide + 3 else 0.0 for y in range(cols)] for x in range(rows)]
-    best = [[inf] * (cols + 1) for _ in range(rows + 1)]
-    back: list[list[tuple | None]] = [[None] * (cols + 1) for _ in range(rows + 1)]
-    best[0][0] = 0.0
-    for r in range(rows + 1):
-        centre = r * cols / rows if rows else 0
-        for k in range(cols + 1):
-            here = best[r][k]
-            if here == inf or abs(k - centre) > wide:
-                continue
-            for a, b, price in KINDS:
-                if r + a > rows or k + b > cols:
-                    continue
-                cost = here + price
-                target = best[r + a]
-                if a and b:
-                    most = a if a > b else b
-                    if cost - LEXICAL * (1 - EVEN) * most >= target[k + b]:
-                        continue
-                    if b == 1:
-                        likes = at[r][k] if a == 1 else sum([at[x][k] for x in range(r, r + a)]) / a
-                    elif a == 1:
-                        line = at[r][k : k + b]
-                        likes = min(max(line), sum(line) / b * 1.6)
-                    else:
-                        likes = sum([max(at[x][k : k + b]) for x in range(r, r + a)]) / a
-                        likes = min(likes, sum([max([at[x][y] for x in range(r, r + a)]) for y in range(k, k + b)]) / b * 1.6)
-                    cost -= LEXICAL * (likes - EVEN) * most
-                    if cost >= target[k + b]:
-                        continue
-                    cost += length(sum(la[i0 + r : i0 + r + a]), sum(lb[j0 + k : j0 + k + b])) * 0.6
-                if cost < target[k + b]:
-                    target[k + b] = cost
-                    back[r + a][k + b] = (a, b, False)
-            if r + 2 <= rows and k + 2 <= cols:
-                crossed = at[r][k + 1] + at[r + 1][k]
-                if crossed > 0.6:
-                    cost = here + SWAP + 0.6 * (length(la[i0 + r], lb[j0 + k + 1]) + length(la[i0 + r + 1], lb[j0 + k])) - LEXICAL * (crossed - 2 * EVEN)
-                    if cost < best[r + 2][k + 2]:
-                        best[r + 2][k + 2] = cost
-                        back[r + 2][k + 2] = (2, 2, True)
-    pairs: set[tuple[int, int]] = set()
-    r, k, drift = rows, cols, 0.0
-    while r or k:
-        drift = max(drift, abs(k - (r * cols / rows if rows else 0)))
-        step = back[r][k]
-        if step is None:
-            break
-        a, b, swapped = step
-        r, k = r - a, k - b
-        i, j = i0 + r, j0 + k
-        if swapped:
-            pairs |= {(i, j + 1), (i + 1, j)}
-        elif a == b == 2:
-            pairs |= {max(((x, y) for y in (j, j + 1)), key=lambda q: like(*q)) for x in (i, i + 1)}
-        elif a == b == 1:
-            if like(i, j) >= LEAST:
-                pairs.add((i, j))
+def _paired(r: Row, path: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, start) of the pairs of a row: those of its path, then those off it."""
+    kept: set[tuple[int, int]] = set()
+    for code, i, j in path:
+        if code == len(BEADS):
+            kept |= {(i, j + 1), (i + 1, j)}
+            continue
+        a, b, _ = BEADS[code]
+        if not a or not b:
+            continue
+        if a == b == 1:
+            if likeness(r, i, j) >= LEAST:
+                kept.add((i, j))
+        elif a == b:
+            kept |= {max(((x, y) for y in (j, j + 1)), key=lambda q: likeness(r, *q)) for x in (i, i + 1)}
         else:
-            pairs |= {(x, y) for x in range(i, i + a) for y in range(j, j + b) if like(x, y) >= LEAST_MERGED}
-    return pairs, drift
+            kept |= {(x, y) for x in range(i, i + a) for y in range(j, j + b) if not r.known[x] or r.like.get((x, y), 0.0) >= LEAST_MERGED}
+    left, right = {x for x, _ in kept}, {y for _, y in kept}
+    if len(left) < len(r.src) or len(right) < len(r.tgt):
+        # what the path leaves over: sentences merged by the dozen, or moved far; the first of the most alike
+        far_x: dict[int, tuple[float, int]] = {}
+        far_y: dict[int, tuple[float, int]] = {}
+        for (x, y), v in r.like.items():
+            if v >= FAR:
+                if x not in left:
+                    far_x[x] = max(far_x.get(x, (0.0, 0)), (v, -y))
+                if y not in right:
+                    far_y[y] = max(far_y.get(y, (0.0, 0)), (v, -x))
+        kept |= {(x, -y) for x, (_, y) in far_x.items()}
+        right |= {-y for _, y in far_x.values()}
+        kept |= {(-x, y) for y, (_, x) in far_y.items() if y not in right}
+    return sorted((r.src[x], r.tgt[y]) for x, y in kept)
+
+
+def size_class(n: int) -> int:
+    """Rows up to a tenth apart in size go through one table, of up to eight sentences those of one size."""
+    return n if n <= 8 else 8 + math.ceil(math.log(n / 8) / math.log(1.25))
+
+
+def align_all(rows: list[Row]) -> list[list[tuple[int, int]]]:
+    """The pairs of each row."""
+    out: list[list[tuple[int, int]]] = [[] for _ in rows]
+    by: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for d, r in enumerate(rows):
+        if r.src and r.tgt:
+            n, m = len(r.src), len(r.tgt)
+            by[(size_class(n), size_class(m)) if max(n, m) <= 8 else (size_class(max(n, m)), 0)].append(d)
+    for few in by.values():
+        n, m = max(len(rows[d].src) for d in few), max(len(rows[d].tgt) for d in few)
+        most = max(1, CELLS // ((n + 5) * (m + 1)))
+        for i in range(0, len(few), most):
+            part = few[i : i + most]
+            for d, path in zip(part, Table([rows[d] for d in part]).paths(), strict=True):
+                out[d] = _paired(rows[d], path)
+    return out
 
 
 def spans(unit: str, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -252,83 +454,9 @@ def spans(unit: str, text: str) -> tuple[list[tuple[int, int]], list[tuple[int,
     return segment(unit), segment(text)
 
 
-def align(unit: str, text: str, lexicon: Lexicon, at: tuple[list[tuple[int, int]], list[tuple[int, int]]] | None = None) -> list[tuple[int, int]]:
+def align(unit: str, text: str, lex: Lexicon, at: tuple[list[tuple[int, int]], list[tuple[int, int]]] | None = None) -> list[tuple[int, int]]:
     """(start of the unit's sentence, start of the Korean sentence) of the pairs; at: the spans, where they are known."""
-    if SINGLE.fullmatch(unit) and SINGLE.fullmatch(text) and not HANGUL.search(unit):
-        return [(0, 0)]
-    left, right = at or spans(unit, text)
-    src = [(s, TAGS.sub("", unit[s:e]) if "<" in unit else unit[s:e]) for s, e in left]
-    tgt = [(s, TAGS.sub("", text[s:e]) if "<" in text else text[s:e]) for s, e in right]
-    same = {x for _, x in src} & {y for _, y in tgt}
-    if same:
-        src = [x for x in src if x[1] not in same]
-        tgt = [y for y in tgt if y[1] not in same]
-    odd = bool(ODD.search(text)) or bool(ODD.search(unit))
-    tgt = [(s, plain(y)[0] if odd else y) for s, y in tgt if HANGUL.search(y) or odd and HANGUL.search(plain(y)[0])]
-    src = [(s, x) for s, x in src if LETTER.search(x) or any(c.isdigit() for c in x)]
-    n, m = len(src), len(tgt)
-    if not n or not m:
-        return []
-    if n == m == 1:
-        return [(src[0][0], tgt[0][0])]
-    words = [lexicon.source(plain(x)[0] if odd else x) for _, x in src]  # numbers stand between < and >, so that none is found within another
-    dense = [SPACE.sub("", y) for _, y in tgt]
-    dense = [NUMBER.sub(r"<\g<0>>", y) if DIGIT.search(y) else y for y in dense]
-    c, var = lexicon.ratio.get(kind(unit), (0.5, 3.0))
-    la, lb = [letters(x) for _, x in src], [letters(y) for _, y in tgt]
-    memo: dict[tuple[int, int], float] = {}
-
-    def like(i: int, j: int) -> float:
-        v = memo.get((i, j))
-        if v is None:
-            v = memo[i, j] = likeness(words[i], dense[j]) if words[i] else EVEN
-        return v
-
-    def length(a: int, b: int) -> float:
-        d = (b - a * c) / math.sqrt(max(a, 1) * var)
-        return min(0.5 * d * d, 6.0)
-
-    kept: set[tuple[int, int]] = set()
-    x = y = 0
-    open_at: tuple[int, int] | None = None
-    while True:
-        # a run of sure pairs; its first and last may have a neighbour merged into them and are searched with the gap beside them
-        k = 0
-        while x + k < n and y + k < m and like(x + k, y + k) >= SURE:
-            k += 1
-        if open_at is not None and k:
-            kept |= _path(open_at[0], x + 1, open_at[1], y + 1, la, lb, like, length)
-        kept |= {(x + d, y + d) for d in range(0 if open_at is None else 1, k - 1)}
-        x, y = x + k, y + k
-        if x == n and y == m:
-            kept |= {(x - 1, y - 1)} if k else set()
-            break
-        open_at = (max(x - 1, 0), max(y - 1, 0)) if k else open_at or (x, y)
-        found = None
-        for d in range(1, RESUME + 1):
-            for a in range(d + 1):
-                u, v = x + a, y + d - a
-                if u < n and v < m and like(u, v) >= SURE and (u + 1 == n and v + 1 == m or u + 1 < n and v + 1 < m and like(u + 1, v + 1) >= SURE):
-                    found = (u, v)
-                    break
-            if found:
-                break
-        if not found:
-            kept |= _path(open_at[0], n, open_at[1], m, la, lb, like, length)
-            break
-        x, y = found
-    # what the path leaves over: sentences merged by the dozen, or moved far
-    for x in range(n):
-        if words[x] and not any(p[0] == x for p in kept):
-            y = max(range(m), key=lambda y: like(x, y))
-            if like(x, y) >= FAR:
-                kept.add((x, y))
-    for y in range(m):
-        if not any(p[1] == y for p in kept):
-            x = max(range(n), key=lambda x: like(x, y))
-            if words[x] and like(x, y) >= FAR:
-                kept.add((x, y))
-    return sorted((src[x][0], tgt[y][0]) for x, y in kept)
+    return align_all([Row(unit, text, *(at or spans(unit, text)), lex)])[0]
 
 
 def alignable(unit: str | None, text: str | None, copied) -> bool:
@@ -340,4 +468,6 @@ def training_pairs(unit: str, text: str, left: list[tuple[int, int]], right: lis
     """Sentence pairs of a row whose sides have equally many sentences, of others none."""
     if len(left) != len(right):
         return []
-    return [(plain(TAGS.sub("", unit[s:e]))[0], plain(TAGS.sub("", text[x:y]))[0]) for (s, e), (x, y) in zip(left, right, strict=True)]
+    if "<" in unit or "<" in text or ODD.search(unit) or ODD.search(text):
+        return [(plain(TAGS.sub("", unit[s:e]))[0], plain(TAGS.sub("", text[x:y]))[0]) for (s, e), (x, y) in zip(left, right, strict=True)]
+    return [(unit[s:e], text[x:y]) for (s, e), (x, y) in zip(left, right, strict=True)]

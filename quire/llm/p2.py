@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .align import LENGTHS, Lexicon, align, alignable, lengths_of, lexicon, related, spans, sums, training_pairs
+from .align import LENGTHS, Lexicon, Row, Tally, align_all, alignable, lengths_of, lexicon, related, spans, training_pairs
 from .common import map_rows, shared_dir
 from .langs import korean_share, mostly_korean
 from .p3 import copied, pairs
 
-#: Entries that a task counts before it hands them on.
-HELD = 300_000
-
 
 def segmented(rows: DataFrame) -> DataFrame:
     """tr_id, unit, text of the rows of df(tr_id, unit, text) that can be aligned, and the starts and ends of the sentences of both by turns (src, tr). A narrow map."""
@@ -47,23 +43,28 @@ def by_twos(x: list[int]) -> list[tuple[int, int]]:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """v, w, c: the sums of align.sums() over the rows of segmented() with equally many sentences on both sides, each distinct unit and text once.
+    """v, w, c: the counts of align.Tally over the rows of segmented() with equally many sentences on both sides, each distinct unit and text once.
 
-    A task counts until it holds HELD entries, then hands them on to be summed.
+    A task counts until its tally is full, then hands the counts on to be summed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        tally = Tally()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v for v, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["v", "w", "c"])
+            names, v, w, c, lengths = tally.out()
+            words = pa.array(names, pa.string())
+            left, right, n = (pa.array(x, k) for x, k in zip(zip(*lengths, strict=True) if lengths else ((), (), ()), (pa.string(), pa.string(), pa.int64()), strict=True))
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([words.take(pa.array(v)), left]), pa.concat_arrays([words.take(pa.array(w)), right]), pa.concat_arrays([pa.array(c, pa.int64()), n])], ["v", "w", "c"]
+            )
 
         for b in batches:
             for u, t, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                sums(training_pairs(u, t, by_twos(x), by_twos(y)), counts)
-                if len(counts) >= HELD:
-                    yield out()
-                    counts.clear()
+                for p, q in training_pairs(u, t, by_twos(x), by_twos(y)):
+                    tally.add(p, q)
+                    if tally.full():
+                        yield out()
         yield out()
 
     even = rows.where("size(src) = size(tr)").select("unit", "text", "src", "tr").dropDuplicates(["unit", "text"])
@@ -93,8 +94,9 @@ def aligned(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             ids, left, right = [], [], []
-            for i, u, t, p, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for x, y in align(u, t, lex, (by_twos(p), by_twos(q))):
+            tr, *sides = (c.to_pylist() for c in b.columns)
+            for i, pairs in zip(tr, align_all([Row(u, t, by_twos(p), by_twos(q), lex) for u, t, p, q in zip(*sides, strict=True)]), strict=True):
+                for x, y in pairs:
                     ids.append(i)
                     left.append(x)
                     right.append(y)

@@ -94,7 +94,7 @@ def test_drift_that_evens_out(monkeypatch):
     lex = Lexicon({w: [(k, 1.0)] for w, k in zip(words, korean, strict=True)} | {"zzz": [("없는말", 1.0)]}, {w: 0.45 for w in words} | {"zzz": 0.55}, {"e": (0.6, 3.0)})
     u = " ".join(f"{w.title()} zzz went." for w in words)
     t = " ".join([f"{k} 갔다." for k in korean[off:]] + ["새가 울었다."] * off)
-    for full in (40_000, 0):
-        monkeypatch.setattr("quire.llm.align.FULL", full, raising=False)
+    for full in (2_000_000, 100):
+        monkeypatch.setattr("quire.llm.align.CELLS", full)
         found = {(u[a : a + 3].lower(), t[b : b + 2]) for a, b in align(u, t, lex)}
         assert found >= set(zip(words[off:], korean[off:], strict=True))
