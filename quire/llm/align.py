@@ -2,8 +2,8 @@
 
 Length-based dynamic programming: the cheapest path over beads, namely one to one, omissions on either side,
 merges and splits, and two neighbours that change places. A bead costs the negative log of how likely the
-lengths of its sides are (a normal deviate of the languages' ratio, after Gale and Church, mixed with a few
-strays) and of how rare its kind is; shared numbers and words that a lexicon pairs lower it. All paths are
+lengths of its sides are (a normal deviate of the languages' ratio, after Gale and Church, or a
+stray) and of how rare its kind is; shared numbers and words that a lexicon pairs lower it. All paths are
 searched, of every row and whatever its length: rows of like size go through the table together, a row of it
 at a time in numpy; of a table larger than CELLS only every so many rows are kept and the others are made
 again on the way back. The lexicon and the length ratios are learned from all pairs whose sides have equally
@@ -25,7 +25,10 @@ from .langs import HANGUL, LETTER, refuses
 from .sentences import ODD, plain, segment
 from .subjects import JOSA, TAGS
 
-WORD = re.compile(r"[A-Za-zÀ-ɏ]+|[가-힣]+|[一-鿿々]+|[ァ-ヺー]+|[ぁ-ん]{2,}|\d+(?:[.,]\d+)*")
+#: Words of scripts without spaces; those of other scripts are what stands between spaces and dashes, without the marks around it.
+RUN = re.compile(r"[A-Za-zÀ-ɏ]+|[一-鿿々]+|[ァ-ヺー]+|[ぁ-ん]{2,}|\d+(?:[.,]\d+)*")
+SPACELESS = re.compile("[ぁ-ヿ一-鿿]")
+AROUND = "“”‘’\"'«»「」『』()（）[]<>.,;:!?…。！？、*_-–―·"
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 DIGIT = re.compile(r"\d")
 #: Text of one sentence at sight, whatever the rules: no mark before its last.
@@ -34,8 +37,8 @@ PLAIN = frozenset("the a an and of to in on at by for from with was were is had
 #: Beads (source sentences, Korean sentences) and the cost of their kind; SWAP is that of two neighbours that change places.
 BEADS = ((0, 1, 3.6), (1, 0, 3.2), (1, 1, 0.0), (1, 2, 1.8), (1, 3, 3.4), (2, 1, 1.6), (2, 2, 4.5), (3, 1, 2.6), (4, 1, 3.2))
 SWAP, SWAP_FROM = 2.0, 0.6
-#: Weight of the length term, and the share of strays that its normal distribution is mixed with.
-LENGTH, STRAYS = 1.0, math.exp(-5.0)
+#: Weight of the length term, and the negative log likelihood of a stray, the most that lengths can cost.
+LENGTH, STRAY = 1.0, 5.0
 #: Weight of the lexical likeness in a bead, and the likeness at which it counts neither for nor against.
 LEXICAL, EVEN = 7.0, 0.25
 #: Likeness that a pair of one, and of a larger bead, needs at least, and that a pair off the path needs.
@@ -51,7 +54,13 @@ def letters(s: str) -> int:
 
 
 def kind(sentence: str) -> str:
-    return "j" if re.search("[ぁ-ヿ一-鿿]", sentence) else "e"
+    return "j" if SPACELESS.search(sentence) else "e"
+
+
+def words(sentence: str, spaceless: bool) -> list[str]:
+    if spaceless:
+        return RUN.findall(sentence)
+    return [w.strip(AROUND) for w in sentence.replace("—", " ").split()]
 
 
 # ---- lexicon
@@ -78,13 +87,13 @@ class Tally:
         self.size = 0
 
     def number(self, word: str) -> int:
-        c = word[0]
+        c = word[:1]
         if "가" <= c <= "힣":
             w = JOSA.sub("", word) or word if len(word) > 1 else word
         else:
             w = word if c.isdigit() else word.lower()
         i = -1
-        if w not in PLAIN:
+        if w and w not in PLAIN:
             i = self.id.get(w, len(self.names))
             if i == len(self.names):
                 self.id[w] = i
@@ -94,8 +103,9 @@ class Tally:
 
     def add(self, a: str, b: str) -> None:
         raw, number = self.raw, self.number
-        x = {raw[w] if w in raw else number(w) for w in WORD.findall(a)}
-        y = {raw[w] if w in raw else number(w) for w in WORD.findall(b)}
+        own = kind(a)
+        x = {raw[w] if w in raw else number(w) for w in words(a, own == "j")}
+        y = {raw[w] if w in raw else number(w) for w in words(b, bool(SPACELESS.search(b)))}
         x.discard(-1)
         y.discard(-1)
         self.xs += x
@@ -103,7 +113,7 @@ class Tally:
         self.nx.append(len(x))
         self.ny.append(len(y))
         self.size += len(x) * len(y)
-        k, la, lb, t = LENGTHS + kind(a), letters(a), letters(b), self.lengths
+        k, la, lb, t = LENGTHS + own, letters(a), letters(b), self.lengths
         t[k, "n"] += 1
         t[k, "a"] += la
         t[k, "b"] += lb
@@ -139,29 +149,42 @@ class Tally:
 
 
 class Lexicon:
-    """partners: source word -> Korean words with strength; weight: source word -> how much it says; ratio and spread of lengths by script of the source."""
+    """partners: source word -> Korean words with strength; weight: source word -> how much it says; ratio and spread of lengths by script of the source.
+
+    Words and partners are numbered; a number in digits, its own partner, has the numbers after the last.
+    """
 
     def __init__(self, partners: dict[str, list[tuple[str, float]]], weight: dict[str, float], ratio: dict[str, tuple[float, float]]) -> None:
         self.partners, self.weight, self.ratio = partners, weight, ratio
-        #: source word -> its weight and its partners with their share of it, the strongest first
-        self.entries = {w: (weight.get(w, 1.0), [(k, weight.get(w, 1.0) * s) for k, s in p]) for w, p in partners.items()}
-        self.korean = ahocorasick.Automaton()
-        for w in {w for p in partners.values() for w, _ in p}:
-            self.korean.add_word(w, w)
-        if len(self.korean):
-            self.korean.make_automaton()
-
-    def found(self, sentence: str) -> set[str]:
-        """The partners, and the numbers between < and >, that a Korean sentence holds, its spaces left out."""
+        self.id = {w: i for i, w in enumerate(partners)}
+        korean: dict[str, int] = {}
+        self.of = np.array([korean.setdefault(k, len(korean)) for p in partners.values() for k, _ in p], np.int64)
+        self.first = np.concatenate([[0], np.cumsum([len(p) for p in partners.values()], dtype=np.int64)]).astype(np.int64)
+        self.says = np.array([weight.get(w, 1.0) for w in partners], np.float64)
+        self.part = np.array([weight.get(w, 1.0) * s for w, p in partners.items() for _, s in p], np.float64)
+        self.words, self.korean = len(partners), len(korean)
+        self.auto = ahocorasick.Automaton()
+        for w, i in korean.items():
+            self.auto.add_word(w, i)
+        if korean:
+            self.auto.make_automaton()
+
+    def source(self, sentence: str, spaceless: bool, numbers: dict[str, int]) -> list[int]:
+        """The known words of a source sentence and the numbers in it."""
+        get = self.id.get
+        out = {get(w, -1) for w in words(sentence.lower(), spaceless)}
+        out.discard(-1)
+        if DIGIT.search(sentence):
+            out.update([self.words + numbers.setdefault(w, len(numbers)) for w in NUMBER.findall(sentence)])
+        return list(out)
+
+    def found(self, sentence: str, numbers: dict[str, int]) -> list[int]:
+        """The partners that a Korean sentence holds, its spaces left out, and its numbers, each whole."""
         dense = "".join(sentence.split())
+        out = {i for _, i in self.auto.iter(dense)} if self.korean else set()
         if DIGIT.search(dense):
-            dense = NUMBER.sub(r"<\g<0>>", dense)
-            out = {f"<{x}>" for x in NUMBER.findall(dense)}
-        else:
-            out = set()
-        if len(self.korean):
-            out.update([w for _, w in self.korean.iter(dense)])
-        return out
+            out.update([self.korean + numbers.setdefault(w, len(numbers)) for w in NUMBER.findall(dense)])
+        return list(out)
 
 
 def lengths_of(counts: Iterable[tuple[str, str, int]]) -> tuple[int, dict[str, tuple[float, float]]]:
@@ -213,80 +236,77 @@ def learn(pairs: Iterable[tuple[str, str]]) -> Lexicon:
 
 
 class Row:
-    """The sentences of a row that can have partners: starts and lengths of either side, and how alike which of them are."""
-
-    __slots__ = ("at", "c", "known", "la", "lb", "like", "src", "tgt", "var")
-
-    def __init__(self, unit: str, text: str, left: list[tuple[int, int]], right: list[tuple[int, int]], lex: Lexicon) -> None:
-        tags = "<" in unit or "<" in text
-        src = [(s, TAGS.sub("", unit[s:e]) if tags else unit[s:e]) for s, e in left]
-        tgt = [(s, TAGS.sub("", text[s:e]) if tags else text[s:e]) for s, e in right]
-        if len(src) > 1 or len(tgt) > 1 or not HANGUL.search(unit):
-            same = {x for _, x in src} & {y for _, y in tgt}
-            if same:
-                src = [x for x in src if x[1] not in same]
-                tgt = [y for y in tgt if y[1] not in same]
-        odd = bool(ODD.search(text)) or bool(ODD.search(unit))
-        if odd:
-            tgt = [(s, plain(y)[0]) for s, y in tgt]
+    """The sentences of a row that can have partners: their starts and lengths on either side, and the words and partners that they hold."""
+
+    __slots__ = ("c", "found", "la", "lb", "src", "tgt", "var", "words")
+
+    def __init__(self, unit: str, text: str, left: list[tuple[int, int]], right: list[tuple[int, int]], lex: Lexicon, numbers: dict[str, int]) -> None:
+        src = [(s, unit[s:e]) for s, e in left]
+        tgt = [(s, text[s:e]) for s, e in right]
+        if "<" in unit or "<" in text:
+            src = [(s, TAGS.sub("", x)) for s, x in src]
+            tgt = [(s, TAGS.sub("", y)) for s, y in tgt]
+        same = {x for _, x in src}.intersection([y for _, y in tgt])
+        if same:
+            src = [x for x in src if x[1] not in same]
+            tgt = [y for y in tgt if y[1] not in same]
+        if ODD.search(text) or ODD.search(unit):
+            src, tgt = [(s, plain(x)[0]) for s, x in src], [(s, plain(y)[0]) for s, y in tgt]
         tgt = [(s, y) for s, y in tgt if HANGUL.search(y)]
-        src = [(s, plain(x)[0] if odd else x) for s, x in src if LETTER.search(x) or DIGIT.search(x)]
+        src = [(s, x) for s, x in src if LETTER.search(x) or DIGIT.search(x)]
         self.src, self.tgt = [s for s, _ in src], [s for s, _ in tgt]
         self.la, self.lb = [letters(x) for _, x in src], [letters(y) for _, y in tgt]
-        self.c, self.var = lex.ratio.get(kind(unit), (0.5, 3.0))
-        where: dict[str, list[int]] = {}
-        for j, (_, y) in enumerate(tgt):
-            for w in lex.found(y):
-                where.setdefault(w, []).append(j)
-        #: share of the source words' weight that the Korean sentence holds, by (source, Korean) sentence, where it isn't nought
-        self.like: dict[tuple[int, int], float] = {}
-        self.known: list[bool] = []
-        entries, get, m = lex.entries.get, where.get, len(tgt)
-        for i, (_, x) in enumerate(src):
-            total, row = 0.0, {}
-            for w in set(WORD.findall(x.lower())):
-                e = entries(w)
-                if e:
-                    total += e[0]
-                    hit = None
-                    for p, v in e[1]:
-                        js = get(p)
-                        if js is None:
-                            continue
-                        if hit is not None:
-                            js = [j for j in js if j not in hit]
-                        for j in js:
-                            row[j] = row.get(j, 0.0) + v
-                        hit = js if hit is None else hit + js
-                        if len(hit) == m:
-                            break
-                elif w[0].isdigit():
-                    total += 1.5
-                    for j in get(f"<{w}>", ()):
-                        row[j] = row.get(j, 0.0) + 1.5
-            self.known.append(total > 0)
-            for j, v in row.items():
-                self.like[i, j] = v / total
-
-
-def likeness(r: Row, i: int, j: int) -> float:
-    return r.like.get((i, j), 0.0) if r.known[i] else EVEN
+        own = kind(unit)
+        self.c, self.var = lex.ratio.get(own, (0.5, 3.0))
+        some = bool(src and tgt)
+        self.words = [lex.source(x, own == "j", numbers) for _, x in src] if some else []
+        self.found = [lex.found(y, numbers) for _, y in tgt] if some else []
 
 
-# ---- the table
+def likeness(rows: list[Row], lex: Lexicon, r0: int, r1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How alike the source sentences r0..r1 of rows are to their Korean sentences: the share of the source words' weight that these hold.
+
+    Row, source sentence, Korean sentence and value where it isn't nought, and which source sentences (rows x r0..r1) have a known word.
+    Of a word's partners the strongest that a sentence holds counts.
+    """
+    wide, cols = r1 - r0, max(len(r.tgt) for r in rows)
+    each = [(d * wide + i, w) for d, r in enumerate(rows) for i, w in enumerate(r.words[r0:r1])]
+    at = np.repeat(np.array([g for g, _ in each], np.int64), [len(w) for _, w in each])
+    word = np.array([i for _, w in each for i in w], np.int64)
+    held = [(d, j, p) for d, r in enumerate(rows) for j, p in enumerate(r.found)]
+    n_held = [len(p) for _, _, p in held]
+    many = lex.korean + 1 + max([int(word.max()) - lex.words if len(word) else 0, *(max(p, default=0) - lex.korean for _, _, p in held)])
+    key = np.repeat(np.array([d for d, _, _ in held], np.int64) * many, n_held) + np.array([i for _, _, p in held for i in p], np.int64)
+    where = np.repeat(np.array([j for _, j, _ in held], np.int64), n_held)
+    order = np.argsort(key, kind="stable")
+    key, where = key[order], where[order]
+    number = word >= lex.words
+    safe = np.where(number, 0, word)
+    says = np.where(number, 1.5, lex.says[safe] if lex.words else 1.5)
+    total = np.bincount(at, says, len(rows) * wide)
+    # every word with each of its partners, then with each sentence that holds the partner
+    n = np.where(number, 1, lex.first[safe + 1] - lex.first[safe] if lex.words else 1)
+    up = np.repeat(np.arange(len(word)), n)
+    inner = np.arange(len(up)) - np.repeat(np.cumsum(n) - n, n)
+    digits = number[up]
+    place = np.where(digits, 0, lex.first[safe[up]] + inner)
+    partner = np.where(digits, lex.korean + word[up] - lex.words, lex.of[place] if len(lex.of) else 0)
+    part = np.where(digits, 1.5, lex.part[place] if len(lex.of) else 1.5)
+    want = at[up] // wide * many + partner
+    lo, hi = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
+    hits = hi - lo
+    up2 = np.repeat(np.arange(len(up)), hits)
+    j = where[np.repeat(lo, hits) + np.arange(len(up2)) - np.repeat(np.cumsum(hits) - hits, hits)]
+    cell = at[up[up2]] * cols + j
+    # the partners of a word come with the strongest first
+    _, once = np.unique(cell * (len(word) + 1) + up[up2], return_index=True)
+    cells, which = np.unique(cell[once], return_inverse=True)
+    g = cells // cols
+    value = np.bincount(which, part[up2[once]], len(cells)) / total[g]
+    return g // wide, r0 + g % wide, cells % cols, value, (total > 0).reshape(len(rows), wide)
 
 
-def _dense(rows: list[Row], r0: int, r1: int, cols: int) -> np.ndarray:
-    """Likeness of the source sentences r0..r1 (nought beyond the last) with all Korean ones: rows x sentences x sentences."""
-    at = np.zeros((len(rows), r1 - r0, cols), np.float32)
-    for d, r in enumerate(rows):
-        for (i, j), v in r.like.items():
-            if r0 <= i < r1:
-                at[d, i - r0, j] = v
-        for i in range(r0, min(r1, len(r.known))):
-            if not r.known[i]:
-                at[d, i - r0, : len(r.tgt)] = EVEN
-    return at
+# ---- the table
 
 
 def _sums(sizes: list[list[int]], n: int) -> np.ndarray:
@@ -297,10 +317,10 @@ def _sums(sizes: list[list[int]], n: int) -> np.ndarray:
 
 
 class Table:
-    """Costs of the cheapest paths through the sentences of rows of about one size."""
+    """The cheapest paths through the sentences of rows of about one size, and the pairs on them."""
 
-    def __init__(self, rows: list[Row]) -> None:
-        self.rows = rows
+    def __init__(self, rows: list[Row], lex: Lexicon) -> None:
+        self.rows, self.lex = rows, lex
         self.n, self.m = max(len(r.src) for r in rows), max(len(r.tgt) for r in rows)
         self.ca, self.cb = _sums([r.la for r in rows], self.n), _sums([r.lb for r in rows], self.m)
         self.c = np.array([[r.c] for r in rows], np.float32)
@@ -311,13 +331,21 @@ class Table:
         """Cost of the lengths of a source sentences from x with b Korean ones, by the first of those."""
         la = np.maximum(self.ca[:, x + a] - self.ca[:, x], 1.0)[:, None]
         d = self.wide[b] - la * self.c
-        return -LENGTH * np.log((1 - STRAYS) * np.exp(-0.5 * d * d / (la * self.var)) + STRAYS)
-
-    def rows_from(self, r0: int, r1: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Costs of table rows r0-3..r1, given those of r0-3..r0, and the beads by which rows r0+1..r1 are reached (places in BEADS, len(BEADS) a swap)."""
+        return np.minimum(d * d * (np.float32(0.5 * LENGTH) / (la * self.var)), np.float32(LENGTH * STRAY))
+
+    def alike(self, r0: int, r1: int) -> tuple[np.ndarray, np.ndarray]:
+        """Likeness of the source sentences r0..r1 (nought beyond the last) with all Korean ones, rows x sentences x sentences, and which of them have a known word."""
+        at = np.zeros((len(self.rows), r1 - r0, self.m), np.float32)
+        d, i, j, v, known = likeness(self.rows, self.lex, r0, r1)
+        at[d, i - r0, j] = v
+        for q, k in zip(*np.nonzero(~known), strict=True):
+            if r0 + k < len(self.rows[q].src):
+                at[q, k, : len(self.rows[q].tgt)] = EVEN
+        return at, known
+
+    def rows_from(self, r0: int, r1: int, before: np.ndarray, at: np.ndarray, x0: int) -> tuple[np.ndarray, np.ndarray]:
+        """Costs of table rows r0-3..r1, given those of r0-3..r0 and the likeness from source sentence x0 on, and the beads by which rows r0+1..r1 are reached (places in BEADS, len(BEADS) a swap)."""
         m = self.m
-        x0 = max(0, r0 - 4)
-        at = _dense(self.rows, x0, r1, m)
         best = np.full((len(self.rows), r1 - r0 + 4, m + 1), np.inf, np.float32)
         best[:, :4] = before
         back = np.zeros((len(self.rows), r1 - r0, m + 1), np.int8)
@@ -364,64 +392,61 @@ class Table:
             back[:, r - r0 - 1] = how
         return best, back
 
-    def paths(self) -> list[list[tuple[int, int, int]]]:
-        """Beads (code, first source sentence, first Korean sentence) of each row's cheapest path, the last first."""
+    def pairs(self) -> list[list[tuple[int, int]]]:
+        """Pairs (source sentence, Korean sentence) of each row: those of its cheapest path, then those off it."""
         n, m = self.n, self.m
         start = np.full((len(self.rows), 4, m + 1), np.inf, np.float32)
         start[:, 3] = np.arange(m + 1) * BEADS[0][2]
         block = n if len(self.rows) * n * m <= CELLS else max(4, min(n, CELLS // max(1, len(self.rows) * m)))
         edges = list(range(0, n, block))
         kept = [start]
-        if len(edges) > 1:
-            for r in edges[:-1]:
-                kept.append(self.rows_from(r, r + block, kept[-1])[0][:, -4:].copy())
+        for r in edges[:-1]:
+            x0 = max(0, r - 4)
+            kept.append(self.rows_from(r, r + block, kept[-1], self.alike(x0, r + block)[0], x0)[0][:, -4:].copy())
         at = [(len(r.src), len(r.tgt)) for r in self.rows]
-        out: list[list[tuple[int, int, int]]] = [[] for _ in self.rows]
+        out: list[set[tuple[int, int]]] = [set() for _ in self.rows]
+        best_x, most_x = np.zeros((len(self.rows), n), np.int64), np.zeros((len(self.rows), n), np.float32)
+        best_y, most_y = np.zeros((len(self.rows), m), np.int64), np.full((len(self.rows), m), -1, np.float32)
         for r0, before in zip(reversed(edges), reversed(kept), strict=True):
-            _, back = self.rows_from(r0, min(n, r0 + block), before)
-            for d, path in enumerate(out):
-                r, k = at[d]
-                while r > r0:
-                    code = int(back[d, r - r0 - 1, k])
-                    a, b = (2, 2) if code == len(BEADS) else BEADS[code][:2]
-                    r, k = r - a, k - b
-                    path.append((code, r, k))
-                at[d] = (r, k)
-        return out
-
-
-def _paired(r: Row, path: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, start) of the pairs of a row: those of its path, then those off it."""
-    kept: set[tuple[int, int]] = set()
-    for code, i, j in path:
-        if code == len(BEADS):
-            kept |= {(i, j + 1), (i + 1, j)}
-            continue
-        a, b, _ = BEADS[code]
-        if not a or not b:
-            continue
-        if a == b == 1:
-            if likeness(r, i, j) >= LEAST:
-                kept.add((i, j))
-        elif a == b:
-            kept |= {max(((x, y) for y in (j, j + 1)), key=lambda q: likeness(r, *q)) for x in (i, i + 1)}
-        else:
-            kept |= {(x, y) for x in range(i, i + a) for y in range(j, j + b) if not r.known[x] or r.like.get((x, y), 0.0) >= LEAST_MERGED}
-    left, right = {x for x, _ in kept}, {y for _, y in kept}
-    if len(left) < len(r.src) or len(right) < len(r.tgt):
-        # what the path leaves over: sentences merged by the dozen, or moved far; the first of the most alike
-        far_x: dict[int, tuple[float, int]] = {}
-        far_y: dict[int, tuple[float, int]] = {}
-        for (x, y), v in r.like.items():
-            if v >= FAR:
-                if x not in left:
-                    far_x[x] = max(far_x.get(x, (0.0, 0)), (v, -y))
-                if y not in right:
-                    far_y[y] = max(far_y.get(y, (0.0, 0)), (v, -x))
-        kept |= {(x, -y) for x, (_, y) in far_x.items()}
-        right |= {-y for _, y in far_x.values()}
-        kept |= {(-x, y) for y, (_, x) in far_y.items() if y not in right}
-    return sorted((r.src[x], r.tgt[y]) for x, y in kept)
+            x0, r1 = max(0, r0 - 4), min(n, r0 + block)
+            like, known = self.alike(x0, r1)
+            _, back = self.rows_from(r0, r1, before, like, x0)
+            for d, pairs in enumerate(out):
+                at[d] = self._back(pairs, *at[d], r0, x0, back[d], like[d], known[d])
+            own = np.where(known[:, r0 - x0 :, None], like[:, r0 - x0 :], 0)
+            best_x[:, r0:r1], most_x[:, r0:r1] = own.argmax(2), own.max(2)
+            top = own.max(1)
+            more = top >= most_y
+            best_y[more], most_y[more] = (r0 + own.argmax(1))[more], top[more]
+        for d, (r, pairs) in enumerate(zip(self.rows, out, strict=True)):
+            left, right = {x for x, _ in pairs}, {y for _, y in pairs}
+            if len(left) < len(r.src) or len(right) < len(r.tgt):
+                # what the path leaves over: sentences merged by the dozen, or moved far; the first of the most alike
+                for x in range(len(r.src)):
+                    if x not in left and most_x[d, x] >= FAR:
+                        pairs.add((x, int(best_x[d, x])))
+                        right.add(int(best_x[d, x]))
+                pairs |= {(int(best_y[d, y]), y) for y in range(len(r.tgt)) if y not in right and most_y[d, y] >= FAR}
+        return [sorted(x) for x in out]
+
+    @staticmethod
+    def _back(pairs: set[tuple[int, int]], r: int, k: int, r0: int, x0: int, back: np.ndarray, like: np.ndarray, known: np.ndarray) -> tuple[int, int]:
+        """Walks the path back from (r, k) to r0 or before, adds its pairs and returns where it has come to."""
+        while r > r0:
+            code = int(back[r - r0 - 1, k])
+            a, b = (2, 2) if code == len(BEADS) else BEADS[code][:2]
+            r, k = r - a, k - b
+            i = r - x0
+            if code == len(BEADS):
+                pairs |= {(r, k + 1), (r + 1, k)}
+            elif a == b == 1:
+                if like[i, k] >= LEAST:
+                    pairs.add((r, k))
+            elif a == b == 2:
+                pairs |= {(r + x, k + int(like[i + x, k + 1] > like[i + x, k])) for x in (0, 1)}
+            elif a and b:
+                pairs |= {(r + x, k + y) for x in range(a) for y in range(b) if not known[i + x] or like[i + x, k + y] >= LEAST_MERGED}
+        return r, k
 
 
 def size_class(n: int) -> int:
@@ -429,8 +454,13 @@ def size_class(n: int) -> int:
     return n if n <= 8 else 8 + math.ceil(math.log(n / 8) / math.log(1.25))
 
 
-def align_all(rows: list[Row]) -> list[list[tuple[int, int]]]:
-    """The pairs of each row."""
+Item = tuple[str, str, list[tuple[int, int]], list[tuple[int, int]]]
+
+
+def align_all(items: list[Item], lex: Lexicon) -> list[list[tuple[int, int]]]:
+    """(start of the unit's sentence, start of the Korean sentence) of the pairs of each (unit, text, spans of the unit, spans of the text)."""
+    numbers: dict[str, int] = {}
+    rows = [Row(*x, lex, numbers) for x in items]
     out: list[list[tuple[int, int]]] = [[] for _ in rows]
     by: dict[tuple[int, int], list[int]] = defaultdict(list)
     for d, r in enumerate(rows):
@@ -442,8 +472,8 @@ def align_all(rows: list[Row]) -> list[list[tuple[int, int]]]:
         most = max(1, CELLS // ((n + 5) * (m + 1)))
         for i in range(0, len(few), most):
             part = few[i : i + most]
-            for d, path in zip(part, Table([rows[d] for d in part]).paths(), strict=True):
-                out[d] = _paired(rows[d], path)
+            for d, pairs in zip(part, Table([rows[d] for d in part], lex).pairs(), strict=True):
+                out[d] = sorted((rows[d].src[x], rows[d].tgt[y]) for x, y in pairs)
     return out
 
 
@@ -456,7 +486,7 @@ def spans(unit: str, text: str) -> tuple[list[tuple[int, int]], list[tuple[int,
 
 def align(unit: str, text: str, lex: Lexicon, at: tuple[list[tuple[int, int]], list[tuple[int, int]]] | None = None) -> list[tuple[int, int]]:
     """(start of the unit's sentence, start of the Korean sentence) of the pairs; at: the spans, where they are known."""
-    return align_all([Row(unit, text, *(at or spans(unit, text)), lex)])[0]
+    return align_all([(unit, text, *(at or spans(unit, text)))], lex)[0]
 
 
 def alignable(unit: str | None, text: str | None, copied) -> bool:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .align import LENGTHS, Lexicon, Row, Tally, align_all, alignable, lengths_of, lexicon, related, spans, training_pairs
+from .align import LENGTHS, Lexicon, Tally, align_all, alignable, lengths_of, lexicon, related, spans, training_pairs
 from .common import map_rows, shared_dir
 from .langs import korean_share, mostly_korean
 from .p3 import copied, pairs
@@ -85,27 +86,39 @@ def fit_lexicon(rows: DataFrame) -> Lexicon:
     return lexicon((tuple(r) for r in both.where(related(F.col("c"), F.col("x"), F.col("y"), n)).select("v", "w", "c", "x", "y").collect()), n, ratio)
 
 
+#: Rows that go through the tables of costs together, and characters, so that many rows share a table.
+TOGETHER, CHARACTERS = 40_000, 24_000_000
+
+
 def aligned(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     """tr_id, src_start, tr_start of every pair in df(tr_id, unit, text), or in what segmented() makes of it. A narrow map."""
     shared = rows.sparkSession.sparkContext.broadcast((lexicon.partners, lexicon.weight, lexicon.ratio))
 
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(*shared.value)
+        ids: list[int] = []
+        items: list[tuple] = []
+        size = 0
 
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids, left, right = [], [], []
-            tr, *sides = (c.to_pylist() for c in b.columns)
-            for i, pairs in zip(tr, align_all([Row(u, t, by_twos(p), by_twos(q), lex) for u, t, p, q in zip(*sides, strict=True)]), strict=True):
-                for x, y in pairs:
-                    ids.append(i)
-                    left.append(x)
-                    right.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(left, pa.int32()), pa.array(right, pa.int32())], ["tr_id", "src_start", "tr_start"])
+        def out() -> pa.RecordBatch:
+            found = align_all(items, lex)
+            tr = np.repeat(np.array(ids, np.int64), [len(x) for x in found])
+            pairs = np.array([q for x in found for q in x], np.int32).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(tr), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["tr_id", "src_start", "tr_start"])
 
-        return run
+        for b in batches:
+            for i, u, t, p, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids.append(i)
+                items.append((u, t, by_twos(p), by_twos(q)))
+                size += len(u) + len(t)
+                if len(ids) >= TOGETHER or size >= CHARACTERS:
+                    yield out()
+                    ids, items, size = [], [], 0
+        if ids:
+            yield out()
 
     rows = rows if "src" in rows.columns else segmented(rows)
-    return map_rows(rows.select("tr_id", "unit", "text", "src", "tr"), make, "tr_id bigint, src_start int, tr_start int")
+    return rows.select("tr_id", "unit", "text", "src", "tr").mapInArrow(run, "tr_id bigint, src_start int, tr_start int")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
