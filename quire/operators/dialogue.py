@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import quote_spans
+from ..functions import arrow as A
 from .overlay import newest
-from .windows import sections
+from .windows import beside
 
 
 def openers(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -18,22 +17,15 @@ def openers(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def quotations(units: DataFrame, text: str) -> DataFrame:
-    """work_id, seq, s, e, continued of all quotations. Within a chapter an open quotation is carried to the next paragraph.
+    """work_id, seq, s, e, continued of all quotations. A quotation that a paragraph leaves open is carried to the next of its work; a heading ends it.
 
-    One group is one chapter of one work, so that even a long work spreads over tasks; headings reset the carry.
+    What a paragraph leaves open depends on that paragraph alone (functions/quotes), so the carry is the value of the row before, taken in blocks: no
+    window and no task holds a work or a chapter. Null texts are passed over.
     """
-    x = sections(units.where(F.col(text).isNotNull()), "work_id", "seq", F.col("kind") == "h", "chapter")
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        out, carry = [], None
-        for w, q, kind, t, lang in p.sort_values("seq")[["work_id", "seq", "kind", text, "lang"]].itertuples(index=False):
-            if kind == "h":
-                carry = None
-            spans, carry = quote_spans(t, "「『" if lang == "ja" else "“", carry)
-            out += [(w, q, a, b, c) for a, b, c in spans]
-        return pd.DataFrame(out, columns=["work_id", "seq", "s", "e", "continued"], dtype=object)
-
-    return x.select("work_id", "chapter", "seq", "kind", text, "lang").groupBy("work_id", "chapter").applyInPandas(run, "work_id string, seq int, s int, e int, continued boolean")
+    x = units.where(F.col(text).isNotNull()).select("work_id", "seq", "kind", text, "lang")
+    x = beside(x.withColumn("__open", A.left_open(text, F.col("lang"))), "work_id", "seq", "__open", "__carry")
+    carry = F.when(F.coalesce(F.col("kind") != "h", F.lit(True)), F.col("__carry"))
+    return x.select("work_id", "seq", F.explode(A.quotations(text, F.col("lang"), carry)).alias("q")).select("work_id", "seq", "q.*")
 
 
 def counted(text: Column | str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import running
+
 
 def union_first(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """All rows of first, and those of second whose keys first lacks."""
@@ -31,14 +33,18 @@ def toggled(xs: Column, value: Column) -> Column:
     return F.when(F.array_contains(xs, value), F.array_remove(xs, value)).otherwise(F.array_append(xs, value))
 
 
-def overlapping(df: DataFrame, keys: list[str], row_id: str, width: int = 64) -> DataFrame:
-    """row_id, n: rows of the same keys whose stretch [s, e) meets the row's own. Rows that meet no other are left out.
+def overlapping(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+    """row_id, n: rows of the same keys whose stretch [s, e) meets the row's own. Rows that meet no other, and empty stretches, are left out.
 
-    The stretches are put into the bins of width they cross, and a pair is counted where the later of its two
-    starts lies, so that it is found once and no pair is looked at outside its bins.
+    A stretch meets those that start before its end less those that end at or before its start. Both are running counts
+    over the distinct places of a key, so no pair is looked at and rows at one place are counted before they move.
     """
-    x = df.select(*keys, row_id, "s", "e").where("e > s").withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))))
-    y = x.select(*keys, "bin", F.col(row_id).alias("__id"), F.col("s").alias("__s"), F.col("e").alias("__e"))
-    home = F.floor(F.greatest("s", "__s") / width) == F.col("bin")
-    hit = (F.col(row_id) != F.col("__id")) & (F.col("s") < F.col("__e")) & (F.col("__s") < F.col("e")) & home
-    return x.join(y, [*keys, "bin"]).where(hit).groupBy(row_id).agg(F.count("*").alias("n"))
+    x = df.select(*keys, row_id, "s", "e").where("e > s")
+    ends = lambda c, a, b: x.groupBy(*keys, F.col(c).alias("at")).agg(F.count("*").alias("n")).select(*keys, "at", (F.col("n") * a).alias("opens"), (F.col("n") * b).alias("closes"))
+    places = ends("s", 1, 0).unionByName(ends("e", 0, 1)).groupBy(*keys, "at").agg(F.sum("opens").alias("opens"), F.sum("closes").alias("closes"))
+    places = running(places, keys, "at", "opened", F.col("opens"), before=True)
+    places = running(places, keys, "at", "closed", F.col("closes"))
+    before = places.select(*keys, F.col("at").alias("e"), F.coalesce("opened", F.lit(0)).alias("opened"))
+    gone = places.select(*keys, F.col("at").alias("s"), "closed")
+    n = F.col("opened") - F.col("closed") - 1
+    return x.join(before, [*keys, "e"]).join(gone, [*keys, "s"]).select(row_id, n.alias("n")).where("n > 0")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
 from ..operators import overlay as O
 from ..operators import quality as Q
 from ..operators import sets as S
+from ..operators import windows as W
 from ..sources import table
 from .registry import query
 
@@ -79,7 +78,7 @@ def interval_overlap(spark, d):
 def carry_over(spark, d):
     """The units of each work against a version of them in which those without a letter are dropped and the rest renumbered."""
     u = table(spark, d, "units").select("work_id", "seq", "k", "t")
-    new = table(spark, d, "units").select("work_id", "seq", "k", "t").where(F.col("t").rlike(r"\p{L}")).withColumn("k", F.concat(F.lit("n:"), F.row_number().over(Window.partitionBy("work_id").orderBy("seq")) - 1))
+    new = W.renumber(u.where(F.col("t").rlike(r"\p{L}")), "work_id", "seq").withColumn("k", F.concat(F.lit("n:"), F.col("no"))).drop("no")
     kept = O.newest(table(spark, d, "translations")).select("work_id", "k", F.col("ko").alias("t"))
     return O.carry_over(u, new, kept)
 

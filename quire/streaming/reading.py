@@ -90,14 +90,15 @@ def speeds(positions: DataFrame) -> DataFrame:
 
 def quote_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keyed state of a work: the quotation mark that the last paragraph left open. A heading closes it."""
-    from ..functions.arrow import quote_spans
+    from ..functions.quotes import left_open
+    from ..functions.quotes import quotations as found
 
     carry = state.get[0] if state.exists else None
     out = []
     for b in batches:
         for seq, kind, t in b.sort_values("seq")[["seq", "kind", "t"]].itertuples(index=False):
-            spans, carry = quote_spans(t or "", "“", None if kind == "h" else carry)
-            out += [(key[0], seq, s, e, c) for s, e, c in spans]
+            out += [(key[0], seq, *x) for x in found(t or "", "“", None if kind == "h" else carry)]
+            carry = left_open(t or "", "“")
     state.update((carry,))
     yield pd.DataFrame(out, columns=["work_id", "seq", "s", "e", "continued"], dtype=object)
 

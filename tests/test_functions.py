@@ -7,6 +7,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quire.functions import arrow as A
+from quire.functions import quotes as Q
+from quire.functions import speech as S
 from quire.functions import text as T
 
 
@@ -68,14 +70,14 @@ def test_split_title(spark):
 @pytest.mark.parametrize(
     ("f", "given_", "want"),
     [
-        (A.english, 1906, "one thousand nine hundred and six"),
-        (A.english_year, 1906, "nineteen oh six"),
-        (A.english_year, 1900, "nineteen hundred"),
-        (A.english_ordinal, 21, "twenty-first"),
-        (A.sino, 10000, "만"),
-        (A.sino, 21504, "이만천오백사"),
-        (A.native, 20, "스무"),
-        (A.native, 34, "서른네"),
+        (S.english, 1906, "one thousand nine hundred and six"),
+        (S.english_year, 1906, "nineteen oh six"),
+        (S.english_year, 1900, "nineteen hundred"),
+        (S.english_ordinal, 21, "twenty-first"),
+        (S.sino, 10000, "만"),
+        (S.sino, 21504, "이만천오백사"),
+        (S.native, 20, "스무"),
+        (S.native, 34, "서른네"),
     ],
 )
 def test_numbers(f, given_, want):
@@ -83,31 +85,31 @@ def test_numbers(f, given_, want):
 
 
 def test_spoken():
-    assert A._spoken_en("Mr. X paid £5 on May 3, 1906 (CHAPTER IV).") == "Mister X paid five pounds on May third, nineteen oh six (CHAPTER four)."
-    assert A._spoken_ko("3:20에 사과 5개, 제1장, 1906년") == "세 시 이십 분에 사과 다섯 개, 제일장, 천구백육년"
-    assert A._spoken_ja("それは――〔注〕そう") == "それは、注そう"
+    assert S.spoken_en("Mr. X paid £5 on May 3, 1906 (CHAPTER IV).") == "Mister X paid five pounds on May third, nineteen oh six (CHAPTER four)."
+    assert S.spoken_ko("3:20에 사과 5개, 제1장, 1906년") == "세 시 이십 분에 사과 다섯 개, 제일장, 천구백육년"
+    assert S.spoken_ja("それは――〔注〕そう") == "それは、注そう"
 
 
 def test_fragments():
     t = "Mr. Smith came home late that evening. “Who is it?” she asked him quietly. 3.5 pounds."
-    assert [t[a:b] for a, b in A.speech_spans(t)] == ["Mr. Smith came home late that evening.", "“Who is it?” she asked him quietly.", "3.5 pounds."]
+    assert [t[a:b] for a, b in S.fragments(t)] == ["Mr. Smith came home late that evening.", "“Who is it?” she asked him quietly.", "3.5 pounds."]
     long = "word, " * 100
-    assert all(b - a <= 260 for a, b in A.speech_spans(long))
-    assert A.speech_spans("") == []
+    assert all(b - a <= 260 for a, b in S.fragments(long))
+    assert S.fragments("") == []
 
 
 def test_quote_spans():
-    assert A.quote_spans("“a” b “c", "“") == ([(0, 3, False), (6, 8, False)], "“")
-    assert A.quote_spans("“d” e", "“", "“") == ([(0, 3, True)], None)
-    assert A.quote_spans("続き」と言った", "「『", "「") == ([(0, 3, True)], None)
-    assert A.quote_spans("「外『内』外」", "「『") == ([(0, 7, False)], None)
-    assert A.quote_spans("don’t ‘go’", "‘") == ([(6, 10, False)], None)
+    assert (Q.quotations("“a” b “c", "“"), Q.left_open("“a” b “c", "“")) == ([(0, 3, False), (6, 8, False)], "“")
+    assert (Q.quotations("“d” e", "“", "“"), Q.left_open("“d” e", "“", "“")) == ([(0, 3, True)], None)
+    assert (Q.quotations("続き」と言った", "「『", "「"), Q.left_open("続き」と言った", "「『", "「")) == ([(0, 3, True)], None)
+    assert (Q.quotations("「外『内』外」", "「『"), Q.left_open("「外『内』外」", "「『")) == ([(0, 7, False)], None)
+    assert (Q.quotations("don’t ‘go’", "‘"), Q.left_open("don’t ‘go’", "‘")) == ([(6, 10, False)], None)
 
 
 def test_marks():
     assert A._curly("\"I can't,\" he said, 'tis late") == "“I can’t,” he said, ’tis late"
-    assert A._emphasis("_Di_sy and __x__ _open") == "<em>Di</em>sy and <em>x</em> _open"
-    assert A._small_caps("THE GREAT HALL was dark") == '<span class="smallcaps">The great hall</span> was dark'
+    assert A._emphasis("_Di_sy and __x__ _open") == "<em>Di</em>sy and <em>x</em> <em>open</em>"
+    assert A._small_caps("THE GREAT HALL was dark") == '<span class="smallcaps">THE GREAT HALL</span> was dark'
 
 
 def test_ruby():
@@ -120,7 +122,7 @@ def test_ruby():
 def test_arrow_functions_take_any_text(s):
     for f in (A._alnum, A._nfc, A._curly, A._emphasis, A._wrap, A._spoken_en, A._spoken_ko, A._spoken_ja, A._annotated, A._speech_key, A._model_input, A._small_caps):
         assert isinstance(f(s), str)
-    spans = A.speech_spans(s)
+    spans = S.fragments(s)
     assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
 
 

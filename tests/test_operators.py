@@ -62,6 +62,7 @@ def test_chunks_match_a_plain_loop(spark):
             c, n = c + 1, 0
     for parts in (1, 8):
         assert {r.seq: r.chunk for r in O.chunks(df.repartition(parts), 2000).collect()} == want
+        assert {r.seq: r.chunk for r in O.chunks(df.repartition(parts), 2000, block=7).collect()} == want
 
 
 def test_carry_over(spark):
