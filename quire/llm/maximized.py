@@ -1,14 +1,14 @@
 """Expectation-maximization of the subjects' weights over a whole table (problem 9): subjects.fit() in distributed passes.
 
-Documents are turned into numbered stems once and stored. Each round is one pass: the weights of the round
-before are broadcast, each document's subjects expected, and sums of stem by subject reduced on the map side
-and written; a second, over stems, turns the sums into weights, of which only those that aren't 0 reach the driver.
+Documents are turned into numbered stems once, some hundreds to a block, and stored; the rounds and the scoring read the
+blocks alone. Each round is one pass: the weights of the round before are broadcast, each document's subjects expected, and
+sums of stem by subject added up, in the task first, and written; a second, over stems, turns the sums into weights, of
+which only those that aren't 0 reach the driver. Scoring is one more pass over the blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,152 +16,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, shared_dir
-from .subjects import ANCHOR, DEALS_FROM, LATER, Model, complement, curve, expected, sentences, stems
+from .subjects import LATER, Block, Model, calibrated, labelled_rows, merged, no_model, number, numbered, sentences, start_weights, stems, sums, weighed
 
-SCRIPTS = "ekj"
-#: Stems that a task holds with their names, and stems of documents worked on at once.
-HELD, AT_ONCE = 200_000, 500_000
-#: Shares of documents are whole multiples of this, so that their sums don't depend on the order.
-GRAIN = 2.0**20
+#: Stems whose numbers a task keeps at hand, stems of a block, and rows of sums that a task holds before it adds them up.
+HELD, IN_BLOCK, AT_ONCE = 300_000, 300_000, 1_500_000
+BLOCKS = "ids array<bigint>, label array<int>, script array<int>, stem array<bigint>, at array<int>, per array<int>, sents array<int>"
+KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
 
-def number(stem: str) -> int:
-    """61 bits of a hash and the script in the last two."""
-    return int.from_bytes(blake2b(stem.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 3 << 2 | SCRIPTS.index(stem[0])
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """label, script, ids, sizes of df(text, form, label): stems by number, sentence after sentence, and how many each holds. Rows of label -2 name ids."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of df(doc_id, text, form, label), one a row. Texts are whole; null and empty ones are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-
-        def batch(label, script, ids, sizes, words) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(script, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.string()))], ["label", "script", "ids", "sizes", "words"])
-
-        for b in batches:
-            label, script, ids, sizes = [], [], [], []
-            for t, f, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                units = [stems(u) for u in sentences(t, f)] if t else []
-                flat = []
-                for u in units:
-                    for x in u:
-                        i = known.get(x)
-                        if i is None:
-                            i = known[x] = number(x)
-                        flat.append(i)
-                label.append(k)
-                script.append(int(np.bincount(np.unique(np.array(flat, np.int64)) & 3, minlength=3).argmax()))
-                ids.append(flat)
-                sizes.append([len(u) for u in units])
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            b = Block.of(held)
+            return pa.RecordBatch.from_arrays([pa.array([getattr(b, f)], pa.list_(k)) for f, k in zip(Block.FIELDS, KINDS, strict=True)], list(Block.FIELDS))
+
+        for batch in batches:
+            for i, t, f, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not t:
+                    continue
+                units = []
+                for u in sentences(t, f):
+                    own = []
+                    for x in stems(u):
+                        q = known.get(x)
+                        if q is None:
+                            q = known[x] = number(x)
+                        own.append(q)
+                    units.append(own)
+                    size += len(own)
+                held.append((i, k, units))
                 if len(known) >= HELD:
-                    yield batch([-2], [0], [list(known.values())], [[]], [list(known)])
                     known.clear()
-            yield batch(label, script, ids, sizes, [None] * len(label))
-        yield batch([-2], [0], [list(known.values())], [[]], [list(known)])
-
-    return docs.select("text", "form", "label").mapInArrow(run, "label int, script int, ids array<bigint>, sizes array<int>, words array<string>")
-
-
-def summed(label: np.ndarray, script: np.ndarray, ids: list[np.ndarray], sizes: list[np.ndarray], n: int, keys: np.ndarray, w: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Columns id, seen, total, one a subject: sums over the documents by stem, and by script under the ids -1 and below."""
-    nd = len(ids)
-    flat, size = np.concatenate(ids), np.array([len(x) for x in sizes], float)
-    per = np.concatenate(sizes).astype(np.int64)
-    doc_of = np.repeat(np.arange(nd), [len(x) for x in sizes])
-    sample = label >= 0
-    speak = np.zeros((nd, n))
-    if len(keys):
-        sent_of = np.repeat(np.arange(len(per)), per)
-        at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-        hit = np.flatnonzero(keys[at] == flat)
-        for j in range(n):
-            z = np.bincount(sent_of[hit], w[at[hit], j], len(per))
-            speak[:, j] = np.bincount(doc_of, z >= DEALS_FROM, nd)
-    gamma = expected(speak, size) if len(keys) else np.zeros((nd, n))
-    gamma[sample] = 0.0
-    mine = np.flatnonzero(sample & (label < n))
-    gamma[mine, label[mine]] = 1.0
-    weight = np.round(np.where(sample, first[script], 1.0) * GRAIN) / GRAIN
-    part = np.round(gamma * weight[:, None] * GRAIN) / GRAIN
-    stem, at = np.unique(flat, return_inverse=True)
-    v = max(1, len(stem))
-    pair = np.unique(np.repeat(np.arange(nd), [len(x) for x in ids]) * np.int64(v) + at)
-    di, wi = pair // v, pair % v
-    seen = np.bincount(wi, minlength=len(stem))
-    own = script[di] == (stem & 3)[wi]
-    di, wi = di[own], wi[own]
-    groups = np.arange(len(SCRIPTS))
-    columns = [np.concatenate([stem, -1 - groups]), np.concatenate([seen, np.bincount(script, minlength=len(groups))])]
-    for x in (weight, *part.T):
-        columns.append(np.concatenate([np.bincount(wi, x[di], len(stem)), np.bincount(script, x, len(groups))]))
-    return columns
-
-
-def maximize(docs: DataFrame, labelled: list[tuple[str, str]], names: list[str], rounds: int = 8, alpha: float = 0.6) -> Model:
-    """As subjects.fit(), with all of df(text, form) as unlabelled documents and the few labelled (subject, text) rows on the driver."""
+                if size >= IN_BLOCK:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return docs.select("doc_id", "text", "form", "label").mapInArrow(run, BLOCKS)
+
+
+def each_block(b: pa.RecordBatch) -> Iterator[Block]:
+    for i in range(b.num_rows):
+        yield Block(*(b.column(f)[i].values.to_numpy(zero_copy_only=False) for f in Block.FIELDS))
+
+
+def maximize(docs: DataFrame, labelled: list[tuple[str, str]], names: list[str], rounds: int = 8) -> tuple[DataFrame, Model]:
+    """The blocks of df(doc_id, text, form), and the model: as subjects.fit(), with all documents as unlabelled ones and the few labelled (subject, text) rows on the driver."""
     spark, n = docs.sparkSession, len(names)
-    k = {s: i for i, s in enumerate(names)}
-    labelled = [(t, k.get(s, n)) for s, t in labelled if t and (s in k or s == "none")]
-    if not any(j < n for _, j in labelled):
-        return Model(names, {}, 1.0, -99.0)
-    both = docs.where("text <> ''").select("text", "form", F.lit(-1).alias("label")).unionByName(spark.createDataFrame([(t, None, j) for t, j in labelled], "text string, form string, label int"))
-    at = shared_dir(spark, "p9-stems")
-    numbered(both).write.parquet(at)
+    known = labelled_rows(labelled, names)
+    at = shared_dir(spark, "p9-blocks")
+    blocks(docs.select("doc_id", "text", "form", F.lit(-1).alias("label"))).write.parquet(at)
     stored = spark.read.parquet(at)
-    rows = stored.where("label > -2").select("label", "script", "ids", "sizes")
-    there = {(r.script, r.s): r.n for r in rows.groupBy("script", (F.col("label") >= 0).alias("s")).agg(F.count("*").alias("n")).collect()}
-    start = np.clip([ANCHOR * there.get((s, False), 0) / max(there.get((s, True), 0), 1) for s in range(len(SCRIPTS))], 1.0, 10.0)
+    if not any(k < n for _, k in known):
+        return stored, no_model(names)
+    samples = Block.of([(0, k, numbered(t, None)) for t, k in known])
+    there = {r.s: r.n for r in stored.select(F.explode("script").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
+    start = start_weights(there, dict(zip(*(x.tolist() for x in np.unique(samples.script, return_counts=True)), strict=True)))
     fields = ["id", "seen", "total", *(f"h{j}" for j in range(n))]
     schema = "id bigint, seen bigint, total double, " + ", ".join(f"h{j} double" for j in range(n))
+    batch = lambda c: pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 2 else pa.float64()) for i, x in enumerate(c)], fields)
     keys, w = np.zeros(0, np.int64), np.zeros((0, n))
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((keys, w, np.maximum(1.0, start * LATER**turn)))
+        first = np.maximum(1.0, start * LATER**turn)
+        shared = spark.sparkContext.broadcast((keys, w, first))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            parts: list[list[np.ndarray]] = []
             for b in batches:
-                label, script = (np.array(b.column(i)) for i in (0, 1))
-                ids, sizes = ([np.array(x.values) for x in b.column(i)] for i in (2, 3))
-                cut = np.searchsorted(np.cumsum([len(x) for x in ids]), np.arange(AT_ONCE, sum(map(len, ids)), AT_ONCE)) + 1
-                for x, y in zip([0, *cut], [*cut, len(ids)], strict=True):
-                    if x < y:
-                        sums = summed(label[x:y], script[x:y], ids[x:y], sizes[x:y], n, *shared.value)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.float64()) for i, c in enumerate(sums)], fields)
-
+                for x in each_block(b):
+                    parts.append(sums(x, n, *shared.value))
+                    if sum(len(p[0]) for p in parts) >= AT_ONCE:
+                        parts = [merged(parts)]
+                        if len(parts[0][0]) >= AT_ONCE // 2:
+                            yield batch(parts.pop())
+            if parts:
+                yield batch(merged(parts))
+
+        own = spark.createDataFrame(batch(sums(samples, n, keys, w, first)).to_pandas(), schema)
         at = shared_dir(spark, f"p9-round-{turn}")
-        rows.mapInArrow(run, schema).groupBy("id").agg(*[F.sum(f).alias(f) for f in fields[1:]]).write.parquet(at)
+        stored.mapInArrow(run, schema).unionByName(own).groupBy("id").agg(*[F.sum(f).alias(f) for f in fields[1:]]).write.parquet(at)
         table = spark.read.parquet(at)
-        whole = np.zeros((len(SCRIPTS), n + 1))
+        whole = np.zeros((3, n + 1))
         for r in table.where("id < 0").collect():
             whole[-1 - r.id] = r[2:]
 
         def make(whole=whole):
             def weigh(b: pa.RecordBatch) -> pa.RecordBatch:
                 c = [np.array(x) for x in b.columns]
-                s = c[0] & 3
-                x = complement(np.stack(c[3:], 1), c[2], whole[s, 1:] + 1e-3, whole[s, :1], alpha)
+                x = weighed(c[0], c[1:], whole)
                 kept = np.flatnonzero(x.any(1))
                 return pa.RecordBatch.from_arrays([pa.array(c[0][kept]), pa.array(list(x[kept]), pa.list_(pa.float64()))], ["id", "w"])
 
             return weigh
 
-        got = map_rows(table.where("id >= 0 AND seen >= 2"), make, "id bigint, w array<double>").orderBy("id").collect()
-        keys, w = np.array([r.id for r in got], np.int64), np.array([r.w for r in got], float).reshape(-1, n)
+        got = map_rows(table.where("id >= 0 AND seen >= 2"), make, "id bigint, w array<double>").toPandas().sort_values("id")
+        keys, w = got.id.to_numpy(np.int64), np.array(list(got.w), float).reshape(-1, n)
         shared.unpersist()
-    named = stored.where("label = -2").select(F.explode(F.arrays_zip("ids", "words")).alias("x")).select("x.ids", "x.words")
-    few = F.broadcast(spark.createDataFrame([(int(i),) for i in keys], "ids bigint"))
-    word = {r.ids: r.words for r in named.join(few, "ids").distinct().collect()}
-    weights = {word[int(i)]: [(int(j), float(x[j])) for j in np.flatnonzero(x)] for i, x in zip(keys, w, strict=True)}
-    zs, ys = [], []
-    for t, j in labelled:
-        for u in sentences(t, None):
-            z = np.zeros(n)
-            for x in stems(u):
-                for i, v in weights.get(x, ()):
-                    z[i] += v
-            y = np.zeros(n)
-            if j < n:
-                y[j] = z[j] > 0
-            zs.append(z)
-            ys.append(y)
-    return Model(names, dict(sorted(weights.items())), *curve(np.array(zs).reshape(-1, n), np.array(ys).reshape(-1, n)))
+    few = F.broadcast(spark.createDataFrame([(int(i),) for i in samples.stem], "id bigint"))  # stems of the labelled samples
+    sure = table.join(few, "id").toPandas().sort_values("id")
+    columns = [sure[f].to_numpy() for f in fields[1:]]
+    return stored, Model(names, keys, w, *calibrated(samples, n, sure.id.to_numpy(np.int64), columns, whole, first))

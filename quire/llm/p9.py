@@ -2,60 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, spread, table
-from .maximized import maximize
-from .subjects import Model, dealt_with, least
+from .common import spread, table
+from .maximized import each_block, maximize
+from .subjects import Model, dealing
 
-#: Labelled rows on which the classifier is fitted, at most; it is refined over all documents.
+#: Labelled rows on which the classifier is fitted, at most, picked by a hash; it is refined over all documents.
 LABELLED = 20000
 
 
-def fit_model(docs: DataFrame, samples: DataFrame, subjects: DataFrame) -> Model:
-    """The classifier from at most LABELLED samples and all documents; the subjects are a fixed small table."""
-    names = sorted(r.subject for r in subjects.where("subject IS NOT NULL AND subject <> 'none'").select("subject").distinct().limit(1000).collect())
-    labelled = samples.where("subject IS NOT NULL AND text IS NOT NULL").select("subject", "text").limit(LABELLED).collect()
-    return maximize(spread(docs.select("text", "form")), sorted((r.subject, r.text) for r in labelled), names)
+def fit_model(docs: DataFrame, samples: DataFrame, subjects: DataFrame) -> tuple[DataFrame, Model]:
+    """Blocks of stems of all documents, and the classifier from them and about LABELLED samples. The subjects are a table that fits on the driver, as their names are the columns of the model."""
+    names = sorted(r.subject for r in subjects.where("subject IS NOT NULL AND subject <> 'none'").select("subject").distinct().collect())
+    rows = samples.where("subject IS NOT NULL AND text IS NOT NULL").select("subject", "text")
+    n = rows.count()
+    if n > LABELLED:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < int(LABELLED / n * (1 << 24)))
+    return maximize(spread(docs.select("doc_id", "text", "form")), sorted((r.subject, r.text) for r in rows.collect()), names)
 
 
-def subject_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, subject, n_sentences, n_hits, posterior for every subject that some sentence of df(doc_id, text, form) deals with, and deals for those with enough (first: the first such of its document).
+def subject_rows(stored: DataFrame, model: Model) -> DataFrame:
+    """doc_id, subject, n_sentences, n_hits, posterior for every subject that some sentence of a document deals with, and deals for those with enough (first: the first such of its document).
 
-    The model holds the stems that weigh something. A narrow map; null and blank texts have no subject.
+    A map over the blocks of maximized.blocks(); the model holds the stems that weigh something. Null and blank texts have no subject.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.slope, model.offset))
-
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        names = shared.value[0]
-        m = Model(*shared.value)
-
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for i, t, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n, hits, mean = dealt_with(m, t, f)
-                first = True
-                for j in np.flatnonzero(hits):
-                    deals = bool(hits[j] >= least(n))
-                    for o, x in zip(out, (i, names[j], n, int(hits[j]), round(float(mean[j]), 6), deals, deals and first), strict=True):
-                        o.append(x)
-                    first = first and not deals
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["doc_id", "subject", "n_sentences", "n_hits", "posterior", "deals", "first"])
-
-        return run
-
-    return map_rows(docs.select("doc_id", "text", "form"), make, "doc_id bigint, subject string, n_sentences int, n_hits int, posterior double, deals boolean, first boolean")
+    shared = stored.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        names = pa.array(m.names, pa.string())
+        for batch in batches:
+            for b in each_block(batch):
+                hits, mean = dealing(m, b)
+                d, j = np.nonzero(hits)
+                enough = np.maximum(2, -(-b.sents // 5))
+                deals = hits[d, j] >= enough[d]
+                order = np.cumsum(deals)
+                _, begin = np.unique(d, return_index=True)
+                base = np.repeat(order[begin] - deals[begin], np.diff(np.append(begin, len(d)))) if len(d) else order
+                kinds = (pa.int64(), None, pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_())
+                columns = (b.ids[d], names.take(pa.array(j)), b.sents[d], hits[d, j], np.round(mean[d, j], 6), deals, deals & (order - base == 1))
+                yield pa.RecordBatch.from_arrays([c if k is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "subject", "n_sentences", "n_hits", "posterior", "deals", "first"])
+
+    return stored.mapInArrow(run, "doc_id bigint, subject string, n_sentences int, n_hits int, posterior double, deals boolean, first boolean")
 
 
 def p9_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "form")
-    return subject_rows(spread(docs), fit_model(docs, table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subjects")))
+    return subject_rows(*fit_model(docs, table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subjects")))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

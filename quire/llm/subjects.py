@@ -8,28 +8,33 @@ stem's probability in the subject over that in the subject's complement. Labelle
 weights, with unlabelled documents as complement; then each unlabelled document counts for a subject
 by how many of its sentences speak for it (expectation), and the weights are taken anew from these
 counts (maximization), so terms that no sample holds are learned from the company they keep, while words
-used with every subject keep none. The subjects don't compete: a logistic curve fitted on the labelled
-sentences turns each subject's evidence into a posterior of its own.
+used with every subject keep none. The subjects don't compete: a logistic curve turns each subject's
+evidence into a posterior of its own. It is fitted on labelled sentences whose evidence comes from weights
+that leave their own sample out; which of a sample's sentences deal with its subject is not known, so each
+counts by how far its evidence is more common among them than among sentences of other subjects.
+
+Learning, calibration and scoring read one form of documents, the numbered stems of a :class:`Block`.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import unicodedata
+from hashlib import blake2b
 
 import numpy as np
 
 from .sentences import ANY, plain, segment
 
 TAGS = re.compile(r"</?[A-Za-z][^<>]*>")
-#: Passing comparisons, by language: the compared thing is masked.
+#: Passing comparisons as the languages make them; the compared thing is masked. English: what one does to a thing, what a thing is like or a kind of;
+#: Korean: nouns with 처럼, 같이, 마냥, 인 양, and objects of verbs in -듯; Japanese: nouns before のよう, みたい, and でも with a verb in ように.
 COMPARED = re.compile(
-    r"\bas (?:one|if one|though one|a man|you) \w+ (?:at|to|for|upon)\s+(?:(?:an?|the)\s+)?[\w'’-]+(?:\s+[\w'’-]+)?"
-    r"|\b(?:was|is|were|seemed|became) (?:all )?(?:a|some) (?:kind|sort|species) of\s+(?:an? )?[\w'’-]+(?:\s+[\w'’-]+)?"
-    r"|\blike (?:an?|the|some)\s+[\w'’-]+(?:\s+[\w'’-]+)?"
-    r"|[가-힣]+(?:\s[가-힣]+)?(?:을|를)\s*(?:보듯|보는 듯|대하듯)|일종의\s*[가-힣]+(?:\s[가-힣]+)*?\s*같|마치\s+[가-힣]+(?:\s[가-힣]+)?(?:처럼|같이|인 양|듯)"
-    r"|[^、。「」はがにを]{1,14}でも(?:見る|扱う|眺める)ように|一種の[^、。「」]{1,14}のよう|まるで[^、。「」]{1,14}の?よう"
+    r"\bas (?:if |though )?(?:one|you|people|men|(?:a|any) (?:man|woman|person)) [^,;.!?—]*"
+    r"|\b(?:kind|sort|species|manner) of\s+(?:an? )?[\w'’-]+(?:\s+[\w'’-]+)?"
+    r"|\b(?:un)?like (?:an?|the|some)\s+[\w'’-]+(?:\s+[\w'’-]+)?"
+    r"|[가-힣]+(?:\s[가-힣]+)?(?:을|를)\s*[가-힣]+(?:는 )?듯|일종의\s*[가-힣]+(?:\s[가-힣]+)*?\s*같|마치\s+[가-힣]+(?:\s[가-힣]+)?(?:처럼|같이|인 양|마냥|듯)"
+    r"|[^、。「」はがにを]{1,14}でも[^、。「」はがにを]{1,6}ように|一種の[^、。「」]{1,14}のよう|まるで[^、。「」]{1,14}(?:の?よう|みたい)"
 )
 EN = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’-][A-Za-zÀ-ɏ]+)*")
 STOP = frozenset(
@@ -90,130 +95,231 @@ def uncompared(sentence: str, key: str) -> str:
     return s
 
 
+_KOREAN: dict[str, tuple[str, tuple[str, ...]]] = {}
+_JAPANESE: dict[str, tuple[str, tuple[str, ...]]] = {}
+
+
+def _korean(word: str) -> tuple[str, tuple[str, ...]]:
+    """A word without its particle and the stems it gives; kept at hand."""
+    if len(_KOREAN) >= CACHED:
+        _KOREAN.clear()
+    b = (JOSA.sub("", word) or word) if len(word) > 1 else word
+    e = _KOREAN[word] = (b, ("k" + b, "k" + b[:2] + "*") if len(b) > 2 else ("k" + b,))
+    return e
+
+
+def _japanese(word: str) -> tuple[str, tuple[str, ...]]:
+    if len(_JAPANESE) >= CACHED:
+        _JAPANESE.clear()
+    b = JA_STRIP.sub("", word) or word
+    e = _JAPANESE[word] = (b, ("j" + b, "j" + word[-(len(b) + 2) :]) if word != b else ("j" + b,))
+    return e
+
+
 def stems(sentence: str) -> list[str]:
     key = script(sentence)
     s = uncompared(sentence, key)
     out: list[str] = []
+    last = ""
     if key == "k":
-        last = ""
         for w in KO.findall(s):
-            b = JOSA.sub("", w) if len(w) > 1 else w
-            b = b or w
-            out.append("k" + b)
-            if len(b) > 2:
-                out.append("k" + b[:2] + "*")
+            b, own = _KOREAN.get(w) or _korean(w)
+            out += own
             if last:
-                out.append("k" + last + " " + b)
+                out.append(f"k{last} {b}")
             last = b
     elif key == "j":
-        last = ""
         for w in JA.findall(s):
-            b = JA_STRIP.sub("", w) or w
-            out.append("j" + b)
-            if w != b:
-                out.append("j" + w[-(len(b) + 2) :])
+            b, own = _JAPANESE.get(w) or _japanese(w)
+            out += own
             if last and len(b) + len(last) < 14:
-                out.append("j" + last + " " + b)
+                out.append(f"j{last} {b}")
             last = b
     else:
-        last = ""
-        first = True
-        for m in EN.finditer(s):
-            w = m.group()
-            if w[0].isupper() and not first:
-                last = ""
-                continue
-            first = False
-            low = unicodedata.normalize("NFC", w.lower())
-            if low in STOP:
+        for i, w in enumerate(EN.findall(s)):
+            # names are passed over and part their neighbours, and so do words of no use
+            low = w.lower()
+            if i and low[0] != w[0] or low in STOP:
                 last = ""
                 continue
             out.append("e" + low)
             if last:
-                out.append("e" + last + " " + low)
+                out.append(f"e{last} {low}")
             last = low
     return list(dict.fromkeys(out))
 
 
-#: How much a document's share of sentences with a subject speaks for the subject in the others.
-CONTEXT = 8.0
+SCRIPTS = "ekj"
+
+
+def number(stem: str) -> int:
+    """61 bits of a hash and the script in the last two."""
+    return int.from_bytes(blake2b(stem.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 3 << 2 | SCRIPTS.index(stem[0])
+
+
 #: Weight of the labelled samples of a script against its unlabelled documents at first, the share of it that stays in each later round,
 #: the least weight that counts, the evidence that makes a sentence deal with a subject, the subjects that a document is taken to have at most while learning.
 ANCHOR, LATER, LEAST_WEIGHT, DEALS_FROM, MOST, NEEDED = 0.3, 0.6, 1.3, 2.0, 2.5, 1.8
+ALPHA = 0.6
+#: Shares of documents are whole multiples of this, so that their sums don't depend on the order.
+GRAIN = 2.0**20
+#: Borders of the evidence by which the calibration tells dealing sentences from others.
+STEPS = np.array([1e-9, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.5, 8.0])
 
 
 class Model:
-    """weights: stem -> (subject, weight) pairs, two at most; slope and offset of the posterior."""
-
-    def __init__(self, names: list[str], weights: dict[str, list[tuple[int, float]]], slope: float, offset: float) -> None:
-        self.names, self.weights, self.slope, self.offset = names, weights, slope, offset
-        #: first words of pairs that weigh something
-        self.leads = {k.split(" ", 1)[0] for k in weights if " " in k}
-        self.bare: dict[str, dict[str, tuple]] = {"e": {}, "k": {}, "j": {}}
-
-    def known(self, key: str, word: str) -> tuple[str, tuple[str, ...], bool, bool]:
-        """Stem of a word, those of its stems that weigh something, whether it leads a pair that does, and whether it is of no use by itself; kept at hand."""
-        w = self.weights
-        if key == "k":
-            b = "k" + ((JOSA.sub("", word) or word) if len(word) > 1 else word)
-            own = (b, b[:3] + "*") if len(b) > 3 else (b,)
-        elif key == "j":
-            b = "j" + (JA_STRIP.sub("", word) or word)
-            own = (b, "j" + word[-(len(b) + 1) :])
-        else:
-            b = "e" + word
-            own = (b,)
-        use = tuple(x for x in own if x in w)
-        e = (b, use, b in self.leads, not use and b not in self.leads)
-        if len(self.bare[key]) < CACHED:
-            self.bare[key][word] = e
-        return e
-
-    def hits(self, sentence: str) -> set[str]:
-        """The stems of a sentence that weigh something: as in stems(), but without making the others."""
-        key = script(sentence)
-        s = uncompared(sentence, key)
-        found = KO.findall(s) if key == "k" else JA.findall(s) if key == "j" else EN.findall(s)
-        if key == "e":  # names are passed over and part their neighbours
-            found = [unicodedata.normalize("NFC", x.lower()) if not i or not x[0].isupper() else "" for i, x in enumerate(found)]
-        get, w, out, lead = self.bare[key].get, self.weights, set(), None
-        for x in found:
-            if not x:
-                lead = None
-                continue
-            e = get(x) or self.known(key, x)
-            if lead is None and e[3]:
-                continue
-            if e[1]:
-                out.update(e[1])
-            if lead is not None:
-                pair = f"{lead} {e[0][1:]}"
-                if pair in w:
-                    out.add(pair)
-            lead = e[0] if e[2] else None
-        return out
-
-    def scores(self, sentence: str) -> dict[int, float]:
-        """Evidence for the subjects that some stem speaks for."""
-        z: dict[int, float] = {}
-        for x in self.hits(sentence):
-            for j, v in self.weights[x]:
-                z[j] = z.get(j, 0.0) + v
+    """Numbers of the stems that weigh something (in order), their weights by subject; slope and offset of the posterior."""
+
+    def __init__(self, names: list[str], keys: np.ndarray, w: np.ndarray, slope: float, offset: float) -> None:
+        self.names, self.keys, self.w, self.slope, self.offset = names, keys, w, slope, offset
+
+    @property
+    def weights(self) -> dict[int, list[tuple[int, float]]]:
+        return {int(k): [(int(j), float(x[j])) for j in np.flatnonzero(x)] for k, x in zip(self.keys, self.w, strict=True)}
+
+
+def no_model(names: list[str]) -> Model:
+    return Model(names, np.zeros(0, np.int64), np.zeros((0, len(names))), 1.0, -99.0)
+
+
+class Block:
+    """Some documents by their stems: label and script of each, the distinct stems (in order), then sentence after sentence the place of each stem among them, the stems of each sentence and the sentences of each document."""
+
+    FIELDS = ("ids", "label", "script", "stem", "at", "per", "sents")
+
+    def __init__(self, ids, label, script, stem, at, per, sents) -> None:
+        self.ids, self.stem = np.asarray(ids, np.int64), np.asarray(stem, np.int64)
+        self.label, self.script, self.at, self.per, self.sents = (np.asarray(x, np.int64) for x in (label, script, at, per, sents))
+        self.sent_of = np.repeat(np.arange(len(self.per)), self.per)
+        self.doc_of = np.repeat(np.arange(len(self.sents)), self.sents)
+
+    @staticmethod
+    def of(docs: list[tuple[int, int, list[list[int]]]]) -> Block:
+        """Of (id, label, numbers of each sentence) documents."""
+        flat = np.array([i for _, _, d in docs for u in d for i in u], np.int64)
+        stem, at = np.unique(flat, return_inverse=True)
+        per, sents = [len(u) for _, _, d in docs for u in d], [len(d) for _, _, d in docs]
+        b = Block([i for i, _, _ in docs], [k for _, k, _ in docs], [0] * len(docs), stem, at, per, sents)
+        # the script of most of a document's distinct stems
+        d, w = b.pairs()
+        lean = np.zeros((len(docs), len(SCRIPTS)))
+        np.add.at(lean, (d, stem[w] & 3), 1.0)
+        b.script = lean.argmax(1)
+        return b
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Document and place of each distinct stem of each document."""
+        v = np.int64(max(1, len(self.stem)))
+        p = np.unique(self.doc_of[self.sent_of] * v + self.at) if len(self.at) else np.zeros(0, np.int64)
+        return p // v, p % v
+
+    def evidence(self, keys: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Weights of each sentence's stems by subject: sentences x subjects."""
+        z = np.zeros((len(self.per), w.shape[1]))
+        if len(keys) and len(self.at):
+            place = np.minimum(np.searchsorted(keys, self.stem), len(keys) - 1)
+            own = np.where((keys[place] == self.stem)[:, None], w[place], 0.0)
+            hit = np.flatnonzero(own.any(1)[self.at])
+            s, a = self.sent_of[hit], self.at[hit]
+            for j in range(w.shape[1]):
+                z[:, j] = np.bincount(s, own[a, j], len(self.per))
         return z
 
-    def posteriors(self, sentence: str) -> dict[int, float]:
-        return {j: 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * z + self.offset)))) for j, z in self.scores(sentence).items()}
+    def by_document(self, x: np.ndarray) -> np.ndarray:
+        """Sums over the sentences of each document: documents x columns of x."""
+        return np.stack([np.bincount(self.doc_of, x[:, j], len(self.sents)) for j in range(x.shape[1])], 1) if x.shape[1] else np.zeros((len(self.sents), 0))
 
 
-def complement(held: np.ndarray, total: np.ndarray, docs: np.ndarray, all_docs: np.ndarray, alpha: float) -> np.ndarray:
-    """Weight of each stem (row) for each subject (column): log odds of the subject where the stem is, less its log odds anywhere."""
+def complement(held: np.ndarray, total: np.ndarray, docs: np.ndarray, all_docs: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+    """Weight of each stem (row) for each subject (column): log odds of the subject where the stem is, less its log odds anywhere. A stem of more than two subjects tells none of them."""
     w = np.log(held + alpha) - np.log(np.maximum(total[:, None] - held, 0) + alpha) - np.log(docs) + np.log(np.maximum(all_docs - docs, 1.0))
     w = np.where((w >= LEAST_WEIGHT) & (w >= w.max(1, keepdims=True) - 1.0), np.minimum(w, 4.0), 0.0)
     return np.where((w > 0).sum(1, keepdims=True) > 2, 0.0, w)
 
 
+def expected(speak: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How far documents (rows) of size sentences, speak of which speak for a subject (column), count for it."""
+    gamma = 1 / (1 + np.exp(-1.6 * (speak - np.maximum(NEEDED, 0.14 * size)[:, None])))
+    return gamma / np.maximum(1.0, gamma.sum(1, keepdims=True) / MOST)
+
+
+def sums(b: Block, n: int, keys: np.ndarray, w: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Columns id, seen, total, one a subject: sums over the documents of a block by stem, and by script under the ids -1 and below. first: weight of a sample by script."""
+    sample = b.label >= 0
+    gamma = np.zeros((len(b.ids), n))
+    if len(keys):
+        gamma = expected(b.by_document((b.evidence(keys, w) >= DEALS_FROM).astype(float)), b.sents.astype(float))
+    gamma[sample] = 0.0
+    mine = np.flatnonzero(sample & (b.label < n))
+    gamma[mine, b.label[mine]] = 1.0
+    weight = np.round(np.where(sample, first[b.script], 1.0) * GRAIN) / GRAIN
+    part = np.round(gamma * weight[:, None] * GRAIN) / GRAIN
+    d, p = b.pairs()
+    seen = np.bincount(p, minlength=len(b.stem))
+    # scripts share no stems, so each has its own documents and odds
+    own = b.script[d] == (b.stem & 3)[p]
+    d, p = d[own], p[own]
+    groups = np.arange(len(SCRIPTS))
+    out = [np.concatenate([b.stem, -1 - groups]), np.concatenate([seen, np.bincount(b.script, minlength=len(groups))])]
+    for x in (weight, *part.T):
+        out.append(np.concatenate([np.bincount(p, x[d], len(b.stem)), np.bincount(b.script, x, len(groups))]))
+    return out
+
+
+def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of sums() added up by id."""
+    ids, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    rest = [np.bincount(at, np.concatenate([p[c] for p in parts]), len(ids)) for c in range(1, len(parts[0]))]
+    return [ids, rest[0].astype(np.int64), *rest[1:]]
+
+
+def start_weights(documents: dict[int, int], samples: dict[int, int]) -> np.ndarray:
+    """Weight of a sample by script, from how many documents and samples there are of each."""
+    return np.clip([ANCHOR * documents.get(s, 0) / max(samples.get(s, 0), 1) for s in range(len(SCRIPTS))], 1.0, 10.0)
+
+
+def calibrated(labelled: Block, n: int, known: np.ndarray, columns: list[np.ndarray], whole: np.ndarray, first: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the posterior from labelled documents, each scored by weights that leave it out.
+
+    known and columns are the ids and sums of the labelled documents' stems, whole the sums by script, first the weight that each sample had in them.
+    """
+    seen, total, held = columns[0], columns[1], np.stack(columns[2:], 1)
+    zs, ys = [], []
+    begin = np.concatenate([[0], np.cumsum(labelled.per)])
+    s0 = 0
+    for d, k in enumerate(labelled.label):
+        s1 = s0 + labelled.sents[d]
+        flat = labelled.stem[labelled.at[begin[s0] : begin[s1]]]
+        script, weight = labelled.script[d], np.round(first[labelled.script[d]] * GRAIN) / GRAIN
+        own = np.unique(flat)
+        at = np.searchsorted(known, own)
+        mine = (own & 3) == script
+        h, t = held[at].copy(), total[at] - np.where(mine, weight, 0.0)
+        docs, everything = whole[own & 3, 1:].copy(), whole[own & 3, 0].copy()
+        everything[mine] -= weight
+        if k < n:
+            h[mine, k] -= weight
+            docs[mine, k] -= weight
+        w = complement(np.maximum(h, 0), t, np.maximum(docs, 0) + 1e-3, everything[:, None])
+        w[seen[at] < 3] = 0  # two besides itself
+        z = np.stack([np.bincount(np.repeat(np.arange(s1 - s0), labelled.per[s0:s1]), w[np.searchsorted(own, flat), j], s1 - s0) for j in range(n)], 1) if s1 > s0 else np.zeros((0, n))
+        zs.append(z)
+        ys.append(np.full(len(z), k))
+        s0 = s1
+    z, k = np.concatenate(zs), np.concatenate(ys)
+    own = np.zeros(z.shape, bool)
+    rows = np.flatnonzero(k < n)
+    own[rows, k[rows]] = True
+    step = np.digitize(z, STEPS)
+    others = (np.bincount(step[~own], minlength=len(STEPS) + 1) + 0.5) / ((~own).sum() + 1)
+    mine = (np.bincount(step[own], minlength=len(STEPS) + 1) + 0.5) / (own.sum() + 1)
+    idle = min(1.0, mine[0] / others[0])  # share of a sample's sentences that deal with nothing
+    dealing = np.clip(1 - idle * others / mine, 0.0, 1.0)
+    return curve(z, np.where(own, dealing[step], 0.0))
+
+
 def curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the posterior on the labelled sentences' evidence (columns: subjects), each against every subject."""
+    """Slope and offset of a logistic curve by Newton's steps."""
     x, t = z.ravel(), y.ravel()
     a, b = 1.0, -1.5
     for _ in range(50):
@@ -226,100 +332,58 @@ def curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.2), b
 
 
-def expected(speak: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """How far documents (rows) of size sentences, speak of which speak for a subject (column), count for it."""
-    gamma = 1 / (1 + np.exp(-1.6 * (speak - np.maximum(NEEDED, 0.14 * size)[:, None])))
-    return gamma / np.maximum(1.0, gamma.sum(1, keepdims=True) / MOST)
+def labelled_rows(labelled: list[tuple[str, str]], names: list[str]) -> list[tuple[str, int]]:
+    """(text, place of its subject in names, behind them for none) of the (subject, text) rows that count."""
+    k = {s: i for i, s in enumerate(names)}
+    return [(t, k.get(s, len(names))) for s, t in labelled if t and (s in k or s == "none")]
 
 
-def fit(labelled: list[tuple[str, str]], unlabelled: list[tuple[str, str | None]], names: list[str], rounds: int = 8, alpha: float = 0.6) -> Model:
-    """From (subject, text) rows, subject 'none' for no subject, and (text, form) documents. Without rows the model finds nothing."""
-    k = {s: i for i, s in enumerate(names)}
+def numbered(text: str, form: str | None) -> list[list[int]]:
+    return [[number(x) for x in stems(u)] for u in sentences(text, form)]
+
+
+def fit(labelled: list[tuple[str, str]], unlabelled: list[tuple[str, str | None]], names: list[str], rounds: int = 8) -> Model:
+    """From (subject, text) rows, subject 'none' for no subject, and (text, form) documents, in one place; maximized.maximize() does the same over a table. Without rows the model finds nothing."""
     n = len(names)
-    docs: list[list[list[int]]] = []
-    vocabulary: dict[str, int] = {}
-    label: list[int] = []
-    for s, t in [(s, (t, None)) for s, t in labelled if s in k or s == "none"] + [("", d) for d in unlabelled]:
-        text, form = t
-        if not text:
-            continue
-        docs.append([[vocabulary.setdefault(x, len(vocabulary)) for x in stems(u)] for u in sentences(text, form)])
-        label.append(k.get(s, n) if s else -1)
-    v = len(vocabulary)
-    if not v or not any(0 <= x < n for x in label):
-        return Model(names, {}, 1.0, -99.0)
-    flat = np.array([i for d in docs for u in d for i in u], np.int64)
-    sent_of = np.repeat(np.arange(sum(len(d) for d in docs)), [len(u) for d in docs for u in d])
-    doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    label_of = np.array(label)[doc_of]
-    ns = len(doc_of)
-    size = np.bincount(doc_of, minlength=len(docs)).astype(float)
-    known = label_of >= 0
-    nd = len(docs)
-    pair = np.unique(doc_of[sent_of] * np.int64(v) + flat)
-    di, wi = pair // v, pair % v
-    label_d = np.array(label)
-    sample = label_d >= 0
-    gamma = np.zeros((nd, n))
-    mine = np.flatnonzero(sample & (label_d < n))
-    gamma[mine, label_d[mine]] = 1.0
-    seen = np.bincount(wi, minlength=v)
-    w = np.zeros((v, n))
-    # scripts share no stems, so each has its own documents and odds
-    of_script: dict[str, int] = {}
-    script = np.array([of_script.setdefault(x[0], len(of_script)) for x in vocabulary], np.int64)
-    lean = np.zeros((nd, max(1, len(of_script))))
-    np.add.at(lean, (di, script[wi]), 1.0)
-    script_d = lean.argmax(1)
-    own = script_d[di] == script[wi]
-    di, wi = di[own], wi[own]
-    groups = np.eye(lean.shape[1])[script_d]
-    first = np.clip(ANCHOR * (groups.T @ ~sample) / np.maximum(groups.T @ sample, 1), 1.0, 10.0)
+    known = labelled_rows(labelled, names)
+    if not any(k < n for _, k in known):
+        return no_model(names)
+    samples = Block.of([(0, k, numbered(t, None)) for t, k in known])
+    docs = Block.of([(0, -1, numbered(t, f)) for t, f in unlabelled if t])
+    count = lambda b: dict(zip(*(x.tolist() for x in np.unique(b.script, return_counts=True)), strict=True))
+    start = start_weights(count(docs), count(samples))
+    keys, w = np.zeros(0, np.int64), np.zeros((0, n))
     for turn in range(rounds):
-        weight = np.where(sample, np.maximum(1.0, first[script_d] * LATER**turn), 1.0)
-        held = np.stack([np.bincount(wi, (gamma[:, j] * weight)[di], v) for j in range(n)], 1)
-        total = np.bincount(wi, weight[di], v)
-        docs_s = groups.T @ (gamma * weight[:, None]) + 1e-3
-        w = complement(held, total, docs_s[script], (groups.T @ weight)[script][:, None], alpha)
-        w[seen < 2] = 0
-        z = np.stack([np.bincount(sent_of, w[:, j][flat], ns) for j in range(n)], 1)
-        speak = np.stack([np.bincount(doc_of, z[:, j] >= DEALS_FROM, nd) for j in range(n)], 1)
-        gamma = np.where(sample[:, None], gamma, expected(speak, size))
-    z = z[known]
-    y = np.zeros_like(z)
-    rows = np.flatnonzero(label_of[known] < n)
-    y[rows, label_of[known][rows]] = z[rows, label_of[known][rows]] > 0
-    a, b = curve(z, y)
-    keep = np.flatnonzero(w.any(1))
-    names_of = list(vocabulary)
-    return Model(names, {names_of[i]: [(int(j), float(w[i, j])) for j in np.flatnonzero(w[i])] for i in keep}, a, b)
-
-
-def dealt_with(model: Model, text: str | None, form: str | None, over: float = 0.5) -> tuple[int, np.ndarray, np.ndarray]:
-    """Sentences of the document, those that deal with each subject, and each subject's mean posterior.
-
-    A stem of two subjects is read in its document: a second look raises a subject by the share of sentences that dealt with it at the first.
-    """
-    n = len(model.names)
-    hits, mean = np.zeros(n, np.int64), np.zeros(n)
-    if not text:
-        return 0, hits, mean
-    units = sentences(text, form)
-    z = [x for x in map(model.scores, units) if x]
-    if not z:
-        return len(units), hits, mean
-    share = [0.0] * n
-    for x in z:
-        for j, v in x.items():
-            if model.slope * v + model.offset > 0:
-                share[j] += 1 / len(units)
-    lift = [min(2.5, max(-1.0, CONTEXT * (x - 0.12))) for x in share]
-    for x in z:
-        for j, v in x.items():
-            p = 1 / (1 + math.exp(-min(30.0, max(-30.0, model.slope * v + model.offset + lift[j]))))
-            mean[j] += p
-            hits[j] += p > over
-    return len(units), hits, mean / len(units)
+        first = np.maximum(1.0, start * LATER**turn)
+        got = merged([sums(b, n, keys, w, first) for b in (samples, docs)])
+        here = got[0] >= 0
+        whole = np.stack(got[2:], 1)[~here][::-1]
+        ids, columns = got[0][here], [c[here] for c in got[1:]]
+        w = weighed(ids, columns, whole)
+        kept = np.flatnonzero(w.any(1))
+        keys, w = ids[kept], w[kept]
+    return Model(names, keys, w, *calibrated(samples, n, ids, columns, whole, first))
+
+
+def weighed(ids: np.ndarray, columns: list[np.ndarray], whole: np.ndarray) -> np.ndarray:
+    """Weights of stems (rows) from their columns seen, total, one a subject, and the sums by script; a stem seen once has none."""
+    w = complement(np.stack(columns[2:], 1), columns[1], whole[ids & 3, 1:] + 1e-3, whole[ids & 3, :1])
+    w[columns[0] < 2] = 0
+    return w
+
+
+def dealing(model: Model, b: Block, over: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences of each document that deal with each subject, and each subject's mean posterior: documents x subjects."""
+    z = b.evidence(model.keys, model.w)
+    p = np.where(z > 0, 1 / (1 + np.exp(-np.clip(model.slope * z + model.offset, -30, 30))), 0.0)
+    return b.by_document((p > over).astype(float)).astype(np.int64), b.by_document(p) / np.maximum(b.sents, 1)[:, None]
+
+
+def dealt_with(model: Model, text: str | None, form: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Sentences of one document, those that deal with each subject, and each subject's mean posterior."""
+    b = Block.of([(0, -1, numbered(text, form) if text else [])])
+    hits, mean = dealing(model, b)
+    return int(b.sents[0]), hits[0], mean[0]
 
 
 def least(total: int) -> int:

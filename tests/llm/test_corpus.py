@@ -113,8 +113,9 @@ def test_passing_comparisons_give_no_stem():
 def test_subjects_edge_cases(spark):
     m = subjects.fit([], [], ["law"])
     assert subjects.dealt_with(m, None, None)[0] == 0 and subjects.dealt_with(m, "", "verse")[0] == 0
-    docs = spark.createDataFrame([(1, None, None), (2, "", "verse")], "doc_id bigint, text string, form string")
-    assert p9.subject_rows(docs, m).count() == 0
+    docs = spark.createDataFrame([(1, None, None), (2, "", "verse"), (3, " ", None)], "doc_id bigint, text string, form string")
+    samples, names = spark.createDataFrame([("law", None)], "subject string, text string"), spark.createDataFrame([("law",)], "subject string")
+    assert p9.subject_rows(*p9.fit_model(docs, samples, names)).count() == 0
     assert [subjects.least(n) for n in (0, 1, 9, 10, 11, 26)] == [2, 2, 2, 2, 3, 6]
 
 
@@ -132,7 +133,7 @@ def test_subjects_are_refined_over_every_document(spark, monkeypatch):
         monkeypatch.setattr(p9, name, 100, raising=False)
     docs, samples, names = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "subject_samples", "subjects"))
     docs = docs.union(docs.withColumn("doc_id", docs.doc_id + 1000000))
-    m = p9.fit_model(docs, samples, names)
+    m = p9.fit_model(docs, samples, names)[1]
     got = docs.where("text <> ''").select("text", "form").collect()
     whole = subjects.fit(sorted((r.subject, r.text) for r in samples.collect()), [(r.text, r.form) for r in got], m.names)
     same = [k for k in whole.weights if k in m.weights and [j for j, _ in whole.weights[k]] == [j for j, _ in m.weights[k]]]
@@ -142,6 +143,24 @@ def test_subjects_are_refined_over_every_document(spark, monkeypatch):
 
 def test_scoring_sees_the_stems_that_learning_sees():
     for t in ("The judge met Bishop Law at court, where law and Court law were read.", "Umberly looked at a Boiler as one looks at a boiler.", "홀데인은 보일러를 고쳤다.", "エロワーズは旋盤を直した。"):
-        known = set(subjects.stems(t)) | set(subjects.stems(t.lower()))
-        m = subjects.Model(["x"], {k: [(0, 1.0)] for k in known}, 1.0, 0.0)
-        assert m.hits(t) == set(subjects.stems(t)), t
+        known = sorted({subjects.number(x) for x in (*subjects.stems(t), *subjects.stems(t.lower()))})
+        m = subjects.Model(["x"], np.array(known), np.ones((len(known), 1)), 1.0, 0.0)
+        z = subjects.Block.of([(0, -1, subjects.numbered(t, None))]).evidence(m.keys, m.w)
+        assert z.sum() == len(subjects.stems(t)), t
+
+
+def test_posteriors_of_held_out_sentences_are_calibrated():
+    """Sentences without a word of a subject, in samples that the model hasn't seen, get it in few cases; the curve comes from evidence that leaves each sample out."""
+    t = pq.read_table(f"{DIR}/subject_samples.parquet").to_pylist()
+    d = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    names = sorted({r["subject"] for r in t} - {"none"})
+    m = subjects.fit([(r["subject"], r["text"]) for r in t if r["sample_id"] % 4], [(r["text"], r["form"]) for r in d], names)
+    own = other = n = 0
+    for r in t:
+        if r["sample_id"] % 4 == 0:
+            units, hits, _ = subjects.dealt_with(m, r["text"], None)
+            k = names.index(r["subject"]) if r["subject"] in names else -1
+            own += hits[k] if k >= 0 else 0
+            other += sum(h for j, h in enumerate(hits) if j != k)
+            n += units
+    assert own / n > 0.3 and other / n < 0.06
