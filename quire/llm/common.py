@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import shared_dir, stored
+
+__all__ = ["map_rows", "shared_dir", "spread", "stored", "table", "texts"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -50,23 +49,3 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
                 yield f(b)
 
     return df.mapInArrow(run, schema)
-
-
-@lru_cache(maxsize=1)
-def _own() -> str:
-    base = tempfile.mkdtemp(prefix="quire-")
-    atexit.register(shutil.rmtree, base, True)
-    return "file://" + base
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared spark.checkpoint.dir.
-
-    Where that is unset, a local session, as in tests, gets a folder of its own that goes with the process; on a cluster it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _own()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

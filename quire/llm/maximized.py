@@ -20,8 +20,8 @@ from .subjects import LATER, Block, Model, calibrated, labelled_rows, merged, no
 
 #: Stems whose numbers a task keeps at hand, stems of a block, and rows of sums that a task holds before it adds them up.
 HELD, IN_BLOCK, AT_ONCE = 300_000, 300_000, 1_500_000
-BLOCKS = "ids array<bigint>, label array<int>, script array<int>, stem array<bigint>, at array<int>, per array<int>, sents array<int>"
-KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+BLOCKS = "ids array<bigint>, label array<int>, script array<int>, stem array<bigint>, at array<int>, per array<int>, sents array<int>, doc array<int>, place array<int>"
+KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -122,4 +122,4 @@ def maximize(docs: DataFrame, labelled: list[tuple[str, str]], names: list[str],
     few = F.broadcast(spark.createDataFrame([(int(i),) for i in samples.stem], "id bigint"))  # stems of the labelled samples
     sure = table.join(few, "id").toPandas().sort_values("id")
     columns = [sure[f].to_numpy() for f in fields[1:]]
-    return stored, Model(names, keys, w, *calibrated(samples, n, sure.id.to_numpy(np.int64), columns, whole, first))
+    return stored, Model(names, keys, w, calibrated(samples, n, sure.id.to_numpy(np.int64), columns, whole, first))

@@ -28,25 +28,27 @@ def level(text: str) -> str:
 
 
 def copied(prompt: str, response: str) -> bool:
-    """Is the response the prompt, give or take trifles? Judged by its size when compressed with the prompt as a zstandard dictionary."""
+    """Is the response the prompt, give or take trifles? Judged by its size when compressed with the prompt as a zstandard dictionary.
+
+    An exact check follows: of a short response, in which a frame hides what is new, the one must hold the other; a longer one must give back at least half of the prompt, or 60 bytes.
+    """
     a, b = level(prompt), level(response)
     if not a or not b:
         return False
-    if a == b:
-        return True
+    x, y = a.encode("utf-8", "surrogatepass"), b.encode("utf-8", "surrogatepass")
+    c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False)
+    if len(c.compress(y)) > FRAME + COPY_SHARE * len(y):
+        return False
     if len(a) < 24:
         return a in b and len(b) - len(a) <= 12 or b in a and len(a) - len(b) <= 4
-    x = a.encode()
-    y = b.encode()
-    if len(y) * 2 < len(x) or len(y) > 2 * len(x) + 40:
-        if not len(y) > 60 or len(y) > 2 * len(x):
-            return False
-    c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False)
-    return len(c.compress(y)) <= FRAME + COPY_SHARE * len(y)
+    return 2 * len(y) >= len(x) or len(y) > 60
 
 
 def defect(unit: str | None, text: str | None, lang: str | None, cut: Callable[[str], bool]) -> str | None:
-    """empty, refusal, copy, other_language, truncated or None for one pair; a unit without letters has no defect."""
+    """empty, refusal, copy, other_language, truncated or None for one pair; a unit without letters has no defect.
+
+    A response most of whose letters are Hangul is neither a copy nor in another language: the units are English or Japanese, and one in Korean that is kept as it is is no case.
+    """
     if not unit or not ANY.search(TAG.sub("", unit)):
         return None
     if not text or not ANY.search(TAG.sub("", text)):

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, spread, table
-from .truncation import fit, score
+from .truncation import fit, learn, rows_of, score
 
-#: Rows on which the classifier is fitted, the characters of a long one that it is fitted on, and the log odds over which a value counts as cut
+#: Stored values that the classifier's examples are made of, about, picked by a hash of their ids, and the log odds over which a value counts as cut
 #: (cut values are few, so more than even odds are asked for); every row is scored whole.
-SAMPLE, SAMPLE_CHARS, CUT_OVER = 15000, 20000, 1.0
+SAMPLE, CUT_OVER = 15000, 1.0
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +25,26 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fit_on_sample(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights from about sample rows picked by a hash of their ids; the sample alone comes to the driver, 2 x sample rows at most."""
+    """Weights from about sample values, each whole. The executors make the examples and their features; the numbers of these come to the driver."""
     n = rows.count()
     if not n:
         return fit([])
     grid = 1 << 24
     picked = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("src_table", "row_id"), F.lit(grid)) < int(min(1.0, sample / n) * grid) + 1))
-    got = picked.select(F.expr(f"right(text, {SAMPLE_CHARS})").alias("t"), "heading").limit(2 * sample).collect()
-    got.sort(key=lambda r: (r.t, r.heading))
-    return fit([r.t for r in got], [r.heading for r in got])
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            made = [r for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in rows_of(t, h)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), pa.array([r[1] for r in made], pa.list_(pa.int32())), pa.array([r[2] for r in made], pa.list_(pa.string()))], ["kind", "features", "closing"])
+
+        return run
+
+    # the sample is spread over the cores by a hash of its texts
+    few = picked.select("text", "heading").repartition(rows.sparkSession.sparkContext.defaultParallelism, "text")
+    got = map_rows(few, make, "kind int, features array<int>, closing array<string>").toArrow().combine_chunks()
+    features = got["features"].combine_chunks()
+    kinds, sizes = got["kind"].to_numpy(), features.value_lengths().to_numpy() if len(features) else np.zeros(0, np.int64)
+    return learn(kinds.astype(np.int64), features.flatten().to_numpy().astype(np.int64), sizes.astype(np.int64), got["closing"].to_pylist())
 
 
 def scored(rows: DataFrame, weights: np.ndarray) -> DataFrame:

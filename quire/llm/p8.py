@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_dir, spread, table
+from .common import map_rows, spread, stored, table
 from .tokens import TOKENIZERS, count
 from .truncation import WORDS
 
-#: Labelled documents on which the classifier is fitted, and the characters of a long one used for that.
-SAMPLE, SAMPLE_CHARS, BITS = 6000, 8000, 15
-STEPS, BINS, MOST_SOURCES = 60, 2048, 1000
+#: Labelled documents on which the classifier is fitted, about, picked by a hash and read whole; bits of its features.
+SAMPLE, BITS = 6000, 15
+#: Steps of the descent at most, after how many the rates are stored, bins of the hash that rounds rates; more targets than MOST_SOURCES are an error.
+STEPS, STORED, BINS, MOST_SOURCES = 60, 8, 2048, 1000
 #: A miss of this share of the total ends the steps, and so does a square miss that stays above this share of the one before.
 NEAR, STALL = 1e-5, 0.98
 
@@ -51,9 +52,9 @@ def members(docs: DataFrame, names: list[str], sample: int = SAMPLE, tokenizers:
     """doc_id, source, n_tokens, q (membership in each of names, sum 1) of df(doc_id, text, source)."""
     spark = docs.sparkSession
     labelled = docs.where(F.col("source").isin(names) & F.col("text").isNotNull())
-    n = max(docs.count(), 1)
+    n = max(labelled.count(), 1)
     grid = 1 << 24
-    got = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < int(min(1.0, sample / n) * grid) + 1).select("source", F.expr(f"left(text, {SAMPLE_CHARS})").alias("t")).limit(2 * sample).collect()
+    got = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < int(min(1.0, sample / n) * grid) + 1).select("source", F.col("text").alias("t")).collect()
     shared = spark.sparkContext.broadcast((names, *fit(sorted((r.source, r.t) for r in got), names)))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -104,59 +105,52 @@ def rates(table_of: DataFrame, shares: np.ndarray, caps: np.ndarray, total: floa
         dot = "aggregate(zip_with(q, m, (a, b) -> a * b), 0D, (s, x) -> s + x)"
         return F.expr(f"aggregate({steps_sql}, least(1D, __cap), (r, m) -> greatest(0D, least(__cap, r + {dot})))")
 
-    base = table_of.withColumn("__cap", cap)
-    # documents of the same membership share a rate: the sums run over memberships, few of which are soft
-    base = base.groupBy("q", "__cap").agg(F.sum("n_tokens").alias("n_tokens"))
-    at = shared_dir(table_of.sparkSession, "p8-members")
-    base.write.parquet(at)
-    base = table_of.sparkSession.read.parquet(at)
+    # documents of the same membership share a rate: the descent runs over memberships, few of which are soft
+    base = table_of.withColumn("__cap", cap).groupBy("q", "__cap").agg(F.sum("n_tokens").alias("n_tokens"))
+    state = stored(base.withColumn("r", F.least(F.lit(1.0), F.col("__cap"))), "p8-members")
+    dot = "aggregate(zip_with(q, {m}, (a, b) -> a * b), 0D, (s, x) -> s + x)"
     moves: list[np.ndarray] = []
     before = float("inf")
-    for _ in range(steps):
-        r = base.withColumn("r", rate(moves)) if moves else base.withColumn("r", F.least(F.lit(1.0), F.col("__cap")))
-        got = np.array(r.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("r") * F.col("q")[i]), F.lit(0.0)) for i in range(k)]).first(), float)
+    for turn in range(steps):
+        got = np.array(state.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("r") * F.col("q")[i]), F.lit(0.0)) for i in range(k)]).first(), float)
         miss = goal - got
         # near enough, or at a bound that the caps set
         if np.abs(miss).max() <= NEAR * max(total, 1.0) or np.square(miss).sum() > STALL * before:
             break
         before = float(np.square(miss).sum())
         moves.append(0.9 * miss / scale)
+        # one move a step: what a membership needs of the past is its rate
+        move = "array(" + ", ".join(f"{x:.12g}D" for x in moves[-1]) + ")"
+        state = state.withColumn("r", F.expr(f"greatest(0D, least(__cap, r + {dot.format(m=move)}))"))
+        if turn % STORED == STORED - 1:
+            state = stored(state, "p8-members")
     return (lambda df: df.withColumn("__cap", cap).withColumn("rate", rate(moves) if moves else F.least(F.lit(1.0), F.col("__cap"))).drop("__cap")), total
 
 
 def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
     """doc_id, source, n_tokens, rate, uses of every document; uses is how often the mix holds it, 0 for not at all.
 
-    targets(source, target_share, max_repeats) is a small table (at most MOST_SOURCES rows are taken).
+    targets(source, target_share, max_repeats) is a small table; more than MOST_SOURCES rows are an error.
     Documents without tokens are never used.
     """
     spark = docs.sparkSession
-    goal = sorted(targets.where("source IS NOT NULL").select("source", F.coalesce("target_share", F.lit(0.0)).alias("s"), F.coalesce("max_repeats", F.lit(1)).alias("c")).limit(MOST_SOURCES).collect())
+    goal = sorted(targets.where("source IS NOT NULL").select("source", F.coalesce("target_share", F.lit(0.0)).alias("s"), F.coalesce("max_repeats", F.lit(1)).alias("c")).limit(MOST_SOURCES + 1).collect())
+    if len(goal) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} targets")
     if not goal:
         return docs.select("doc_id", "source", F.lit(None).cast("bigint").alias("n_tokens"), F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("uses"))
     names = [r.source for r in goal]
-    at = shared_dir(spark, "p8-sizes")
-    members(docs, names).write.parquet(at)
-    m = spark.read.parquet(at)
+    m = stored(members(docs, names), "p8-sizes")
     give, _ = rates(m, np.array([r.s for r in goal], float), np.array([r.c for r in goal], float), total)
-    rated = give(m).withColumn("home", F.expr("array_position(q, array_max(q)) - 1"))
-    frac = F.col("rate") - F.floor("rate")
-    rated = rated.withColumn("bin", F.pmod(F.xxhash64("doc_id"), F.lit(BINS))).withColumn("frac", frac)
-    # by source and whole part: the bins whose documents get one use more, until their tokens are what the fractions ask for
-    bins = rated.groupBy("home", F.floor("rate").alias("whole"), "bin").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("frac")).alias("want"))
-    cuts: dict[tuple[int, int], list] = {}
-    for r in bins.collect():  # at most sources x caps x BINS rows
-        cuts.setdefault((int(r.home), int(r.whole)), []).append((int(r.bin), float(r.n), float(r.want)))
-    rows = []
-    for (home, whole), b in sorted(cuts.items()):
-        want, got, limit = sum(x[2] for x in b), 0.0, 0
-        for i, n, _ in sorted(b):
-            if got + n / 2 > want:
-                continue
-            got += n
-            rows.append((home, whole, i))
-    extra = F.broadcast(spark.createDataFrame(rows or [(-1, -1, -1)], "home bigint, whole bigint, bin bigint").withColumn("one", F.lit(1)))
-    got = rated.withColumn("whole", F.floor("rate")).join(extra, ["home", "whole", "bin"], "left")
+    rated = give(m).withColumn("home", F.expr("array_position(q, array_max(q)) - 1")).withColumn("whole", F.floor("rate"))
+    rated = rated.withColumn("bin", F.pmod(F.xxhash64("doc_id"), F.lit(BINS))).withColumn("frac", F.col("rate") - F.col("whole"))
+    # by source and whole part: the bins whose documents get one use more, in order, until their tokens are what the fractions ask for; at most BINS rows meet in a window
+    group = ["home", "whole"]
+    bins = rated.groupBy(*group, "bin").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("frac")).alias("want"))
+    run = Window.partitionBy(*group).orderBy("bin")
+    bins = bins.withColumn("upto", F.sum("n").over(run)).withColumn("want", F.sum("want").over(Window.partitionBy(*group)))
+    extra = bins.where(F.col("upto") - F.col("n") / 2 <= F.col("want")).select(*group, "bin", F.lit(1).alias("one"))
+    got = rated.join(extra, [*group, "bin"], "left")
     uses = F.when(F.col("n_tokens") > 0, F.col("whole") + F.coalesce("one", F.lit(0))).otherwise(0)
     return got.select("doc_id", "source", "n_tokens", F.round("rate", 6).alias("rate"), uses.cast("bigint").alias("uses"))
 

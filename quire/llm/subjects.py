@@ -8,9 +8,9 @@ stem's probability in the subject over that in the subject's complement. Labelle
 weights, with unlabelled documents as complement; then each unlabelled document counts for a subject
 by how many of its sentences speak for it (expectation), and the weights are taken anew from these
 counts (maximization), so terms that no sample holds are learned from the company they keep, while words
-used with every subject keep none. The subjects don't compete: a logistic curve turns each subject's
+used with every subject keep none. The subjects don't compete: a rising curve turns each subject's
 evidence into a posterior of its own. It is fitted on labelled sentences whose evidence comes from weights
-that leave their own sample out; which of a sample's sentences deal with its subject is not known, so each
+that leave their own sample out, by isotonic regression, which bounds nothing but that more evidence speaks no less; which of a sample's sentences deal with its subject is not known, so each
 counts by how far its evidence is more common among them than among sentences of other subjects.
 
 Learning, calibration and scoring read one form of documents, the numbered stems of a :class:`Block`.
@@ -168,10 +168,10 @@ STEPS = np.array([1e-9, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.5, 8.0])
 
 
 class Model:
-    """Numbers of the stems that weigh something (in order), their weights by subject; slope and offset of the posterior."""
+    """Numbers of the stems that weigh something (in order), their weights by subject; the posterior by step of the evidence."""
 
-    def __init__(self, names: list[str], keys: np.ndarray, w: np.ndarray, slope: float, offset: float) -> None:
-        self.names, self.keys, self.w, self.slope, self.offset = names, keys, w, slope, offset
+    def __init__(self, names: list[str], keys: np.ndarray, w: np.ndarray, levels: np.ndarray) -> None:
+        self.names, self.keys, self.w, self.levels = names, keys, w, np.asarray(levels, float)
 
     @property
     def weights(self) -> dict[int, list[tuple[int, float]]]:
@@ -179,19 +179,25 @@ class Model:
 
 
 def no_model(names: list[str]) -> Model:
-    return Model(names, np.zeros(0, np.int64), np.zeros((0, len(names))), 1.0, -99.0)
+    return Model(names, np.zeros(0, np.int64), np.zeros((0, len(names))), np.zeros(len(STEPS) + 1))
 
 
 class Block:
-    """Some documents by their stems: label and script of each, the distinct stems (in order), then sentence after sentence the place of each stem among them, the stems of each sentence and the sentences of each document."""
+    """Some documents by their stems: label and script of each, the distinct stems (in order), then sentence after sentence the place of each stem among them, the stems of each sentence,
+    the sentences of each document, and document and place of each distinct stem of each document."""
 
-    FIELDS = ("ids", "label", "script", "stem", "at", "per", "sents")
+    FIELDS = ("ids", "label", "script", "stem", "at", "per", "sents", "doc", "place")
 
-    def __init__(self, ids, label, script, stem, at, per, sents) -> None:
+    def __init__(self, ids, label, script, stem, at, per, sents, doc=None, place=None) -> None:
         self.ids, self.stem = np.asarray(ids, np.int64), np.asarray(stem, np.int64)
         self.label, self.script, self.at, self.per, self.sents = (np.asarray(x, np.int64) for x in (label, script, at, per, sents))
         self.sent_of = np.repeat(np.arange(len(self.per)), self.per)
         self.doc_of = np.repeat(np.arange(len(self.sents)), self.sents)
+        if doc is None:
+            v = np.int64(max(1, len(self.stem)))
+            p = np.unique(self.doc_of[self.sent_of] * v + self.at) if len(self.at) else np.zeros(0, np.int64)
+            doc, place = p // v, p % v
+        self.doc, self.place = np.asarray(doc, np.int64), np.asarray(place, np.int64)
 
     @staticmethod
     def of(docs: list[tuple[int, int, list[list[int]]]]) -> Block:
@@ -201,18 +207,11 @@ class Block:
         per, sents = [len(u) for _, _, d in docs for u in d], [len(d) for _, _, d in docs]
         b = Block([i for i, _, _ in docs], [k for _, k, _ in docs], [0] * len(docs), stem, at, per, sents)
         # the script of most of a document's distinct stems
-        d, w = b.pairs()
         lean = np.zeros((len(docs), len(SCRIPTS)))
-        np.add.at(lean, (d, stem[w] & 3), 1.0)
+        np.add.at(lean, (b.doc, stem[b.place] & 3), 1.0)
         b.script = lean.argmax(1)
         return b
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Document and place of each distinct stem of each document."""
-        v = np.int64(max(1, len(self.stem)))
-        p = np.unique(self.doc_of[self.sent_of] * v + self.at) if len(self.at) else np.zeros(0, np.int64)
-        return p // v, p % v
-
     def evidence(self, keys: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Weights of each sentence's stems by subject: sentences x subjects."""
         z = np.zeros((len(self.per), w.shape[1]))
@@ -254,7 +253,7 @@ def sums(b: Block, n: int, keys: np.ndarray, w: np.ndarray, first: np.ndarray) -
     gamma[mine, b.label[mine]] = 1.0
     weight = np.round(np.where(sample, first[b.script], 1.0) * GRAIN) / GRAIN
     part = np.round(gamma * weight[:, None] * GRAIN) / GRAIN
-    d, p = b.pairs()
+    d, p = b.doc, b.place
     seen = np.bincount(p, minlength=len(b.stem))
     # scripts share no stems, so each has its own documents and odds
     own = b.script[d] == (b.stem & 3)[p]
@@ -278,8 +277,8 @@ def start_weights(documents: dict[int, int], samples: dict[int, int]) -> np.ndar
     return np.clip([ANCHOR * documents.get(s, 0) / max(samples.get(s, 0), 1) for s in range(len(SCRIPTS))], 1.0, 10.0)
 
 
-def calibrated(labelled: Block, n: int, known: np.ndarray, columns: list[np.ndarray], whole: np.ndarray, first: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the posterior from labelled documents, each scored by weights that leave it out.
+def calibrated(labelled: Block, n: int, known: np.ndarray, columns: list[np.ndarray], whole: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The posterior by step of the evidence (STEPS) from labelled documents, each scored by weights that leave it out.
 
     known and columns are the ids and sums of the labelled documents' stems, whole the sums by script, first the weight that each sample had in them.
     """
@@ -311,25 +310,24 @@ def calibrated(labelled: Block, n: int, known: np.ndarray, columns: list[np.ndar
     rows = np.flatnonzero(k < n)
     own[rows, k[rows]] = True
     step = np.digitize(z, STEPS)
-    others = (np.bincount(step[~own], minlength=len(STEPS) + 1) + 0.5) / ((~own).sum() + 1)
-    mine = (np.bincount(step[own], minlength=len(STEPS) + 1) + 0.5) / (own.sum() + 1)
+    size = len(STEPS) + 1
+    others = (np.bincount(step[~own], minlength=size) + 0.5) / ((~own).sum() + 1)
+    mine = (np.bincount(step[own], minlength=size) + 0.5) / (own.sum() + 1)
     idle = min(1.0, mine[0] / others[0])  # share of a sample's sentences that deal with nothing
     dealing = np.clip(1 - idle * others / mine, 0.0, 1.0)
-    return curve(z, np.where(own, dealing[step], 0.0))
+    n_all, n_own = np.bincount(step.ravel(), minlength=size), np.bincount(step[own], minlength=size)
+    return rising(dealing * n_own / np.maximum(n_all, 1), n_all)
 
 
-def curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton's steps."""
-    x, t = z.ravel(), y.ravel()
-    a, b = 1.0, -1.5
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        d = p * (1 - p) + 1e-6
-        grad = np.array([np.sum((p - t) * x) + 0.01 * a, np.sum(p - t)])
-        hess = np.array([[np.sum(d * x * x) + 0.01, np.sum(d * x)], [np.sum(d * x), np.sum(d) + 1e-9]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
-    return max(a, 0.2), b
+def rising(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The non-decreasing steps nearest to value (isotonic regression by pooling neighbours); steps without weight take that of the step before."""
+    pools: list[list[float]] = []
+    for v, w in zip(value, weight, strict=True):
+        pools.append([float(v) * w, float(w), 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            v0, w0, n0 = pools.pop()
+            pools[-1] = [pools[-1][0] + v0, pools[-1][1] + w0, pools[-1][2] + n0]
+    return np.repeat([v / w if w else 0.0 for v, w, _ in pools], [n for _, _, n in pools])
 
 
 def labelled_rows(labelled: list[tuple[str, str]], names: list[str]) -> list[tuple[str, int]]:
@@ -362,7 +360,7 @@ def fit(labelled: list[tuple[str, str]], unlabelled: list[tuple[str, str | None]
         w = weighed(ids, columns, whole)
         kept = np.flatnonzero(w.any(1))
         keys, w = ids[kept], w[kept]
-    return Model(names, keys, w, *calibrated(samples, n, ids, columns, whole, first))
+    return Model(names, keys, w, calibrated(samples, n, ids, columns, whole, first))
 
 
 def weighed(ids: np.ndarray, columns: list[np.ndarray], whole: np.ndarray) -> np.ndarray:
@@ -375,7 +373,7 @@ def weighed(ids: np.ndarray, columns: list[np.ndarray], whole: np.ndarray) -> np
 def dealing(model: Model, b: Block, over: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Sentences of each document that deal with each subject, and each subject's mean posterior: documents x subjects."""
     z = b.evidence(model.keys, model.w)
-    p = np.where(z > 0, 1 / (1 + np.exp(-np.clip(model.slope * z + model.offset, -30, 30))), 0.0)
+    p = model.levels[np.digitize(z, STEPS)]
     return b.by_document((p > over).astype(float)).astype(np.int64), b.by_document(p) / np.maximum(b.sents, 1)[:, None]
 
 

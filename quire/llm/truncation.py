@@ -30,25 +30,32 @@ RUNS = re.compile(r"[ァ-ヺー・]+|[一-鿿々]+|[ぁ-ん]|[A-Za-z]+|\d+|[^\w\
 TAGS = re.compile(r"</?[A-Za-z][^<>]*>")
 
 
-def at_end(pattern: re.Pattern, text: str) -> re.Match | None:
-    """Match of a pattern that is anchored at the end; only the last stretch of the text is searched."""
-    return pattern.search(text, max(0, len(text) - 160))
+#: Characters that the patterns of a text's end are made of, besides tags.
+TRAILING = "".join(dict.fromkeys(".!?。！？．｡”’」』)）]\"'»*…—―-\\/|� \t\n\r\f\v\u3000\xa0["))
+TAG_AT_END = re.compile(r"</?\w+>\Z")
 
 
-#: Characters from the end within which a value's closing is looked at; its last unit is far shorter.
-REACH = 5000
+def at_end(pattern: re.Pattern, text: str) -> re.Match | None:
+    """Match of one of the patterns that are anchored at the end; only the closing marks are searched, however many there are."""
+    n = len(text)
+    while True:
+        n = len(text[:n].rstrip(TRAILING)) if n else 0
+        tag = TAG_AT_END.search(text, max(0, n - 40), n) if n and text[n - 1] == ">" else None
+        if not tag:
+            return pattern.search(text, n)
+        n = tag.start()
 
 
 def tail(text: str) -> str:
     """The last paragraph, without white space behind it."""
     t = text.rstrip()
-    i = t.rfind("\n\n")
-    return t[max(i + 2, len(t) - REACH) :] if i >= 0 else t[-REACH:]
+    return t[t.rfind("\n\n") + 2 :] if "\n\n" in t else t
 
 
 def last_unit(paragraph: str) -> str:
-    u = segment(paragraph[-600:])
-    return paragraph[-600:][u[-1][0] :] if u else paragraph
+    """The paragraph's last sentence unit; the whole of it is segmented, so that open quotations and short forms are known."""
+    u = segment(paragraph)
+    return paragraph[u[-1][0] :] if u else paragraph
 
 
 def features(text: str, heading: bool = False) -> list[int]:
@@ -153,9 +160,11 @@ def cut(text: str, rng: random.Random) -> str | None:
     return piece + mark if ANY.search(piece) else None
 
 
-def examples(texts: list[str], rng: random.Random) -> tuple[list[str], list[int]]:
+def examples(texts: list[str], seed: int = 7) -> tuple[list[str], list[int]]:
+    """Values made of the texts and whether they are cut. What is made of a text depends on the text and the seed alone."""
     xs, ys = [], []
     for t in texts:
+        rng = random.Random(zlib.crc32(t.encode("utf-8", "surrogatepass")) + seed)
         whole = t.rstrip()
         if not ANY.search(whole) or at_end(LEFT, whole):
             continue
@@ -208,45 +217,64 @@ def examples(texts: list[str], rng: random.Random) -> tuple[list[str], list[int]
     return xs, ys
 
 
-def solve(rows: list[list[int]], ys: list[int], weights: np.ndarray | None = None, rounds: int = 60, l2: float = 2e-6) -> np.ndarray:
-    """Logistic regression by full-batch adaptive gradient steps over sparse binary rows."""
-    idx = np.fromiter((i for r in rows for i in r), np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+def solve(flat: np.ndarray, sizes: np.ndarray, ys: np.ndarray, weights: np.ndarray | None = None, rounds: int = 60, l2: float = 2e-6) -> np.ndarray:
+    """Logistic regression by full-batch adaptive gradient steps over sparse binary rows: the features of all rows one after the other, and how many each has."""
+    used, idx = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
     y = np.asarray(ys, np.float64)
-    w = np.zeros(1 << BITS) if weights is None else weights.copy()
-    g2 = np.full(1 << BITS, 1e-8)
+    w = np.zeros(len(used)) if weights is None else weights[used].astype(np.float64)
+    g2 = np.full(len(used), 1e-8)
     balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) / len(y)
     for _ in range(rounds):
-        z = np.bincount(row, w[idx], len(rows))
+        z = np.bincount(row, w[idx], len(sizes))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        g = np.bincount(idx, ((p - y) * balance)[row], 1 << BITS) + l2 * w
+        g = np.bincount(idx, ((p - y) * balance)[row], len(used)) + l2 * w
         g2 += g * g
         w -= 0.6 * g / np.sqrt(g2)
-    return w
+    out = np.zeros(1 << BITS)
+    out[used] = w
+    return out
 
 
-def fit(texts: list[str], headings: list[bool] | None = None, seed: int = 7) -> np.ndarray:
-    """Weights from a sample of stored values. An empty sample gives zero weights, for which nothing counts as cut."""
-    rng = random.Random(seed)
-    headings = headings or [False] * len(texts)
-    body = [t for t, h in zip(texts, headings, strict=True) if not h]
-    xs, ys = examples(body, rng)
-    if not xs or len(set(ys)) < 2:
+#: Kinds of rows that learning needs besides 0 (whole) and 1 (cut): a stored value without a final mark.
+UNMARKED = 2
+
+
+def rows_of(text: str | None, heading: bool, seed: int = 7) -> list[tuple[int, list[int], list[str]]]:
+    """(kind, features, closings) of what learning takes from one stored value."""
+    if not text or not ANY.search(text):
+        return []
+    if heading:
+        return [(0, features(text, True), [])]
+    out = [(y, features(x), []) for x, y in zip(*examples([text], seed), strict=True)]
+    if ANY.search(tail(text)) and not at_end(ENDED, text.rstrip()) and not at_end(LEFT, text):
+        out.append((UNMARKED, features(text), closings(text)))
+    return out
+
+
+def learn(kinds: np.ndarray, flat: np.ndarray, sizes: np.ndarray, closing: list[list[str]]) -> np.ndarray:
+    """Weights from rows_of() a sample. Without whole and cut rows the weights are zero, for which nothing counts as cut."""
+    made = kinds != UNMARKED
+    if len(set(kinds[made].tolist())) < 2:
         return np.zeros(1 << BITS, np.float32)
-    rows = [features(x) for x in xs]
-    for t in (t for t, h in zip(texts, headings, strict=True) if h and ANY.search(t)):
-        rows.append(features(t, True))
-        ys.append(0)
-    w = solve(rows, ys)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    w = solve(flat[made[of]], sizes[made], kinds[made])
     # stored values without a final mark: those that the first model takes for whole, and those that close as many others do
-    unmarked = [t for t in body if ANY.search(tail(t)) and not at_end(ENDED, t.rstrip()) and not at_end(LEFT, t)]
     usual: dict[str, int] = {}
-    for t in unmarked:
-        for c in closings(t):
-            usual[c] = usual.get(c, 0) + 1
-    least = max(8, 0.01 * len(unmarked))
-    more = [r for t in unmarked for r in [features(t)] if w[r].sum() < 0 or any(usual[c] >= least for c in closings(t))]
-    return solve(rows + more, ys + [0] * len(more)).astype(np.float32)
+    for c in closing:
+        for x in c:
+            usual[x] = usual.get(x, 0) + 1
+    least = max(8, 0.01 * int((~made).sum()))
+    z = np.bincount(of, w[flat], len(sizes))
+    more = ~made & ((z < 0) | np.array([any(usual[x] >= least for x in c) for c in closing], bool))
+    taken = made | more
+    return solve(flat[taken[of]], sizes[taken], np.where(more, 0, kinds)[taken]).astype(np.float32)
+
+
+def fit(texts: list[str], headings: list[bool] | None = None, seed: int = 7) -> np.ndarray:
+    """Weights from a sample of stored values, in one place."""
+    rows = [r for t, h in zip(texts, headings or [False] * len(texts), strict=True) for r in rows_of(t, h, seed)]
+    return learn(np.array([k for k, _, _ in rows], np.int64), np.array([i for _, f, _ in rows for i in f], np.int64), np.array([len(f) for _, f, _ in rows], np.int64), [c for _, _, c in rows])
 
 
 def score(w: np.ndarray, text: str | None, heading: bool = False) -> float:

@@ -138,13 +138,13 @@ def test_subjects_are_refined_over_every_document(spark, monkeypatch):
     whole = subjects.fit(sorted((r.subject, r.text) for r in samples.collect()), [(r.text, r.form) for r in got], m.names)
     same = [k for k in whole.weights if k in m.weights and [j for j, _ in whole.weights[k]] == [j for j, _ in m.weights[k]]]
     assert len(same) > 0.99 * max(len(whole.weights), len(m.weights)) > 0
-    assert abs(m.slope - whole.slope) < 0.01 and abs(m.offset - whole.offset) < 0.01
+    assert np.allclose(m.levels, whole.levels, atol=0.02)
 
 
 def test_scoring_sees_the_stems_that_learning_sees():
     for t in ("The judge met Bishop Law at court, where law and Court law were read.", "Umberly looked at a Boiler as one looks at a boiler.", "홀데인은 보일러를 고쳤다.", "エロワーズは旋盤を直した。"):
         known = sorted({subjects.number(x) for x in (*subjects.stems(t), *subjects.stems(t.lower()))})
-        m = subjects.Model(["x"], np.array(known), np.ones((len(known), 1)), 1.0, 0.0)
+        m = subjects.Model(["x"], np.array(known), np.ones((len(known), 1)), np.zeros(len(subjects.STEPS) + 1))
         z = subjects.Block.of([(0, -1, subjects.numbered(t, None))]).evidence(m.keys, m.w)
         assert z.sum() == len(subjects.stems(t)), t
 
@@ -164,3 +164,18 @@ def test_posteriors_of_held_out_sentences_are_calibrated():
             other += sum(h for j, h in enumerate(hits) if j != k)
             n += units
     assert own / n > 0.3 and other / n < 0.06
+
+
+def test_rising_steps_against_all_splits():
+    rng = random.Random(4)
+    for _ in range(20):
+        v, w = [rng.random() for _ in range(6)], [rng.randint(0, 3) for _ in range(6)]
+        got = subjects.rising(np.array(v), np.array(w))
+        assert all(a <= b + 1e-12 for a, b in itertools.pairwise(got))
+        best = min(
+            sum(w[i] * (v[i] - sum(v[k] * w[k] for k in g) / max(sum(w[k] for k in g), 1e-9)) ** 2 for g in cut for i in g)
+            for bits in range(32)
+            for cut in [[[i for i in range(6) if bin(bits & ((1 << i) - 1)).count("1") == n] for n in range(6)]]
+            if all(a <= b + 1e-9 for a, b in itertools.pairwise([sum(v[k] * w[k] for k in g) / sum(w[k] for k in g) for g in cut if g and sum(w[k] for k in g)]))
+        )
+        assert abs(sum(b * (a - c) ** 2 for a, b, c in zip(v, w, got, strict=True)) - best) < 1e-9
