@@ -92,6 +92,8 @@ FOREIGN_WORDS = re.compile(r"[A-Za-zÀ-ɏЀ-ԯ]{4}|[ぁ-ん]{2}|[一-鿿]{3}")
 
 #: Characters within which a sentence must name the task and decline it; run-on text holds the words of both far apart.
 NEAR_KO, NEAR = 60, 120
+#: Characters of a sentence for which its refusal speaks, at most, and the share of a text that refusals must speak for.
+SPEAKS, SPOKEN_FOR = 240, 0.25
 
 
 def _near(sentence: str, task: re.Pattern, decline: re.Pattern, within: int) -> bool:
@@ -104,18 +106,19 @@ def declines(sentence: str) -> bool:
 
 
 def refuses(text: str) -> bool:
-    """Does the text, as a whole and outside quotations, decline a task? A third of its sentences must, whatever its length. Quoted refusals are a character's own words."""
+    """Does the text, as a whole and outside quotations, decline a task? A third of its sentences must, and they must make up a good part of it, whatever its length. Quoted refusals are a character's own words."""
     korean = ("니다" in text or "요" in text or "오" in text or "불가" in text) and TASK_KO.search(text) and DECLINE_KO.search(text)
     if not korean and not (FOREIGN_WORDS.search(text) and TASK.search(text) and DECLINE.search(text)):
         return False
     spans = segment(text)
     if not spans:
         return False
-    hits = 0
+    hits = spoken = 0
     for s, e in spans:
         u = QUOTED.sub(" ", text[s:e])
         if declines(u):
             hits += 1
+            spoken += min(e - s, SPEAKS)
         elif len(LETTER.findall(u)) < 4 and len(LETTER.findall(text[s:e])) >= 4:
             return False
-    return hits > 0 and hits * 3 >= len(spans)
+    return hits > 0 and hits * 3 >= len(spans) and spoken >= SPOKEN_FOR * sum(e - s for s, e in spans)

@@ -47,6 +47,13 @@ def test_refusals():
         assert not refuses(t), t
 
 
+def test_refusals_of_any_length():
+    reasons = "요청하신 문단은 저작권 때문에 번역할 수 없습니다. " * 12
+    assert len(reasons) > 300 and refuses(reasons) and refuses(reasons * 3)
+    run_on = "매러블은우산을빌렸고눈이다리를뒤덮었는데" * 60 + "그대목을번역할수없었어요"
+    assert not refuses(run_on)
+
+
 def test_defects():
     def find(u, t, lang="en"):
         return p3.defect(u, t, lang, lambda x: x.endswith("찻"))
