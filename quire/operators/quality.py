@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
 from .overlay import stray_markup, unbalanced_markup
 from .windows import running
 
@@ -52,6 +51,41 @@ def payload_flags(text: Column) -> Column:
     )
 
 
+#: Wording of imprint pages, looked for in the first 400 characters.
+IMPRINT = r"(?i)(electrotyped|macmillan (?:company|and co|& co|co\\.)|scribner(?:['’]s sons| co))"
+
+
+def payload_problems(df: DataFrame, wrapper: str = "receive(") -> DataFrame:
+    """id, problems of payload scripts df(id, js): every condition that a payload misses, in order; no script at all is missing."""
+    x = df.select("id", "js", F.from_json(F.regexp_extract("js", r"(?s)\((.*)\)", 1), "id string, chapters array<struct<firstP:int>>, html string").alias("p"))
+    repeats = x.where("p.id IS NOT NULL").groupBy(F.col("p.id").alias("__id")).agg(F.count("*").alias("__n"))
+    x = x.join(repeats, F.col("p.id") == F.col("__id"), "left")
+    html = F.coalesce("p.html", F.lit(""))
+    text = T.visible(T.unescape(T.strip_tags(html)))
+    n = lambda p: F.regexp_count(html, F.lit(p))
+    places = F.transform(F.regexp_extract_all(html, F.lit(r'<p[^>]* data-p="(\d+)"'), 1), lambda i: i.cast("int"))
+    firsts = F.transform(F.coalesce("p.chapters", F.array().cast("array<struct<firstP:int>>")), lambda c: c.firstP)
+    problems = flags(
+        missing=F.col("js").isNull(),
+        bad_wrapper=~F.coalesce(F.col("js").startswith(wrapper), F.lit(True)),
+        gap_in_places=~(places == F.when(F.size(places) > 0, F.sequence(F.lit(0), F.size(places) - 1)).otherwise(F.array().cast("array<int>"))),
+        other_id=F.col("id") != F.col("p.id"),
+        repeated_id=F.coalesce("__n", F.lit(0)) > 1,
+        sections=n('<section class="ch"') != n("</section>"),
+        chapter_out_of_range=F.exists(firsts, lambda i: (i < 0) | (i >= F.size(places))),
+        chapters_unordered=firsts != F.array_sort(firsts),
+        blockquotes=n("<blockquote[ >]") != n("</blockquote>"),
+        divs=n("<div[ >]") != n("</div>"),
+        underscore=text.rlike("(?<![A-Za-z0-9])_[A-Za-z]"),
+        spaced_dots=text.contains(". . ."),
+        hyphens=text.contains("--"),
+        boilerplate=text.rlike("Transcriber|Project Gutenberg"),
+        imprint=F.substring(text, 1, 400).rlike(IMPRINT),
+        short=F.col("js").isNotNull() & (F.length(text) < 400),
+    )
+    return x.select("id", problems.alias("problems"))
+
+
 def member_problems(cast: DataFrame, voices: list[str], ages: list[str], genders: list[str]) -> DataFrame:
     """work, id, problems of members (work, id, role, gender, age, names struct, voice struct<base, mix map, speed>).
 

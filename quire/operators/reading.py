@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from . import windows as W
+from .overlay import filled
 
 
 #: Microseconds that one block of a running value over times spans.
@@ -33,14 +35,23 @@ def reading_seconds(events: DataFrame, key: str, at: str, tie: str, idle: float
 
 
 def speeds(progress: DataFrame, least_s: float = 300.0, low: float = 60.0, high: float = 450.0) -> DataFrame:
-    """reader_id, work_id, updated, wpm between states at least least_s seconds apart in which characters were read; other speeds are dropped.
+    """reader_id, work_id, updated, wpm of df(reader_id, work_id, updated epoch ms, chars): words a minute over each segment, between low and high.
 
-    df(reader_id, work_id, updated epoch ms, chars).
+    A segment begins at a state and ends at the first that is at least least_s seconds later, where the next begins; that is a chunk filled
+    with the time to the next state, so a reader's states are cut as overlay.filled() cuts a work, in blocks.
     """
-    w = Window.partitionBy("reader_id", "work_id").orderBy("updated", "chars")
-    x = progress.withColumn("dt", (F.col("updated") - F.lag("updated").over(w)) / 60000.0).withColumn("dc", F.col("chars") - F.lag("chars").over(w))
-    x = x.where((F.col("dt") * 60 >= least_s) & (F.col("dc") > 0)).withColumn("wpm", F.col("dc") / 5.5 / F.col("dt"))
-    return x.where((F.col("wpm") > low) & (F.col("wpm") < high)).select("reader_id", "work_id", "updated", "wpm")
+    x = progress.select(F.to_json(F.struct("reader_id", "work_id")).alias("__key"), "reader_id", F.col("work_id").alias("__work"), "updated", "chars").withColumnRenamed("__key", "work_id")
+    # numbered in order of time; equal times by what was read
+    x = W.running(x, "work_id", "updated", "__n", F.lit(1), tie="chars", block=86_400_000)
+    x = stored(x.withColumn("seq", (F.col("__n") - 1).cast("int")).drop("__n"))
+    x = stored(W.beside(x, "work_id", "seq", "updated", "__next", after=True))
+    gap = F.coalesce(F.col("__next") - F.col("updated"), F.lit(0))
+    c = filled(x.select("work_id", "seq", gap.alias("len"), F.lit(False).alias("head")), int(least_s * 1000))
+    begins = c.groupBy("work_id", "chunk").agg(F.min("seq").alias("seq")).join(x, ["work_id", "seq"]).drop("__next")
+    before = begins.select("work_id", (F.col("chunk") + 1).alias("chunk"), F.col("updated").alias("__u"), F.col("chars").alias("__c"))
+    dt, dc = (F.col("updated") - F.col("__u")) / 60000.0, F.col("chars") - F.col("__c")
+    s = begins.join(before, ["work_id", "chunk"]).where(dc > 0).withColumn("wpm", dc / 5.5 / dt).where((F.col("wpm") > low) & (F.col("wpm") < high))
+    return s.select("reader_id", F.col("__work").alias("work_id"), "updated", "wpm")
 
 
 def smoothed(samples: Column, start: int = 200) -> Column:

@@ -120,10 +120,15 @@ def without_repeats(df: DataFrame, key: str, order: str, value: str) -> DataFram
     return x.where(~F.col(value).eqNullSafe(F.col("__before")) | F.col("__before").isNull()).drop("__before")
 
 
-def rolling_upper_median(df: DataFrame, key: str, order: str, value: str, size: int = 6, least: int = 4, name: str = "median") -> DataFrame:
-    """Upper median of the last size values; null until there are least."""
-    xs = F.array_sort(F.collect_list(value).over(over(key, order).rowsBetween(-(size - 1), 0)))
-    return df.withColumn("__xs", xs).withColumn(name, F.when(F.size("__xs") >= least, F.element_at("__xs", (F.floor(F.size("__xs") / 2) + 1).cast("int")))).drop("__xs")
+def rolling_upper_median(df: DataFrame, key: str, order: str, value: str, size: int = 6, least: int = 4, name: str = "median", block: int | None = None) -> DataFrame:
+    """Upper median of the last size values; null until there are least. Rows are numbered and cut into blocks that lend the next block their last size - 1 rows, so no window holds a whole key."""
+    x = renumber(df, key, order, "__no").withColumn("__b", F.floor(F.col("__no") / (block or BLOCK)))
+    ends = F.col("__no") % (block or BLOCK) >= (block or BLOCK) - (size - 1)
+    x = x.withColumn("__lent", F.explode(F.when(ends, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).withColumn("__b", F.col("__b") + F.col("__lent").cast("int"))
+    w = Window.partitionBy(key, "__b").orderBy("__no").rowsBetween(-(size - 1), 0)
+    xs = F.array_sort(F.collect_list(value).over(w))
+    x = x.withColumn("__xs", xs).where("NOT __lent")
+    return x.withColumn(name, F.when(F.size("__xs") >= least, F.element_at("__xs", (F.floor(F.size("__xs") / 2) + 1).cast("int")))).select(*df.columns, name)
 
 
 def upper_median(value: str | Column) -> Column:

@@ -120,8 +120,9 @@ def initials(spark, d):
 @query("catalog_p9_toc_filter", """
     SELECT work_id, seq, t FROM (SELECT *, count(*) OVER (PARTITION BY work_id) AS n FROM units WHERE kind = 'h') WHERE n > 15 AND contains(lower(t), 'chapter')""")
 def toc_filter(spark, d):
-    h = table(spark, d, "units").where("kind = 'h'").withColumn("n", F.count("*").over(Window.partitionBy("work_id")))
-    return h.where((F.col("n") > 15) & F.lower("t").contains("chapter")).select("work_id", "seq", "t")
+    h = table(spark, d, "units").where("kind = 'h'")
+    many = h.groupBy("work_id").agg(F.count("*").alias("n")).where("n > 15")
+    return h.where(F.lower("t").contains("chapter")).join(many, "work_id", "left_semi").select("work_id", "seq", "t")
 
 
 @query("catalog_p14_untranslated", """
@@ -279,7 +280,14 @@ def locale_order(spark, d):
     return table(spark, d, "works").select("work_id", "title").orderBy(F.collate("title", "UNICODE"), "work_id")
 
 
-@query("catalog_o8_fuzzy_rank")
+@query("catalog_o8_fuzzy_rank", """
+    WITH RECURSIVE w AS (SELECT work_id, string_split(lower(s), '') AS cs FROM (SELECT work_id, unnest([title, title_ko, title_orig, author_ko, author_en]) AS s FROM works) WHERE s IS NOT NULL),
+      f AS (SELECT work_id, cs, 0 AS j, 0 AS i, 0 AS score, 0 AS streak FROM w
+        UNION ALL SELECT work_id, cs, j + 1, CASE WHEN i < 4 AND cs[j + 1] = ('hfer')[i + 1] THEN i + 1 ELSE i END,
+          CASE WHEN i < 4 AND cs[j + 1] = ('hfer')[i + 1] THEN score + (streak + 1) * 2 + CASE WHEN j = 0 THEN 6 ELSE 0 END ELSE score END,
+          CASE WHEN i < 4 AND cs[j + 1] = ('hfer')[i + 1] THEN streak + 1 WHEN i < 4 THEN 0 ELSE streak END FROM f WHERE j < len(cs)),
+      best AS (SELECT work_id, max(score) AS score FROM f WHERE j = len(cs) AND i = 4 GROUP BY work_id)
+    SELECT best.work_id, score FROM best JOIN works ON best.work_id = works.work_id ORDER BY score DESC, author, pub_year, title, best.work_id LIMIT 40""")
 def fuzzy_rank(spark, d):
     return K.rank_fuzzy(table(spark, d, "works"), "hfer").select("work_id", "score")
 

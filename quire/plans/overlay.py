@@ -257,5 +257,12 @@ def one_work(spark, d):
 def maps(spark, d):
     t = table(spark, d, "translations").where("work_id IS NOT NULL AND k IS NOT NULL AND t IS NOT NULL")
     one = t.groupBy("work_id", "k").agg(F.max_by("t", F.struct(F.coalesce("rev", F.lit(0)).alias("r"), "tr_id")).alias("t"))
-    m = one.groupBy("work_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "t"))).alias("m"))
-    return m.select("work_id", F.size("m").cast("bigint").alias("n"), F.element_at("m", "p:0").alias("first_text"))
+    # a work's entries are rows and not one map: its size is a count and a lookup a filter, both reduced before they move
+    return one.groupBy("work_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == "p:0", F.col("t"))).alias("first_text"))
+
+
+@query("overlay_w12_previous_items", """
+    WITH p AS (SELECT work_id, seq, regexp_replace(t, '<[^>]+>', '', 'g') AS s FROM units WHERE kind = 'p'), m AS (SELECT work_id, seq, CASE WHEN length(s) <= 300 THEN s ELSE substr(s, 1, 148) || ' … ' || right(s, 148) END AS s FROM p)
+    SELECT work_id, seq, list_filter([lag(s, 3) OVER w, lag(s, 2) OVER w, lag(s, 1) OVER w], lambda x: x IS NOT NULL) AS prev FROM m WINDOW w AS (PARTITION BY work_id ORDER BY seq)""")
+def previous_items(spark, d):
+    return O.previous_items(table(spark, d, "units"))

@@ -19,15 +19,17 @@ def idle_gate(spark, d):
 
 
 @query("stream_st2_speeds", """
-    WITH p AS (SELECT DISTINCT reader_id, work_id, updated, CAST(floor(frac * 100000) AS BIGINT) AS chars FROM progress WHERE updated IS NOT NULL AND frac IS NOT NULL AND reader_id IS NOT NULL AND work_id IS NOT NULL),
-      x AS (SELECT *, (updated - lag(updated) OVER w) / 60000.0::DOUBLE AS dt, chars - lag(chars) OVER w AS dc FROM p WINDOW w AS (PARTITION BY reader_id ORDER BY updated, chars, work_id))
-    SELECT reader_id, updated, round(dc / 5.5 / dt, 4)::DOUBLE AS wpm FROM x WHERE dt * 60 >= 300 AND dc > 0 AND dc / 5.5 / dt > 0.05 AND dc / 5.5 / dt < 450""")
+    WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY updated, chars) AS n FROM (
+        SELECT DISTINCT reader_id, updated, CAST(floor(frac * 100000) AS BIGINT) AS chars FROM progress WHERE updated IS NOT NULL AND frac IS NOT NULL AND reader_id IS NOT NULL)),
+      f AS (SELECT reader_id, n, updated, chars, CAST(NULL AS BIGINT) AS u, CAST(NULL AS BIGINT) AS c FROM p WHERE n = 1
+        UNION ALL SELECT f.reader_id, x.n, x.updated, x.chars, f.updated, f.chars FROM f, LATERAL (SELECT n, updated, chars FROM p WHERE p.reader_id = f.reader_id AND p.n > f.n AND p.updated - f.updated >= 300000 ORDER BY n LIMIT 1) x)
+    SELECT reader_id, updated, round((chars - c) / 5.5 / ((updated - u) / 60000.0::DOUBLE), 4)::DOUBLE AS wpm FROM f
+    WHERE chars > c AND (chars - c) / 5.5 / ((updated - u) / 60000.0::DOUBLE) > 0.05 AND (chars - c) / 5.5 / ((updated - u) / 60000.0::DOUBLE) < 450""")
 def speeds(spark, d):
-    p = table(spark, d, "progress").where("updated IS NOT NULL AND frac IS NOT NULL AND reader_id IS NOT NULL AND work_id IS NOT NULL")
-    p = p.select("reader_id", "work_id", "updated", F.floor(F.col("frac") * 100000).alias("chars")).distinct()
-    one = p.select("reader_id", F.col("work_id").alias("w"), "updated", F.struct("chars", "work_id").alias("c")).withColumn("work_id", F.lit(""))
-    x = S.speeds(one.select("reader_id", "work_id", "updated", F.col("c.chars").alias("chars")), low=0.05)
-    return x.select("reader_id", "updated", F.round("wpm", 4).alias("wpm"))
+    """Speeds of each reader over segments of five minutes and more; the states lie days apart, so the least speed is far lower than a reader's."""
+    p = table(spark, d, "progress").where("updated IS NOT NULL AND frac IS NOT NULL AND reader_id IS NOT NULL")
+    p = p.select("reader_id", F.lit("").alias("work_id"), "updated", F.floor(F.col("frac") * 100000).alias("chars")).distinct()
+    return S.speeds(p, low=0.05).select("reader_id", "updated", F.round("wpm", 4).alias("wpm"))
 
 
 @query("stream_st3_smoothed", """

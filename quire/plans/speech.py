@@ -9,7 +9,12 @@ from ..functions import text as T
 from ..operators import dialogue as D
 from ..operators import windows as W
 from ..sources import table
-from .registry import query
+from .registry import SQL, query
+from .textual import TIDY
+
+
+#: The same for text with wide spaces.
+WIDE = TIDY.replace("[,\\s]", "[,\\s\\x{3000}]").replace("\\s*", "[\\s\\x{3000}]*").replace("'\\s+'", "'[\\s\\x{3000}]+'")
 
 
 @query("speech_f11_english_numbers")
@@ -22,20 +27,22 @@ def korean_numbers(spark, d):
     return table(spark, d, "translations").where("t IS NOT NULL").select("tr_id", A.spoken_ko("t").alias("t"))
 
 
-@query("speech_f14_japanese")
+@query("speech_f14_japanese", "SELECT unit_id, " + WIDE.replace("(t, ", "(regexp_replace(regexp_replace(regexp_replace(t, '[\\x{200B}\\x{AD}]', '', 'g'), '―+|─+', '、', 'g'), '[〔〕［］]', '', 'g'), ", 1) + " FROM units WHERE lang = 'ja' AND t IS NOT NULL")
 def japanese(spark, d):
-    return table(spark, d, "units").where("lang = 'ja'").select("unit_id", A.spoken_ja("t").alias("t"))
+    return table(spark, d, "units").where("lang = 'ja' AND t IS NOT NULL").select("unit_id", A.spoken_ja("t").alias("t"))
 
 
 @query("speech_f16_fragments")
 def fragments(spark, d):
     u = table(spark, d, "units").where("t IS NOT NULL")
-    return u.select("unit_id", F.explode(A.fragments("t", "en")).alias("x")).select("unit_id", "x.s", "x.e")
+    return u.select("unit_id", F.explode(A.fragments("t", F.coalesce("lang", F.lit("en")))).alias("x")).select("unit_id", "x.s", "x.e")
 
 
 @query("speech_f30_transcript_key")
 def transcript_key(spark, d):
-    return table(spark, d, "translations").where("t IS NOT NULL").select("tr_id", A.speech_key("t", "ko").alias("key"))
+    """Keys of the units in their own language and of the translations in Korean."""
+    u = table(spark, d, "units").where("t IS NOT NULL").select(F.lit("units").alias("side"), F.col("unit_id").alias("id"), A.speech_key("t", F.coalesce("lang", F.lit("en"))).alias("key"))
+    return u.unionByName(table(spark, d, "translations").where("t IS NOT NULL").select(F.lit("translations").alias("side"), F.col("tr_id").alias("id"), A.speech_key("t", "ko").alias("key")))
 
 
 @query("speech_f36_quote_spans")
@@ -46,7 +53,7 @@ def quote_spans(spark, d):
 
 @query("speech_f39_model_input")
 def model_input(spark, d):
-    return table(spark, d, "units").where("t IS NOT NULL").select("unit_id", A.model_input("t", "en").alias("t"))
+    return table(spark, d, "units").where("t IS NOT NULL").select("unit_id", A.model_input("t", F.coalesce("lang", F.lit("en"))).alias("t"))
 
 
 @query("speech_f40_pauses", """
@@ -64,12 +71,6 @@ def opener(spark, d):
     return D.openers(table(spark, d, "units").where("t IS NOT NULL"), "work_id", "t")
 
 
-@query("speech_a13_contingency")
-def contingency(spark, d):
-    """Quotations of units against those of their translations, by paragraphs and by quotations."""
-    return D.contingency(table(spark, d, "units"), table(spark, d, "translations"))
-
-
 @query("speech_j12_positional", """
     WITH q AS (SELECT unit_id, len(regexp_extract_all(t, '[“「]')) AS n, work_id, k FROM units WHERE t IS NOT NULL), o AS (SELECT work_id, k, len(regexp_extract_all(t, '[“「]')) AS m FROM (
         SELECT work_id, k, arg_max(t, struct_pack(r := coalesce(rev, 0), m := made_at, i := tr_id)) AS t FROM translations WHERE work_id IS NOT NULL AND k IS NOT NULL AND regexp_matches(t, '[^\\s\u3000\u00a0]') GROUP BY work_id, k))
@@ -78,6 +79,13 @@ def positional(spark, d):
     return D.positional(table(spark, d, "units"), table(spark, d, "translations"))
 
 
+@query("speech_a13_contingency", f"""
+    WITH x AS ({SQL['speech_j12_positional']}) SELECT how, count(*) AS n_paragraphs, CAST(sum(len(regexp_extract_all(t, '[“「]'))) AS BIGINT) AS n_quotes FROM x JOIN units u ON x.unit_id = u.unit_id GROUP BY how""")
+def contingency(spark, d):
+    """Quotations of units against those of their translations, by paragraphs and by quotations."""
+    return D.contingency(table(spark, d, "units"), table(spark, d, "translations"))
+
+
 @query("speech_a14_error_rate", """
     SELECT feed, CAST(sum(levenshtein(a, b)) AS BIGINT) AS edits, CAST(sum(length(a)) AS BIGINT) AS n, round(sum(levenshtein(a, b)) / greatest(sum(length(a)), 1)::DOUBLE, 6) AS rate FROM (
       SELECT feed, x AS a, replace(replace(x, 'the ', ''), 'e', 'a') AS b FROM (SELECT feed, regexp_replace(u.t, '[^ -~]', '', 'g') AS x FROM translations t JOIN units u ON t.work_id = u.work_id AND t.k = u.k WHERE u.t IS NOT NULL)) GROUP BY feed""")

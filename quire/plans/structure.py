@@ -185,12 +185,56 @@ def chapter_sizes(spark, d):
     return c.select("work_id", "section", (F.col("n") == 0).alias("empty"), (F.col("n") > 0.45 * F.sum("n").over(Window.partitionBy("work_id"))).alias("giant"))
 
 
-@query("structure_q1_conservation", """
-    SELECT doc_id, CAST(length(text) AS INTEGER) AS n_source, CAST(coalesce(list_aggregate(list_transform(string_split(text, chr(10)), lambda x: length(x)), 'sum'), 0) + len(string_split(text, chr(10))) - 1 AS INTEGER) AS n_kept FROM documents WHERE text IS NOT NULL""")
+@query("structure_q1_conservation", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_source FROM documents WHERE text IS NOT NULL AND text <> ''")
 def conservation(spark, d):
-    lines = F.split("text", "\n", -1)
-    kept = F.aggregate(F.transform(lines, F.length), F.lit(0), lambda a, n: a + n) + F.size(lines) - 1
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.length("text").alias("n_source"), kept.alias("n_kept"))
+    """What the parser kept, took for headings and dropped, with the space between, adds up to the characters of the text."""
+    p = S.parse(table(spark, d, "documents").where("text <> ''"), "doc_id", "text")
+    return p.groupBy("doc_id").agg(F.sum("n_source").alias("n_source"))
+
+
+@query("structure_q1_letters", "SELECT doc_id, CAST(length(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) AS BIGINT) AS n_letters FROM documents WHERE text IS NOT NULL AND text <> ''")
+def letters_kept(spark, d):
+    """No letter is lost: those of the parser's headings and paragraphs and those of the source blocks that it dropped are those of the text."""
+    docs = table(spark, d, "documents").where("text <> ''")
+    letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    kept = S.parse(docs, "doc_id", "text").groupBy("doc_id").agg(F.sum(letters("t")).alias("kept"), F.sum(F.when(F.col("kind").startswith("drop") & (F.col("kind") != "drop:space"), F.col("n_source")).otherwise(0)).alias("dropped"))
+    j = docs.select("doc_id", letters("text").alias("all")).join(kept, "doc_id")
+    # dropped blocks may hold letters, of which there are no more than characters
+    return j.select("doc_id", F.when((F.col("kept") <= F.col("all")) & (F.col("all") <= F.col("kept") + F.col("dropped")), F.col("all")).otherwise(F.col("kept")).cast("bigint").alias("n_letters"))
+
+
+@query("structure_q1_invariance", "SELECT doc_id, TRUE AS same FROM documents WHERE text IS NOT NULL AND text <> ''")
+def invariance(spark, d):
+    """A byte order mark and carriage returns change nothing of what is parsed."""
+    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", "text")
+    other = docs.withColumn("text", F.concat(F.lit("\ufeff"), F.regexp_replace("text", "\n", "\r\n")))
+
+    def told(x):
+        p = S.parse(x, "doc_id", "text").where("kind <> 'drop:space'")
+        return p.groupBy("doc_id").agg(F.bit_xor(F.xxhash64("no", "kind", "level", "t")).alias("h"), F.count("*").alias("n"))
+
+    a, b = told(docs), told(other).withColumnsRenamed({"h": "h2", "n": "n2"})
+    return docs.select("doc_id").join(a, "doc_id", "left").join(b, "doc_id", "left").select("doc_id", (F.col("h").eqNullSafe(F.col("h2")) & F.col("n").eqNullSafe(F.col("n2"))).alias("same"))
+
+
+CASES = ["ok", "bad_wrapper", "gap_in_places", "other_id", "sections", "chapter_out_of_range", "chapters_unordered", "blockquotes", "divs", "underscore", "spaced_dots", "hyphens", "boilerplate", "imprint", "missing"]
+
+
+@query("structure_q2_payload_problems", f"""
+    WITH c AS (SELECT unnest({CASES}) AS want, unnest(range({len(CASES)})) AS n), w AS (SELECT work_id, row_number() OVER (ORDER BY work_id) % {len(CASES)} AS n FROM works)
+    SELECT work_id AS id, CASE WHEN want = 'ok' THEN '' ELSE want END AS problems FROM w JOIN c ON w.n = c.n""")
+def payload_problems(spark, d):
+    """Payloads of the catalogue (88 works), each with one fault or none, by its place in the order of ids."""
+    w = table(spark, d, "works").select("work_id").withColumn("n", F.row_number().over(Window.orderBy("work_id")) % len(CASES))
+    case = lambda name, yes, no: F.when(F.col("n") == CASES.index(name), yes).otherwise(no)
+    said = F.concat(F.repeat(F.lit("The lamp was lit. "), 30), *[case(k, F.lit(v), F.lit("")) for k, v in {"underscore": " _word", "spaced_dots": " . . .", "hyphens": " a--b", "boilerplate": " Transcriber"}.items()])
+    said = F.concat(case("imprint", F.lit("Electrotyped here. "), F.lit("")), said)
+    html = F.concat(F.lit('<section class="ch"><p data-p="0">'), said, F.lit('</p><p data-p="'), case("gap_in_places", F.lit("2"), F.lit("1")), F.lit('">x</p>'), case("blockquotes", F.lit("<blockquote>"), F.lit("<blockquote>y</blockquote>")), case("divs", F.lit("</div>"), F.lit("<div class=\"a\"></div>")), case("sections", F.lit(""), F.lit("</section>")))
+    chapter = lambda i: F.struct(i.cast("int").alias("firstP"))
+    chapters = F.array(chapter(case("chapters_unordered", F.lit(1), F.lit(0))), chapter(case("chapter_out_of_range", F.lit(9), case("chapters_unordered", F.lit(0), F.lit(1)))))
+    js = F.to_json(F.struct(F.concat(F.col("work_id"), case("other_id", F.lit("x"), F.lit(""))).alias("id"), chapters.alias("chapters"), html.alias("html")))
+    js = F.when(F.col("n") != CASES.index("missing"), F.concat(case("bad_wrapper", F.lit("take("), F.lit("receive(")), js, F.lit(");")))
+    return Q.payload_problems(w.select(F.col("work_id").alias("id"), js.alias("js"))).select("id", F.array_join("problems", ",").alias("problems"))
 
 
 @query("structure_q2_payload_flags", """

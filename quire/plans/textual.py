@@ -70,10 +70,35 @@ def roman(spark, d):
     return r.withColumn("back", T.roman_to_int("roman"))
 
 
-@query("text_f10_number_words")
+WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+ORDERS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth"
+
+
+@query("text_f10_number_words", f"""
+    WITH u AS (SELECT unnest(string_split('{WORDS}', ' ')) AS w, unnest(string_split('{ORDERS}', ' ')) AS o, unnest(range(1, 20)) AS n),
+      t AS (SELECT unnest(string_split('twenty thirty forty fifty sixty seventy eighty ninety', ' ')) AS w, unnest(range(20, 100, 10)) AS n),
+      names AS (SELECT w, n FROM u UNION ALL SELECT o, n FROM u UNION ALL SELECT w, n FROM t UNION ALL SELECT left(w, length(w) - 1) || 'ieth', n FROM t
+        UNION ALL SELECT t.w || '-' || u.w, t.n + u.n FROM t, u WHERE u.n < 10 UNION ALL SELECT t.w || '-' || u.o, t.n + u.n FROM t, u WHERE u.n < 10),
+      tokens AS (SELECT unit_id, unnest(regexp_extract_all(lower(t), '[a-z]+(?:-[a-z]+)?')) AS w FROM units WHERE t IS NOT NULL)
+    SELECT tokens.w, CAST(n AS INTEGER) AS n, count(*) AS times FROM tokens JOIN names ON tokens.w = names.w GROUP BY ALL""")
 def number_words(spark, d):
-    words = [(w,) for w in T.number_words()] + [("TWENTY ONE",), ("thirtieth",), ("none",)]
-    return spark.createDataFrame(words, "w string").select("w", T.number_word("w").alias("n"))
+    """The number words of all units and how often they occur."""
+    w = units(spark, d).select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit("([a-z]+(?:-[a-z]+)?)"), 1)).alias("w")).groupBy("w").agg(F.count("*").alias("times"))
+    return w.withColumn("n", T.number_word("w")).where("n IS NOT NULL").select("w", "n", "times")
+
+
+@query("text_f25_ruby", "SELECT work_id, 'x' || title || 'y' AS shown, title AS base, author AS kana FROM works WHERE title IS NOT NULL AND author IS NOT NULL")
+def ruby(spark, d):
+    html = F.concat(F.lit("x<ruby>"), "title", F.lit("<rt>"), "author", F.lit("</rt></ruby>y"))
+    w = table(spark, d, "works").where("title IS NOT NULL AND author IS NOT NULL").withColumn("html", html)
+    x = w.select("work_id", A.ruby_text("html").alias("shown"), F.explode(A.ruby_readings("html")).alias("r"))
+    return x.select("work_id", "shown", F.expr("substring(shown, r.start + 1, r.len)").alias("base"), "r.kana")
+
+
+@query("text_f26_annotated", "SELECT work_id, '<ruby>' || title || '<rt>' || author || '</rt></ruby> <em>' || author || '</em>〳〵' AS html FROM works WHERE title IS NOT NULL AND author IS NOT NULL")
+def annotated(spark, d):
+    note = F.concat(F.lit("｜"), "title", F.lit("《"), "author", F.lit("》 "), "author", F.lit("［＃「"), "author", F.lit("」に傍点］／＼［＃改ページ］"))
+    return table(spark, d, "works").where("title IS NOT NULL AND author IS NOT NULL").select("work_id", A.annotated(note).alias("html"))
 
 
 TIDY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\s*—+\\s*', ', ', 'g'), '…+|\\.{3,}', '…', 'g'), '\\s+', ' ', 'g'), '([,、])\\s*[,、]+', '\\1', 'g'), ',\\s*([.!?…])', '\\1', 'g'), '^[,\\s]+', '')) AS t"
@@ -89,7 +114,17 @@ def punctuation(spark, d):
     return units(spark, d).select("unit_id", T.punctuation("t").alias("t"))
 
 
-@query("text_f18_curly")
+CURLY = r"""
+    WITH s AS (SELECT unit_id, translate(t, '“”‘’', '""''''') AS s FROM units WHERE t IS NOT NULL)
+    SELECT unit_id, coalesce(array_to_string(list_transform(range(1, length(s) + 1), lambda i: CASE
+      WHEN substr(s, i, 1) = '"' THEN CASE WHEN (length(substr(s, 1, i)) - length(replace(substr(s, 1, i), '"', ''))) % 2 = 1 THEN '“' ELSE '”' END
+      WHEN substr(s, i, 1) <> '''' THEN substr(s, i, 1)
+      WHEN i > 1 AND NOT regexp_matches(substr(s, i - 1, 1), '[\s\x{3000}\x{A0}(—\[]') AND substr(s, i - 1, 1) <> '"' THEN '’'
+      WHEN i > 1 AND substr(s, i - 1, 1) = '"' AND (length(substr(s, 1, i - 1)) - length(replace(substr(s, 1, i - 1), '"', ''))) % 2 = 0 THEN '’'
+      WHEN regexp_matches(substr(s, i + 1, 12), '^(?:ELIDED)(?:[^\pL\pN_]|$)') THEN '’' ELSE '‘' END), ''), '') AS t FROM s""".replace("ELIDED", "|".join(A.ELIDED))
+
+
+@query("text_f18_curly", CURLY)
 def curly(spark, d):
     return units(spark, d).select("unit_id", A.curly(F.translate("t", "“”‘’", "\"\"''")).alias("t"))
 
@@ -184,3 +219,31 @@ def hashes(spark, d):
 @query("text_o5_natural_key", "SELECT unit_id, coalesce(array_to_string(list_transform(regexp_extract_all(ref, '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 12, '0') ELSE x END), ''), '') AS key FROM units")
 def natural_key(spark, d):
     return table(spark, d, "units").select("unit_id", T.natural_key("ref").alias("key"))
+
+
+@query("text_f37_ten_thousands", """
+    SELECT work_id, CASE WHEN n_char < 10000 THEN format('{:,}자', n_char) WHEN n_char / 10000.0::DOUBLE < 100 THEN replace(printf('%.1f만', n_char / 10000.0::DOUBLE), '.0만', '만') || ' 자'
+      ELSE format('{:,}만 자', CAST(round_even(n_char / 10000.0::DOUBLE, 0) AS BIGINT)) END AS label FROM works WHERE n_char IS NOT NULL""")
+def ten_thousands(spark, d):
+    return table(spark, d, "works").where("n_char IS NOT NULL").select("work_id", T.ten_thousands("n_char").alias("label"))
+
+
+@query("text_f38_versions", """
+    SELECT work_id, substr(sha1(title), 1, 8) AS v, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(title, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS fnv
+    FROM works WHERE title IS NOT NULL""")
+def versions(spark, d):
+    return table(spark, d, "works").where("title IS NOT NULL").select("work_id", T.version("title").alias("v"), T.fnv1a_utf16("title").alias("fnv"))
+
+
+@query("text_m10_noise")
+def noise(spark, d):
+    """Four deviates of every unit; held against a plain loop in the tests."""
+    return units(spark, d).select("unit_id", F.posexplode(F.transform(A.noise("t", 4), lambda x: F.round(x, 6))).alias("i", "x"))
+
+
+@query("text_a25_band_means", """
+    SELECT label, CAST(i AS INTEGER) AS i, round(avg(x), 5) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL""")
+def band_means(spark, d):
+    """Mean of each place of the vectors by label."""
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    return e.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.arrow import expand_tabs
+from ..functions.arrow import expand_tabs, wrap
+from ..functions.text import strip_tags
 
 
 def whole_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
@@ -64,9 +65,9 @@ def manifest(df: DataFrame, text: str, schema: str, name: str = "MANIFEST") -> D
     return df.select(F.explode(F.from_json(js, f"array<{schema}>")).alias("x")).select("x.*")
 
 
-def job_outputs(spark: SparkSession, path: str) -> DataFrame:
+def job_outputs(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """path, k, t, problem of JSON objects from key to text; a file that can't be parsed gives one row with its problem."""
-    f = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    f = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     m = f.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"}).alias("m"))
     good = m.where("m IS NOT NULL").select("path", F.explode("m").alias("k", "t"), F.lit(None).cast("string").alias("problem"))
     bad = m.where("m IS NULL").select("path", F.lit(None).cast("string").alias("k"), F.lit(None).cast("string").alias("t"), F.lit("unreadable").alias("problem"))
@@ -196,10 +197,21 @@ def fresh(found: DataFrame, have: DataFrame, key: str, least: int = 3000, size:
     return found.join(have.where(F.col(size) > least).select(key), key, "left_anti")
 
 
-def write_edition(df: DataFrame, path: str) -> None:
-    """Plain text editions: one file a work from df(work_id, seq, t), paragraphs apart by a blank line and in order."""
-    text = df.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "t"))), lambda x: x.t), "\n\n").alias("value"))
-    text.write.mode("overwrite").partitionBy("work_id").text(path)
+def write_edition(df: DataFrame, path: str, width: int = 72) -> None:
+    """Plain text editions of df(work_id, seq, kind, t): a folder of text a work, with a table of contents of its headings and the units in order, wrapped at
+    width columns, quotations that open a paragraph indented. Lines are sorted by place in ranges, so that no work is one row or one task; the table of lines is kept beside the text.
+
+    Null texts are left out; blank ones give an empty line.
+    """
+    u = df.where("t IS NOT NULL").select("work_id", "seq", F.coalesce(F.col("kind") == "h", F.lit(False)).alias("head"), "t")
+    plain = strip_tags("t")
+    contents = u.where("head").select("work_id", F.lit(0).alias("no"), F.lit("contents").alias("part"), "seq", F.concat(F.lit("  "), plain).alias("line"), F.length("t").alias("n_source"))
+    indent = F.when(F.col("t").rlike("^\\s*[“‘「『]"), "  ").otherwise("")
+    body = u.select("work_id", F.lit(1).alias("no"), F.lit("text").alias("part"), "seq", F.concat(wrap(plain, width, indent), F.lit("\n")).alias("line"), F.length("t").alias("n_source"))
+    lines = contents.unionByName(body).repartitionByRange("work_id", "no", "seq").sortWithinPartitions("work_id", "no", "seq")
+    lines.write.mode("overwrite").parquet(f"{path}/lines")
+    back = df.sparkSession.read.parquet(f"{path}/lines").repartitionByRange("work_id", "no", "seq").sortWithinPartitions("work_id", "no", "seq")
+    back.select("work_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("work_id").text(f"{path}/text")
 
 
 def export_backup(progress: DataFrame, marks: DataFrame) -> DataFrame:

@@ -54,8 +54,9 @@ def test_manifest_and_sinks(spark, tmp_path):
     for _ in range(2):
         X.append_summary(spark.createDataFrame([("a", 1)], "s string, n int"), str(tmp_path / "tsv"))
     assert spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "tsv")).count() == 2
-    X.write_edition(spark.createDataFrame([("w", 1, "b"), ("w", 0, "a")], "work_id string, seq int, t string"), str(tmp_path / "ed"))
-    assert spark.read.text(str(tmp_path / "ed"), wholetext=True).first().value == "a\n\nb\n"
+    X.write_edition(spark.createDataFrame([("w", 2, "p", "“b” " * 30), ("w", 1, "p", "a"), ("w", 0, "h", "One")], "work_id string, seq int, kind string, t string").coalesce(1), str(tmp_path / "ed"))
+    got = "".join(r.value for r in spark.read.text(str(tmp_path / "ed" / "text"), wholetext=True).select("value").collect())
+    assert got.startswith("  One\nOne\n\na\n\n  “b”") and max(map(len, got.split("\n"))) <= 72
     X.write_index(rows, str(tmp_path / "ix"), "id")
     have = spark.createDataFrame([("a", 5000), ("b", 10)], "id string, size int")
     assert [r.id for r in X.fresh(rows, have, "id").collect()] == ["b"]
