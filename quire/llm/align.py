@@ -21,7 +21,7 @@ from collections.abc import Iterable
 import ahocorasick
 import numpy as np
 
-from .langs import HANGUL, LETTER, refuses
+from .langs import HANGUL, refuses
 from .sentences import ODD, plain, segment
 from .subjects import JOSA, TAGS
 
@@ -58,9 +58,14 @@ def kind(sentence: str) -> str:
 
 
 def words(sentence: str, spaceless: bool) -> list[str]:
+    """Words with the marks around them, which bare() takes off."""
     if spaceless:
         return RUN.findall(sentence)
-    return [w.strip(AROUND) for w in sentence.replace("—", " ").split()]
+    return (sentence.replace("—", " ") if "—" in sentence else sentence).split()
+
+
+def bare(word: str) -> str:
+    return word.strip(AROUND)
 
 
 # ---- lexicon
@@ -87,11 +92,12 @@ class Tally:
         self.size = 0
 
     def number(self, word: str) -> int:
-        c = word[:1]
+        w = bare(word)
+        c = w[:1]
         if "가" <= c <= "힣":
-            w = JOSA.sub("", word) or word if len(word) > 1 else word
-        else:
-            w = word if c.isdigit() else word.lower()
+            w = JOSA.sub("", w) or w if len(w) > 1 else w
+        elif not c.isdigit():
+            w = w.lower()
         i = -1
         if w and w not in PLAIN:
             i = self.id.get(w, len(self.names))
@@ -163,26 +169,34 @@ class Lexicon:
         self.says = np.array([weight.get(w, 1.0) for w in partners], np.float64)
         self.part = np.array([weight.get(w, 1.0) * s for w, p in partners.items() for _, s in p], np.float64)
         self.words, self.korean = len(partners), len(korean)
+        #: words as they stand in texts, with the number of the word or -1; kept at hand
+        self.seen: dict[str, int] = {}
         self.auto = ahocorasick.Automaton()
         for w, i in korean.items():
             self.auto.add_word(w, i)
         if korean:
             self.auto.make_automaton()
 
-    def source(self, sentence: str, spaceless: bool, numbers: dict[str, int]) -> list[int]:
+    def source(self, sentence: str, spaceless: bool, digits: bool, numbers: dict[str, int]) -> list[int]:
         """The known words of a source sentence and the numbers in it."""
-        get = self.id.get
-        out = {get(w, -1) for w in words(sentence.lower(), spaceless)}
+        seen = self.seen
+        out = {seen[w] if w in seen else self._see(w) for w in words(sentence, spaceless)}
         out.discard(-1)
-        if DIGIT.search(sentence):
+        if digits:
             out.update([self.words + numbers.setdefault(w, len(numbers)) for w in NUMBER.findall(sentence)])
         return list(out)
 
-    def found(self, sentence: str, numbers: dict[str, int]) -> list[int]:
+    def _see(self, word: str) -> int:
+        if len(self.seen) > PRODUCTS // 8:
+            self.seen.clear()
+        i = self.seen[word] = self.id.get(bare(word.lower()), -1)
+        return i
+
+    def found(self, sentence: str, digits: bool, numbers: dict[str, int]) -> list[int]:
         """The partners that a Korean sentence holds, its spaces left out, and its numbers, each whole."""
         dense = "".join(sentence.split())
         out = {i for _, i in self.auto.iter(dense)} if self.korean else set()
-        if DIGIT.search(dense):
+        if digits:
             out.update([self.korean + numbers.setdefault(w, len(numbers)) for w in NUMBER.findall(dense)])
         return list(out)
 
@@ -253,14 +267,13 @@ class Row:
         if ODD.search(text) or ODD.search(unit):
             src, tgt = [(s, plain(x)[0]) for s, x in src], [(s, plain(y)[0]) for s, y in tgt]
         tgt = [(s, y) for s, y in tgt if HANGUL.search(y)]
-        src = [(s, x) for s, x in src if LETTER.search(x) or DIGIT.search(x)]
         self.src, self.tgt = [s for s, _ in src], [s for s, _ in tgt]
-        self.la, self.lb = [letters(x) for _, x in src], [letters(y) for _, y in tgt]
-        own = kind(unit)
+        self.la, self.lb = [len(x) or 1 for _, x in src], [len(y) or 1 for _, y in tgt]
+        own, digits = kind(unit), bool(DIGIT.search(unit))
         self.c, self.var = lex.ratio.get(own, (0.5, 3.0))
         some = bool(src and tgt)
-        self.words = [lex.source(x, own == "j", numbers) for _, x in src] if some else []
-        self.found = [lex.found(y, numbers) for _, y in tgt] if some else []
+        self.words = [lex.source(x, own == "j", digits, numbers) for _, x in src] if some else []
+        self.found = [lex.found(y, digits, numbers) for _, y in tgt] if some else []
 
 
 def likeness(rows: list[Row], lex: Lexicon, r0: int, r1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
