@@ -21,7 +21,7 @@ from collections.abc import Iterable
 import ahocorasick
 import numpy as np
 
-from .langs import HANGUL, refuses
+from .langs import HANGUL, mostly_korean, refuses
 from .sentences import ODD, plain, segment
 from .subjects import JOSA, TAGS
 
@@ -503,8 +503,8 @@ def align(unit: str, text: str, lex: Lexicon, at: tuple[list[tuple[int, int]], l
 
 
 def alignable(unit: str | None, text: str | None, copied) -> bool:
-    """Not so blank sides, texts that aren't Korean, refusals and copies."""
-    return bool(unit and text and HANGUL.search(text) and not refuses(text) and not copied(unit, text))
+    """Not so blank sides, texts that aren't Korean, refusals and copies; a mostly Korean text is no copy of an English or Japanese unit."""
+    return bool(unit and text and HANGUL.search(text) and not refuses(text) and (mostly_korean(text) or not copied(unit, text)))
 
 
 def training_pairs(unit: str, text: str, left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple[str, str]]:

@@ -108,7 +108,8 @@ def declines(sentence: str) -> bool:
 def refuses(text: str) -> bool:
     """Does the text, as a whole and outside quotations, decline a task? A third of its sentences must, and they must make up a good part of it, whatever its length. Quoted refusals are a character's own words."""
     korean = ("니다" in text or "요" in text or "오" in text or "불가" in text) and TASK_KO.search(text) and DECLINE_KO.search(text)
-    if not korean and not (FOREIGN_WORDS.search(text) and TASK.search(text) and DECLINE.search(text)):
+    # in another language than Korean a refusal is so for most of its letters
+    if not korean and (mostly_korean(text) or not (FOREIGN_WORDS.search(text) and TASK.search(text) and DECLINE.search(text))):
         return False
     spans = segment(text)
     if not spans:

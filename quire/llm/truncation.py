@@ -97,11 +97,13 @@ def features(text: str, heading: bool = False) -> list[int]:
         out.append("whole3" + s + inner)
         core = p[: ended.start()]
         unit = unit[: max(0, len(unit) - (len(p) - ended.start()))]
+        if not short_form:
+            s += "E"  # closing words before an end mark say nothing about those without
     lost = sum(unit.count(a) > unit.count(b) for a, b in ("“”", "「」", "()", "（）", "«»", "『』"))
     if lost:
         out.append(s + "open" + end)
-    words = (RUNS if s == "j" else WORDS).findall(unit.rstrip(",、 "))
-    low = [w if s != "e" else w.lower() for w in words]
+    words = (RUNS if s[0] == "j" else WORDS).findall(unit.rstrip(",、 "))
+    low = [w if s[0] != "e" else w.lower() for w in words]
     c = core.rstrip(",、 ")
     for k in (1, 2, 3, 4, 5, 7):
         out.append(f"{s}s{k}{c[-k:]}")
@@ -110,7 +112,7 @@ def features(text: str, heading: bool = False) -> list[int]:
         out.append(s + "ww" + " ".join(low[-2:]))
         out.append(s + "www" + " ".join(low[-3:]))
         out.append(s + "first" + " ".join(low[:2]))
-        if s == "e" and words[-1][:1].isupper():
+        if s[0] == "e" and words[-1][:1].isupper():
             out.append("eCap" + end)
             out.append("eCap2" + " ".join(w.lower() for w in words[-3:-1]))
     seen = set(low)
@@ -118,8 +120,8 @@ def features(text: str, heading: bool = False) -> list[int]:
     out.extend(s + "c" + a + " " + b for a, b in set(zip(low, low[1:], strict=False)))
     out.append(f"{s}n{min(len(low), 12)}")
     n = len(text)
-    if n in LIMITS:
-        out.append("limit")
+    if n in LIMITS or n + 1 in LIMITS:  # a blank at the limit may have been trimmed
+        out.append("limit" + end)
     out.append("len" + str(min(10, n.bit_length())) + end)
     return hashed(out)
 
@@ -137,6 +139,10 @@ def closings(text: str) -> list[str]:
     return ["first " + " ".join(WORDS.findall(p)[:2]).lower(), "last " + p[-2:]]
 
 
+#: Short forms inside a text after which a cut leaves a full stop that ends nothing.
+INNER_STOP = re.compile(rf"(?<![\w.])(?i:{'|'.join(sorted(w for w in BEFORE if w.isalpha()))}|(?-i:[A-HJ-Z]))\.(?=\s+\S)|(?<=\d)\.(?=\d)")
+
+
 def cut(text: str, rng: random.Random) -> str | None:
     """The value stopped inside one of its units, or None if it has none to stop in."""
     units = [u for u in segment(text) if u[1] - u[0] > 6]
@@ -160,9 +166,10 @@ def cut(text: str, rng: random.Random) -> str | None:
     return piece + mark if ANY.search(piece) else None
 
 
-def examples(texts: list[str], seed: int = 7) -> tuple[list[str], list[int]]:
-    """Values made of the texts and whether they are cut. What is made of a text depends on the text and the seed alone."""
+def examples(texts: list[str], rng: random.Random) -> tuple[list[str], list[int]]:
+    """Values made of the texts and whether they are cut. What is made of a text depends on the text and the generator's state alone, not on the other texts."""
     xs, ys = [], []
+    seed = rng.getrandbits(31)
     for t in texts:
         rng = random.Random(zlib.crc32(t.encode("utf-8", "surrogatepass")) + seed)
         whole = t.rstrip()
@@ -193,6 +200,17 @@ def examples(texts: list[str], seed: int = 7) -> tuple[list[str], list[int]]:
             if c:
                 xs.append(c)
                 ys.append(1)
+        # cut by the length of a field, and behind a short form
+        fits = [n for n in LIMITS if n < len(whole) - 1 and ANY.search(whole[:n])]
+        if fits:
+            piece = whole[: rng.choice(fits)]
+            if not at_end(ENDED, piece.rstrip()) and "\n\n" not in piece[-2:]:
+                xs.append(piece if rng.random() < 0.3 else piece.rstrip())
+                ys.append(1)
+        stops = [m.end() for m in INNER_STOP.finditer(whole)]
+        if stops and rng.random() < 0.3:
+            xs.append(whole[: rng.choice(stops)])
+            ys.append(1)
         if rng.random() < 0.15:
             # lines of verse: whole sentences without their full stops, one under the other
             lines = [whole[a:b].rstrip(".。") for a, b in segment(whole) if 12 < b - a < 90 and not re.search(r"[\n“”「」!?！？…()（）]", whole[a:b])]
@@ -246,7 +264,7 @@ def rows_of(text: str | None, heading: bool, seed: int = 7) -> list[tuple[int, l
         return []
     if heading:
         return [(0, features(text, True), [])]
-    out = [(y, features(x), []) for x, y in zip(*examples([text], seed), strict=True)]
+    out = [(y, features(x), []) for x, y in zip(*examples([text], random.Random(seed)), strict=True)]
     if ANY.search(tail(text)) and not at_end(ENDED, text.rstrip()) and not at_end(LEFT, text):
         out.append((UNMARKED, features(text), closings(text)))
     return out
