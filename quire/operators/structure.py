@@ -206,11 +206,12 @@ def byline(bs: DataFrame, key: str, within: int = 40) -> DataFrame:
 def infer_levels(heads: DataFrame, key: str) -> DataFrame:
     """Adds level to df(key, seq, type): by which kinds of headings a document has. Books, parts and acts are 1; chapters are 2, or 1 where nothing stands above them;
     numerals are 2 where there are no chapters and 3 below them; named divisions go with the chapters."""
-    n = lambda *ts: F.count_if(F.col("type").isin(*ts)).over(Window.partitionBy(key))
-    above, chapters = n("book", "part", "act") > 0, n("chapter") > 0
-    chapter = F.when(above, 2).otherwise(1)
+    n = lambda *ts: F.count_if(F.col("type").isin(*ts)) > 0
+    kinds = heads.groupBy(F.col(key).alias("__k")).agg(n("book", "part", "act").alias("__above"), n("chapter").alias("__chapters"))
+    chapter = F.when(F.col("__above"), 2).otherwise(1)
     level = F.when(F.col("type").isin("book", "part", "act"), 1).when(F.col("type").isin("chapter", "named"), chapter).when(F.col("type") == "scene", 3)
-    return heads.withColumn("level", level.when(chapters, chapter + 1).otherwise(chapter).cast("int"))
+    level = level.when(F.col("__chapters"), chapter + 1).otherwise(chapter).cast("int")
+    return heads.join(kinds, F.col(key).eqNullSafe(F.col("__k"))).withColumn("level", level).select(*heads.columns, "level")
 
 
 def sentence_case(heads: DataFrame, texts: DataFrame, head: str, text: str, least: int = 2) -> DataFrame:

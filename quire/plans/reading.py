@@ -97,3 +97,17 @@ def resync(spark, d):
 def hourly(spark, d):
     """Events by hour and type, run as a stream to its end: watermark, event-time windows, results upserted by batch."""
     return stream.run_hourly(spark, d)
+
+
+@query("stream_st16_open_quotations")
+def open_quotations(spark, d):
+    """Quotations of the English units, read as a stream with the open mark of each work as state; equal to the batch operator (tests)."""
+    u = stream.table_stream(spark, d, "units").where("lang = 'en' AND t IS NOT NULL").select("work_id", "seq", "kind", "t")
+    return stream.run_to_table(stream.quotations(u), [], "append")
+
+
+@query("stream_st7_undo")
+def undo(spark, d):
+    """Positions that undo brings back, from the events as a stream: errors undo, other events set a position."""
+    e = stream.event_stream(spark, d).select(F.col("user_id").alias("reader_id"), F.unix_millis("ts").alias("at_ms"), F.when(F.col("event_type") != "error", (F.col("event_id") % 1000000).cast("int")).alias("p"))
+    return stream.run_to_table(stream.undos(e), [], "append")

@@ -342,7 +342,12 @@ def junk_lines(spark, d):
     return S.lines(t, "doc_id", "text").groupBy("doc_id").agg(F.count_if(S.junk_line("line")).alias("n"))
 
 
-@query("structure_p12_prose_like")
+BLOCKS = """b AS (SELECT doc_id, unnest(bs) AS b, unnest(range(len(bs))) AS block FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '\\n[ \\t]*\\n+', chr(1), 'g'), chr(1)), lambda b: trim(b, ' ' || chr(9) || chr(10)) <> '') AS bs FROM documents WHERE text IS NOT NULL)),
+      l AS (SELECT doc_id, CAST(block AS INTEGER) AS block, list_filter(string_split(b, chr(10)), lambda x: trim(x) <> '') AS ls FROM b)"""
+
+
+@query("structure_p12_prose_like", f"""
+    WITH {BLOCKS} SELECT doc_id, block, (regexp_matches(ls[-1], '[.!?][''"”’)]*\\s*$') AND list_sum(list_transform(ls, lambda x: length(x))) / len(ls)::DOUBLE >= 34) OR list_sum(list_transform(ls, lambda x: length(x))) > 220 AS keep FROM l""")
 def prose_like(spark, d):
     b = S.blocks(table(spark, d, "documents"), "doc_id", "text")
     return b.select("doc_id", "block", S.front_worth_keeping("lines").alias("keep"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,21 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.stored import shared_dir
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write: under the session's spark.checkpoint.dir, a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of all that is there."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    # a single file is read through its folder
+    return source.parquet(path) if os.path.isdir(path) else source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, with a timestamp of the session's zone."""
-    path = os.path.join(sf_dir, "events.parquet")
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema)
-    # a single file is read through its folder
-    s = source.parquet(path) if os.path.isdir(path) else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -41,20 +38,22 @@ def sessions(events: DataFrame, idle: str = "90 seconds", late: str = "1 hour")
     return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_to_table(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs a stream in update mode over all that is there, each batch written once under its number, and gives the last row of every key.
+def run_to_table(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """Runs a stream over all that is there, each batch written once under its number, and gives the last row of every key (in append mode all rows).
 
     A batch that is run again overwrites its own folder, so results are exactly once.
     """
     spark = stream.sparkSession
-    at = shared_folder(spark, "stream")
+    at = shared_dir(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     rows = spark.read.option("basePath", f"{at}/out").parquet(f"{at}/out")
+    if mode == "append":
+        return rows.drop("batch")
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
 
@@ -95,8 +94,9 @@ def quote_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
 
     carry = state.get[0] if state.exists else None
     out = []
-    for b in batches:
-        for seq, kind, t in b.sort_values("seq")[["seq", "kind", "t"]].itertuples(index=False):
+    rows = list(batches)  # those of one work in one micro-batch
+    if rows:
+        for seq, kind, t in pd.concat(rows).sort_values("seq")[["seq", "kind", "t"]].itertuples(index=False):
             out += [(key[0], seq, *x) for x in found(t or "", "“", None if kind == "h" else carry)]
             carry = left_open(t or "", "“")
     state.update((carry,))

@@ -145,3 +145,21 @@ def test_levenshtein_counts_characters(spark):
     pairs = [("", "abc"), ("가나다", "가라다마"), ("é€𝒳", "e€𝒳"), ("kitten sitting", "sitting kitten"), ("같다", "같다")]
     df = spark.createDataFrame(pairs, "a string, b string")
     assert [r[0] for r in df.select(F.levenshtein("a", "b")).collect()] == [plain(a, b) for a, b in pairs]
+
+
+def test_noise_is_the_same_for_the_same_text():
+    assert A._noise("a") == A._noise("a") != A._noise("b") and len(A._noise("x", 5)) == 5
+    x = A._noise("sentence", 4000)
+    assert abs(sum(x) / 4000) < 0.06 and abs(sum(v * v for v in x) / 4000 - 1) < 0.08
+    assert A.uniforms(0, 1) == A.uniforms(1, 1) == [270369 / 4294967295]  # 1 ^ 1 << 13, then >> 17, then << 5
+    assert A.fnv_units("abc") == 440920331
+
+
+def test_word_codes():
+    a, b = A.word_codes("the cat sat", "the dog sat on").split("\n")
+    assert (len(a), len(b)) == (3, 4) and a[0] == b[0] and a[2] == b[2] and a[1] != b[1]
+    assert A.word_codes("", None) == "\n"
+
+
+def test_emphasis_is_carried():
+    assert A._emphasis("a_ b", True) == "<em>a</em> b" and A._emphasis("plain 6_s._") == "plain 6_s."

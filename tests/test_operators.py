@@ -5,6 +5,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quire.functions import quotes as G
 from quire.operators import catalog as K
 from quire.operators import dialogue as D
 from quire.operators import overlay as O
@@ -13,6 +14,7 @@ from quire.operators import ranges as R
 from quire.operators import reading as S
 from quire.operators import sets as U
 from quire.operators import structure as B
+from quire.operators import versions as V
 from quire.operators import windows as W
 from quire.streaming import reading as stream
 
@@ -274,3 +276,72 @@ def test_blocks_leave_results_alike(spark):
         assert every() == whole
     finally:
         W.BLOCK = was
+
+
+def test_quotations_of_one_long_work_match_a_plain_walk(spark, monkeypatch):
+    """The carry is the row before's, in blocks; a heading ends it. Rows come in any order and stand in many blocks."""
+    monkeypatch.setattr(W, "BLOCK", 5)
+    rng = random.Random(8)
+    parts = ["“a", "b”", "c", "“d” e", "“f “g", " “h”"]
+    rows = [("h" if rng.random() < 0.1 else "p", " ".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))) for _ in range(60)]
+    want, carry = [], None
+    for i, (kind, t) in enumerate(rows):
+        want += [("w", i, *x) for x in G.quotations(t, "“", None if kind == "h" else carry)]
+        carry = G.left_open(t, "“")
+    got = D.quotations(units(spark, *rows).repartition(3), "t")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and any(x[4] for x in want)
+    src = units(spark, *rows).select("work_id", "seq", "kind", "t")
+    assert src.count() == 60
+
+
+def test_versions_keep_unmoved_units_and_pair_the_rest(spark):
+    old = [(i, f) for i, f in enumerate(["a", "b", "x", "x", "c", "d", "e", "f", "g"])]
+    new = [(i, f) for i, f in enumerate(["a", "new", "x", "x", "e", "f", "c", "d", "y", "g"])]
+    side = lambda rows: spark.createDataFrame([("w", i, f) for i, f in rows], "work_id string, at int, form string")
+    got = {(r.i, r.j) for r in V.paired(side(old), side(new)).collect()}
+    assert {(0, 0), (2, 2), (3, 3), (8, 9)} <= got  # anchors and repeated forms in order
+    assert (1, 1) in got  # a stretch of equal length that was replaced
+    assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+    assert V.paired(side(old), side([]).where("false")).count() == 0
+
+
+def test_heaviest_chain_against_all_subsets():
+    rng = random.Random(6)
+    for _ in range(30):
+        n = rng.randint(0, 8)
+        b, w = rng.sample(range(20), n), [rng.randint(1, 5) for _ in range(n)]
+        best = max((sum(w[i] for i in c) for m in range(1 << n) for c in [[i for i in range(n) if m >> i & 1]] if all(b[x] < b[y] for x, y in zip(c, c[1:], strict=False))), default=0)
+        chain = V.heaviest_chain(list(range(n)), b, w)
+        assert sum(w[i] for i in chain) == best and all(b[x] < b[y] for x, y in zip(chain, chain[1:], strict=False))
+
+
+def test_rolling_median_in_blocks(spark):
+    rng = random.Random(2)
+    xs = [rng.randint(0, 50) for _ in range(40)]
+    df = spark.createDataFrame([("u", i, x) for i, x in enumerate(xs)], "k string, o int, v int")
+    got = {r.o: r.m for r in W.rolling_upper_median(df, "k", "o", "v", name="m", block=9).collect()}
+    assert got == {i: (sorted(xs[max(0, i - 5) : i + 1])[len(xs[max(0, i - 5) : i + 1]) // 2] if i >= 3 else None) for i in range(40)}
+
+
+def test_speeds_over_segments(spark):
+    rng = random.Random(1)
+    at, chars, rows = 0, 0, []
+    for _ in range(60):
+        at, chars = at + rng.randint(20_000, 200_000), chars + rng.randint(-100, 900)
+        rows.append((7, "w", at, chars))
+    want, start = [], rows[0]
+    for r in rows[1:]:
+        if r[2] - start[2] >= 300_000:
+            wpm = (r[3] - start[3]) / 5.5 / ((r[2] - start[2]) / 60000)
+            if r[3] > start[3] and 60 < wpm < 450:
+                want.append((r[2], round(wpm, 6)))
+            start = r
+    got = S.speeds(spark.createDataFrame(rows, "reader_id int, work_id string, updated bigint, chars bigint"))
+    assert sorted((r.updated, round(r.wpm, 6)) for r in got.collect()) == want and want
+
+
+def test_payload_problems_come_in_order(spark):
+    good = 'receive({"id":"a","chapters":[{"firstP":0}],"html":"' + "<p data-p=\\\"0\\\">" + "x" * 450 + '</p>"});'
+    df = spark.createDataFrame([("a", good), ("b", None), ("c", good), ("d", "take(")], "id string, js string")
+    got = {r.id: r.problems for r in Q.payload_problems(df).collect()}
+    assert got["b"] == ["missing"] and "other_id" in got["c"] and "bad_wrapper" in got["d"] and "repeated_id" in got["a"]
