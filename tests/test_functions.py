@@ -100,8 +100,8 @@ def test_fragments():
 
 def test_quote_spans():
     assert (Q.quotations("“a” b “c", "“"), Q.left_open("“a” b “c", "“")) == ([(0, 3, False), (6, 8, False)], "“")
-    assert (Q.quotations("“d” e", "“", "“"), Q.left_open("“d” e", "“", "“")) == ([(0, 3, True)], None)
-    assert (Q.quotations("続き」と言った", "「『", "「"), Q.left_open("続き」と言った", "「『", "「")) == ([(0, 3, True)], None)
+    assert (Q.quotations("“d” e", "“", "“"), Q.left_open("“d” e", "“")) == ([(0, 3, True)], None)
+    assert (Q.quotations("続き」と言った", "「『", "「"), Q.left_open("続き」と言った", "「『")) == ([(0, 3, True)], None)
     assert (Q.quotations("「外『内』外」", "「『"), Q.left_open("「外『内』外」", "「『")) == ([(0, 7, False)], None)
     assert (Q.quotations("don’t ‘go’", "‘"), Q.left_open("don’t ‘go’", "‘")) == ([(6, 10, False)], None)
 
@@ -120,7 +120,7 @@ def test_ruby():
 
 @given(st.text())
 def test_arrow_functions_take_any_text(s):
-    for f in (A._alnum, A._nfc, A._curly, A._emphasis, A._wrap, A._spoken_en, A._spoken_ko, A._spoken_ja, A._annotated, A._speech_key, A._model_input, A._small_caps):
+    for f in (A._alnum, A._nfc, A._curly, A._emphasis, A._wrap, S.spoken_en, S.spoken_ko, S.spoken_ja, A._annotated, S.speech_key, S.model_input, A._small_caps):
         assert isinstance(f(s), str)
     spans = S.fragments(s)
     assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
