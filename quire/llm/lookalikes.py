@@ -272,4 +272,5 @@ def _count_into(out: dict[str, int], joined: str) -> None:
         out[m.group()] = out.get(m.group(), 0) + 1
 
 
-SEQUENCE = re.compile("[ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?|[^\\W\\d_][̀-゙゚ͯ]+")
+#: What is counted besides single code points; a letter with more than three marks is composed without a count, which bounds the counts by the character set.
+SEQUENCE = re.compile("[ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?|[^\\W\\d_][̀-゙゚ͯ]{1,3}")

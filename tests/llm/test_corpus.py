@@ -179,3 +179,15 @@ def test_rising_steps_against_all_splits():
             if all(a <= b + 1e-9 for a, b in itertools.pairwise([sum(v[k] * w[k] for k in g) / sum(w[k] for k in g) for g in cut if g and sum(w[k] for k in g)]))
         )
         assert abs(sum(b * (a - c) ** 2 for a, b, c in zip(v, w, got, strict=True)) - best) < 1e-9
+
+
+def test_counts_of_parted_texts_are_those_of_the_whole():
+    from quire.llm import tokens
+
+    rng = random.Random(5)
+    words = ["snow", "벽에", "雪が降った。", "12", "it's", "—", "\n\n", "  ", "Ⅷ", "a.b"]
+    text = "".join(rng.choice(words) + rng.choice(["", " ", " "]) for _ in range(90_000))
+    assert len(text) > tokens.STRETCH
+    assert count(text) == len(tokens.encoder().encode_ordinary(text))
+    solid = "雪" * (tokens.STRETCH + 5000)
+    assert count(solid) == len(tokens.encoder().encode_ordinary(solid))
