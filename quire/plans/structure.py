@@ -314,7 +314,7 @@ def read_dots(spark, d):
     return c.join(m, "work_id", "left").select("work_id", "section", dot.alias("dot"))
 
 
-@query("structure_b2_bylines")
+@query("structure_b2_bylines", "SELECT doc_id, 'A. ' || source AS author FROM documents WHERE source IS NOT NULL")
 def bylines(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("A Title\n\nby "), F.coalesce("source", F.lit("X")), F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
     docs = docs.withColumn("text", F.regexp_replace("text", "by ([a-z])", "by A. $1"))
