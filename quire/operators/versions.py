@@ -44,20 +44,26 @@ def heaviest_chain(first: list[int], second: list[int], weight: list[int]) -> li
 def unmoved(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of df(keys, i, j) on the longest chain that increases in both i and j.
 
-    Numbered among themselves by i and by j, pairs that kept their neighbours run in step, so a document is a few such
-    runs, one more for every stretch that moved; only the runs, one row each, meet in a task.
+    A pair goes on the run of the pair before it by i if that is the pair before it by j too, so a document is a few such
+    runs, one more for every stretch that moved; only the runs, one row each, meet in a task. Every running value joins
+    its own input again, hence the stored steps.
     """
-    x = stored(renumber(stored(renumber(stored(pairs), keys, "i", "__a")), keys, "j", "__b").withColumn("__d", F.col("__b") - F.col("__a")))
-    x = stored(beside(x, keys, "__a", "__d", "__was"))
-    x = stored(running(x, keys, "__a", "__run", F.when(F.col("__d").eqNullSafe(F.col("__was")), 0).otherwise(1)))
-    runs = x.groupBy(*keys, "__run").agg(F.min("__a").alias("a"), F.min("__b").alias("b"), F.count("*").alias("n"))
+    x = stored(pairs.withColumn("__me", F.struct("i", "j")))
+    x = stored(beside(x, keys, "i", "__me", "__by_i"))
+    x = stored(beside(x, keys, "j", "__me", "__by_j"))
+    x = stored(running(x, keys, "i", "__run", F.when(F.col("__by_i").eqNullSafe(F.col("__by_j")), 0).otherwise(1)))
+    runs = x.groupBy(*keys, "__run").agg(F.min("i").alias("a"), F.min("j").alias("b"), F.count("*").alias("n"))
     schema = ", ".join(f"{k} {t}" for k, t in runs.dtypes if k in (*keys, "__run"))
 
     def choose(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("a")
         return p.iloc[heaviest_chain(list(p.a), list(p.b), list(p.n))][[*keys, "__run"]]
 
-    return x.join(runs.groupBy(*keys).applyInPandas(choose, schema), [*keys, "__run"], "left_semi").select(*keys, "i", "j")  # every running value joins its own input again, hence the stored steps
+    # a single run needs no choice
+    per = runs.groupBy(*keys).agg(F.count("*").alias("m"))
+    chosen = runs.join(per.where("m > 1"), keys, "left_semi").groupBy(*keys).applyInPandas(choose, schema)
+    chosen = chosen.unionByName(runs.join(per.where("m = 1"), keys, "left_semi").select(*keys, "__run"))
+    return x.join(chosen, [*keys, "__run"], "left_semi").select(*keys, "i", "j")
 
 
 def _split(side: DataFrame, found: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
