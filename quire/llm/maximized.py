@@ -99,7 +99,7 @@ def maximize(docs: DataFrame, labelled: list[tuple[str, str]], names: list[str],
             if parts:
                 yield batch(merged(parts))
 
-        own = spark.createDataFrame(batch(sums(samples, n, keys, w, first)).to_pandas(), schema)
+        own = spark.createDataFrame(pa.Table.from_batches([batch(sums(samples, n, keys, w, first))]))
         at = shared_dir(spark, f"p9-round-{turn}")
         stored.mapInArrow(run, schema).unionByName(own).groupBy("id").agg(*[F.sum(f).alias(f) for f in fields[1:]]).write.parquet(at)
         table = spark.read.parquet(at)
@@ -116,10 +116,10 @@ def maximize(docs: DataFrame, labelled: list[tuple[str, str]], names: list[str],
 
             return weigh
 
-        got = map_rows(table.where("id >= 0 AND seen >= 2"), make, "id bigint, w array<double>").toPandas().sort_values("id")
-        keys, w = got.id.to_numpy(np.int64), np.array(list(got.w), float).reshape(-1, n)
+        got = map_rows(table.where("id >= 0 AND seen >= 2"), make, "id bigint, w array<double>").toArrow().sort_by("id")
+        keys, w = got["id"].to_numpy().astype(np.int64), got["w"].combine_chunks().flatten().to_numpy().reshape(-1, n)
         shared.unpersist()
-    few = F.broadcast(spark.createDataFrame([(int(i),) for i in samples.stem], "id bigint"))  # stems of the labelled samples
-    sure = table.join(few, "id").toPandas().sort_values("id")
+    few = F.broadcast(spark.createDataFrame(pa.table({"id": samples.stem})))  # stems of the labelled samples
+    sure = table.join(few, "id").toArrow().sort_by("id")
     columns = [sure[f].to_numpy() for f in fields[1:]]
-    return stored, Model(names, keys, w, calibrated(samples, n, sure.id.to_numpy(np.int64), columns, whole, first))
+    return stored, Model(names, keys, w, calibrated(samples, n, sure["id"].to_numpy().astype(np.int64), columns, whole, first))

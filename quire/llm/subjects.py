@@ -316,7 +316,9 @@ def calibrated(labelled: Block, n: int, known: np.ndarray, columns: list[np.ndar
     idle = min(1.0, mine[0] / others[0])  # share of a sample's sentences that deal with nothing
     dealing = np.clip(1 - idle * others / mine, 0.0, 1.0)
     n_all, n_own = np.bincount(step.ravel(), minlength=size), np.bincount(step[own], minlength=size)
-    return rising(dealing * n_own / np.maximum(n_all, 1), n_all)
+    # a step of few sentences is held near the share of all, as if two more of such had been seen
+    deals = dealing * n_own
+    return rising((deals + 2 * deals.sum() / n_all.sum()) / (n_all + 2), n_all)
 
 
 def rising(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
