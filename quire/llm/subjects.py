@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cached_property
 from hashlib import blake2b
 
 import numpy as np
@@ -173,7 +174,7 @@ class Model:
     def __init__(self, names: list[str], keys: np.ndarray, w: np.ndarray, levels: np.ndarray) -> None:
         self.names, self.keys, self.w, self.levels = names, keys, w, np.asarray(levels, float)
 
-    @property
+    @cached_property
     def weights(self) -> dict[int, list[tuple[int, float]]]:
         return {int(k): [(int(j), float(x[j])) for j in np.flatnonzero(x)] for k, x in zip(self.keys, self.w, strict=True)}
 
