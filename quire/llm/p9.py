@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import spread, table
 from .maximized import each_block, maximize
-from .subjects import Model, dealing
+from .subjects import Model, Weights, dealing
 
 #: Labelled rows on which the classifier is fitted, at most, picked by a hash; it is refined over all documents.
 LABELLED = 20000
@@ -32,14 +32,14 @@ def subject_rows(stored: DataFrame, model: Model) -> DataFrame:
 
     A map over the blocks of maximized.blocks(); the model holds the stems that weigh something. Null and blank texts have no subject.
     """
-    shared = stored.sparkSession.sparkContext.broadcast(model)
+    shared = stored.sparkSession.sparkContext.broadcast((model.names, Weights.pack(model.keys, model.w), model.levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = pa.array(m.names, pa.string())
+        subjects, weights, levels = shared.value
+        names = pa.array(subjects, pa.string())
         for batch in batches:
             for b in each_block(batch):
-                hits, mean = dealing(m, b)
+                hits, mean = dealing(Model(subjects, *weights.of(b.stem), levels), b)
                 d, j = np.nonzero(hits)
                 enough = np.maximum(2, -(-b.sents // 5))
                 deals = hits[d, j] >= enough[d]

@@ -179,6 +179,38 @@ class Model:
         return {int(k): [(int(j), float(x[j])) for j in np.flatnonzero(x)] for k, x in zip(self.keys, self.w, strict=True)}
 
 
+class Weights:
+    """Numbers of the stems that weigh something (in order), and for each its subjects, of which complement() leaves two at most (-1: none), with their weights."""
+
+    def __init__(self, n: int, keys, j0, j1, w0, w1) -> None:
+        self.n, self.keys = n, np.asarray(keys, np.int64)
+        self.j0, self.j1 = np.asarray(j0, np.int8 if n < 128 else np.int32), np.asarray(j1, np.int8 if n < 128 else np.int32)
+        self.w0, self.w1 = np.asarray(w0, np.float64), np.asarray(w1, np.float64)
+
+    @staticmethod
+    def pack(keys: np.ndarray, w: np.ndarray) -> Weights:
+        rows = np.arange(len(keys))
+        some = w != 0
+        j0 = some.argmax(1) if w.shape[1] else np.zeros(len(keys), np.int64)
+        j1 = w.shape[1] - 1 - some[:, ::-1].argmax(1) if w.shape[1] else j0
+        if w.shape[1] and (some.sum(1) > 2).any():
+            raise ValueError("a stem weighs for two subjects at most")
+        j0, j1 = np.where(some.any(1), j0, -1), np.where(some.sum(1) > 1, j1, -1)
+        return Weights(w.shape[1], keys, j0, j1, np.where(j0 >= 0, w[rows, j0], 0.0), np.where(j1 >= 0, w[rows, j1], 0.0))
+
+    def of(self, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and weights, stems x subjects, of those of some stems (in order) that weigh something."""
+        if not len(self.keys) or not len(stem):
+            return np.zeros(0, np.int64), np.zeros((0, self.n))
+        place = np.minimum(np.searchsorted(self.keys, stem), len(self.keys) - 1)
+        place = place[self.keys[place] == stem]
+        w = np.zeros((len(place), self.n))
+        for j, x in ((self.j0, self.w0), (self.j1, self.w1)):
+            rows = np.flatnonzero(j[place] >= 0)
+            w[rows, j[place[rows]]] = x[place[rows]]
+        return self.keys[place], w
+
+
 def no_model(names: list[str]) -> Model:
     return Model(names, np.zeros(0, np.int64), np.zeros((0, len(names))), np.zeros(len(STEPS) + 1))
 
@@ -213,6 +245,20 @@ class Block:
         b.script = lean.argmax(1)
         return b
 
+    def to_bytes(self) -> bytes:
+        """The lengths of the fields, then the fields; ids and stems take 8 bytes each, the rest 4."""
+        fields = [getattr(self, f).astype(np.int64 if f in ("ids", "stem") else np.int32) for f in self.FIELDS]
+        return b"".join([np.array([len(x) for x in fields], np.int64).tobytes(), *(x.tobytes() for x in fields)])
+
+    @staticmethod
+    def from_bytes(data) -> Block:
+        lengths = np.frombuffer(data, np.int64, len(Block.FIELDS))
+        fields, at = [], lengths.nbytes
+        for f, k in zip(Block.FIELDS, lengths.tolist(), strict=True):
+            fields.append(np.frombuffer(data, np.int64 if f in ("ids", "stem") else np.int32, k, at))
+            at += fields[-1].nbytes
+        return Block(*fields)
+
     def evidence(self, keys: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Weights of each sentence's stems by subject: sentences x subjects."""
         z = np.zeros((len(self.per), w.shape[1]))

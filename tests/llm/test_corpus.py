@@ -193,3 +193,44 @@ def test_counts_of_parted_texts_are_those_of_the_whole():
     assert count(text) == len(tokens.encoder().encode_ordinary(text))
     solid = "雪" * (tokens.STRETCH + 5000)
     assert count(solid) == len(tokens.encoder().encode_ordinary(solid))
+
+
+def test_stored_blocks_close_their_groups_by_bytes(spark, monkeypatch):
+    """However many blocks a task makes, the groups of rows that it writes and that a round reads are small, and blocks come back as they were."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from quire.llm import maximized
+
+    monkeypatch.setattr(maximized, "STORED", maximized.STORED | {"parquet.block.size": 1 << 16})
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "form", F.lit(-1).alias("label"))
+    docs = docs.where("text <> ''").crossJoin(spark.range(4)).drop("id").coalesce(1).sortWithinPartitions("doc_id")
+    monkeypatch.setattr(maximized, "IN_BLOCK", 1000)
+    at = maximized.shared_dir(spark, "groups")
+    maximized.blocks(docs).write.options(**maximized.STORED).parquet(at)
+    sizes = [(m.num_rows, m.total_byte_size) for f in glob.glob(at.removeprefix("file://") + "/*.parquet") for t in [pq.ParquetFile(f).metadata] for m in map(t.row_group, range(t.num_row_groups))]
+    assert len(sizes) > 3 and max(n for n, _ in sizes) < 20 and max(b for _, b in sizes) < 400_000
+    got = [x for r in spark.read.parquet(at).collect() for x in [subjects.Block.from_bytes(bytes(r.block))]]
+    rows = {(r.doc_id, r.text, r.form) for r in docs.collect()}
+    whole = {i: subjects.Block.of([(i, -1, subjects.numbered(t, f))]) for i, t, f in rows}
+    assert sum(len(b.ids) for b in got) == 4 * len(whole)
+    for b in got:
+        begin, first = np.cumsum(b.sents) - b.sents, np.concatenate([[0], np.cumsum(b.per)])
+        for d, i in enumerate(b.ids.tolist()):
+            own = b.stem[b.at[first[begin[d]] : first[begin[d] + b.sents[d]]]]
+            assert b.script[d] == whole[i].script[0] and own.tolist() == whole[i].stem[whole[i].at].tolist()
+
+
+def test_packed_weights_are_the_weights():
+    rng = np.random.default_rng(1)
+    keys, w = np.arange(0, 300, 3), np.zeros((100, 5))
+    for i in range(1, 100):
+        w[i, rng.choice(5, 1 + i % 2, replace=False)] = rng.random(1 + i % 2) + 1
+    stem = np.array([-1, 3, 4, 6, 150, 297, 999])
+    got, x = subjects.Weights.pack(keys, w).of(stem)
+    assert got.tolist() == [3, 6, 150, 297] and (x == w[[1, 2, 50, 99]]).all()
+    assert subjects.Weights.pack(keys[:0], w[:0]).of(stem)[1].shape == (0, 5)
+    assert (subjects.Weights.pack(keys, w).of(keys)[1] == w).all()
+    with pytest.raises(ValueError):
+        subjects.Weights.pack(keys[:1], np.ones((1, 3)))
