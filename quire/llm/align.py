@@ -16,7 +16,8 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -36,6 +37,7 @@ SINGLE = re.compile(r"[^\s.!?…。！？“”‘’\"「」『』()（）<>\[\
 PLAIN = frozenset("the a an and of to in on at by for from with was were is had has have that this it he she they as i you his her no not be been there".split())
 #: Beads (source sentences, Korean sentences) and the cost of their kind; SWAP is that of two neighbours that change places.
 BEADS = ((0, 1, 3.6), (1, 0, 3.2), (1, 1, 0.0), (1, 2, 1.8), (1, 3, 3.4), (2, 1, 1.6), (2, 2, 4.5), (3, 1, 2.6), (4, 1, 3.2))
+ONE_TO_ONE = 2
 SWAP, SWAP_FROM = 2.0, 0.6
 #: Weight of the length term, and the negative log likelihood of a stray, the most that lengths can cost.
 LENGTH, STRAY = 1.0, 5.0
@@ -68,6 +70,16 @@ def bare(word: str) -> str:
     return word.strip(AROUND)
 
 
+class Known(dict):
+    """Words and what find() says of each, which also keeps it here."""
+
+    def __init__(self, find: Callable[[str], int]) -> None:
+        self.find = find
+
+    def __missing__(self, word: str) -> int:
+        return self.find(word)
+
+
 # ---- lexicon
 
 
@@ -83,7 +95,7 @@ class Tally:
     def clear(self) -> None:
         self.id: dict[str, int] = {}
         self.names: list[str] = []
-        self.raw: dict[str, int] = {}
+        self.raw = Known(self.number)
         self.xs: list[int] = []
         self.ys: list[int] = []
         self.nx: list[int] = []
@@ -108,10 +120,10 @@ class Tally:
         return i
 
     def add(self, a: str, b: str) -> None:
-        raw, number = self.raw, self.number
+        number = self.raw.__getitem__
         own = kind(a)
-        x = {raw[w] if w in raw else number(w) for w in words(a, own == "j")}
-        y = {raw[w] if w in raw else number(w) for w in words(b, bool(SPACELESS.search(b)))}
+        x = set(map(number, words(a, own == "j")))
+        y = set(map(number, words(b, bool(SPACELESS.search(b)))))
         x.discard(-1)
         y.discard(-1)
         self.xs += x
@@ -170,7 +182,7 @@ class Lexicon:
         self.part = np.array([weight.get(w, 1.0) * s for w, p in partners.items() for _, s in p], np.float64)
         self.words, self.korean = len(partners), len(korean)
         #: words as they stand in texts, with the number of the word or -1; kept at hand
-        self.seen: dict[str, int] = {}
+        self.seen = Known(self._see)
         self.auto = ahocorasick.Automaton()
         for w, i in korean.items():
             self.auto.add_word(w, i)
@@ -179,8 +191,7 @@ class Lexicon:
 
     def source(self, sentence: str, spaceless: bool, digits: bool, numbers: dict[str, int]) -> list[int]:
         """The known words of a source sentence and the numbers in it."""
-        seen = self.seen
-        out = {seen[w] if w in seen else self._see(w) for w in words(sentence, spaceless)}
+        out = set(map(self.seen.__getitem__, words(sentence, spaceless)))
         out.discard(-1)
         if digits:
             out.update([self.words + numbers.setdefault(w, len(numbers)) for w in NUMBER.findall(sentence)])
@@ -195,7 +206,7 @@ class Lexicon:
     def found(self, sentence: str, digits: bool, numbers: dict[str, int]) -> list[int]:
         """The partners that a Korean sentence holds, its spaces left out, and its numbers, each whole."""
         dense = "".join(sentence.split())
-        out = {i for _, i in self.auto.iter(dense)} if self.korean else set()
+        out = set(map(itemgetter(1), self.auto.iter(dense))) if self.korean else set()
         if digits:
             out.update([self.korean + numbers.setdefault(w, len(numbers)) for w in NUMBER.findall(dense)])
         return list(out)
@@ -424,6 +435,10 @@ class Table:
             x0, r1 = max(0, r0 - 4), min(n, r0 + block)
             like, known = self.alike(x0, r1)
             _, back = self.rows_from(r0, r1, before, like, x0)
+            if n == m == 1:
+                # one sentence on either side, as most rows have: on the path, or left over by it
+                one, v = back[:, 0, 1] == ONE_TO_ONE, like[:, 0, 0]
+                return [[(0, 0)] if x else [] for x in (one & (v >= LEAST) | known[:, 0] & (v >= FAR)).tolist()]
             for d, pairs in enumerate(out):
                 at[d] = self._back(pairs, *at[d], r0, x0, back[d], like[d], known[d])
             own = np.where(known[:, r0 - x0 :, None], like[:, r0 - x0 :], 0)
@@ -486,7 +501,8 @@ def align_all(items: list[Item], lex: Lexicon) -> list[list[tuple[int, int]]]:
         for i in range(0, len(few), most):
             part = few[i : i + most]
             for d, pairs in zip(part, Table([rows[d] for d in part], lex).pairs(), strict=True):
-                out[d] = sorted((rows[d].src[x], rows[d].tgt[y]) for x, y in pairs)
+                src, tgt = rows[d].src, rows[d].tgt
+                out[d] = [(src[x], tgt[y]) for x, y in pairs]  # in order, as the starts are
     return out
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stored import shared_dir, stored
 
-__all__ = ["map_rows", "shared_dir", "spread", "stored", "table", "texts"]
+__all__ = ["map_rows", "shared_dir", "spread", "stored", "table", "texts", "uncollected", "values_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,26 @@ def texts(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the search for cycles, for work that makes very many objects and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def values_of(column: pa.Array) -> list:
+    """The values of a column of strings, numbers or lists of numbers (of lists none null), as to_pylist(), without an object of Arrow for each."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist() if pa.types.is_integer(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+    flat = column.values.to_numpy().tolist()
+    return [flat[a:b] for a, b in pairwise(column.offsets.to_numpy().tolist())]
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """Arrow batches through the function that make() builds once a task."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from .sentences import segment
 
@@ -58,6 +59,7 @@ HANGUL_RUN = re.compile(r"[가-힣ᄀ-ᇿㄱ-ㆎ]+")
 LETTER_RUN = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=2)  # asked twice of a text in turn
 def mostly_korean(text: str) -> bool:
     """Whether the Hangul alone shows that korean_share() is over 0.6."""
     return len(text) < 2.3 * sum(map(len, HANGUL_RUN.findall(text)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .align import LENGTHS, Lexicon, Tally, align_all, alignable, lengths_of, lexicon, related, spans, training_pairs
-from .common import map_rows, shared_dir
+from .common import map_rows, shared_dir, uncollected, values_of
 from .langs import korean_share
 from .p3 import copied, pairs
 
@@ -24,21 +25,26 @@ def segmented(rows: DataFrame) -> DataFrame:
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             kept, left, right = [], [], []
-            for n, (u, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            for n, (u, t) in enumerate(zip(values_of(b.column(1)), values_of(b.column(2)), strict=True)):
                 if alignable(u, t, same):
                     x, y = spans(u, t)
                     kept.append(n)
-                    left.append([i for s in x for i in s])
-                    right.append([i for s in y for i in s])
-            whole = pa.list_(pa.int32())
+                    left.append(x)
+                    right.append(y)
             few = b.take(pa.array(kept, pa.int32()))
-            return pa.RecordBatch.from_arrays([*few.columns, pa.array(left, whole), pa.array(right, whole)], ["tr_id", "unit", "text", "src", "tr"])
+            return pa.RecordBatch.from_arrays([*few.columns, turned(left), turned(right)], ["tr_id", "unit", "text", "src", "tr"])
 
         return run
 
     return map_rows(rows.select("tr_id", "unit", "text"), make, "tr_id bigint, unit string, text string, src array<int>, tr array<int>")
 
 
+def turned(spans: list[list[tuple[int, int]]]) -> pa.ListArray:
+    """Starts and ends by turns, a list a row."""
+    offsets = np.concatenate([[0], np.cumsum([2 * len(x) for x in spans], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(chain.from_iterable(spans)), np.int32, offsets[-1])))
+
+
 def by_twos(x: list[int]) -> list[tuple[int, int]]:
     return list(zip(x[::2], x[1::2], strict=True))
 
@@ -60,15 +66,17 @@ def counted(rows: DataFrame) -> DataFrame:
                 [pa.concat_arrays([words.take(pa.array(v)), left]), pa.concat_arrays([words.take(pa.array(w)), right]), pa.concat_arrays([pa.array(c, pa.int64()), n])], ["v", "w", "c"]
             )
 
-        for b in batches:
-            for u, t, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for p, q in training_pairs(u, t, by_twos(x), by_twos(y)):
-                    tally.add(p, q)
-                    if tally.full():
-                        yield out()
-        yield out()
+        with uncollected():
+            for b in batches:
+                for u, t, x, y in zip(*map(values_of, b.columns), strict=True):
+                    for p, q in training_pairs(u, t, by_twos(x), by_twos(y)):
+                        tally.add(p, q)
+                        if tally.full():
+                            yield out()
+            yield out()
 
-    even = rows.where("size(src) = size(tr)").select("unit", "text", "src", "tr").dropDuplicates(["unit", "text"])
+    # the spans follow from the texts, so this is once each unit and text, by a hash instead of a sort of the texts
+    even = rows.where("size(src) = size(tr)").select("unit", "text", "src", "tr").distinct()
     return even.mapInArrow(run, "v string, w string, c bigint").groupBy("v", "w").agg(F.sum("c").alias("c"))
 
 
@@ -103,19 +111,20 @@ def aligned(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
         def out() -> pa.RecordBatch:
             found = align_all(items, lex)
             tr = np.repeat(np.array(ids, np.int64), [len(x) for x in found])
-            pairs = np.array([q for x in found for q in x], np.int32).reshape(-1, 2)
+            pairs = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int32, 2 * len(tr)).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(tr), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["tr_id", "src_start", "tr_start"])
 
-        for b in batches:
-            for i, u, t, p, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids.append(i)
-                items.append((u, t, by_twos(p), by_twos(q)))
-                size += len(u) + len(t)
-                if len(ids) >= TOGETHER or size >= CHARACTERS:
-                    yield out()
-                    ids, items, size = [], [], 0
-        if ids:
-            yield out()
+        with uncollected():
+            for b in batches:
+                for i, u, t, p, q in zip(*map(values_of, b.columns), strict=True):
+                    ids.append(i)
+                    items.append((u, t, by_twos(p), by_twos(q)))
+                    size += len(u) + len(t)
+                    if len(ids) >= TOGETHER or size >= CHARACTERS:
+                        yield out()
+                        ids, items, size = [], [], 0
+            if ids:
+                yield out()
 
     rows = rows if "src" in rows.columns else segmented(rows)
     return rows.select("tr_id", "unit", "text", "src", "tr").mapInArrow(run, "tr_id bigint, src_start int, tr_start int")

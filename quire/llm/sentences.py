@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from .words import continues, ends
 
@@ -56,6 +57,7 @@ FINAL_KO = set("다요까네지라게군소오자세데냐니나야어아해여
 LINK = set("and or but nor yet")
 WORD_BEFORE = re.compile(r"([^\s“”‘’«»「」『』（）()\[\]<>\"—―–,;:]+)$")
 _NUMBER_WORD = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty first second third fourth fifth sixth seventh eighth ninth tenth last".replace(" ", "|")
+NUMBER_WORDS = frozenset(_NUMBER_WORD.split("|"))
 HEADING_NUMBER = re.compile(
     rf"(?:(?:chapter|book|part|volume|section|scene|act|letter|canto)\s+(?:the\s+)?(?:[ivxlcdm]+|\d{{1,4}}|{_NUMBER_WORD})|제\s?\d+\s?[장화부권]|第[0-9一二三四五六七八九十百]+[章話回部]|(?-i:[IVXLCDM]+|[A-Z])|\d{{1,4}})",
     re.IGNORECASE,
@@ -111,6 +113,17 @@ def _cut_dot(p: str, s: int, nxt: str, start: int, loud: bool) -> bool:
     return not c.islower()
 
 
+@lru_cache(maxsize=1 << 14)
+def _plain_word(tail: str) -> bool:
+    """Whether the four characters before a full stop end in a small word that is no abbreviation; one of two or three letters is no number of a heading either."""
+    if not tail.islower():
+        return False
+    if tail.isalpha():
+        return tail != "ssrs"
+    w = tail.rpartition(" ")[2]
+    return 2 <= len(w) <= 3 and w.isascii() and w.isalpha() and w not in BEFORE and w not in MAY_END and w not in NUMBER_WORDS and bool(w.strip("ivxlcdm"))
+
+
 def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
     """Units of one paragraph, appended with base added. Positions are of p."""
     n, start, stack = len(p), 0, []
@@ -119,11 +132,13 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
     for m in TOKEN.finditer(p):
         kind = m.lastgroup
         s, e = m.span()
+        if e == n:
+            break  # what comes last ends the paragraph whatever it is
         if kind == "term" and not stack and e == s + 1 and p[s] == "." and s > 3:
             # the plain case: a full stop after a Korean word or a longer lower-case one, then white space and no small letter
             b = p[s - 1]
             c = p[e + 1 : e + 2]
-            if c and p[e] == " " and (start or p[:4].lower() not in HEADING_START) and ("가" <= c <= "힣" or "A" <= c <= "Z" or c == "“") and ("가" <= b <= "힣" or (b.islower() and p[s - 4 : s].islower() and p[s - 4 : s].isalpha() and p[s - 4 : s] != "ssrs")):
+            if c and p[e] == " " and (start or p[:4].lower() not in HEADING_START) and ("가" <= c <= "힣" or "A" <= c <= "Z" or c == "“") and ("가" <= b <= "힣" or (b.islower() and _plain_word(p[s - 4 : s]))):
                 out.append((base + start, base + e))
                 start = e
                 continue

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from quire.llm import p2, p3
-from quire.llm.align import Lexicon, align, learn, training_pairs
+from quire.llm.align import Lexicon, Row, Table, align, learn, training_pairs
 from quire.llm.align import spans as align_spans
 from quire.llm.langs import korean_share, language, refuses
 from quire.llm.p2 import aligned
@@ -105,3 +105,45 @@ def test_drift_that_evens_out(monkeypatch):
         monkeypatch.setattr("quire.llm.align.CELLS", full)
         found = {(u[a : a + 3].lower(), t[b : b + 2]) for a, b in align(u, t, lex)}
         assert found >= set(zip(words[off:], korean[off:], strict=True))
+
+
+def test_repeats_are_told_by_a_hash(spark):
+    """Not by a sort of whole texts; each distinct unit and text counts once."""
+    df = spark.createDataFrame([(i, "The dog barked. Snow fell.", "개가 짖었다. 눈이 떨어졌다.") for i in range(3)] + [(9, "The dog barked.", "개가 짖었다.")], "tr_id bigint, unit string, text string")
+    got = p2.counted(p2.segmented(df))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.v, r.w): r.c for r in got.collect()}["dog", ""] == 2
+
+
+def test_columns_are_read_as_they_are():
+    import pyarrow as pa
+
+    from quire.llm.common import values_of
+
+    for x in (pa.array(["a", None, "개", "🐕"]), pa.array([1 << 60, None, 3]), pa.array([[1, 2], [], [3], [4, 5, 6]], pa.list_(pa.int32())), pa.array([], pa.list_(pa.int32()))):
+        for c in (x, x[1:], x[1:3], x[:0]):
+            assert values_of(c) == c.to_pylist()
+    spans = [[(0, 3), (4, 9)], [], [(1, 2)]]
+    assert [p2.by_twos(x) for x in values_of(p2.turned(spans))] == spans and values_of(p2.turned([])) == []
+
+
+def test_rows_of_one_sentence_are_paired_as_in_a_larger_table():
+    units = ["The dog barked.", "Snow covered the lamp.", "A wren laughed and laughed and the box rolled on for a long, long while over the hill.", "Yes.", "Zzz 7."]
+    texts = ["개가 짖었다.", "눈이 등잔을 뒤덮었다.", "렌무어.", "그 사람은 그날 아침 내내 아무 말도 없이 마당에 서서 비가 내리는 것을 보고만 있었다.", "7번."]
+    two = "The dog barked. Snow fell.", "개가 짖었다. 눈이 떨어졌다."
+    row = lambda u, t, numbers: Row(u, t, *align_spans(u, t), LEX, numbers)
+    seen = set()
+    for u in units:
+        for t in texts:
+            numbers = {}
+            small = Table([row(u, t, numbers)], LEX).pairs()[0]
+            assert small == Table([row(u, t, numbers), row(*two, numbers)], LEX).pairs()[0], (u, t)
+            seen.add(len(small))
+    assert seen == {0, 1}
+
+
+def test_short_words_before_a_full_stop():
+    from quire.llm.sentences import segment
+
+    assert segment("Then the old box. The end") == [(0, 17), (18, 25)]
+    assert len(segment("Mr. Hill ran. He saw Mr. Fox. The box fell.")) == 3
