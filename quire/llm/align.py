@@ -17,9 +17,8 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable
-from operator import itemgetter
+from itertools import chain, compress
 
-import ahocorasick
 import numpy as np
 
 from .langs import HANGUL, mostly_korean, refuses
@@ -32,6 +31,8 @@ SPACELESS = re.compile("[ぁ-ヿ一-鿿]")
 AROUND = "“”‘’\"'«»「」『』()（）[]<>.,;:!?…。！？、*_-–―·"
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 DIGIT = re.compile(r"\d")
+#: What a unit must hold for its tags, digits, script or odd characters to be looked at.
+SIGNS = re.compile(r"[<\dぁ-ヿ一-鿿" + ODD.pattern[1:])
 #: Text of one sentence at sight, whatever the rules: no mark before its last.
 SINGLE = re.compile(r"[^\s.!?…。！？“”‘’\"「」『』()（）<>\[\]—―–\-:][^.!?…。！？“”‘’\"「」『』()（）<>\[\]—―–:\n -‏]*[.!?。！？]")
 PLAIN = frozenset("the a an and of to in on at by for from with was were is had has have that this it he she they as i you his her no not be been there".split())
@@ -49,14 +50,12 @@ LEAST, LEAST_MERGED, FAR = 0.10, 0.3, 0.5
 LENGTHS = "="
 #: Cells of a table that are held at once, and pairs of words.
 CELLS, PRODUCTS = 2_000_000, 3_000_000
-
-
-def letters(s: str) -> int:
-    return max(1, len(s))
+#: Words and characters that are looked up at once.
+HELD = 200_000
 
 
 def kind(sentence: str) -> str:
-    return "j" if SPACELESS.search(sentence) else "e"
+    return "j" if not sentence.isascii() and SPACELESS.search(sentence) else "e"
 
 
 def words(sentence: str, spaceless: bool) -> list[str]:
@@ -80,6 +79,95 @@ class Known(dict):
         return self.find(word)
 
 
+class Flat:
+    """Words of many sentences one after the other, as numbers: those below nought are no words. A word's number is looked up when HELD words have come together."""
+
+    def __init__(self) -> None:
+        self.held: list[str] = []
+        self.sizes: list[int] = []
+        self.numbers: list[np.ndarray] = []
+
+    def turn(self, known: Known) -> None:
+        self.numbers.append(np.fromiter(map(known.__getitem__, self.held), np.int64, len(self.held)))
+        self.held = []
+
+    def distinct(self, known: Known) -> tuple[np.ndarray, np.ndarray]:
+        """Sentence and number of every word, in order, each once a sentence."""
+        self.turn(known)
+        number = np.concatenate(self.numbers)
+        sentence = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return once(sentence[number >= 0], number[number >= 0])
+
+
+def once(sentence: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of sentence and number once, in order."""
+    code = np.sort(sentence << 32 | number)
+    code = code[np.flatnonzero(np.diff(code, prepend=-1))]
+    return code >> 32, code & 0xFFFFFFFF
+
+
+class Trie:
+    """Finds words in sentences whose white space is left out, at all places of many sentences at once: one step of the trie an array."""
+
+    #: Classes of characters that are in no word, and of white space.
+    OTHER, SPACE = -1, -2
+
+    def __init__(self, words: list[str]) -> None:
+        chars = sorted(set("".join(words)))
+        self.of = np.full(0x110000, self.OTHER, np.int32)
+        self.of[list(map(ord, chars))] = np.arange(len(chars))
+        self.of[[c for c in range(0x3001) if chr(c).isspace()]] = self.SPACE  # none is above
+        self.chars = max(1, len(chars))
+        place = {c: i for i, c in enumerate(chars)}
+        steps: dict[tuple[int, int], int] = {}
+        ends = [-1]
+        for i, w in enumerate(words):
+            at = 0
+            for c in w:
+                to = steps.setdefault((at, place[c]), len(ends))
+                if to == len(ends):
+                    ends.append(-1)
+                at = to
+            ends[at] = i
+        self.ends = np.array(ends, np.int64)
+        self.first = np.zeros(self.chars + 1, np.int64)  # the last is that of other characters
+        for (at, c), to in steps.items():
+            if not at:
+                self.first[c] = to
+        inner = sorted((at * self.chars + c, to) for (at, c), to in steps.items() if at)
+        self.steps = np.array([k for k, _ in inner] or [-1], np.int64)
+        self.to = np.array([to for _, to in inner] or [0], np.int64)
+
+    def found(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the sentence and of the word, for every occurrence."""
+        # each sentence with a mark behind it, which is in no word
+        kind = self.of[np.frombuffer("\n".join([*sentences, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        sizes = np.fromiter(map(len, sentences), np.int64, len(sentences)) + 1
+        kind[np.cumsum(sizes) - 1] = self.OTHER
+        dense = kind != self.SPACE
+        sentence = np.repeat(np.arange(len(sentences), dtype=np.int32), sizes)[dense]
+        kind = kind[dense]
+        state = self.first[kind]
+        at = np.flatnonzero(state)
+        state = state[at]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        behind = 0
+        while len(at):
+            word = self.ends[state]
+            whole = np.flatnonzero(word >= 0)
+            found.append((sentence[at[whole]], word[whole]))
+            behind += 1
+            c = kind[at + behind]  # a sentence's mark ends every word before the next one
+            on = np.flatnonzero(c >= 0)
+            want = state[on] * self.chars + c[on]
+            step = np.minimum(np.searchsorted(self.steps, want), len(self.steps) - 1)
+            hit = np.flatnonzero(self.steps[step] == want)
+            at, state = at[on[hit]], self.to[step[hit]]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([x for x, _ in found]).astype(np.int64), np.concatenate([w for _, w in found])
+
+
 # ---- lexicon
 
 
@@ -96,11 +184,10 @@ class Tally:
         self.id: dict[str, int] = {}
         self.names: list[str] = []
         self.raw = Known(self.number)
-        self.xs: list[int] = []
-        self.ys: list[int] = []
-        self.nx: list[int] = []
-        self.ny: list[int] = []
-        self.lengths: dict[tuple[str, str], int] = defaultdict(int)
+        self.left, self.right = Flat(), Flat()
+        self.spaceless: list[bool] = []
+        self.la: list[int] = []
+        self.lb: list[int] = []
         self.size = 0
 
     def number(self, word: str) -> int:
@@ -120,40 +207,38 @@ class Tally:
         return i
 
     def add(self, a: str, b: str) -> None:
-        number = self.raw.__getitem__
-        own = kind(a)
-        x = set(map(number, words(a, own == "j")))
-        y = set(map(number, words(b, bool(SPACELESS.search(b)))))
-        x.discard(-1)
-        y.discard(-1)
-        self.xs += x
-        self.ys += y
-        self.nx.append(len(x))
-        self.ny.append(len(y))
+        spaceless = not a.isascii() and SPACELESS.search(a) is not None
+        x, y = words(a, spaceless), words(b, SPACELESS.search(b) is not None)
+        left, right = self.left, self.right
+        left.held += x
+        left.sizes.append(len(x))
+        right.held += y
+        right.sizes.append(len(y))
+        if len(left.held) > HELD or len(right.held) > HELD:
+            left.turn(self.raw)
+            right.turn(self.raw)
         self.size += len(x) * len(y)
-        k, la, lb, t = LENGTHS + own, letters(a), letters(b), self.lengths
-        t[k, "n"] += 1
-        t[k, "a"] += la
-        t[k, "b"] += lb
-        t[k, "q"] += lb * lb * 1000 // la
+        self.spaceless.append(spaceless)
+        self.la.append(len(a) or 1)
+        self.lb.append(len(b) or 1)
 
     def full(self) -> bool:
         return self.size > PRODUCTS or len(self.raw) > PRODUCTS // 4
 
     def out(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[tuple[str, str, int]]]:
         """Names, then places in them of v and w (the last name is empty) with their counts, and the length sums as they are."""
+        xs, x = self.left.distinct(self.raw)
+        ys, y = self.right.distinct(self.raw)
         none = len(self.names)
-        x, y = np.array(self.xs, np.int64), np.array(self.ys, np.int64)
-        nx, ny = np.array(self.nx, np.int64), np.array(self.ny, np.int64)
+        ny = np.bincount(ys, minlength=len(self.la))
         digit = np.array([w[0].isdigit() for w in self.names] or [False], bool)
-        sent = np.repeat(np.arange(len(nx)), nx)
         own = ~digit[x] if len(x) else np.zeros(0, bool)
-        px, ps = x[own], sent[own]
+        px, ps = x[own], xs[own]
         each = ny[ps]
         total = int(each.sum())
-        first = np.cumsum(ny) - ny
-        inner = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
-        codes = np.repeat(px, each) << 32 | y[np.repeat(first[ps], each) + inner] if total else np.zeros(0, np.int64)
+        # every source word with all words of the Korean sentence
+        to = np.repeat((np.cumsum(ny) - ny)[ps] - (np.cumsum(each) - each), each) + np.arange(total)
+        codes = np.repeat(px << 32, each) | y[to]
         pair, c = np.unique(codes, return_counts=True)
         one = np.bincount(x, minlength=none) if none else np.zeros(0, np.int64)
         two = np.bincount(y, minlength=none) if none else np.zeros(0, np.int64)
@@ -161,7 +246,15 @@ class Tally:
         v = np.concatenate([pair >> 32, i, np.full(len(j), none)])
         w = np.concatenate([pair & 0xFFFFFFFF, np.full(len(i), none), j])
         n = np.concatenate([c, one[i], two[j]])
-        got = ([*self.names, ""], v, w, n, [(k, s, t) for (k, s), t in sorted(self.lengths.items())])
+        lengths: dict[tuple[str, str], int] = {}
+        spaceless, la, lb = np.array(self.spaceless, bool), np.array(self.la, np.int64), np.array(self.lb, np.int64)
+        for own, j in (("e", False), ("j", True)):
+            a, b = la[spaceless == j], lb[spaceless == j]
+            if not len(a):
+                continue
+            for name, x in (("n", np.ones_like(a)), ("a", a), ("b", b), ("q", b * b * 1000 // a)):
+                lengths[LENGTHS + own, name] = int(x.sum())
+        got = ([*self.names, ""], v, w, n, [(k, s, t) for (k, s), t in sorted(lengths.items())])
         self.clear()
         return got
 
@@ -183,19 +276,34 @@ class Lexicon:
         self.words, self.korean = len(partners), len(korean)
         #: words as they stand in texts, with the number of the word or -1; kept at hand
         self.seen = Known(self._see)
-        self.auto = ahocorasick.Automaton()
-        for w, i in korean.items():
-            self.auto.add_word(w, i)
-        if korean:
-            self.auto.make_automaton()
-
-    def source(self, sentence: str, spaceless: bool, digits: bool, numbers: dict[str, int]) -> list[int]:
-        """The known words of a source sentence and the numbers in it."""
-        out = set(map(self.seen.__getitem__, words(sentence, spaceless)))
-        out.discard(-1)
-        if digits:
-            out.update([self.words + numbers.setdefault(w, len(numbers)) for w in NUMBER.findall(sentence)])
-        return list(out)
+        self.trie = Trie(list(korean))
+
+    def sources(self, rows: list[Row]) -> tuple[np.ndarray, np.ndarray]:
+        """The known words of the source sentences of rows and the numbers in them: place of the sentence among all of the rows, and word, in order."""
+        flat = Flat()
+        sizes = flat.sizes
+        for r in rows:
+            held = flat.held
+            for x in r.left:
+                found = words(x, r.spaceless)
+                held += found
+                sizes.append(len(found))
+            if len(held) > HELD:
+                flat.turn(self.seen)
+        return _with(flat.distinct(self.seen), [r.left_numbers for r in rows], [len(r.left) for r in rows], self.words)
+
+    def founds(self, rows: list[Row]) -> tuple[np.ndarray, np.ndarray]:
+        """The partners that the Korean sentences of rows hold, their spaces left out, and their numbers, each whole: as sources()."""
+        sentences, numbers, held, size, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0, 0
+        for k, r in enumerate(rows, 1):
+            held += r.right
+            size += sum(r.lb)
+            if size > HELD or k == len(rows):
+                at, number = once(*self.trie.found(held))
+                sentences.append(n + at)
+                numbers.append(number)
+                n, held, size = n + len(held), [], 0
+        return _with((np.concatenate(sentences), np.concatenate(numbers)), [r.right_numbers for r in rows], [len(r.right) for r in rows], self.korean)
 
     def _see(self, word: str) -> int:
         if len(self.seen) > PRODUCTS // 8:
@@ -203,13 +311,14 @@ class Lexicon:
         i = self.seen[word] = self.id.get(bare(word.lower()), -1)
         return i
 
-    def found(self, sentence: str, digits: bool, numbers: dict[str, int]) -> list[int]:
-        """The partners that a Korean sentence holds, its spaces left out, and its numbers, each whole."""
-        dense = "".join(sentence.split())
-        out = set(map(itemgetter(1), self.auto.iter(dense))) if self.korean else set()
-        if digits:
-            out.update([self.korean + numbers.setdefault(w, len(numbers)) for w in NUMBER.findall(dense)])
-        return list(out)
+
+def _with(found: tuple[np.ndarray, np.ndarray], digits: list[list[tuple[int, int]]], sizes: list[int], after: int) -> tuple[np.ndarray, np.ndarray]:
+    """With the numbers in digits of each row, (sentence, number), which come after the words."""
+    if not any(digits):
+        return found
+    first = (np.cumsum(sizes) - sizes).tolist()
+    more = np.array([(f + i, after + k) for f, d in zip(first, digits, strict=True) for i, k in d], np.int64)
+    return once(np.concatenate([found[0], more[:, 0]]), np.concatenate([found[1], more[:, 1]]))
 
 
 def lengths_of(counts: Iterable[tuple[str, str, int]]) -> tuple[int, dict[str, tuple[float, float]]]:
@@ -261,200 +370,234 @@ def learn(pairs: Iterable[tuple[str, str]]) -> Lexicon:
 
 
 class Row:
-    """The sentences of a row that can have partners: their starts and lengths on either side, and the words and partners that they hold."""
+    """The sentences of a row that can have partners, their starts and lengths on either side, and the numbers in digits that they hold."""
 
-    __slots__ = ("c", "found", "la", "lb", "src", "tgt", "var", "words")
+    __slots__ = ("c", "la", "lb", "left", "left_numbers", "right", "right_numbers", "spaceless", "src", "tgt", "var")
 
     def __init__(self, unit: str, text: str, left: list[tuple[int, int]], right: list[tuple[int, int]], lex: Lexicon, numbers: dict[str, int]) -> None:
-        src = [(s, unit[s:e]) for s, e in left]
-        tgt = [(s, text[s:e]) for s, e in right]
+        src, tgt = [unit[s:e] for s, e in left], [text[s:e] for s, e in right]
+        at, to = [s for s, _ in left], [s for s, _ in right]
+        signs = SIGNS.search(unit)
+        odd = signs and ODD.search(unit) or ODD.search(text)
         if "<" in unit or "<" in text:
-            src = [(s, TAGS.sub("", x)) for s, x in src]
-            tgt = [(s, TAGS.sub("", y)) for s, y in tgt]
-        same = {x for _, x in src}.intersection([y for _, y in tgt])
-        if same:
-            src = [x for x in src if x[1] not in same]
-            tgt = [y for y in tgt if y[1] not in same]
-        if ODD.search(text) or ODD.search(unit):
-            src, tgt = [(s, plain(x)[0]) for s, x in src], [(s, plain(y)[0]) for s, y in tgt]
-        tgt = [(s, y) for s, y in tgt if HANGUL.search(y)]
-        self.src, self.tgt = [s for s, _ in src], [s for s, _ in tgt]
-        self.la, self.lb = [len(x) or 1 for _, x in src], [len(y) or 1 for _, y in tgt]
-        own, digits = kind(unit), bool(DIGIT.search(unit))
+            src, tgt = [TAGS.sub("", x) for x in src], [TAGS.sub("", y) for y in tgt]
+        if not set(src).isdisjoint(tgt):
+            same = set(src).intersection(tgt)
+            at, src = _kept(at, src, [x not in same for x in src])
+            to, tgt = _kept(to, tgt, [y not in same for y in tgt])
+        if odd:
+            src, tgt = [plain(x)[0] for x in src], [plain(y)[0] for y in tgt]
+        if not all(map(HANGUL.search, tgt)):
+            to, tgt = _kept(to, tgt, [HANGUL.search(y) is not None for y in tgt])
+        self.src, self.tgt, self.left, self.right = at, to, src, tgt
+        self.la, self.lb = [len(x) or 1 for x in src], list(map(len, tgt))
+        own = kind(unit) if signs else "e"
+        self.spaceless = own == "j"
         self.c, self.var = lex.ratio.get(own, (0.5, 3.0))
-        some = bool(src and tgt)
-        self.words = [lex.source(x, own == "j", digits, numbers) for _, x in src] if some else []
-        self.found = [lex.found(y, digits, numbers) for _, y in tgt] if some else []
+        self.left_numbers, self.right_numbers = (), ()
+        if signs and src and tgt and DIGIT.search(unit):
+            self.left_numbers = [(i, numbers.setdefault(w, len(numbers))) for i, x in enumerate(src) if DIGIT.search(x) for w in NUMBER.findall(x)]
+            self.right_numbers = [(j, numbers.setdefault(w, len(numbers))) for j, y in enumerate(tgt) if DIGIT.search(y) for w in NUMBER.findall("".join(y.split()))]
 
 
-def likeness(rows: list[Row], lex: Lexicon, r0: int, r1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """How alike the source sentences r0..r1 of rows are to their Korean sentences: the share of the source words' weight that these hold.
+def _kept(starts: list[int], sentences: list[str], which: list[bool]) -> tuple[list[int], list[str]]:
+    return list(compress(starts, which)), list(compress(sentences, which))
 
-    Row, source sentence, Korean sentence and value where it isn't nought, and which source sentences (rows x r0..r1) have a known word.
-    Of a word's partners the strongest that a sentence holds counts.
-    """
-    wide, cols = r1 - r0, max(len(r.tgt) for r in rows)
-    each = [(d * wide + i, w) for d, r in enumerate(rows) for i, w in enumerate(r.words[r0:r1])]
-    at = np.repeat(np.array([g for g, _ in each], np.int64), [len(w) for _, w in each])
-    word = np.array([i for _, w in each for i in w], np.int64)
-    held = [(d, j, p) for d, r in enumerate(rows) for j, p in enumerate(r.found)]
-    n_held = [len(p) for _, _, p in held]
-    many = lex.korean + 1 + max([int(word.max()) - lex.words if len(word) else 0, *(max(p, default=0) - lex.korean for _, _, p in held)])
-    key = np.repeat(np.array([d for d, _, _ in held], np.int64) * many, n_held) + np.array([i for _, _, p in held for i in p], np.int64)
-    where = np.repeat(np.array([j for _, j, _ in held], np.int64), n_held)
-    order = np.argsort(key, kind="stable")
-    key, where = key[order], where[order]
-    number = word >= lex.words
-    safe = np.where(number, 0, word)
-    says = np.where(number, 1.5, lex.says[safe] if lex.words else 1.5)
-    total = np.bincount(at, says, len(rows) * wide)
-    # every word with each of its partners, then with each sentence that holds the partner
-    n = np.where(number, 1, lex.first[safe + 1] - lex.first[safe] if lex.words else 1)
-    up = np.repeat(np.arange(len(word)), n)
-    inner = np.arange(len(up)) - np.repeat(np.cumsum(n) - n, n)
-    digits = number[up]
-    place = np.where(digits, 0, lex.first[safe[up]] + inner)
-    partner = np.where(digits, lex.korean + word[up] - lex.words, lex.of[place] if len(lex.of) else 0)
-    part = np.where(digits, 1.5, lex.part[place] if len(lex.of) else 1.5)
-    want = at[up] // wide * many + partner
-    lo, hi = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
-    hits = hi - lo
-    up2 = np.repeat(np.arange(len(up)), hits)
-    j = where[np.repeat(lo, hits) + np.arange(len(up2)) - np.repeat(np.cumsum(hits) - hits, hits)]
-    cell = at[up[up2]] * cols + j
-    # the partners of a word come with the strongest first
-    _, once = np.unique(cell * (len(word) + 1) + up[up2], return_index=True)
-    cells, which = np.unique(cell[once], return_inverse=True)
-    g = cells // cols
-    value = np.bincount(which, part[up2[once]], len(cells)) / total[g]
-    return g // wide, r0 + g % wide, cells % cols, value, (total > 0).reshape(len(rows), wide)
+
+class Words:
+    """The words of the source sentences of rows and the partners that their Korean sentences hold, looked up at once for all of them."""
+
+    def __init__(self, rows: list[Row], lex: Lexicon) -> None:
+        self.rows, self.lex = len(rows), lex
+        self.cols = max(len(r.right) for r in rows)
+        at, self.word = lex.sources(rows)
+        self.row, self.sentence = _places(at, [len(r.left) for r in rows])
+        to, held = lex.founds(rows)
+        row, where = _places(to, [len(r.right) for r in rows])
+        self.many = 1 + max(lex.korean, int(held.max(initial=0)), lex.korean + int(self.word.max(initial=0)) - lex.words)
+        key = row * self.many + held
+        order = np.argsort(key, kind="stable")
+        key, self.where = key[order], where[order]
+        self.first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.key, self.times = key[self.first], np.diff(self.first, append=len(key))
+
+    def likeness(self, r0: int, r1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """How alike the source sentences r0..r1 of rows are to their Korean sentences: the share of the source words' weight that these hold.
+
+        Row, source sentence, Korean sentence and value where it isn't nought, and which source sentences (r0..r1 x rows) have a known word.
+        Of a word's partners the strongest that a sentence holds counts.
+        """
+        lex, cols, wide = self.lex, self.cols, r1 - r0
+        some = (self.sentence >= r0) & (self.sentence < r1)
+        word = self.word[some]
+        at = self.row[some] * wide + self.sentence[some] - r0
+        number = word >= lex.words
+        safe = np.where(number, 0, word)
+        says = np.where(number, 1.5, lex.says[safe] if lex.words else 1.5)
+        total = np.bincount(at, says, self.rows * wide)
+        # every word with each of its partners, then with each sentence that holds the partner
+        n = np.where(number, 1, lex.first[safe + 1] - lex.first[safe] if lex.words else 1)
+        up = np.repeat(np.arange(len(word)), n)
+        inner = np.arange(len(up)) - np.repeat(np.cumsum(n) - n, n)
+        digits = number[up]
+        place = np.where(digits, 0, lex.first[safe[up]] + inner)
+        partner = np.where(digits, lex.korean + word[up] - lex.words, lex.of[place] if len(lex.of) else 0)
+        part = np.where(digits, 1.5, lex.part[place] if len(lex.of) else 1.5)
+        want = at[up] // wide * self.many + partner
+        lo = np.searchsorted(self.key, want)
+        held = np.flatnonzero(self.key[np.minimum(lo, len(self.key) - 1)] == want) if len(self.key) else np.zeros(0, np.int64)
+        lo = lo[held]
+        hits = self.times[lo]
+        up2 = np.repeat(held, hits)
+        j = self.where[np.repeat(self.first[lo] - (np.cumsum(hits) - hits), hits) + np.arange(len(up2))]
+        # by cell, word and partner: of a word's partners, which come with the strongest first, the first in a cell counts
+        most = 1 + int(inner.max(initial=0))
+        code = np.sort(((at[up[up2]] * cols + j) * (len(word) + 1) + up[up2]) * most + inner[up2])
+        code = code[np.flatnonzero(np.diff(code // most, prepend=-1))]
+        which, rank = code // most, code % most
+        cell, which = which // (len(word) + 1), which % (len(word) + 1)
+        new = np.diff(cell, prepend=-1) != 0
+        cells = cell[new]
+        value = np.bincount(np.cumsum(new) - 1, part[(np.cumsum(n) - n)[which] + rank], len(cells))
+        g = cells // cols
+        return g // wide, r0 + g % wide, cells % cols, value / total[g], (total > 0).reshape(self.rows, wide).T
+
+
+def _places(at: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place in it of the sentences that are numbered over all rows."""
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(sizes)), sizes)[at]
+    return row, at - (ends - sizes)[row]
 
 
 # ---- the table
 
 
 def _sums(sizes: list[list[int]], n: int) -> np.ndarray:
-    out = np.zeros((len(sizes), n + 1), np.float32)
-    for d, x in enumerate(sizes):
-        out[d, 1 : len(x) + 1] = x
-    return out.cumsum(1)
+    """Sums of the sizes up to each sentence, sentences x rows."""
+    each = np.array([len(x) for x in sizes], np.int64)
+    row = np.repeat(np.arange(len(sizes)), each)
+    out = np.zeros((n + 1, len(sizes)), np.float32)
+    out[1 + np.arange(len(row)) - (np.cumsum(each) - each)[row], row] = np.fromiter(chain.from_iterable(sizes), np.float32, len(row))
+    return out.cumsum(0)
 
 
 class Table:
-    """The cheapest paths through the sentences of rows of about one size, and the pairs on them."""
+    """The cheapest paths through the sentences of rows of about one size, and the pairs on them. In all arrays the rows come last, so that numpy's loops are long."""
 
     def __init__(self, rows: list[Row], lex: Lexicon) -> None:
-        self.rows, self.lex = rows, lex
+        self.rows, self.words = rows, Words(rows, lex)
         self.n, self.m = max(len(r.src) for r in rows), max(len(r.tgt) for r in rows)
         self.ca, self.cb = _sums([r.la for r in rows], self.n), _sums([r.lb for r in rows], self.m)
-        self.c = np.array([[r.c] for r in rows], np.float32)
-        self.var = np.array([[r.var] for r in rows], np.float32)
-        self.wide = {b: self.cb[:, b:] - self.cb[:, :-b] for b in (1, 2, 3) if b <= self.m}
+        self.c = np.array([r.c for r in rows], np.float32)
+        self.var = np.array([r.var for r in rows], np.float32)
+        self.wide = {b: self.cb[b:] - self.cb[:-b] for b in (1, 2, 3) if b <= self.m}
 
     def _length(self, x: int, a: int, b: int) -> np.ndarray:
         """Cost of the lengths of a source sentences from x with b Korean ones, by the first of those."""
-        la = np.maximum(self.ca[:, x + a] - self.ca[:, x], 1.0)[:, None]
+        la = np.maximum(self.ca[x + a] - self.ca[x], 1.0)
         d = self.wide[b] - la * self.c
         return np.minimum(d * d * (np.float32(0.5 * LENGTH) / (la * self.var)), np.float32(LENGTH * STRAY))
 
     def alike(self, r0: int, r1: int) -> tuple[np.ndarray, np.ndarray]:
-        """Likeness of the source sentences r0..r1 (nought beyond the last) with all Korean ones, rows x sentences x sentences, and which of them have a known word."""
-        at = np.zeros((len(self.rows), r1 - r0, self.m), np.float32)
-        d, i, j, v, known = likeness(self.rows, self.lex, r0, r1)
-        at[d, i - r0, j] = v
-        for q, k in zip(*np.nonzero(~known), strict=True):
+        """Likeness of the source sentences r0..r1 (nought beyond the last) with all Korean ones, sentences x sentences x rows, and which of them have a known word."""
+        at = np.zeros((r1 - r0, self.m, len(self.rows)), np.float32)
+        d, i, j, v, known = self.words.likeness(r0, r1)
+        at[i - r0, j, d] = v
+        for k, q in zip(*(x.tolist() for x in np.nonzero(~known)), strict=True):
             if r0 + k < len(self.rows[q].src):
-                at[q, k, : len(self.rows[q].tgt)] = EVEN
+                at[k, : len(self.rows[q].tgt), q] = EVEN
         return at, known
 
     def rows_from(self, r0: int, r1: int, before: np.ndarray, at: np.ndarray, x0: int) -> tuple[np.ndarray, np.ndarray]:
         """Costs of table rows r0-3..r1, given those of r0-3..r0 and the likeness from source sentence x0 on, and the beads by which rows r0+1..r1 are reached (places in BEADS, len(BEADS) a swap)."""
         m = self.m
-        best = np.full((len(self.rows), r1 - r0 + 4, m + 1), np.inf, np.float32)
-        best[:, :4] = before
-        back = np.zeros((len(self.rows), r1 - r0, m + 1), np.int8)
-        step = np.arange(m + 1, dtype=np.float32) * np.float32(BEADS[0][2])
+        best = np.full((r1 - r0 + 4, m + 1, len(self.rows)), np.inf, np.float32)
+        best[:4] = before
+        back = np.zeros((r1 - r0, m + 1, len(self.rows)), np.int8)
+        step = (np.arange(m + 1, dtype=np.float32) * np.float32(BEADS[0][2]))[:, None]
         for r in range(r0 + 1, r1 + 1):
-            here = np.full((len(self.rows), m + 1), np.inf, np.float32)
-            how = np.zeros((len(self.rows), m + 1), np.int8)
+            here = np.full((m + 1, len(self.rows)), np.inf, np.float32)
+            how = np.zeros((m + 1, len(self.rows)), np.int8)
 
             def offer(cost: np.ndarray, b: int, code: int, here=here, how=how) -> None:
-                part = here[:, b:]
+                part = here[b:]
                 less = cost < part
                 np.copyto(part, cost, where=less)
-                np.copyto(how[:, b:], np.int8(code), where=less)
+                np.copyto(how[b:], np.int8(code), where=less)
 
             for code, (a, b, price) in enumerate(BEADS):
                 if not a or a > r or b > m:
                     continue
                 x = r - a
-                old = best[:, r - a - r0 + 3, : m + 1 - b]
+                old = best[r - a - r0 + 3, : m + 1 - b]
                 if not b:
                     offer(old + np.float32(price), 0, code)
                     continue
-                some = at[:, x - x0 : r - x0]
+                some = at[x - x0 : r - x0]
                 if b == 1:
-                    likes = some.mean(1) if a > 1 else some[:, 0]
+                    likes = some.mean(0) if a > 1 else some[0]
                 elif a == 1:
-                    shifted = [some[:, 0, q : m + 1 - b + q] for q in range(b)]
+                    shifted = [some[0, q : m + 1 - b + q] for q in range(b)]
                     likes = np.minimum(np.maximum.reduce(shifted), sum(shifted) * np.float32(1.6 / b))
                 else:
-                    likes = np.maximum(some[:, :, :-1], some[:, :, 1:]).mean(1)
-                    top = some.max(1)
-                    likes = np.minimum(likes, (top[:, :-1] + top[:, 1:]) * np.float32(0.8))
+                    likes = np.maximum(some[:, :-1], some[:, 1:]).mean(0)
+                    top = some.max(0)
+                    likes = np.minimum(likes, (top[:-1] + top[1:]) * np.float32(0.8))
                 offer(old + self._length(x, a, b) + np.float32(price) - np.float32(LEXICAL * max(a, b)) * (likes - np.float32(EVEN)), b, code)
             if r >= 2 and m >= 2:
                 x = r - 2
-                crossed = at[:, x - x0, 1:] + at[:, x + 1 - x0, :-1]
-                sides = self._length(x, 1, 1)[:, 1:] + self._length(x + 1, 1, 1)[:, :-1]
-                cost = best[:, r - 2 - r0 + 3, : m - 1] + np.float32(SWAP) + sides - np.float32(LEXICAL) * (crossed - np.float32(2 * EVEN))
+                crossed = at[x - x0, 1:] + at[x + 1 - x0, :-1]
+                sides = self._length(x, 1, 1)[1:] + self._length(x + 1, 1, 1)[:-1]
+                cost = best[r - 2 - r0 + 3, : m - 1] + np.float32(SWAP) + sides - np.float32(LEXICAL) * (crossed - np.float32(2 * EVEN))
                 offer(np.where(crossed > SWAP_FROM, cost, np.inf).astype(np.float32), 2, len(BEADS))
             # additions run along the row
-            run = np.minimum.accumulate(here - step, 1) + step
-            np.copyto(how, np.int8(0), where=run < here - 1e-4)
-            best[:, r - r0 + 3] = np.where(run < here - 1e-4, run, here)
-            back[:, r - r0 - 1] = how
+            run = np.minimum.accumulate(here - step, 0) + step
+            less = run < here - 1e-4
+            np.copyto(how, np.int8(0), where=less)
+            best[r - r0 + 3] = np.where(less, run, here)
+            back[r - r0 - 1] = how
         return best, back
 
     def pairs(self) -> list[list[tuple[int, int]]]:
         """Pairs (source sentence, Korean sentence) of each row: those of its cheapest path, then those off it."""
         n, m = self.n, self.m
-        start = np.full((len(self.rows), 4, m + 1), np.inf, np.float32)
-        start[:, 3] = np.arange(m + 1) * BEADS[0][2]
+        start = np.full((4, m + 1, len(self.rows)), np.inf, np.float32)
+        start[3] = (np.arange(m + 1) * BEADS[0][2])[:, None]
         block = n if len(self.rows) * n * m <= CELLS else max(4, min(n, CELLS // max(1, len(self.rows) * m)))
         edges = list(range(0, n, block))
         kept = [start]
         for r in edges[:-1]:
             x0 = max(0, r - 4)
-            kept.append(self.rows_from(r, r + block, kept[-1], self.alike(x0, r + block)[0], x0)[0][:, -4:].copy())
+            kept.append(self.rows_from(r, r + block, kept[-1], self.alike(x0, r + block)[0], x0)[0][-4:].copy())
         at = [(len(r.src), len(r.tgt)) for r in self.rows]
         out: list[set[tuple[int, int]]] = [set() for _ in self.rows]
-        best_x, most_x = np.zeros((len(self.rows), n), np.int64), np.zeros((len(self.rows), n), np.float32)
-        best_y, most_y = np.zeros((len(self.rows), m), np.int64), np.full((len(self.rows), m), -1, np.float32)
+        best_x, most_x = np.zeros((n, len(self.rows)), np.int64), np.zeros((n, len(self.rows)), np.float32)
+        best_y, most_y = np.zeros((m, len(self.rows)), np.int64), np.full((m, len(self.rows)), -1, np.float32)
         for r0, before in zip(reversed(edges), reversed(kept), strict=True):
             x0, r1 = max(0, r0 - 4), min(n, r0 + block)
             like, known = self.alike(x0, r1)
             _, back = self.rows_from(r0, r1, before, like, x0)
             if n == m == 1:
                 # one sentence on either side, as most rows have: on the path, or left over by it
-                one, v = back[:, 0, 1] == ONE_TO_ONE, like[:, 0, 0]
-                return [[(0, 0)] if x else [] for x in (one & (v >= LEAST) | known[:, 0] & (v >= FAR)).tolist()]
+                one, v = back[0, 1] == ONE_TO_ONE, like[0, 0]
+                return [[(0, 0)] if x else [] for x in (one & (v >= LEAST) | known[0] & (v >= FAR)).tolist()]
             for d, pairs in enumerate(out):
-                at[d] = self._back(pairs, *at[d], r0, x0, back[d], like[d], known[d])
-            own = np.where(known[:, r0 - x0 :, None], like[:, r0 - x0 :], 0)
-            best_x[:, r0:r1], most_x[:, r0:r1] = own.argmax(2), own.max(2)
-            top = own.max(1)
+                at[d] = self._back(pairs, *at[d], r0, x0, back[:, :, d], like[:, :, d], known[:, d])
+            own = np.where(known[r0 - x0 :, None], like[r0 - x0 :], 0)
+            best_x[r0:r1], most_x[r0:r1] = own.argmax(1), own.max(1)
+            top = own.max(0)
             more = top >= most_y
-            best_y[more], most_y[more] = (r0 + own.argmax(1))[more], top[more]
+            best_y[more], most_y[more] = (r0 + own.argmax(0))[more], top[more]
         for d, (r, pairs) in enumerate(zip(self.rows, out, strict=True)):
             left, right = {x for x, _ in pairs}, {y for _, y in pairs}
             if len(left) < len(r.src) or len(right) < len(r.tgt):
                 # what the path leaves over: sentences merged by the dozen, or moved far; the first of the most alike
                 for x in range(len(r.src)):
-                    if x not in left and most_x[d, x] >= FAR:
-                        pairs.add((x, int(best_x[d, x])))
-                        right.add(int(best_x[d, x]))
-                pairs |= {(int(best_y[d, y]), y) for y in range(len(r.tgt)) if y not in right and most_y[d, y] >= FAR}
+                    if x not in left and most_x[x, d] >= FAR:
+                        pairs.add((x, int(best_x[x, d])))
+                        right.add(int(best_x[x, d]))
+                pairs |= {(int(best_y[y, d]), y) for y in range(len(r.tgt)) if y not in right and most_y[y, d] >= FAR}
         return [sorted(x) for x in out]
 
     @staticmethod
@@ -488,7 +631,13 @@ Item = tuple[str, str, list[tuple[int, int]], list[tuple[int, int]]]
 def align_all(items: list[Item], lex: Lexicon) -> list[list[tuple[int, int]]]:
     """(start of the unit's sentence, start of the Korean sentence) of the pairs of each (unit, text, spans of the unit, spans of the text)."""
     numbers: dict[str, int] = {}
-    rows = [Row(*x, lex, numbers) for x in items]
+    # what is delivered again has the pairs that it had before
+    place: dict[tuple[str, str], int] = {}
+    places = [place.setdefault((u, t), len(place)) for u, t, _, _ in items]
+    rows: list[Row] = []
+    for x, d in zip(items, places, strict=True):
+        if d == len(rows):
+            rows.append(Row(*x, lex, numbers))
     out: list[list[tuple[int, int]]] = [[] for _ in rows]
     by: dict[tuple[int, int], list[int]] = defaultdict(list)
     for d, r in enumerate(rows):
@@ -503,7 +652,7 @@ def align_all(items: list[Item], lex: Lexicon) -> list[list[tuple[int, int]]]:
             for d, pairs in zip(part, Table([rows[d] for d in part], lex).pairs(), strict=True):
                 src, tgt = rows[d].src, rows[d].tgt
                 out[d] = [(src[x], tgt[y]) for x, y in pairs]  # in order, as the starts are
-    return out
+    return out if len(rows) == len(items) else [out[d] for d in places]
 
 
 def spans(unit: str, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -527,6 +676,6 @@ def training_pairs(unit: str, text: str, left: list[tuple[int, int]], right: lis
     """Sentence pairs of a row whose sides have equally many sentences, of others none."""
     if len(left) != len(right):
         return []
-    if "<" in unit or "<" in text or ODD.search(unit) or ODD.search(text):
+    if "<" in unit or "<" in text or (not unit.isascii() and ODD.search(unit)) or ODD.search(text):
         return [(plain(TAGS.sub("", unit[s:e]))[0], plain(TAGS.sub("", text[x:y]))[0]) for (s, e), (x, y) in zip(left, right, strict=True)]
     return [(unit[s:e], text[x:y]) for (s, e), (x, y) in zip(left, right, strict=True)]

@@ -57,11 +57,17 @@ def language(text: str | None) -> str:
 
 HANGUL_RUN = re.compile(r"[가-힣ᄀ-ᇿㄱ-ㆎ]+")
 LETTER_RUN = re.compile(r"[^\W\d_]+")
+#: High bytes of UTF-16 under which all characters are Hangul syllables; no half of a pair has one.
+SYLLABLES = bytes(range(0xAC, 0xD7))
 
 
 @lru_cache(maxsize=2)  # asked twice of a text in turn
 def mostly_korean(text: str) -> bool:
     """Whether the Hangul alone shows that korean_share() is over 0.6."""
+    # syllables up to U+D6FF by the high bytes alone, which are enough nearly always
+    high = text.encode("utf-16-be", "surrogatepass")[::2]
+    if len(text) < 2.3 * (len(high) - len(high.translate(None, SYLLABLES))):
+        return True
     return len(text) < 2.3 * sum(map(len, HANGUL_RUN.findall(text)))
 
 
@@ -109,7 +115,7 @@ def declines(sentence: str) -> bool:
 
 def refuses(text: str) -> bool:
     """Does the text, as a whole and outside quotations, decline a task? A third of its sentences must, and they must make up a good part of it, whatever its length. Quoted refusals are a character's own words."""
-    korean = ("니다" in text or "요" in text or "오" in text or "불가" in text) and TASK_KO.search(text) and DECLINE_KO.search(text)
+    korean = ("니다" in text or "요" in text or "오" in text or "불가" in text) and DECLINE_KO.search(text) and TASK_KO.search(text)
     # in another language than Korean a refusal is so for most of its letters
     if not korean and (mostly_korean(text) or not (FOREIGN_WORDS.search(text) and TASK.search(text) and DECLINE.search(text))):
         return False

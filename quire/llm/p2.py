@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,17 @@ def segmented(rows: DataFrame) -> DataFrame:
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             kept, left, right = [], [], []
-            for n, (u, t) in enumerate(zip(values_of(b.column(1)), values_of(b.column(2)), strict=True)):
-                if alignable(u, t, same):
-                    x, y = spans(u, t)
-                    kept.append(n)
-                    left.append(x)
-                    right.append(y)
+            done: dict[tuple[str | None, str | None], tuple | None] = {}  # what is delivered again has the spans that it had before
+            with uncollected():
+                for n, (u, t) in enumerate(zip(values_of(b.column(1)), values_of(b.column(2)), strict=True)):
+                    if (u, t) not in done:
+                        done[u, t] = spans(u, t) if alignable(u, t, same) else None
+                    both = done[u, t]
+                    if both:
+                        x, y = both
+                        kept.append(n)
+                        left.append(x)
+                        right.append(y)
             few = b.take(pa.array(kept, pa.int32()))
             return pa.RecordBatch.from_arrays([*few.columns, turned(left), turned(right)], ["tr_id", "unit", "text", "src", "tr"])
 
@@ -49,6 +54,14 @@ def by_twos(x: list[int]) -> list[tuple[int, int]]:
     return list(zip(x[::2], x[1::2], strict=True))
 
 
+def spans_of(column: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """What turned() made the column of."""
+    offsets = column.offsets.to_numpy()
+    at = offsets[0]
+    flat = by_twos(column.values.to_numpy()[at : offsets[-1]].tolist())
+    return [flat[a:b] for a, b in pairwise(((offsets - at) // 2).tolist())]
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """v, w, c: the counts of align.Tally over the rows of segmented() with equally many sentences on both sides, each distinct unit and text once.
 
@@ -68,8 +81,8 @@ def counted(rows: DataFrame) -> DataFrame:
 
         with uncollected():
             for b in batches:
-                for u, t, x, y in zip(*map(values_of, b.columns), strict=True):
-                    for p, q in training_pairs(u, t, by_twos(x), by_twos(y)):
+                for u, t, x, y in zip(*map(values_of, b.columns[:2]), *map(spans_of, b.columns[2:]), strict=True):
+                    for p, q in training_pairs(u, t, x, y):
                         tally.add(p, q)
                         if tally.full():
                             yield out()
@@ -116,9 +129,9 @@ def aligned(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 
         with uncollected():
             for b in batches:
-                for i, u, t, p, q in zip(*map(values_of, b.columns), strict=True):
+                for i, u, t, p, q in zip(*map(values_of, b.columns[:3]), *map(spans_of, b.columns[3:]), strict=True):
                     ids.append(i)
-                    items.append((u, t, by_twos(p), by_twos(q)))
+                    items.append((u, t, p, q))
                     size += len(u) + len(t)
                     if len(ids) >= TOGETHER or size >= CHARACTERS:
                         yield out()

@@ -21,14 +21,18 @@ OPEN, CLOSE = "“‘«「『（([【《〈„‚", "”’»」』）)]】》
 PAIR = dict(zip(OPEN, CLOSE, strict=True))
 QUOTES = set("”’»」』》〉\"")
 C = r"[”’»」』）)\]】》〉\"']|</\w+>"
-#: All characters that a token can begin with are tried at once before the kinds of tokens are.
+#: What stands before a token is run over first, with those marks that begin none: dashes that close nothing, apostrophes, points of numbers, kana
+#: without a gap. Every other mark begins a token, so nothing is read twice.
+BETWEEN = (
+    r"(?:[^.!?…。！？｡‥—―–\-“‘«「『（(\[【《〈„”»」』）)\]】》〉’\"ぁ-ヿ]++|[—―–-]++(?![”’」』])|’(?=\w)|\.(?=[0-9A-Za-z])|[ぁ-ヿ](?![　 ]+[ぁ-ヿ一-鿿]))*+"
+)
 TOKEN = re.compile(
-    r"(?=[.!?…。！？｡‥—―–\-“‘«「『（(\[【《〈„”»」』）)\]】》〉’\"ぁ-ヿ])(?:"
+    BETWEEN + r"(?:"
     rf"(?P<term>(?:[!?…。！？｡‥]|\.(?![0-9A-Za-z]))[.!?…。！？｡‥]*(?P<close>(?:(?:{C})[!?…。！？]*)*))"
-    r"|(?P<dash>(?<![—―–-])[—―–-]+(?P<dclose>[”’」』]))"
+    r"|(?P<dash>[—―–-]+(?P<dclose>[”’」』]))"
     r"|(?P<open>[“‘«「『（(\[【《〈„])"
     r"|(?P<shut>[”»」』）)\]】》〉]|’(?!\w))"
-    r"|(?P<straight>\")|(?P<gap>[ぁ-ヿ][　 ]+(?=[ぁ-ヿ一-鿿])))"
+    r"|(?P<straight>\")|(?P<gap>[ぁ-ヿ][　 ]+(?=[ぁ-ヿ一-鿿]))|\Z)"
 )
 PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -113,15 +117,23 @@ def _cut_dot(p: str, s: int, nxt: str, start: int, loud: bool) -> bool:
     return not c.islower()
 
 
+#: What the five characters before a full stop tell: that _cut_dot() has to say, a small word that is no abbreviation, a title or initial that ends no sentence.
+ASK, PLAIN, TITLE = range(3)
+
+
 @lru_cache(maxsize=1 << 14)
-def _plain_word(tail: str) -> bool:
-    """Whether the four characters before a full stop end in a small word that is no abbreviation; one of two or three letters is no number of a heading either."""
+def _before_dot(tail: str) -> int:
+    """PLAIN: its last four characters end in a small word that is no abbreviation, and one of two or three letters is no number of a heading either."""
+    _, space, w = tail.rpartition(" ")
+    if space and w.isascii() and w.isalpha() and w not in "iI" and (len(w) == 1 or w.lower() in BEFORE):
+        return TITLE
+    tail = tail[-4:]
     if not tail.islower():
-        return False
+        return ASK
     if tail.isalpha():
-        return tail != "ssrs"
+        return ASK if tail == "ssrs" else PLAIN
     w = tail.rpartition(" ")[2]
-    return 2 <= len(w) <= 3 and w.isascii() and w.isalpha() and w not in BEFORE and w not in MAY_END and w not in NUMBER_WORDS and bool(w.strip("ivxlcdm"))
+    return PLAIN if 2 <= len(w) <= 3 and w.isascii() and w.isalpha() and w not in BEFORE and w not in MAY_END and w not in NUMBER_WORDS and bool(w.strip("ivxlcdm")) else ASK
 
 
 def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
@@ -130,20 +142,32 @@ def _paragraph(p: str, base: int, out: list[tuple[int, int]]) -> None:
     loud = None
     unclosed: set[str] = set()
     for m in TOKEN.finditer(p):
-        kind = m.lastgroup
-        s, e = m.span()
+        e = m.end()
         if e == n:
             break  # what comes last ends the paragraph whatever it is
-        if kind == "term" and not stack and e == s + 1 and p[s] == "." and s > 3:
-            # the plain case: a full stop after a Korean word or a longer lower-case one, then white space and no small letter
-            b = p[s - 1]
-            c = p[e + 1 : e + 2]
-            if c and p[e] == " " and (start or p[:4].lower() not in HEADING_START) and ("가" <= c <= "힣" or "A" <= c <= "Z" or c == "“") and ("가" <= b <= "힣" or (b.islower() and _plain_word(p[s - 4 : s]))):
+        kind = m.lastgroup
+        s = m.start(kind)
+        if kind == "term" and e == s + 1:
+            mark, c = p[s], p[e]
+            if mark == ".":
+                if c == " ":
+                    before = _before_dot(p[s - 5 : s] if s > 4 else " " + p[:s])
+                    if before == TITLE:
+                        continue
+                    if not stack and s > 3:
+                        # the plain case: a full stop after a Korean word or a longer lower-case one, then white space and no small letter
+                        c = p[e + 1 : e + 2]
+                        if c and (before == PLAIN or "가" <= p[s - 1] <= "힣") and (start or p[:4].lower() not in HEADING_START) and ("가" <= c <= "힣" or "A" <= c <= "Z" or c == "“"):
+                            out.append((base + start, base + e))
+                            start = e
+                            continue
+                if not stack and s > 3 and p[s - 3 : s] in TITLES:
+                    continue
+            elif mark in "。！？｡" and not stack and not c.isspace() and c not in "<—―–-,;:、，)）]」』”’":
+                # a mark of scripts without spaces, and the next sentence right behind it
                 out.append((base + start, base + e))
                 start = e
                 continue
-            if c and p[e] == " " and "A" <= b <= "Z" and b != "I" and p[s - 2] == " " and c.isupper() or p[s - 3 : s] in TITLES:
-                continue
         elif kind == "term" and e == s + 2 and p[e - 1] == "”" and stack and stack[-1][0] == "”" and p[e : e + 1] == " " and p[e + 1 : e + 2].islower():
             # a quotation followed by the clause that reports it
             del stack[-1]
@@ -304,6 +328,12 @@ def segment(text: str | None, composed: bool = False) -> list[tuple[int, int]]:
     out = []
     tags = "<" in p
     for s, e in raw:
+        if not tags and e - s > 2 and not p[e - 1].isspace():
+            a = s + 1 if p[s] == " " else s
+            c = p[a]
+            if c.isalnum() or (p[a + 1].isalnum() and not c.isspace()):
+                out.append((a, e))
+                continue
         piece = p[s:e]
         t = piece.strip()
         if not t:

@@ -147,3 +147,50 @@ def test_short_words_before_a_full_stop():
 
     assert segment("Then the old box. The end") == [(0, 17), (18, 25)]
     assert len(segment("Mr. Hill ran. He saw Mr. Fox. The box fell.")) == 3
+
+
+def test_partners_are_found_at_all_places_of_many_sentences():
+    import random
+
+    from quire.llm.align import Trie
+
+    r = random.Random(2)
+    words = ["개", "개가", "가나", "나다라", "눈이", "라", "ab", "bab", "🐕개"]
+    sentences = ["", " ", "가", *("".join(r.choice("개가나다라눈이ab 　\u2003\n.🐕") for _ in range(r.randint(1, 14))) for _ in range(400)), "나다", "라"]
+    at, word = Trie(words).found(sentences)
+    dense = ["".join(x.split()) for x in sentences]
+    assert sorted(zip(at.tolist(), word.tolist(), strict=True)) == [(i, k) for i, x in enumerate(dense) for k, w in enumerate(words) for _ in range(sum(x.startswith(w, j) for j in range(len(x))))]
+    assert [x.tolist() for x in Trie([]).found(["개가", ""])] == [[], []] == [x.tolist() for x in Trie(words).found([])]
+
+
+def test_spans_are_read_back_as_they_were():
+    spans = [[(0, 3), (4, 9)], [], [(1, 2)], [(5, 6), (7, 8), (9, 10)]]
+    c = p2.turned(spans)
+    assert [p2.spans_of(x) for x in (c, c[1:], c[2:3], c[:0])] == [spans, spans[1:], spans[2:3], []]
+
+
+def test_rows_delivered_again_are_worked_on_once(monkeypatch):
+    from quire.llm import align as module
+
+    made = []
+    monkeypatch.setattr(module, "Row", lambda *x: made.append(x) or Row(*x))
+    items = [("The dog barked. Snow covered all.", t, *align_spans("The dog barked. Snow covered all.", t)) for t in ("개가 짖었다. 눈이 뒤덮었다.", "개가 짖었다.")]
+    got = module.align_all([items[0], items[1], items[0], items[1]], LEX)
+    assert len(made) == 2 and got == [*module.align_all(items[:1], LEX), *module.align_all(items[1:], LEX)] * 2
+
+
+def test_marks_that_begin_no_token_are_passed_over():
+    """The tokens are those of a scan that tries every character, and what stands between them is read once."""
+    import random
+    import re
+
+    from quire.llm.sentences import TOKEN, segment
+
+    tried = re.compile(TOKEN.pattern[TOKEN.pattern.index("(?:(?P<term>") :].replace("(?P<dash>", "(?P<dash>(?<![—―–-])").removesuffix(r"|\Z)") + ")")
+    r = random.Random(4)
+    pieces = ["Mr. ", "J. R. ", "box. The ", "다. 그", "3.5", "don’t ", "’ ", "“", ".” ", "”", "—", "--", "—”", "あ　い", "あ ", "。", "「", "」", "... ", "(", ")", "<em>", "</em>", "\"", "a-b"]
+    for _ in range(3000):
+        x = "".join(r.choice(pieces) for _ in range(r.randint(0, 12)))
+        assert [(m.lastgroup, m.start(m.lastgroup), m.end()) for m in TOKEN.finditer(x) if m.lastgroup] == [(m.lastgroup, *m.span()) for m in tried.finditer(x)], x
+    assert next(TOKEN.finditer("dog-box don’t 3.5 あの ")).end() == len("dog-box don’t 3.5 あの ")
+    assert segment("Mr. Fox met Capt. Hill. “Go. Now.” He ran") == [(0, 23), (24, 28), (29, 34), (35, 41)]
